@@ -6,25 +6,87 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import jaccard_join, substring_dedup
+from marlstone.llm import decontaminate, jaccard_join, quality_rules, substring_dedup, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+#: Distinct 5-word shingles of the rows of a relation (id, w).
+_SHINGLES = "SELECT DISTINCT id, CASE WHEN len(w) >= 5 THEN array_to_string(w[i:i + 4], ' ') ELSE array_to_string(w, ' ') END AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM {} WHERE len(w) > 0)"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
-
+def register(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
 
-QUERIES["op8_jaccard_join"] = op8_jaccard_join
+    return add
 
 
+@register(
+    f"""WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+least AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, i + unnest(range(0, 13)) AS i FROM win JOIN least USING (g) WHERE m < doc_id),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
+)
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeat_digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES["op2_substring_dedup"] = op2_substring_dedup
+@register(
+    f"""WITH d AS (SELECT doc_id AS id, {_WORDS.format(_LOWER)} AS w FROM documents),
+b AS (SELECT item_id AS id, {_WORDS.format(_LOWER)} AS w FROM benchmark),
+dg AS ({_SHINGLES.format("d")}), bg AS ({_SHINGLES.format("b")}),
+n AS (SELECT id, count(*) AS n FROM bg GROUP BY id),
+s AS (SELECT dg.id AS doc_id, bg.id AS item_id, count(*) AS shared FROM dg JOIN bg USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_shingles, shared AS n_shared, shared / n AS containment FROM s JOIN n ON n.id = item_id WHERE 100 * shared >= 80 * n"""
+)
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@register()
+def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(_table(spark, sf_dir, "documents"))
+
+
+@register(
+    f"""WITH RECURSIVE d AS (SELECT doc_id AS id, {_WORDS.format(_LOWER)} AS w FROM documents),
+g AS ({_SHINGLES.format("d")}), n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+o AS (SELECT x.id AS a, y.id AS b, count(*) AS o FROM g x JOIN g y ON x.g = y.g AND x.id <> y.id GROUP BY ALL),
+link AS (SELECT a, b FROM o JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+reach AS (SELECT id AS a, id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT d.id AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id FROM d JOIN reach ON reach.a = d.id LEFT JOIN n ON n.id = d.id GROUP BY d.id"""
+)
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
+_QUALITY = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls,
+  CAST(len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in quality_rules.STOP_WORDS)}))) AS BIGINT) AS n_stop_words, CAST(len(regexp_extract_all(t, '[A-Z]')) AS BIGINT) AS n_upper FROM d),
+c AS (SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n_stop_words, n_upper FROM m LEFT JOIN rep USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT *, NOT base_failed AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / n_words <= 0.15 AND n_stop_words >= 2 AND n_stop_words / n_words >= 0.02
+  AND n_upper / word_chars <= 0.4 AND coalesce(n_dup_lines / nullif(n_lines, 0), 0) <= 0.5 AS kept FROM f"""
+
+
+@register(_QUALITY)
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
