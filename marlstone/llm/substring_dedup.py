@@ -11,7 +11,7 @@
 4. A key with more than ``hot_runs`` different runs (the ends of a passage that very many documents share) is settled
    by window instead: a grouped minimum over window hashes, which is pre-aggregated and whose join can be split.
 
-Every word of every text takes part.  Words are compared as bytes; two 64-bit hashes stand for a run or a window.
+Every word of every text takes part.  Words are compared as bytes; two hashes, of 96 bits or more together, stand for a run or a window.
 """
 
 from __future__ import annotations
@@ -33,7 +33,6 @@ SHARD_WORDS = 200_000
 _PACKED = "kind int, doc long, start int, n int, route long, bucket int, payload binary"
 _FOUND = "kind int, doc long, start int, n int, route long"
 SETTLED, ASKED, HOT = 1, 2, 3
-_ROW = np.dtype([("content", "<u8"), ("key", "<u8"), ("at", "<u4"), ("start", "<u4"), ("n", "u1")])
 
 
 def runs(chunk: Chunk, width: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -96,8 +95,8 @@ def _cut_runs(width: int, gram: int, buckets: int):
             payload = []
             for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 table, at = np.unique(doc[x:y], return_inverse=True)
-                wide = "<u2" if len(table) <= 65_536 else "<u4"
-                payload.append(b"".join([np.array([y - x, len(table), int(wide[-1])], "<i8").tobytes(), key[x:y].astype("<u8").tobytes(), content[x:y].astype("<u8").tobytes(), table.astype("<i8").tobytes(), at.astype(wide).tobytes(), start[x:y].astype("<u4").tobytes(), n[x:y].astype("u1").tobytes()]))
+                wide, far = ("<u2" if m <= 65_536 else "<u4" for m in (len(table), int(start[x:y].max()) + 1))
+                payload.append(b"".join([np.array([y - x, len(table), int(wide[-1]), int(far[-1])], "<i8").tobytes(), _six(key[x:y]), _six(content[x:y]), table.astype("<i8").tobytes(), at.astype(wide).tobytes(), start[x:y].astype(far).tobytes(), n[x:y].astype("u1").tobytes()]))
             k = len(payload)
             zero = pa.array(np.zeros(k, np.int32))
             yield pa.RecordBatch.from_arrays([zero, pa.array(np.zeros(k, np.int64)), zero, zero, pa.array(np.zeros(k, np.int64)), pa.array(where[cuts[:-1]].astype(np.int32)) if k else zero, pa.array(payload, pa.binary())], names=["kind", "doc", "start", "n", "route", "bucket", "payload"])
@@ -117,13 +116,21 @@ def _cut_runs(width: int, gram: int, buckets: int):
     return run
 
 
+def _six(x: np.ndarray) -> bytes:
+    """The six low bytes of each hash; a bucket stands for much of the rest."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
 def _unpack(b: bytes) -> tuple[np.ndarray, ...]:
-    rows, k, wide = np.frombuffer(b, "<i8", 3).tolist()
-    at, out = 24, []
-    for kind, n in (("<u8", rows), ("<u8", rows), ("<i8", k), (f"<u{wide}", rows), ("<u4", rows), ("u1", rows)):
+    rows, k, wide, far = np.frombuffer(b, "<i8", 4).tolist()
+    at, out = 32, []
+    for kind, n in (("u1", 6 * rows), ("u1", 6 * rows), ("<i8", k), (f"<u{wide}", rows), (f"<u{far}", rows), ("u1", rows)):
         out.append(np.frombuffer(b, kind, n, at))
         at += n * np.dtype(kind).itemsize
     key, content, table, doc, start, n = out
+    full = np.zeros((2, rows, 8), np.uint8)
+    full[0, :, :6], full[1, :, :6] = key.reshape(-1, 6), content.reshape(-1, 6)
+    key, content = full.view("<u8").reshape(2, rows)
     return table[doc], start.astype(np.int64), n.astype(np.int64), key, content
 
 
@@ -241,20 +248,27 @@ def repeated_windows(docs: DataFrame, width: int = 13, hot_runs: int = 512) -> D
     """
     spark = docs.sparkSession
     gram = min(GRAM, width)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    docs = _plain(docs)
     packed = docs.mapInArrow(_cut_runs(width, gram, parts(spark)), _PACKED)
     spread = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("doc", "start"), F.lit(parts(spark))).cast("int"))
     found = packed.withColumn("bucket", spread).repartition(parts(spark), "bucket").mapInArrow(_meet(hot_runs), _FOUND)
     found = cut(found)
-    asked = found.where("kind > 1").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("kind", "start", "n", "route")).alias("asked"))
-    fetched = docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(width), "doc long, start int, route long, check long, words binary")
-    fetched = cut(fetched)
-    pieces = fetched.where("words is not null").repartition(parts(spark), "route").sortWithinPartitions("route", "doc", "start")
+
+    def fetched(kind: int) -> DataFrame:
+        asked = found.where(F.col("kind") == kind).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("kind", "start", "n", "route")).alias("asked"))
+        return docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(width), "doc long, start int, route long, check long, words binary")
+
+    pieces = fetched(ASKED).repartition(parts(spark), "route").sortWithinPartitions("route", "doc", "start")
     settled = found.where(F.col("kind") == SETTLED).select("doc", "start", "n").union(pieces.mapInArrow(_search(width), _FOUND).select("doc", "start", "n"))
-    hot = fetched.where("words is null").select("route", "check", "doc", "start")
-    least = hot.groupBy("route", "check").agg(F.min("doc").alias("least"))
-    hot = hot.join(least, ["route", "check"]).where("doc > least").select("doc", "start", F.lit(1).alias("n"))
-    return settled.union(hot).withColumnRenamed("doc", "doc_id")
+    if found.where(F.col("kind") == HOT).take(1):
+        hot = cut(fetched(HOT).select("route", "check", "doc", "start"))
+        least = hot.groupBy("route", "check").agg(F.min("doc").alias("least"))
+        settled = settled.union(hot.join(least, ["route", "check"]).where("doc > least").select("doc", "start", F.lit(1).alias("n")))
+    return settled.withColumnRenamed("doc", "doc_id")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
 
 
 def _keep(width: int, digest: bool):
@@ -293,10 +307,11 @@ def _with_runs(docs: DataFrame, width: int, hot_runs: int) -> DataFrame:
 def repeat_digest(docs: DataFrame, width: int = 13, hot_runs: int = 512) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) for each row of docs.
 
-    Null text: no words.  Rows with equal ids are not compared with each other; an empty table gives no rows.
+    Null text: no words.  Rows without an id are left out; rows with equal ids are not compared with each other; an
+    empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = _with_runs(docs, width, hot_runs).select("text", "__starts", "__ns", "doc_id").mapInArrow(_keep(width, True), "kept string, n_words long, n_removed long, doc_id long")
+    # the same plan of (doc_id, text) as in repeated_windows: Spark deals the texts out once for both joins
+    out = _with_runs(_plain(docs), width, hot_runs).select("text", "__starts", "__ns", "doc_id").mapInArrow(_keep(width, True), "kept string, n_words long, n_removed long, doc_id long")
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
