@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import decontaminate, jaccard_join, packing, quality_rules, substring_dedup, token_count
+from marlstone.llm import decontaminate, jaccard_join, language_id, packing, quality_classifier, quality_rules, substring_dedup, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,6 +67,11 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"))
 
 
+@register()
+def op7_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 @register(
     f"""WITH RECURSIVE d AS (SELECT doc_id AS id, {_WORDS.format(_LOWER)} AS w FROM documents),
 g AS ({_SHINGLES.format("d")}), n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
@@ -95,3 +100,8 @@ SELECT *, NOT base_failed AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbol
 @register(_QUALITY)
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
+@register()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(_table(spark, sf_dir, "documents"))
