@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import decontaminate, jaccard_join, language_id, packing, quality_classifier, quality_rules, substring_dedup, token_count
+from marlstone.llm import decontaminate, jaccard_join, language_id, packing, preferences, quality_classifier, quality_rules, substring_dedup, token_count, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,31 @@ def register(sql: str | None = None):
     return add
 
 
+#: A level's prior strength from its groups g(n, k, prior).
+_RHO = "SELECT CASE WHEN sum(CASE WHEN prior * (1 - prior) > 0 THEN 1 END) IS NULL OR sum(n) = count(*) THEN 0.001 ELSE (sum(CASE WHEN prior * (1 - prior) > 0 THEN n * (k / n - prior) ** 2 / (prior * (1 - prior)) END) - count(*)) / (sum(n) - count(*)) END AS rho FROM {} WHERE n > 0"
+_STRENGTH = "(SELECT 1 / least(greatest(rho, 0.001), 0.999) - 1 FROM ({}))"
+
+
+@register(
+    f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, coalesce(html, '') AS html FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path,
+  CAST(100 * len(regexp_extract_all(html, '[#*$%]')) > length(html) AS INT) AS bad FROM u),
+h AS (SELECT host, array_to_string(string_split(host, '.')[-1:], '.') AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain, count(bad) AS n, sum(bad) AS k FROM p GROUP BY host),
+t AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT sum(k) / sum(n) FROM h) AS prior FROM h GROUP BY suffix),
+t2 AS (SELECT suffix, (prior * s + k) / (s + n) AS prior FROM (SELECT *, {_STRENGTH.format(_RHO.format("t"))} AS s FROM t)),
+d AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k, any_value(prior) AS prior FROM h JOIN t2 USING (suffix) GROUP BY suffix, domain),
+d2 AS (SELECT suffix, domain, (prior * s + k) / (s + n) AS prior FROM (SELECT *, {_STRENGTH.format(_RHO.format("d"))} AS s FROM d)),
+h2 AS (SELECT host, n, k, prior FROM h JOIN d2 USING (suffix, domain)),
+h3 AS (SELECT host, prior * s + k AS a, (1 - prior) * s + n - k AS b FROM (SELECT *, {_STRENGTH.format(_RHO.format("h2"))} AS s FROM h2)),
+r AS (SELECT page_id, host, path, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 AS blocked,
+  CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/' WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p JOIN h3 USING (host))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN blocked THEN 'block' ELSE 'allow' END AS verdict FROM r"""
+)
+def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+
+
 @register(
     f"""WITH d AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
@@ -67,6 +92,26 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_table(spark, sf_dir, "documents"))
 
 
+@register(
+    """WITH last AS (SELECT conv_id, max(turn) AS last, arg_max(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i,
+  CASE WHEN role = 'assistant' AND turn = l.last THEN coalesce(o.answer, '') ELSE text END AS other
+  FROM conversations JOIN last l USING (conv_id) LEFT JOIN (SELECT conv_id - 1 AS conv_id, answer FROM last) o USING (conv_id)),
+n AS (SELECT conv_id, coalesce(min(CASE WHEN text IS DISTINCT FROM other THEN i END) - 1, max(i)) AS n_common FROM c GROUP BY conv_id),
+r AS (SELECT *, '<|' || role || '|>' || chr(10) AS head, i <= n_common AS shared FROM c JOIN n USING (conv_id)),
+s AS (SELECT *, length(head) + coalesce(sum(length(head) + length(text) + 1) OVER w, 0) AS a, length(head) + coalesce(sum(length(head) + length(other) + 1) OVER w, 0) AS b
+  FROM r WINDOW w AS (PARTITION BY conv_id, shared ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id AS pair_id, CAST(any_value(n_common) AS INT) AS n_common, coalesce(string_agg(CASE WHEN shared THEN head || text || chr(10) END, '' ORDER BY i), '') AS prompt,
+  coalesce(string_agg(CASE WHEN NOT shared THEN head || text || chr(10) END, '' ORDER BY i), '') AS chosen,
+  coalesce(string_agg(CASE WHEN NOT shared AND role = 'assistant' AND text <> '' THEN a || ':' || length(text) END, ',' ORDER BY i), '') AS chosen_spans,
+  coalesce(string_agg(CASE WHEN NOT shared THEN head || other || chr(10) END, '' ORDER BY i), '') AS rejected,
+  coalesce(string_agg(CASE WHEN NOT shared AND role = 'assistant' AND other <> '' THEN b || ':' || length(other) END, ',' ORDER BY i), '') AS rejected_spans FROM s GROUP BY conv_id"""
+)
+def op6_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = preferences.format_preferences(*preferences.swapped_answers(_table(spark, sf_dir, "conversations")))
+    return out.withColumns({c: preferences.spans_as_text(c) for c in ("chosen_spans", "rejected_spans")})
+
+
 @register()
 def op7_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
