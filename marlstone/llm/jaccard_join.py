@@ -2,14 +2,14 @@
 
 Exact: every pair with ``100 * |A & B| >= threshold_pct * |A | B|`` contributes to the components.
 
-1. Rows with equal texts are one row of the matrix; their least id stands for them.
+1. Rows with equal texts are one row of the products; their least id stands for them.
 2. Candidate blocks.  Sets of sizes x <= y that reach the threshold differ in at most ``(x + y)(1 - t)/(1 + t)``
    elements.  A set is cut by hash range into m buckets, m larger than that bound, so a linked pair agrees on whole
    buckets; a bucket's content hash is a signature (the PartEnum scheme of Arasu, Ganti and Kaushik, 2006).  m depends
    on the size class; a set signs for its class and for the one below, since sizes of a linked pair differ by 1/t at
    most.  A signature stands for several shingles at once, so a passage that many documents share makes few candidates.
    Equal signatures within one batch are collapsed before the shuffle, which carries packed arrays.
-3. Components of the candidate graph are the blocks.  A document's whole row is sent to one block; in it, pivot rows are
+3. Components of the candidate graph are the blocks.  A distinct text is sent to one block; in it, pivot rows are
    multiplied with the block's remaining rows, and a pair counts only if its overlap reaches the bound its sizes give.
 4. A block of over ``block_rows`` rows is dealt over tasks with its least document as pivot in each.  Rows that this
    pivot's group didn't take are then multiplied, block by block, with all rows of that component.
@@ -28,7 +28,10 @@ from marlstone.llm.cluster import bucket_of, components, cut, parts
 from marlstone.llm.textkernel import Chunk, U64, chunks, gram_hashes, mix
 
 FLUSH = 400_000
-_OUT = "kind int, a long, b long, bucket int, ids binary, sigs binary"
+LARGE = 32
+PAIR, SIZE, MEMBER = 1, 2, 4
+_OUT = "kind int, a long, b long, c long, bucket int, ids binary, sigs binary"
+_MET = "kind int, a long, b long, c long"
 
 
 def shingle_sets(chunk: Chunk, n: int) -> Iterator[np.ndarray]:
@@ -61,83 +64,95 @@ class Signer:
     def __init__(self, threshold_pct: int):
         self.tops, self.differ, self.buckets = size_classes(threshold_pct)
 
-    def __call__(self, s: np.ndarray) -> np.ndarray:
-        """The signatures of a sorted set, for its class and the one below."""
+    def __call__(self, s: np.ndarray) -> tuple[np.ndarray, int]:
+        """The signatures of a sorted set, for its class and the one below, and how many a linked set must share."""
         own = int(np.searchsorted(self.tops, len(s)))
-        high, mixed, out = s >> U64(32), mix(s ^ U64(0xA5A5A5A5A5A5A5A5)), []
+        high, mixed, out, need = s >> U64(32), mix(s ^ U64(0xA5A5A5A5A5A5A5A5)), [], 1 << 30
         for c in (own, own - 1) if own else (own,):
             m = int(self.buckets[c])
             where = (high * U64(m)) >> U64(32)
             cuts = np.concatenate(([0], np.flatnonzero(where[1:] != where[:-1]) + 1))
             tag = (where[cuts] + U64(1)) * U64(0x9E3779B97F4A7C15) + U64(c)
             out.append(mix(np.add.reduceat(mixed, cuts) ^ mix(tag)))
-            if m - len(cuts) >= m - int(self.differ[c]):  # so many empty buckets that a pair could agree on these alone
+            need = min(need, len(cuts) - int(self.differ[c]))
+            if len(cuts) <= self.differ[c]:  # so many empty buckets that a pair could agree on these alone
                 void = np.setdiff1d(np.arange(m, dtype=U64), where[cuts])
                 out.append(mix(mix((void + U64(1)) * U64(0x9E3779B97F4A7C15) + U64(c)) ^ U64(0x0E0E0E0E)))
-        return np.concatenate(out)
+        return np.concatenate(out), max(1, need)
 
 
-def _record(kind, a, b, bucket, ids, sigs) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bucket, pa.int32()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())],
-        names=["kind", "a", "b", "bucket", "ids", "sigs"],
-    )
+def _record(kind, a, b, c, bucket=None, ids=None, sigs=None) -> pa.RecordBatch:
+    n = len(a)
+    more = [] if bucket is None else [pa.array(bucket, pa.int32()), pa.array(ids if ids is not None else [None] * n, pa.binary()), pa.array(sigs if sigs is not None else [None] * n, pa.binary())]
+    cols = [pa.array(np.broadcast_to(np.asarray(x, np.int64), n)) for x in (a, b, c)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *cols, *more], names=["kind", "a", "b", "c", "bucket", "ids", "sigs"][: 4 + len(more)])
 
 
-def _edges(doc: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keep = doc != least
-    pairs = np.unique(np.stack([doc[keep], least[keep]], 1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def _collapse(sigs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct signatures with their least document, and edges from the other documents to it."""
-    order = np.lexsort((docs, sigs)) if len(sigs) else np.zeros(0, np.int64)
-    sigs, docs = sigs[order], docs[order]
-    head = np.ones(len(sigs), bool)
-    head[1:] = sigs[1:] != sigs[:-1]
-    least = docs[np.flatnonzero(head)][np.cumsum(head) - 1] if len(sigs) else docs
-    a, b = _edges(docs, least)
-    return sigs[head], docs[head], a, b
+def _groups(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First position and size of each run of equal signatures."""
+    if not len(sigs):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.concatenate(([0], np.flatnonzero(sigs[1:] != sigs[:-1]) + 1))
+    return first, np.diff(np.append(first, len(sigs)))
 
 
 def _sign(n: int, threshold_pct: int, buckets: int):
     def run(batches):
         signer = Signer(threshold_pct)
-        sigs, owners, docs, sizes, held = [], [], [], [], 0
+        sigs, owners, docs, sizes, needs, same, held = [], [], [], [], [], {}, 0
 
         def flush():
             ids = np.array(docs, np.int64)
-            s, d, a, b = _collapse(np.concatenate(sigs) if sigs else np.zeros(0, U64), np.repeat(ids, owners) if docs else ids)
-            yield _record(np.ones(len(a), int), a, b, np.full(len(a), -1), [None] * len(a), [None] * len(a))
+            yield _record(PAIR, [d for d, r in copies if d != r], [r for d, r in copies if d != r], 1 << 40, [docs[0] % buckets] * sum(d != r for d, r in copies))
+            s = np.concatenate(sigs) if sigs else np.zeros(0, U64)
+            d = np.repeat(np.array([r for r, _ in owners], np.int64), [k for _, k in owners])
+            order = np.argsort(s, kind="stable")
+            s, d = s[order], d[order]
+            first, size = _groups(s)
+            late = np.arange(len(s)) - np.repeat(first, size) > LARGE
             where = bucket_of(s, buckets)
+            yield _record(MEMBER, d[late], _name(s[late], where[late]), 0, where[late])
+            s, d, where = s[~late], d[~late], where[~late]
             cuts = np.concatenate(([0], np.flatnonzero(where[1:] != where[:-1]) + 1, [len(s)])) if len(s) else np.array([0])
             table, at = np.unique(d, return_inverse=True)
-            wide = np.uint16 if len(table) <= 65_536 else np.uint32
+            six = s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]  # a bucket stands for much of the rest
             spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            six = s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]  # the two high bytes add little to the bucket
-            yield _record([0] * len(spans), [int(x) for x, _ in spans], [0] * len(spans), where[cuts[:-1]] if spans else [], [_ids(table, at[x:y].astype(wide)) for x, y in spans], [six[x:y].tobytes() for x, y in spans])
-            yield _record([2], [0], [0], [int(docs[0]) % buckets], [ids.tobytes()], [np.array(sizes, np.int64).tobytes()])
+            yield _record(0, np.zeros(len(spans), np.int64), 0, 0, where[cuts[:-1]], [_ids(table, at[x:y]) for x, y in spans], [six[x:y].tobytes() for x, y in spans])
+            yield _record(SIZE, [0], 0, 0, [docs[0] % buckets], [ids.tobytes()], [np.array([sizes, needs], np.int64).tobytes()])
 
+        copies = []
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column(1)):
                 for i, s in enumerate(shingle_sets(chunk, n)):
-                    got = signer(s) if len(s) else s
-                    docs.append(int(ids[chunk.first + i]))
+                    doc = int(ids[chunk.first + i])
+                    got, need = signer(s) if len(s) else (s, 1)
+                    docs.append(doc)
                     sizes.append(len(s))
-                    sigs.append(got)
-                    owners.append(len(got))
-                    held += len(got)
-                if held >= FLUSH:
+                    needs.append(need)
+                    if len(s):
+                        key = (len(s), int(got.sum()), int(got[0]))
+                        twin = same.setdefault(key, len(owners))
+                        if twin < len(owners) and np.array_equal(sigs[twin], got):
+                            copies.append((doc, owners[twin][0]))  # an equal set, of which one is enough here
+                            continue
+                        sigs.append(got)
+                        owners.append((doc, len(got)))
+                        held += len(got)
+                if held >= FLUSH or len(docs) >= 65_000:
                     yield from flush()
-                    sigs, owners, docs, sizes, held = [], [], [], [], 0
+                    sigs, owners, docs, sizes, needs, same, copies, held = [], [], [], [], [], {}, [], 0
         if docs:
             yield from flush()
 
     return run
 
 
+def _name(sigs: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """A long for a signature, made of what the packed rows keep of it."""
+    return ((where & 0x7FFF) << 48) | (sigs & U64((1 << 48) - 1)).astype(np.int64)
+
+
 def _ids(table: np.ndarray, at: np.ndarray) -> bytes:
     """The documents of one packed row: those it names, then an index into them for each signature."""
     used, at = np.unique(at, return_inverse=True)
@@ -150,26 +165,63 @@ def _read_ids(b: bytes) -> np.ndarray:
     return np.frombuffer(b, "<i8", k, 16)[np.frombuffer(b, f"<u{wide}", -1, 16 + 8 * k)]
 
 
+def count_pairs(first: np.ndarray, size: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (larger, smaller id) of members of one group, and in how many of the groups, of LARGE at most, they meet."""
+    table, at = np.unique(docs, return_inverse=True)
+    found = [np.zeros(0, np.int64)]
+    for k in range(2, LARGE + 1):
+        rows = first[size == k]
+        if len(rows):
+            x, y = np.triu_indices(k, 1)
+            x, y = at[rows[:, None] + x], at[rows[:, None] + y]
+            found.append((np.maximum(x, y) * len(table) + np.minimum(x, y))[x != y])
+    keys, n = np.unique(np.concatenate(found), return_counts=True)
+    return table[keys // max(1, len(table))], table[keys % max(1, len(table))], n
+
+
 def _meet(batches):
-    """One partition of packed signatures: the candidate edges; document sizes pass through."""
-    sigs, docs = [], []
+    """One partition of packed signatures: counted pairs, members of large groups; other rows pass through."""
+    sigs, docs, bucket = [], [], 0
     for batch in batches:
         kind = batch.column(0).to_numpy(zero_copy_only=False)
-        ids, packed, edge = batch.column(4), batch.column(5), np.flatnonzero(kind == 1)
-        if len(edge):
-            yield pa.RecordBatch.from_arrays([x.take(pa.array(edge)) for x in batch.columns[:3]], names=["kind", "a", "b"])
-        for i in np.flatnonzero(kind == 2):
-            d, n = np.frombuffer(ids[i].as_py(), np.int64), np.frombuffer(packed[i].as_py(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), 2, np.int32)), pa.array(d), pa.array(n)], names=["kind", "a", "b"])
+        ids, packed, through = batch.column(5), batch.column(6), np.flatnonzero((kind == PAIR) | (kind == MEMBER))
+        if len(through):
+            yield pa.RecordBatch.from_arrays([x.take(pa.array(through)) for x in batch.columns[:4]], names=["kind", "a", "b", "c"])
+        for i in np.flatnonzero(kind == SIZE):
+            d, (n, need) = np.frombuffer(ids[i].as_py(), np.int64), np.frombuffer(packed[i].as_py(), np.int64).reshape(2, -1)
+            yield _record(SIZE, d, n, need)
         for i in np.flatnonzero(kind == 0):
             six = np.frombuffer(packed[i].as_py(), np.uint8).reshape(-1, 6)
             full = np.zeros((len(six), 8), np.uint8)
             full[:, :6] = six
-            sigs.append(full.view("<u8").ravel())
+            sigs.append(_name(full.view("<u8").ravel(), np.full(len(six), batch.column(4)[i].as_py(), np.int64)))
             docs.append(_read_ids(ids[i].as_py()))
-    if sigs:
-        _, _, a, b = _collapse(np.concatenate(sigs), np.concatenate(docs))
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+    if not sigs:
+        return
+    sigs, docs = np.concatenate(sigs), np.concatenate(docs)
+    order = np.argsort(sigs, kind="stable")
+    sigs, docs = sigs[order], docs[order]
+    first, size = _groups(sigs)
+    yield _record(PAIR, *count_pairs(first, size, docs))
+    large = np.repeat(size > LARGE, size)
+    yield _record(MEMBER, docs[large], sigs[large], 0)
+
+
+def candidates(docs: DataFrame, n: int, threshold_pct: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) of which the components hold all linked pairs, and (doc_id, n_shingles)."""
+    buckets = parts(docs.sparkSession)
+    met = docs.mapInArrow(_sign(n, threshold_pct, buckets), _OUT).repartition(buckets, "bucket").mapInArrow(_meet, _MET)
+    met = cut(met)
+    sizes = met.where(F.col("kind") == SIZE).groupBy(F.col("a").alias("doc_id")).agg(F.max("b").alias("n_shingles"), F.min("c").alias("need"))
+    member = met.where(F.col("kind") == MEMBER).select(F.col("a").alias("doc_id"), F.col("b").alias("sig"))
+    in_large = member.groupBy("doc_id").agg(F.count("*").alias("lost"))
+    need = cut(sizes.join(in_large, "doc_id", "left").select("doc_id", (F.col("need") - F.coalesce("lost", F.lit(0))).alias("need")))
+    pairs = met.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("c").alias("c"))
+    for side in ("a", "b"):
+        pairs = pairs.join(need.select(F.col("doc_id").alias(side), "need"), side).where("c >= need").drop("need")
+    star = member.join(need.where("need < 1"), "doc_id", "left_semi")
+    star = star.join(star.groupBy("sig").agg(F.min("doc_id").alias("least")), "sig").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    return pairs.select("a", "b").union(star.distinct()), sizes.select("doc_id", "n_shingles")
 
 
 def linked(sets: list[np.ndarray], threshold_pct: int, query: np.ndarray | None = None, label: np.ndarray | None = None) -> np.ndarray:
@@ -231,27 +283,14 @@ def linked(sets: list[np.ndarray], threshold_pct: int, query: np.ndarray | None
     return root
 
 
-def _rows_of_sets(n: int):
-    """(doc_id, text, ...) to (block columns, doc_id, set)."""
-
-    def run(batches):
-        for batch in batches:
-            for chunk in chunks(batch.column(1)):
-                part = batch.slice(chunk.first, len(chunk))
-                sets = pa.array([s.astype("<u8").tobytes() for s in shingle_sets(chunk, n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], sets], names=["doc_id", *part.schema.names[2:], "grams"])
-
-    return run
-
-
-def _multiply(threshold_pct: int, queries: bool):
-    """Sorted rows (comp, cell, doc_id, flag, label, grams) to edges (a, b), and b = -1 for rows a pivot's group left."""
+def _multiply(n: int, threshold_pct: int, queries: bool):
+    """Rows (text, comp, cell, doc_id, flag, label) sorted by comp and cell to edges (row, least linked row of its cell)."""
 
     def block(rows: list[tuple]):
         rows.sort(key=lambda r: (r[0], not r[1]))
         rows = [r for i, r in enumerate(rows) if not i or r[0] != rows[i - 1][0]]
         ids = [r[0] for r in rows]
-        sets = [np.frombuffer(r[3], "<u8") for r in rows]
+        sets = [r[3] for r in rows]
         if queries:
             root = linked(sets, threshold_pct, np.array([r[1] for r in rows], bool), np.array([r[2] for r in rows]))
         else:
@@ -262,9 +301,10 @@ def _multiply(threshold_pct: int, queries: bool):
     def run(batches):
         key, rows = None, []
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
+            cols = [c.to_pylist() for c in batch.columns[1:]]
+            sets = [s for chunk in chunks(batch.column(0)) for s in shingle_sets(chunk, n)]
             out = []
-            for comp, cell, doc, flag, label, grams in zip(*cols, strict=True):
+            for comp, cell, doc, flag, label, grams in zip(*cols, sets, strict=True):
                 if (comp, cell) != key and rows:
                     out.extend(block(rows))
                     rows = []
@@ -283,15 +323,12 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _cell_product(cells: DataFrame, docs: DataFrame, n: int, threshold_pct: int, queries: bool) -> DataFrame:
     """cells: doc_id, comp, cell, flag, label; a document may be in several cells."""
-    spark = docs.sparkSession
-    one = docs.join(cells.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    one = one.mapInArrow(_rows_of_sets(n), "doc_id long, grams binary")
-    rows = cells.join(one, "doc_id").select("comp", "cell", "doc_id", "flag", "label", "grams")
-    rows = rows.repartition(parts(spark), "comp", "cell").sortWithinPartitions("comp", "cell")
-    return rows.mapInArrow(_multiply(threshold_pct, queries), "a long, b long")
+    rows = cells.join(docs, "doc_id").select("text", "comp", "cell", "doc_id", "flag", "label")
+    rows = rows.repartition(parts(docs.sparkSession), "comp", "cell").sortWithinPartitions("comp", "cell")
+    return rows.mapInArrow(_multiply(n, threshold_pct, queries), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, threshold_pct: int = 80, block_rows: int = 2048) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, threshold_pct: int = 80, block_rows: int = 4096) -> DataFrame:
     """Components of documents linked by Jaccard similarity of n-word shingle sets.
 
     docs: needs doc_id (long, unique, not null; rows with a null id are left out) and text; other columns are ignored.
@@ -299,17 +336,15 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold_pct: int = 80, blo
     A null, empty or blank text has no shingles and is linked with nothing; an empty table gives no rows; a row that
     occurs twice with one id counts once.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     keyed = docs.select("doc_id", F.md5("text").alias("key"))
-    first = keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    one = docs.join(first.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    # from here on, edges and sizes of the distinct texts only
-    met = one.mapInArrow(_sign(n, threshold_pct, parts(spark)), _OUT).repartition(parts(spark), "bucket").mapInArrow(_meet, "kind int, a long, b long")
-    met = cut(met)
-    sizes = met.where("kind = 2").groupBy(F.col("a").alias("doc_id")).agg(F.max("b").alias("n_shingles"))
-    comp = cut(components(met.where("kind = 1").select("a", "b")))
+    first = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id")))
+    edges, sizes = candidates(docs, n, threshold_pct)
+    comp = components(edges)
+    comp = cut(comp.join(first, F.col("node") == F.col("doc_id"), "left_semi"))  # copies of a text are one row
     cells, wide = _cells(comp, block_rows)
+    if wide:
+        docs = cut(docs.join(comp, F.col("doc_id") == F.col("node"), "left_semi"))
     edges = cut(_cell_product(cells, docs, n, threshold_pct, False))
     if wide:
         edges = _wide_blocks(edges, cells, docs, n, threshold_pct, block_rows)
@@ -322,6 +357,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold_pct: int = 80, blo
 
 def _cells(comp: DataFrame, block_rows: int) -> tuple[DataFrame, bool]:
     """One cell for each row; blocks of more rows than block_rows have several, each with the least row as pivot."""
+    comp = comp.select("node", F.col("component"))
     wide = comp.groupBy("component").count().where(F.col("count") > block_rows).select(F.col("component").alias("c"), F.ceil(F.col("count") / block_rows).cast("int").alias("k"))
     wide = cut(wide)
     any_wide = bool(wide.take(1))
