@@ -22,9 +22,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from marlstone.plans import q_functions  # noqa: F401
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
