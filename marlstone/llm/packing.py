@@ -6,8 +6,8 @@ window, and its nearest unused neighbours by BM25 fill that greedily.  The last
 rest stays unused.  An open window at the end of a shard is carried into the task's next shard; at the task's end it is
 split into sequences whose lengths are powers of two, which need no padding.
 
-Tokens: a text is tokenized word by word with a bounded memory of known words; the tokenizer drops white space and never
-joins across it, so the ids are those of the whole text.  Each document ends with ``end_id``.
+Tokens: a text is tokenized word by word with a bounded memory of known word parts; the tokenizer drops white space and
+never joins across it, so the ids are those of the whole text.  Each document ends with ``end_id``.
 """
 
 from __future__ import annotations
@@ -21,12 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.textkernel import chunks
+from marlstone.llm.textkernel import _LOWER, U64, chunks, span_hash
 
 SHARD_TOKENS = 1_500_000
 SHARD_DOCS = 4096
-KNOWN = 300_000
+KNOWN = 1_000_000
+BLOCK = 4 << 20
 K1, B = 1.2, 0.75
+#: ASCII punctuation but the apostrophe, which may begin a contraction.
+_MARK = np.zeros(256, bool)
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -37,13 +41,20 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class WordTokenizer:
-    """Ids of texts through a memory of words: pool[start[w]:start[w] + n[w]] are the ids of known word w."""
+    """Ids of texts through a memory of word parts: pool[start[w]:start[w] + n[w]] are the ids of known part w.
+
+    A word is cut between an ASCII letter and ASCII punctuation, where the tokenizer's own pattern always ends a piece,
+    and A-Z are lowered, as the tokenizer does itself; so "Word," and "word" share a part.  Both are left out in blocks
+    that hold ``<|``, which may begin a special string.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        size = self.model.get_vocab_size()
+        self.ends = np.array([(self.model.id_to_token(i) or "").endswith("</w>") for i in range(size)], bool)
         self.clear()
 
     def clear(self) -> None:
@@ -51,10 +62,27 @@ class WordTokenizer:
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def _encode(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word.  Words of letters are one piece of the pattern each, so many of them are encoded as one text
+        and told apart by the end-of-piece mark; the others, and any block where that count differs, one by one."""
+        out: list = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isalpha() and w.lower().isalpha()]
+        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for group, e in zip(groups, self.model.encode_batch_fast([" ".join(words[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(group):
+                for i, piece in zip(group, np.split(ids, ends[:-1]), strict=True):
+                    out[i] = piece
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.model.encode_batch_fast([words[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, np.uint32)
+        return out
+
     def _add(self, keys: list[int], words: list[bytes]) -> None:
-        got = [e.ids for e in self.model.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        got = self._encode([w.decode() for w in words])
         sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))
+        flat = np.concatenate(got)
         have = len(self.known)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
@@ -66,23 +94,32 @@ class WordTokenizer:
         self.used += len(flat)
         self.known.update(zip(keys, range(have, have + len(keys)), strict=True))
 
-    def __call__(self, chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids of a chunk, their bounds by row, and the word hashes."""
+    def __call__(self, chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of a chunk and their bounds by row; the hashes of its word parts and their bounds by row."""
         if len(self.known) > KNOWN:
             self.clear()
-        hashes = chunk.word_hashes()
+        data, start, end = chunk.data, chunk.start, chunk.end
+        if len(data) > 1 and not ((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any():
+            low = _LOWER[data]
+            letter, mark = (low >= 97) & (low <= 122), _MARK[data]
+            cut = np.flatnonzero(letter[:-1] & mark[1:]) + 1
+            cut = cut[~np.isin(cut, chunk.offs)]  # the next row begins there
+            start, end, data = np.sort(np.concatenate((start, cut))), np.sort(np.concatenate((end, cut))), low
+        bound = np.searchsorted(start, chunk.offs)
+        hashes = span_hash(data.astype(U64) + U64(1), start, end)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         at = [self.known.get(k, -1) for k in keys.tolist()]
         new = [i for i, x in enumerate(at) if x < 0]
         if new:
-            raw, spans = chunk.data.tobytes(), first[new]
-            self._add(keys[new].tolist(), [raw[a:b] for a, b in zip(chunk.start[spans].tolist(), chunk.end[spans].tolist(), strict=True)])
-            at = [self.known[k] for k in keys.tolist()]
+            raw, spans = data.tobytes(), first[new]
+            self._add(keys[new].tolist(), [raw[a:b] for a, b in zip(start[spans].tolist(), end[spans].tolist(), strict=True)])
+            for i in new:
+                at[i] = self.known[int(keys[i])]
         word = np.array(at, np.int64)[back]
         n = self.n[word]
         ends = np.concatenate(([0], np.cumsum(n)))
         ids = self.pool[np.arange(ends[-1]) + np.repeat(self.start[word] - ends[:-1], n)]
-        return ids, ends[chunk.words], hashes
+        return ids, ends[bound], hashes, bound
 
 
 class Part:
@@ -201,11 +238,11 @@ def _pack(path: str, window: int, end_id: int, with_ids: bool):
 
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            for chunk in chunks(batch.column(1)):
-                ids, bound, hashes = tokenize(chunk)
+            for chunk in chunks(batch.column(1), BLOCK):
+                ids, bound, hashes, words_at = tokenize(chunk)
                 for i in range(len(chunk)):
                     own = np.append(ids[bound[i] : bound[i + 1]], np.uint32(end_id))
-                    words = np.sort(hashes[chunk.words[i] : chunk.words[i + 1]])
+                    words = np.sort(hashes[words_at[i] : words_at[i + 1]])
                     head = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1]))) if len(words) else np.zeros(0, np.int64)
                     freq = np.diff(np.append(head, len(words))).astype(np.uint32)
                     parts.append(Part(docs[chunk.first + i], own.astype(np.uint16) if own.max() < 65_536 else own, words[head], freq, len(words)))
