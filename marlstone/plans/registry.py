@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from marlstone.plans import q_dedup, q_functions, q_results  # noqa: F401
+    from marlstone.plans import q_dedup, q_functions, q_io, q_models, q_results, q_sampling  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
