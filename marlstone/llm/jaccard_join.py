@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.cluster import bucket_of, components, cut, parts
-from marlstone.llm.textkernel import Chunk, U64, chunks, gram_hashes, mix
+from marlstone.llm.textkernel import Chunk, U64, chunks, gram_hashes, mix, release
 
 FLUSH = 400_000
 LARGE = 32
@@ -144,6 +144,8 @@ def _sign(n: int, threshold_pct: int, buckets: int):
                     sigs, owners, docs, sizes, needs, same, copies, held = [], [], [], [], [], {}, [], 0
         if docs:
             yield from flush()
+        del sigs, owners, docs, sizes, needs, same, copies
+        release()
 
     return run
 
@@ -205,6 +207,8 @@ def _meet(batches):
     yield _record(PAIR, *count_pairs(first, size, docs))
     large = np.repeat(size > LARGE, size)
     yield _record(MEMBER, docs[large], sigs[large], 0)
+    del sigs, docs, order, large, first, size
+    release()
 
 
 def candidates(docs: DataFrame, n: int, threshold_pct: int) -> tuple[DataFrame, DataFrame]:

@@ -21,12 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.textkernel import _LOWER, U64, chunks, span_hash
+from marlstone.llm.textkernel import _LOWER, U64, chunks, release, span_hash
 
 SHARD_TOKENS = 1_500_000
 SHARD_DOCS = 4096
 KNOWN = 1_000_000
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 K1, B = 1.2, 0.75
 #: ASCII punctuation but the apostrophe, which may begin a contraction.
 _MARK = np.zeros(256, bool)
@@ -58,7 +58,7 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys, self.place = np.zeros(0, U64), np.zeros(0, np.int64)  # hashes in order, and their words' numbers
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -79,11 +79,11 @@ class WordTokenizer:
             out[i] = np.array(e.ids, np.uint32)
         return out
 
-    def _add(self, keys: list[int], words: list[bytes]) -> None:
+    def _add(self, keys: np.ndarray, words: list[bytes]) -> np.ndarray:
         got = self._encode([w.decode() for w in words])
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.concatenate(got)
-        have = len(self.known)
+        have = len(self.keys)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
         while have + len(keys) > len(self.start):
@@ -92,11 +92,14 @@ class WordTokenizer:
         self.start[have : have + len(keys)] = self.used + np.cumsum(sizes) - sizes
         self.n[have : have + len(keys)] = sizes
         self.used += len(flat)
-        self.known.update(zip(keys, range(have, have + len(keys)), strict=True))
+        numbers = np.arange(have, have + len(keys))
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.place = np.insert(self.keys, where, keys), np.insert(self.place, where, numbers)
+        return numbers
 
     def __call__(self, chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """All ids of a chunk and their bounds by row; the hashes of its word parts and their bounds by row."""
-        if len(self.known) > KNOWN:
+        if len(self.keys) > KNOWN:
             self.clear()
         data, start, end = chunk.data, chunk.start, chunk.end
         if len(data) > 1 and not ((data[:-1] == 0x3C) & (data[1:] == 0x7C)).any():
@@ -108,14 +111,15 @@ class WordTokenizer:
         bound = np.searchsorted(start, chunk.offs)
         hashes = span_hash(data.astype(U64) + U64(1), start, end)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = [self.known.get(k, -1) for k in keys.tolist()]
-        new = [i for i, x in enumerate(at) if x < 0]
-        if new:
-            raw, spans = data.tobytes(), first[new]
-            self._add(keys[new].tolist(), [raw[a:b] for a, b in zip(start[spans].tolist(), end[spans].tolist(), strict=True)])
-            for i in new:
-                at[i] = self.known[int(keys[i])]
-        word = np.array(at, np.int64)[back]
+        at = np.searchsorted(self.keys, keys)
+        old = at < len(self.keys)
+        old[old] = self.keys[at[old]] == keys[old]
+        number = np.empty(len(keys), np.int64)
+        number[old] = self.place[at[old]]
+        if not old.all():
+            raw, spans = data.tobytes(), first[~old]
+            number[~old] = self._add(keys[~old], [raw[a:b] for a, b in zip(start[spans].tolist(), end[spans].tolist(), strict=True)])
+        word = number[back]
         n = self.n[word]
         ends = np.concatenate(([0], np.cumsum(n)))
         ids = self.pool[np.arange(ends[-1]) + np.repeat(self.start[word] - ends[:-1], n)]
@@ -250,6 +254,8 @@ def _pack(path: str, window: int, end_id: int, with_ids: bool):
                     if tokens >= SHARD_TOKENS or len(parts) >= SHARD_DOCS:
                         yield from emit(False)
         yield from emit(True)
+        del tokenize, parts
+        release()
 
     return run
 

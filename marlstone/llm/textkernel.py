@@ -6,6 +6,8 @@ A word is a maximal run of bytes outside ``\\x20 \\x09-\\x0D``.  Texts are handl
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,3 +129,14 @@ def chunks(column: pa.Array | pa.ChunkedArray, size: int = CHUNK) -> Iterator[Ch
         j = min(j, n, i + 65_000)
         yield Chunk(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], i)
         i = j
+
+
+def release() -> None:
+    """Gives freed memory back to the system, since a worker process may idle for long beside others that need it."""
+    _tables.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
