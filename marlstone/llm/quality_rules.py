@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_WS = " \\t\\n\\u000B\\f\\r"
+_WS = " \\t\\n\\u000B\\u000C\\r"
 _SPLIT = "[\\\\x20\\\\x09-\\\\x0D]+"
 
 #: Frequent function words of the languages that the rules know.

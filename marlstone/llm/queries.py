@@ -33,7 +33,7 @@ def register(sql: str | None = None):
 
 #: A level's prior strength from its groups g(n, k, prior).
 _RHO = "SELECT CASE WHEN sum(CASE WHEN prior * (1 - prior) > 0 THEN 1 END) IS NULL OR sum(n) = count(*) THEN 0.001 ELSE (sum(CASE WHEN prior * (1 - prior) > 0 THEN n * (k / n - prior) ** 2 / (prior * (1 - prior)) END) - count(*)) / (sum(n) - count(*)) END AS rho FROM {} WHERE n > 0"
-_STRENGTH = "(SELECT 1 / least(greatest(rho, 0.001), 0.999) - 1 FROM ({}))"
+_STRENGTH = "(SELECT 1 / least(greatest(rho, 0.001), 1 / 3) - 1 FROM ({}))"
 
 
 @register(

@@ -68,12 +68,15 @@ def page_outcome(html: str = "html") -> Column:
 
 
 def _strength(groups: DataFrame, mean: str) -> float:
-    """Prior strength a + b of groups (k bad of n) around their prior means, from the moments of the beta-binomial."""
+    """Prior strength a + b of groups (k bad of n) around their prior means, from the moments of the beta-binomial.
+
+    It is 2 at least, so that a single page never decides, and 999 at most.
+    """
     m = F.col(mean)
     spread = F.when(m * (1 - m) > 0, F.col("n") * (F.col("k") / F.col("n") - m) ** 2 / (m * (1 - m)))
     s, g, n = groups.where("n > 0").agg(F.sum(spread), F.count("*"), F.sum("n")).first()
     rho = (s - g) / (n - g) if s is not None and n > g else 0.001
-    return 1 / min(max(rho, 0.001), 0.999) - 1
+    return 1 / min(max(rho, 0.001), 1 / 3) - 1
 
 
 def reputation(counts: DataFrame, z: float = 1.645) -> DataFrame:
