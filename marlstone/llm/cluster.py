@@ -30,6 +30,9 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
+SALTS = 16
+
+
 def _min_by_node(pairs: DataFrame, key: str, value: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.min(value).alias("m"))
 
@@ -37,17 +40,20 @@ def _min_by_node(pairs: DataFrame, key: str, value: str) -> DataFrame:
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component) with the least node as component.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014), each a grouped minimum and a join, so a node
-    of any degree is pre-aggregated and its join can be split; the edge list never leaves the executors.
-    Nodes without an edge are absent; an empty input gives an empty output.
+    Alternating large-star and small-star steps (Kiveris et al., 2014), each a grouped minimum and a join; the edge list
+    never leaves the executors.  A node of very many edges is the least of its neighbourhood sooner or later; its edges
+    then stay as they are, so only nodes that move are on the join's other side, and that is replicated over SALTS keys
+    among which the edges of one node are dealt.  Nodes without an edge are absent; an empty input gives an empty output.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     e = cut(e)
     seen = None
     for _ in range(limit):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = _min_by_node(both, "a", "b").select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        moves = _min_by_node(both, "a", "b").where("m < a").select(F.col("a").alias("b"), "m")
+        moves = moves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        large = e.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(moves, ["b", "salt"], "left")
+        large = large.select("a", F.coalesce("m", "b").alias("b")).distinct()
         low = _min_by_node(large, "a", "b")
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a > b").distinct()

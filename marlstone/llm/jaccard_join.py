@@ -30,6 +30,7 @@ from marlstone.llm.textkernel import Chunk, U64, chunks, gram_hashes, mix, relea
 FLUSH = 400_000
 LARGE = 32
 PAIR, SIZE, MEMBER = 1, 2, 4
+SURE = 1 << 40  # the count of a pair whose sets were compared already
 _OUT = "kind int, a long, b long, c long, bucket int, ids binary, sigs binary"
 _MET = "kind int, a long, b long, c long"
 
@@ -103,7 +104,7 @@ def _sign(n: int, threshold_pct: int, buckets: int):
 
         def flush():
             ids = np.array(docs, np.int64)
-            yield _record(PAIR, [d for d, r in copies if d != r], [r for d, r in copies if d != r], 1 << 40, [docs[0] % buckets] * sum(d != r for d, r in copies))
+            yield _record(PAIR, [d for d, r in copies if d != r], [r for d, r in copies if d != r], SURE, [docs[0] % buckets] * sum(d != r for d, r in copies))
             s = np.concatenate(sigs) if sigs else np.zeros(0, U64)
             d = np.repeat(np.array([r for r, _ in owners], np.int64), [k for _, k in owners])
             order = np.argsort(s, kind="stable")
@@ -220,12 +221,14 @@ def candidates(docs: DataFrame, n: int, threshold_pct: int) -> tuple[DataFrame,
     member = met.where(F.col("kind") == MEMBER).select(F.col("a").alias("doc_id"), F.col("b").alias("sig"))
     in_large = member.groupBy("doc_id").agg(F.count("*").alias("lost"))
     need = cut(sizes.join(in_large, "doc_id", "left").select("doc_id", (F.col("need") - F.coalesce("lost", F.lit(0))).alias("need")))
-    pairs = met.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.sum("c").alias("c"))
+    pairs = met.where(F.col("kind") == PAIR)
+    sure = pairs.where(F.col("c") >= SURE).select("a", "b")  # a text with very many copies is met here only
+    pairs = pairs.where(F.col("c") < SURE).groupBy("a", "b").agg(F.sum("c").alias("c"))
     for side in ("a", "b"):
         pairs = pairs.join(need.select(F.col("doc_id").alias(side), "need"), side).where("c >= need").drop("need")
     star = member.join(need.where("need < 1"), "doc_id", "left_semi")
     star = star.join(star.groupBy("sig").agg(F.min("doc_id").alias("least")), "sig").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    return pairs.select("a", "b").union(star.distinct()), sizes.select("doc_id", "n_shingles")
+    return pairs.select("a", "b").union(sure).union(star.distinct()), sizes.select("doc_id", "n_shingles")
 
 
 def linked(sets: list[np.ndarray], threshold_pct: int, query: np.ndarray | None = None, label: np.ndarray | None = None) -> np.ndarray:
