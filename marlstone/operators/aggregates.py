@@ -24,7 +24,7 @@ def accuracy_cube(rows: DataFrame) -> DataFrame:
 def frequency(rows: DataFrame, column: str, missing: str = "?") -> DataFrame:
     """Value, count and share; null as a value of its own."""
     n = rows.groupBy(F.coalesce(F.col(column).cast("string"), F.lit(missing)).alias("value")).agg(F.count("*").alias("n"))
-    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select("value", "n", (F.col("n") / F.col("total")).alias("share"))  # one row
+    return n.select("value", "n", (F.col("n") / n.agg(F.sum("n")).scalar()).alias("share"))
 
 
 def share_by(rows: DataFrame, group: str, column: str) -> DataFrame:
@@ -79,8 +79,8 @@ def delta(rows: DataFrame, before: DataFrame, keys: list[str], value: str) -> Da
 
 def near_reference(means: DataFrame, reference: str, eps: float = 0.02) -> DataFrame:
     """Distance of every model to the reference, and whether it is within eps."""
-    ref = means.where(F.col("model") == reference).select(F.col("mean").alias("__ref"))
-    return means.crossJoin(F.broadcast(ref)).select("model", "mean", (F.col("__ref") - F.col("mean")).alias("distance"), (F.col("__ref") - F.col("mean") <= eps).alias("near"))  # one row
+    distance = means.where(F.col("model") == reference).select("mean").scalar() - F.col("mean")
+    return means.select("model", "mean", distance.alias("distance"), (distance <= eps).alias("near"))
 
 
 def nearest_rank(rows: DataFrame, keys: list[str], value: str, percents: list[int], rule: str = "min") -> DataFrame:

@@ -85,9 +85,9 @@ def references(prompts: DataFrame, pool: DataFrame, k: int, key: str, ref_key: s
     """
     slot = F.pmod(F.xxhash64(F.lit(seed), F.col(ref_key)), F.lit(slots)).cast("int")
     held = pool.groupBy(slot.alias("slot")).agg(F.min_by(ref_key, draw(seed, F.col(ref_key))).alias("ref"))
-    spare = pool.agg(F.min_by(ref_key, draw(seed, F.col(ref_key))).alias("spare"))
+    spare = pool.agg(F.min_by(ref_key, draw(seed, F.col(ref_key)))).scalar()
     asks = prompts.select(key, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i")).withColumn("slot", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col("i")), F.lit(slots)).cast("int"))
-    return asks.join(held, "slot", "left").crossJoin(F.broadcast(spare)).select(key, "i", F.coalesce("ref", "spare").alias("ref"))  # spare is one row
+    return asks.join(held, "slot", "left").select(key, "i", F.coalesce(F.col("ref"), spare).alias("ref"))
 
 
 def permutation(n: Column, seed: int, *parts: Column) -> Column:

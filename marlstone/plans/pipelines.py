@@ -30,7 +30,8 @@ def merge(train: DataFrame, evaluation: DataFrame, text: Column, leak_percent: i
     near = cut(dedup.near_duplicates(clean.select("key", "grams"), near_percent))
     kept = clean.join(near.where("near IS NULL"), "key", "left_semi").drop("grams")
     report = dedup.distribution(leaks.join(train.select("key", "source"), "key"), "source", "max_jaccard")
-    totals = leaks.agg(F.count("*").alias("input"), F.count_if("leaked").alias("leaked")).crossJoin(F.broadcast(near.agg(F.count("near").alias("near_duplicates"), (F.count("*") - F.count("near")).alias("kept"))))  # one row each
+    totals = leaks.agg(F.count("*").alias("input"), F.count_if("leaked").alias("leaked"))
+    totals = totals.select("*", near.agg(F.count("near")).scalar().alias("near_duplicates"), near.agg(F.count("*") - F.count("near")).scalar().alias("kept"))
     return {"kept": kept, "report": report, "totals": totals}
 
 
@@ -51,7 +52,7 @@ def build_stage(sources: list[DataFrame], evaluation: DataFrame, text: Column, k
     leaks = cut(dedup.leakage(graded.select(F.col("key2").alias("key"), sim.word_grams(text).alias("grams")), evaluation, percent))
     clean = graded.join(leaks.where("NOT leaked").select(F.col("key").alias("key2")), "key2", "left_semi")
     kept = cut(dedup.exact(clean, F.col("__t"), "ord").drop("ord", "__t", "key2"))
-    report = kept.agg(F.count("*").alias("total")).crossJoin(F.broadcast(leaks.agg(F.count_if("leaked").alias("leakage_dropped"))))  # one row each
+    report = kept.agg(F.count("*").alias("total")).select("total", leaks.agg(F.count_if("leaked")).scalar().alias("leakage_dropped"))
     return {"rows": smp.shuffle(kept, "key", seed), "report": report, "sources": agg.frequency(kept, "source"), "tasks": agg.frequency(kept, "task")}
 
 
@@ -115,8 +116,8 @@ def sweep(results: DataFrame, order: list[str], anchor: str, floor_bench: str, f
     """Each checkpoint's mean of best protocols and its verdict against the anchor."""
     best = agg.best_protocol(results, order)
     means = agg.best_mean(best).join(best.where(F.col("benchmark") == floor_bench).select("model", F.col("acc").alias("floor")), "model", "left")
-    ref = means.where(F.col("model") == anchor).select(F.col("mean").alias("anchor"))
-    return means.crossJoin(F.broadcast(ref)).select("model", "mean", agg.judge_sweep(F.col("mean"), F.col("anchor"), F.coalesce("floor", F.lit(0.0)), floor).alias("verdict"))  # one row
+    ref = means.where(F.col("model") == anchor).select("mean").scalar()
+    return means.select("model", "mean", agg.judge_sweep(F.col("mean"), ref, F.coalesce("floor", F.lit(0.0)), floor).alias("verdict"))
 
 
 def to_training(rows: DataFrame, template: str = prompts.SYSTEM_DIRECT) -> DataFrame:
