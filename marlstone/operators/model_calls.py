@@ -90,11 +90,35 @@ def accumulate(events: list[str]) -> dict:
     return {"content": "".join(text), "prompt_tokens": usage.get("prompt_tokens", 0), "completion_tokens": usage.get("completion_tokens", 0)}
 
 
-def _caller(client, parameters: dict, in_flight: int, tries: int):
+def stream_text(events: DataFrame, keys: list[str], order: str, line: str = "line") -> DataFrame:
+    """The same over a table of event lines: text and usage per key, in the order of a column."""
+    kind = "choices array<struct<delta: struct<content: string>>>, usage struct<prompt_tokens: int, completion_tokens: int>"
+    e = F.from_json(F.trim(F.regexp_replace(line, "^data:", "")), kind)
+    rows = events.where(F.col(line).startswith("data:") & ~F.col(line).contains("[DONE]")).select(*keys, order, e.alias("e"))
+    part = F.array_join(F.transform("e.choices", lambda c: F.coalesce(c["delta"]["content"], F.lit(""))), "")
+    texts = F.transform(F.sort_array(F.collect_list(F.struct(order, F.coalesce(part, F.lit("")).alias("t")))), lambda x: x["t"])
+    return rows.groupBy(*keys).agg(F.array_join(texts, "").alias("content"), F.max_by("e.usage.completion_tokens", F.when(F.col("e.usage").isNotNull(), F.col(order))).alias("completion_tokens"))
+
+
+class FlakyClient:
+    """A client whose first calls for each request fail, for tests of the retry."""
+
+    def __init__(self, inner, fails: int = 1):
+        self.inner, self.fails, self.seen = inner, fails, {}
+
+    def chat(self, messages: list[dict], **parameters) -> dict:
+        key = json.dumps([messages, sorted(parameters.items())])
+        self.seen[key] = self.seen.get(key, 0) + 1
+        if self.seen[key] <= self.fails:
+            raise ConnectionError("not yet")
+        return self.inner.chat(messages, **parameters)
+
+
+def _caller(client, parameters: dict, in_flight: int, tries: int, wait: float):
     def one(row: dict) -> tuple:
         extra = parameters | ({"sample": row["sample_idx"]} if row["sample_idx"] else {})
         try:
-            r = with_retry(lambda: client.chat(row["messages"], **extra), tries)
+            r = with_retry(lambda: client.chat(row["messages"], **extra), tries, sleep=lambda x: time.sleep(x * wait))
             return row["key"], row["sample_idx"], r["content"], r.get("prompt_tokens", 0), r.get("completion_tokens", 0), None
         except Exception as e:
             return row["key"], row["sample_idx"], None, 0, 0, f"{type(e).__name__}: {e}"
@@ -115,8 +139,8 @@ def parameter_hash(parameters: dict) -> str:
     return hashlib.sha256(json.dumps(parameters, sort_keys=True).encode()).hexdigest()[:12]
 
 
-def call(rows: DataFrame, client, parameters: dict | None = None, samples: int = 1, in_flight: int = 8, tries: int = 3, cache: DataFrame | None = None) -> DataFrame:
-    """rows: (key, messages).  A row per key and sample, of CALLS.
+def call(rows: DataFrame, client, parameters: dict | None = None, samples: int = 1, in_flight: int = 8, tries: int = 3, cache: DataFrame | None = None, wait: float = 1.0) -> DataFrame:
+    """rows: (key, messages).  A row per key and sample, of CALLS; wait scales the pauses between tries.
 
     cache: earlier rows of the same layout; what it has is taken from there, and only the rest is asked for.  Its keys
     should name model, protocol and parameter_hash, so other settings never meet old answers.
@@ -125,7 +149,7 @@ def call(rows: DataFrame, client, parameters: dict | None = None, samples: int =
     if cache is not None:
         done = cache.where("error IS NULL")
         todo, hit = joins.resume(todo, done, ["key", "sample_idx"]), done.join(todo.select("key", "sample_idx"), ["key", "sample_idx"], "left_semi")
-    made = todo.select("key", "sample_idx", "messages").mapInArrow(_caller(client, parameters or {}, in_flight, tries), CALLS)
+    made = todo.select("key", "sample_idx", "messages").mapInArrow(_caller(client, parameters or {}, in_flight, tries, wait), CALLS)
     return made if cache is None else made.unionByName(hit.select(*made.columns))
 
 

@@ -35,6 +35,21 @@ def merge(train: DataFrame, evaluation: DataFrame, text: Column, leak_percent: i
     return {"kept": kept, "report": report, "totals": totals}
 
 
+def fold_in(base: DataFrame, new: DataFrame, evaluation: DataFrame, text: Column, leak_percent: int = 60, near_percent: int = 70) -> dict[str, DataFrame]:
+    """New rows without leaks and without near-duplicates of base or of earlier new rows, appended to base.
+
+    Keys of new follow all of base's.  The log names each dropped row and the row that it is near to.
+    """
+    grams = sim.word_grams(text, lower=False, short="whole")
+    first = new.agg(F.min("key")).first()[0]
+    leaks = cut(dedup.leakage(new.select("key", grams.alias("grams")), evaluation.select("key", grams.alias("grams")), leak_percent, inclusive=False))
+    clean = new.join(leaks.where("NOT leaked"), "key", "left_semi")
+    sets = base.select("key", grams.alias("grams")).union(clean.select("key", grams.alias("grams")))
+    near = cut(dedup.near_duplicates(sets, near_percent, kept_before=first))
+    kept = clean.join(near.where("near IS NULL"), "key", "left_semi")
+    return {"rows": base.unionByName(kept, allowMissingColumns=True), "log": near.where("near IS NOT NULL"), "leaked": leaks.where("leaked")}
+
+
 def cleanup(train: DataFrame, deny: tuple[str, ...], extra: DataFrame, key: str, n: int = 4000, seed: int = 42) -> dict[str, DataFrame]:
     """Without the sources that an audit rejects, with another source, and a sample of the result."""
     rows = filters.deny(train, "source", deny).unionByName(extra, allowMissingColumns=True)

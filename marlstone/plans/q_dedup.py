@@ -190,6 +190,46 @@ def _(spark, d):
     return dedup.near_duplicates(_docs(spark, d), 70, kept_before=500).select(F.col("key").alias("doc_id"), F.col("near").isNotNull().alias("dropped"))
 
 
+_CASED = _EDGES.replace(_SETS, f"(SELECT doc_id, list_distinct(g) AS g FROM (SELECT doc_id, CASE WHEN len(w) < 4 AND t <> '' THEN [t] ELSE {_grams('w')} END AS g FROM (SELECT doc_id, coalesce(text, '') AS t, {_W.format("coalesce(text, '')")} AS w FROM documents)))")
+
+
+@query(
+    "s_ddp_10_fold_in",
+    f"""WITH RECURSIVE {_CASED}, go(i, dropped) AS (SELECT 0, []::BIGINT[] UNION ALL SELECT o.i, CASE WHEN o.late >= 500 AND len(list_filter(o.near, lambda y: NOT list_contains(go.dropped, y))) > 0 THEN list_append(go.dropped, o.late) ELSE go.dropped END FROM go JOIN o ON o.i = go.i + 1)
+SELECT doc_id FROM documents WHERE NOT list_contains(coalesce((SELECT dropped FROM go ORDER BY i DESC LIMIT 1), []), doc_id)""",
+)
+def _(spark, d):
+    from marlstone.plans import pipelines
+
+    rows = documents(spark, d).select(F.col("doc_id").alias("key"), "text")
+    if not rows.where("key >= 500").take(1):
+        return rows.select(F.col("key").alias("doc_id"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), "text")
+    return pipelines.fold_in(rows.where("key < 500"), rows.where("key >= 500"), items, F.col("text"))["rows"].select(F.col("key").alias("doc_id"))
+
+
+@query("s_ddp_11_rollback", "SELECT doc_id FROM documents WHERE doc_id < 100 UNION ALL SELECT doc_id FROM documents WHERE doc_id >= 150")
+def _(spark, d):
+    """The second version is given up: its rows are merged anew into the first."""
+    import uuid
+
+    from marlstone.operators.lineage import cut
+    from marlstone.sources import sinks
+
+    cut(spark.range(1))
+    root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/versions-{uuid.uuid4().hex}"
+    rows = documents(spark, d).select("doc_id")
+    first = sinks.versioned(rows.where("doc_id < 100"), root, "1")
+    sinks.versioned(rows.where("doc_id < 150"), root, "2")
+    return spark.read.parquet(first).unionByName(rows.where("doc_id >= 150"))
+
+
+@query("s_join_17_substring_join", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 80))")
+def _(spark, d):
+    hits = dedup.prefix_leaks(documents(spark, d).select(F.col("doc_id").alias("key"), "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("key"), "text"))
+    return hits.select(F.col("item").alias("item_id"), F.col("key").alias("doc_id"))
+
+
 @query("s_ddp_12_language_recheck", _LEAK.format(">").replace("60 *", "30 *") + " SELECT doc_id FROM documents LEFT JOIN best USING (doc_id) WHERE lang = 'es' AND hit IS NULL UNION ALL SELECT doc_id FROM documents WHERE lang <> 'es'")
 def _(spark, d):
     """Rows of one language are checked again before they join the others."""

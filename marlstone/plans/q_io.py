@@ -78,6 +78,22 @@ def _(spark, d):
     return readers.parquet(spark, f"{d}/documents.parquet").where("n_chars > 1000").select("doc_id", "source")
 
 
+@query("s_src_09_hub_export", "SELECT doc_id FROM documents WHERE lang = 'de'")
+def _(spark, d):
+    documents(spark, d).where("lang = 'de'").select("doc_id").write.parquet(f"{(root := _place(spark))}/org__set/default/test")
+    return readers.hub_export(spark, root, "org/set", split="test")
+
+
+@query("s_src_11_staged_file", "SELECT 'hello' AS value, 1 AS fetched")
+def _(spark, d):
+    """Asked for twice, fetched once."""
+    calls, folder = [], _place(spark)
+    fetch = lambda url: calls.append(url) or b"hello\n"
+    for _ in range(2):
+        path = readers.staged(spark, "http://host/a.txt", folder, fetch)
+    return spark.read.text(path).withColumn("fetched", F.lit(len(calls)))
+
+
 @query("s_src_10_fallback_chain", "SELECT doc_id FROM documents WHERE lang = 'fr'")
 def _(spark, d):
     docs = documents(spark, d).select("doc_id", "lang")
@@ -221,6 +237,15 @@ def _(spark, d):
     return monitors.progress(table(spark, d, "events").select("event_id", "value"), f"p_{uuid.uuid4().hex}")
 
 
+@query("s_str_04_streamed_answers", "SELECT doc_id, source || lang AS content, 7 AS completion_tokens FROM documents")
+def _(spark, d):
+    from marlstone.operators.model_calls import stream_text
+
+    piece = lambda c: F.concat(F.lit('data: {"choices": [{"delta": {"content": "'), c, F.lit('"}}]}'))
+    lines = F.array(piece(F.col("source")), F.lit(""), piece(F.col("lang")), F.lit('data: {"choices": [], "usage": {"prompt_tokens": 3, "completion_tokens": 7}}'), F.lit("data: [DONE]"))
+    return stream_text(documents(spark, d).select("doc_id", F.posexplode(lines).alias("i", "line")), ["doc_id"], "i")
+
+
 @query("s_str_05_resume_by_key", "SELECT DISTINCT user_id FROM events")
 def _(spark, d):
     table(spark, d, "events").select("user_id", "ts").write.parquet(path := _place(spark))

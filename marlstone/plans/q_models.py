@@ -53,6 +53,13 @@ def _(spark, d):
     return mc.call(rows, B).select("key", "sample_idx", "content")
 
 
+@query("s_llm_02_retry", f"SELECT question_id AS key, '\\boxed{{B}}' AS content, NULL::VARCHAR AS error FROM {MCQ_SQL}")
+def _(spark, d):
+    """Each request fails once."""
+    rows = _q(spark, d).select(F.col("question_id").alias("key"), F.array(F.struct(F.lit("user").alias("role"), F.concat("question_id", "question").alias("content"))).alias("messages"))
+    return mc.call(rows, mc.FlakyClient(B), tries=3, wait=0.0).select("key", "content", "error")
+
+
 @query("s_llm_03_endpoint_pool", "SELECT i::INT AS i, 'http://' || ['a', 'b', 'c'][i % 3 + 1] AS url FROM range(0, 9) t(i)")
 def _(spark, d):
     s = mc.BackendSpec("x", "m", ("http://a", "http://b", "http://c"))

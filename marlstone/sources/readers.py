@@ -119,3 +119,21 @@ def config_names(spark: SparkSession, text: str) -> DataFrame:
         stack = [x for x in stack if x[0] < depth] + [(depth, body.strip().split(":", 1)[0])]
         names.append((".".join(k for _, k in stack),))
     return spark.createDataFrame(names, "name string")
+
+
+def hub_export(spark: SparkSession, root: str, name: str, config: str = "default", split: str = "train") -> DataFrame:
+    """A data set's split from a local export in Parquet, one folder per name, configuration and split."""
+    return spark.read.parquet(f"{root}/{name.replace('/', '__')}/{config}/{split}")
+
+
+def staged(spark: SparkSession, url: str, folder: str, fetch: Callable[[str], bytes]) -> str:
+    """Path of a file in a shared folder; fetched and written there once if it isn't there yet."""
+    path = f"{folder}/{url.rsplit('/', 1)[-1]}"
+    if not exists(spark, path):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, False)
+        try:
+            out.write(bytearray(fetch(url)))
+        finally:
+            out.close()
+    return path
