@@ -33,35 +33,29 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
 SALTS = 16
 
 
-def _min_by_node(pairs: DataFrame, key: str, value: str) -> DataFrame:
-    return pairs.groupBy(key).agg(F.min(value).alias("m"))
-
-
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component) with the least node as component.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014), each a grouped minimum and a join; the edge list
     never leaves the executors.  A node of very many edges is the least of its neighbourhood sooner or later; its edges
-    then stay as they are, so only nodes that move are on the join's other side, and that is replicated over SALTS keys
+    then stay as they are, so only nodes that move and have edges to follow are on the join's other side, and that is replicated over SALTS keys
     among which the edges of one node are dealt.  Nodes without an edge are absent; an empty input gives an empty output.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     e = cut(e)
-    seen = None
     for _ in range(limit):
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        moves = _min_by_node(both, "a", "b").where("m < a").select(F.col("a").alias("b"), "m")
+        both = e.select("a", "b", F.lit(0).alias("down")).union(e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1)))
+        nodes = both.groupBy("a").agg(F.min("b").alias("m"), F.max("down").alias("down"), F.count_if(F.col("down") == 0).alias("up"))
+        if not nodes.where("up > 1 OR up > 0 AND down = 1").take(1):  # each node but the roots has one edge, to its root
+            break
+        moves = nodes.where("down = 1 AND m < a").select(F.col("a").alias("b"), "m")
         moves = moves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         large = e.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(moves, ["b", "salt"], "left")
         large = large.select("a", F.coalesce("m", "b").alias("b")).distinct()
-        low = _min_by_node(large, "a", "b")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a > b").distinct()
         e = cut(small)
-        now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
     else:
         raise RuntimeError("components did not converge")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b"), F.col("b")).distinct())
