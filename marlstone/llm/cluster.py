@@ -45,17 +45,19 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     e = cut(e)
     for _ in range(limit):
         both = e.select("a", "b", F.lit(0).alias("down")).union(e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1)))
-        nodes = both.groupBy("a").agg(F.min("b").alias("m"), F.max("down").alias("down"), F.count_if(F.col("down") == 0).alias("up"))
+        nodes = both.groupBy("a").agg(F.min("b").alias("m"), F.max("down").alias("down"), F.count_if(F.col("down") == 0).alias("up")).persist()
         if not nodes.where("up > 1 OR up > 0 AND down = 1").take(1):  # each node but the roots has one edge, to its root
+            nodes.unpersist()
             break
         moves = nodes.where("down = 1 AND m < a").select(F.col("a").alias("b"), "m")
         moves = moves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         large = e.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(moves, ["b", "salt"], "left")
-        large = large.select("a", F.coalesce("m", "b").alias("b")).distinct()
+        large = large.select("a", F.coalesce("m", "b").alias("b")).repartition(parts(e.sparkSession), "a")  # for both that follow
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a > b").distinct()
         e = cut(small)
+        nodes.unpersist()
     else:
         raise RuntimeError("components did not converge")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(e.select(F.col("b"), F.col("b")).distinct())

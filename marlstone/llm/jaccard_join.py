@@ -223,7 +223,7 @@ def candidates(docs: DataFrame, n: int, threshold_pct: int) -> tuple[DataFrame,
     need = cut(sizes.join(in_large, "doc_id", "left").select("doc_id", (F.col("need") - F.coalesce("lost", F.lit(0))).alias("need")))
     pairs = met.where(F.col("kind") == PAIR)
     sure = pairs.where(F.col("c") >= SURE).select("a", "b")  # a text with very many copies is met here only
-    pairs = pairs.where(F.col("c") < SURE).groupBy("a", "b").agg(F.sum("c").alias("c"))
+    pairs = pairs.where(F.col("c") < SURE).repartition(buckets, "a").groupBy("a", "b").agg(F.sum("c").alias("c"))
     for side in ("a", "b"):
         pairs = pairs.join(need.select(F.col("doc_id").alias(side), "need"), side).where("c >= need").drop("need")
     star = member.join(need.where("need < 1"), "doc_id", "left_semi")
