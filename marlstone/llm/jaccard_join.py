@@ -1,6 +1,7 @@
 """N-gram Jaccard join: blocked sparse products of the document by n-gram incidence matrix.
 
-Exact: every pair with ``100 * |A & B| >= threshold_pct * |A | B|`` contributes to the components.
+Exact: every pair with ``100 * |A & B| >= threshold_pct * |A | B|`` is a link.  ``jaccard_join`` counts each document's
+links and ``jaccard_pairs`` gives them between distinct texts; ``jaccard_components`` needs no more than their components.
 
 1. Rows with equal texts are one row of the products; their least id stands for them.
 2. Candidate blocks.  Sets of sizes x <= y that reach the threshold differ in at most ``(x + y)(1 - t)/(1 + t)``
@@ -11,8 +12,10 @@ Exact: every pair with ``100 * |A & B| >= threshold_pct * |A | B|`` contributes
    Equal signatures within one batch are collapsed before the shuffle, which carries packed arrays.
 3. Components of the candidate graph are the blocks.  A distinct text is sent to one block; in it, pivot rows are
    multiplied with the block's remaining rows, and a pair counts only if its overlap reaches the bound its sizes give.
-4. A block of over ``block_rows`` rows is dealt over tasks with its least document as pivot in each.  Rows that this
-   pivot's group didn't take are then multiplied, block by block, with all rows of that component.
+4. For components alone, a block of over ``block_rows`` rows is dealt over tasks with its least document as pivot in
+   each.  Rows that this pivot's group didn't take are then multiplied, block by block, with all rows of that component.
+5. For links, every pair of a block's rows whose sizes allow it is tested; a block of over ``block_rows`` rows is dealt
+   into groups, and each pair of groups, and each group with itself, is a cell of its own.
 """
 
 from __future__ import annotations
@@ -290,6 +293,55 @@ def linked(sets: list[np.ndarray], threshold_pct: int, query: np.ndarray | None
     return root
 
 
+def near_pairs(sets: list[np.ndarray], threshold_pct: int, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """All linked pairs, each once: a row, the rows linked with it that were not its pivots, and the overlaps.
+
+    side: 0 or 1 for each row; then only pairs of rows of both sides are tested.  A set without elements has no links.
+    """
+    t = threshold_pct
+    size = np.array([len(s) for s in sets], np.int64)
+    rows = np.flatnonzero(size)
+    side = np.zeros(len(size), np.int64) if (one := side is None) else side.astype(np.int64)
+    rows = rows[np.lexsort((size[rows], side[rows]))]
+    k, size, side = len(rows), size[rows], side[rows]
+    if not k:
+        return
+    grams, cols, spread = np.unique(np.concatenate([sets[i] for i in rows.tolist()]), return_inverse=True, return_counts=True)
+    met = spread > 1  # what a single row has is in no overlap
+    owner = np.repeat(np.arange(k), size)[met[cols]]
+    cols, spread = (np.cumsum(met) - 1)[cols[met[cols]]], spread[met]
+    del grams
+    n0 = int((side == 0).sum())
+    if one:
+        low, high, pivots = np.arange(1, k + 1), np.searchsorted(size, size * 100 // t, "right"), k
+    else:  # pivots of side 0, and the rows of side 1 whose sizes allow a link
+        low, high, pivots = n0 + np.searchsorted(size[n0:], (size[:n0] * t + 99) // 100, "left"), n0 + np.searchsorted(size[n0:], size[:n0] * 100 // t, "right"), n0
+    words = len(spread) // 64 + 1
+    by_bits = words * k <= 1 << 23 and words * int(np.maximum(high[:pivots] - low[:pivots], 0).sum()) < 4 * int((spread.astype(np.int64) ** 2).sum())
+    if by_bits:
+        bits = np.zeros(words * k, np.uint64)
+        np.add.at(bits, (cols >> 6) * k + owner, U64(1) << (cols & 63).astype(U64))
+        bits = bits.reshape(words, k)
+    else:
+        at = np.searchsorted(owner, np.arange(k + 1))
+        order = np.argsort(cols, kind="stable")
+        holders, start = owner[order], np.concatenate(([0], np.cumsum(spread)))
+    for p in range(pivots):
+        x, y = int(low[p]), int(high[p])
+        if x >= y:
+            continue
+        if by_bits:
+            overlap = np.bitwise_count(bits[:, x:y] & bits[:, p : p + 1]).sum(axis=0, dtype=np.int64)
+        else:
+            own = cols[at[p] : at[p + 1]]
+            n = spread[own]
+            found = holders[np.arange(n.sum()) + np.repeat(start[own] - np.concatenate(([0], np.cumsum(n)))[:-1], n)]
+            overlap = np.bincount(found, minlength=k)[x:y]
+        hit = np.flatnonzero(100 * overlap >= t * (size[p] + size[x:y] - overlap))
+        if len(hit):
+            yield int(rows[p]), rows[x + hit], overlap[hit]
+
+
 def _multiply(n: int, threshold_pct: int, queries: bool):
     """Rows (text, comp, cell, doc_id, flag, label) sorted by comp and cell to edges (row, least linked row of its cell)."""
 
@@ -324,15 +376,152 @@ def _multiply(n: int, threshold_pct: int, queries: bool):
     return run
 
 
+def _by_cell(n: int, block):
+    """Calls block with each cell's rows (doc_id, flag, label, shingles); the small batches it makes leave together."""
+
+    def cells(batches):
+        key, rows = None, []
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns[1:]]
+            sets = [s for chunk in chunks(batch.column(0)) for s in shingle_sets(chunk, n)]
+            for comp, cell, doc, flag, label, grams in zip(*cols, sets, strict=True):
+                if (comp, cell) != key and rows:
+                    yield from block(rows)
+                    rows = []
+                key = (comp, cell)
+                rows.append((doc, bool(flag), label, grams))
+        if rows:
+            yield from block(rows)
+
+    def run(batches):
+        held, k = [], 0
+        for batch in cells(batches):
+            held.append(batch)
+            k += batch.num_rows
+            if k >= 10_000:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, k = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return run
+
+
+def _near(rows: list[tuple], threshold_pct: int):
+    """A cell's ids in order, their copies, and its linked pairs; label: copies of the text, negative on the second side."""
+    rows.sort(key=lambda r: r[0])
+    ids, label = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+    return ids, np.abs(label), near_pairs([r[3] for r in rows], threshold_pct, label < 0 if rows[0][1] else None)
+
+
+def _count(n: int, threshold_pct: int):
+    """Rows of cells to (row, least row its links lead to in the cell, its links there with every copy counted)."""
+
+    def block(rows: list[tuple]):
+        ids, copies, near = _near(rows, threshold_pct)
+        root, links = np.arange(len(ids)), np.zeros(len(ids), np.int64)
+        for p, hit, _ in near:
+            links[p] += copies[hit].sum()
+            links[hit] += copies[p]
+            if (root[hit] != root[p]).any():
+                group = np.unique(np.append(root[hit], root[p]))
+                root[np.isin(root, group)] = group[0]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root]), pa.array(links)], names=["a", "b", "links"])
+
+    return _by_cell(n, block)
+
+
+def _list(n: int, threshold_pct: int):
+    """Rows of cells to linked pairs (a, b, overlap), a the lesser id."""
+
+    def batch(out):
+        a, b, o = map(np.concatenate, zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(o.astype(np.int64))], names=["a", "b", "n_shared"])
+
+    def block(rows: list[tuple]):
+        ids, _, near = _near(rows, threshold_pct)
+        out, held = [], 0
+        for p, hit, overlap in near:
+            out.append((np.full(len(hit), ids[p]), ids[hit], overlap))
+            held += len(hit)
+            if held >= 100_000:
+                yield batch(out)
+                out, held = [], 0
+        if out:
+            yield batch(out)
+
+    return _by_cell(n, block)
+
+
 def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
 
 def _cell_product(cells: DataFrame, docs: DataFrame, n: int, threshold_pct: int, queries: bool) -> DataFrame:
     """cells: doc_id, comp, cell, flag, label; a document may be in several cells."""
+    return _in_cells(cells, docs, _multiply(n, threshold_pct, queries), "a long, b long")
+
+
+def _in_cells(cells: DataFrame, docs: DataFrame, run, schema: str) -> DataFrame:
     rows = cells.join(docs, "doc_id").select("text", "comp", "cell", "doc_id", "flag", "label")
     rows = rows.repartition(parts(docs.sparkSession), "comp", "cell").sortWithinPartitions("comp", "cell")
-    return rows.mapInArrow(_multiply(n, threshold_pct, queries), "a long, b long")
+    return rows.mapInArrow(run, schema)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+
+
+def _all_cells(comp: DataFrame, block_rows: int) -> DataFrame:
+    """comp: node, component, copies.  Cells in which any two rows of a component meet exactly once.
+
+    A component of over block_rows rows is dealt into groups of about half as many; a cell holds two groups, or one.
+    """
+    wide = comp.groupBy("component").count().where(F.col("count") > block_rows)
+    wide = wide.select(F.col("component").alias("c"), F.ceil(F.col("count") * 2 / block_rows).cast("int").alias("k"))
+    rows = comp.join(wide, F.col("component") == F.col("c"), "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cell = F.least("g", "x") * F.col("k") + F.greatest("g", "x")
+    label = F.when(F.col("g") > F.col("x"), -F.col("copies")).otherwise(F.col("copies"))
+    return rows.select(F.col("node").alias("doc_id"), F.col("component").alias("comp"), cell.alias("cell"), (F.col("g") != F.col("x")).alias("flag"), label.alias("label"))
+
+
+def _blocks(docs: DataFrame, n: int, threshold_pct: int, block_rows: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, key), the texts' (key, doc_id, copies), (doc_id, n_shingles), and the cells of texts with candidates."""
+    keyed = docs.select("doc_id", F.md5("text").alias("key")).dropDuplicates(["doc_id"])
+    first = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    edges, sizes = candidates(docs, n, threshold_pct)
+    comp = components(edges).join(first.select(F.col("doc_id").alias("node"), "copies"), "node")
+    return keyed, first, sizes, _all_cells(cut(comp), block_rows)
+
+
+def jaccard_join(docs: DataFrame, n: int = 5, threshold_pct: int = 80, block_rows: int = 4096) -> DataFrame:
+    """The columns of jaccard_components, text_id and n_links.
+
+    n_links (long) counts the other documents linked with a document, its exact copies included; text_id is the least
+    doc_id of an equal text, which stands for it in jaccard_pairs.  docs and special rows as in jaccard_components.
+    """
+    docs = _texts(docs)
+    keyed, first, sizes, cells = _blocks(docs, n, threshold_pct, block_rows)
+    part = cut(_in_cells(cells, docs, _count(n, threshold_pct), "a long, b long, links long"))
+    links = part.groupBy(F.col("a").alias("doc_id")).agg(F.sum("links").alias("links"))
+    whole = components(part.select("a", "b")).select(F.col("node").alias("doc_id"), "component")
+    known = first.join(sizes, "doc_id").join(links, "doc_id", "left").join(whole, "doc_id", "left")
+    some = F.col("n_shingles") > 0
+    known = known.select(
+        "key", F.col("doc_id").alias("text_id"), "n_shingles", F.when(some, F.coalesce("component", "doc_id")).alias("c"),
+        F.when(some, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
+    )
+    return keyed.join(known, "key").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"), "text_id", "n_links")
+
+
+def jaccard_pairs(docs: DataFrame, n: int = 5, threshold_pct: int = 80, block_rows: int = 4096) -> DataFrame:
+    """Every link between two different texts: a < b (each text's least doc_id) and n_shared shingles.
+
+    With text_id of jaccard_join they give all links of documents.  Their number grows with the square of a group's size.
+    """
+    docs = _texts(docs)
+    return _in_cells(_blocks(docs, n, threshold_pct, block_rows)[3], docs, _list(n, threshold_pct), "a long, b long, n_shared long")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold_pct: int = 80, block_rows: int = 4096) -> DataFrame:
@@ -343,7 +532,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold_pct: int = 80, blo
     A null, empty or blank text has no shingles and is linked with nothing; an empty table gives no rows; a row that
     occurs twice with one id counts once.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    docs = _texts(docs)
     keyed = docs.select("doc_id", F.md5("text").alias("key"))
     first = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id")))
     edges, sizes = candidates(docs, n, threshold_pct)

@@ -129,6 +129,20 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+@register(
+    f"""WITH RECURSIVE d AS (SELECT doc_id AS id, {_WORDS.format(_LOWER)} AS w FROM documents),
+g AS ({_SHINGLES.format("d")}), n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+o AS (SELECT x.id AS a, y.id AS b, count(*) AS o FROM g x JOIN g y ON x.g = y.g AND x.id <> y.id GROUP BY ALL),
+link AS (SELECT a, b FROM o JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+reach AS (SELECT id AS a, id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), l AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS text_id, coalesce(n_links, 0) AS n_links
+FROM documents JOIN c ON c.a = doc_id LEFT JOIN l ON l.a = doc_id LEFT JOIN n ON n.id = doc_id"""
+)
+def op8_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 _QUALITY = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from helpers import EDGES, components, contained, corpus, kept_words, words
+from helpers import EDGES, components, contained, corpus, kept_words, shingles, words
 
 from marlstone.llm import decontaminate, jaccard_join, substring_dedup
 from marlstone.llm.cluster import components as spark_components
@@ -45,6 +45,38 @@ def test_empty_and_clashing_columns(spark):
     assert substring_dedup.remove_repeats(odd).columns == ["doc_id", "text", "component_id", "n_removed"]
 
 
+@pytest.mark.parametrize("block_rows", [4096, 16])
+def test_links_match_brute_force(spark, rows, block_rows):
+    """Every link of a document is counted, and each pair of different texts is given once."""
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    s = {d: shingles(t) for d, t in rows}
+    first = {}
+    for d, t in sorted(rows):
+        first.setdefault(t or "", d)
+    near = {(a, b): len(s[a] & s[b]) for a in s for b in s if a < b and s[a] and 100 * len(s[a] & s[b]) >= 80 * len(s[a] | s[b])}
+    n = dict.fromkeys(s, 0)
+    for pair in near:
+        for d in pair:
+            n[d] += 1
+    comp = components(rows)
+    got = {tuple(r) for r in jaccard_join.jaccard_join(df, block_rows=block_rows).collect()}
+    assert got == {(d, *comp[d], first[t or ""], n[d]) for d, t in rows} and max(n.values()) >= 69
+    pairs = [tuple(r) for r in jaccard_join.jaccard_pairs(df, block_rows=block_rows).collect()]
+    assert sorted(pairs) == sorted((a, b, o) for (a, b), o in near.items() if {a, b} <= set(first.values()))
+
+
+@pytest.mark.parametrize("vocab", [150, 100_000])
+def test_near_pairs_by_bits_and_by_holders(vocab):
+    rng = np.random.default_rng(vocab)
+    base = rng.integers(0, vocab, 60)
+    sets = [np.unique(np.where(rng.random(60) < 0.05, rng.integers(0, vocab, 60), base if i % 3 else rng.integers(0, vocab, 60))).astype(np.uint64) for i in range(90)] + [np.zeros(0, np.uint64)]
+    side = np.arange(91) % 2
+    want = {(i, j): o for i in range(91) for j in range(i) if len(sets[i]) and 100 * (o := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - o)}
+    for s in (None, side):
+        got = [(max(p, j), min(p, j), o) for p, js, os in jaccard_join.near_pairs(sets, 80, s) for j, o in zip(js.tolist(), os.tolist(), strict=True)]
+        assert sorted(got) == sorted((i, j, o) for (i, j), o in want.items() if s is None or s[i] != s[j]) and got
+
+
 @pytest.mark.parametrize("sizes", [(4, 5), (5, 5), (100, 125), (100, 126), (80, 100)])
 def test_threshold_is_inclusive(spark, sizes):
     """A subset of 4 in 5 shingles is linked, one less is not."""
