@@ -165,6 +165,18 @@ def _(spark, d):
     return dedup.two_key(rows.where("doc_id % 4 = 0"), rows.where("doc_id % 2 = 1"), "k", F.col("text"), "doc_id").select("doc_id")
 
 
+@query(
+    "s_ddp_07_two_key_dedup_whole",
+    """WITH d AS (SELECT doc_id, source || ':' || n_chars AS k, text, doc_id IN (SELECT doc_id FROM labels) AS old FROM documents), b AS (SELECT k, text FROM d WHERE old),
+f AS (SELECT * FROM d WHERE NOT old AND k NOT IN (SELECT k FROM b) QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1)
+SELECT doc_id FROM f WHERE text NOT IN (SELECT text FROM b) QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""",
+)
+def _(spark, d):
+    """The whole table: labelled documents are the base, all others are new."""
+    rows, labels = documents(spark, d).withColumn("k", F.concat("source", F.lit(":"), "n_chars")), table(spark, d, "labels")
+    return dedup.two_key(rows.join(labels, "doc_id", "left_semi"), rows.join(labels, "doc_id", "left_anti"), "k", F.col("text"), "doc_id").select("doc_id")
+
+
 #: The greedy pass as recursion over the rows in order, with the kept ones in a list.
 _EDGES = f"""s AS (SELECT doc_id, g, len(g) AS n FROM {_SETS} WHERE len(g) > 0), x AS (SELECT doc_id, n, unnest(g) AS w FROM s),
 e AS (SELECT a.doc_id AS late, b.doc_id AS early FROM x a JOIN x b ON a.w = b.w AND a.doc_id > b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) > 70 * (any_value(a.n) + any_value(b.n) - count(*))),

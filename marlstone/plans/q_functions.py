@@ -181,6 +181,17 @@ def _(spark, d):
     return options(mcq(spark, d)).where("doc_id % 3 < 2").select("question_id", answers.any_gold_letter(gold, F.col("options")).alias("letter"))
 
 
+_NAMED = "CASE WHEN regexp_full_match(trim(opt_c), '[+]?0*[0-3]') THEN chr(CAST(65 + CAST(right(trim(opt_c), 1) AS INT) AS INT)) WHEN regexp_full_match(trim(opt_c), '[A-Da-d]') THEN upper(trim(opt_c)) ELSE CASE lower(trim(opt_c)) WHEN lower(trim(opt_a)) THEN 'A' WHEN lower(trim(opt_b)) THEN 'B' ELSE 'C' END END"
+
+
+@query("s_fn_22_any_gold_letter_whole", f"SELECT question_id, CASE WHEN doc_id % 3 < 2 THEN chr(CAST(65 + doc_id % 4 AS INT)) ELSE {_NAMED} END AS letter FROM {_Q}")
+def _(spark, d):
+    """Every question: an index in one third of rows, a letter in another, an option's text in the last."""
+    k = F.col("doc_id") % 3
+    gold = F.when(k == 0, (F.col("doc_id") % 4).cast("string")).when(k == 1, F.lower("gold")).otherwise(F.col("opt_c"))
+    return options(mcq(spark, d)).select("question_id", answers.any_gold_letter(gold, F.col("options")).alias("letter"))
+
+
 @query("s_fn_23_numbered_letter", "SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN NULL ELSE chr(CAST(65 + doc_id % 5 AS INT)) END AS letter FROM documents")
 def _(spark, d):
     label = F.when(F.col("doc_id") % 5 == 4, "none").otherwise((F.col("doc_id") % 5 + 1).cast("string"))

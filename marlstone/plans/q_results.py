@@ -132,6 +132,12 @@ def _(spark, d):
     return r.where("doc_id < 100").unionByName(r.where("doc_id % 10 = 0"))
 
 
+@query("s_set_02_append_whole", "SELECT doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id FROM documents WHERE lang IS DISTINCT FROM 'en'")
+def _(spark, d):
+    r = documents(spark, d).select("doc_id", "lang")
+    return r.where("lang = 'en'").unionByName(r.where("NOT lang <=> 'en'")).select("doc_id")
+
+
 @query("s_set_03_update", f"SELECT task, coalesce(b.v, a.v) AS v FROM (SELECT task, avg(correct::INT) AS v FROM {_S} WHERE model = 'm0' GROUP BY task) a FULL JOIN (SELECT task, avg(correct::INT) AS v FROM {_S} WHERE model = 'm1' AND task < 'src5' GROUP BY task) b USING (task)")
 def _(spark, d):
     v = lambda r: r.groupBy("task").agg(F.avg(F.col("correct").cast("int")).alias("v"))
