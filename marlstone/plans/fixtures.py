@@ -25,13 +25,17 @@ MCQ_SQL = r"""(SELECT doc_id, 'q' || doc_id AS question_id, source, lang AS lang
  chr(CAST(65 + doc_id % 4 AS INT)) AS gold FROM (SELECT *, string_split(regexp_replace(coalesce(text, ''), '[ \n\r\t]+', ' ', 'g'), ' ') AS w, coalesce(text, '') AS t FROM documents))"""
 
 
-def mcq(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The same with whole documents as stories.
+MCQ_WHOLE_SQL = MCQ_SQL.replace("left(t, 80) AS story", "t AS story")
+
+
+def mcq(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     w = F.split(F.regexp_replace(t, r"[ \n\r\t]+", " "), " ")
     d = documents(spark, sf_dir).select("doc_id", "source", F.col("lang").alias("language"), t.alias("t"), w.alias("w"))
     opts = [F.coalesce(F.get("w", F.lit(i)), F.lit("")).alias(f"opt_{c}") for i, c in enumerate("abcd")]
     return d.select(
-        "doc_id", F.concat(F.lit("q"), "doc_id").alias("question_id"), "source", "language", F.concat(F.lit("task"), F.col("doc_id") % 5).alias("task"), F.left("t", F.lit(80)).alias("story"),
+        "doc_id", F.concat(F.lit("q"), "doc_id").alias("question_id"), "source", "language", F.concat(F.lit("task"), F.col("doc_id") % 5).alias("task"), (F.col("t") if whole else F.left("t", F.lit(80))).alias("story"),
         F.concat(F.lit("Which word comes "), F.col("doc_id") % 3, F.lit("?")).alias("question"), *opts, F.char(F.col("doc_id") % 4 + 65).alias("gold"),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.operators import dedup, similarity as sim
-from marlstone.plans.fixtures import MCQ_SQL, documents, mcq, table
+from marlstone.plans.fixtures import MCQ_SQL, MCQ_WHOLE_SQL, documents, mcq, table
 from marlstone.plans.registry import query
 
 _W = r"list_filter(string_split_regex({}, '\s+'), lambda x: x <> '')"
@@ -67,6 +67,14 @@ def _(spark, d):
     return _docs(spark, d).select(F.col("key").alias("doc_id"), F.size("grams").cast("long").alias("n"))
 
 
+_WHOLE = f"(SELECT doc_id, question_id, story AS q FROM {MCQ_WHOLE_SQL})"
+
+
+@query("s_sim_02_word_grams_cased_whole", f"SELECT question_id, CASE WHEN len(w) < 4 AND q <> '' THEN [q] ELSE {_grams('w')} END AS g FROM (SELECT question_id, q, {_W.format('q')} AS w FROM {_WHOLE})")
+def _(spark, d):
+    return mcq(spark, d, whole=True).select("question_id", F.array_sort(sim.word_grams(F.col("story"), lower=False, short="whole")).alias("g"))
+
+
 _CH = "list_sort(list_distinct(list_transform(range(1, greatest(1, length({t}) - {k} + 1) + 1), lambda i: substr({t}, i, {k}))))"
 
 
@@ -76,6 +84,11 @@ def _(spark, d):
     return rows.select("question_id", F.array_sort(sim.mixed_grams(F.col("q"))).alias("g"))
 
 
+@query("s_sim_04_mixed_grams_whole", f"SELECT question_id, CASE WHEN len(w) >= 4 THEN {_grams('w')} WHEN length(q) >= 4 THEN {_CH.format(t='q', k=4)} ELSE list_sort(list_distinct(list_filter(string_split(q, ''), lambda c: c <> ''))) END AS g FROM (SELECT question_id, q, {_W.format('q')} AS w FROM (SELECT question_id, lower(q) AS q FROM {_WHOLE}))")
+def _(spark, d):
+    return mcq(spark, d, whole=True).select("question_id", F.array_sort(sim.mixed_grams(F.col("story"))).alias("g"))
+
+
 @query("s_sim_05_char_shingles", f"SELECT item_id, len(g) AS n, g[1] AS first FROM (SELECT item_id, {_CH.format(t='t', k=5)} AS g FROM (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM benchmark))")
 def _(spark, d):
     g = F.array_sort(sim.char_shingles(F.col("text")))

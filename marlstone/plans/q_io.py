@@ -73,6 +73,12 @@ def _(spark, d):
     return readers.csv(spark, path, "doc_id bigint, lang string, head string")
 
 
+@query("s_src_07_csv_whole", "SELECT doc_id, lang, text FROM documents")
+def _(spark, d):
+    documents(spark, d).select("doc_id", "lang", "text").write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(path := _place(spark))
+    return readers.csv(spark, path, "doc_id bigint, lang string, text string")
+
+
 @query("s_src_08_parquet", "SELECT doc_id, source FROM documents WHERE n_chars > 1000")
 def _(spark, d):
     return readers.parquet(spark, f"{d}/documents.parquet").where("n_chars > 1000").select("doc_id", "source")

@@ -105,6 +105,11 @@ def _(spark, d):
     return mcq(spark, d).select("question_id", smp.mined_distractors(F.col("story"), F.col("opt_a")).alias("wrong"))
 
 
+@query("s_smp_15_mined_distractors_whole")
+def _(spark, d):
+    return mcq(spark, d, whole=True).select("question_id", smp.mined_distractors(F.col("story"), F.col("opt_a")).alias("wrong"))
+
+
 @query("s_smp_16_difficulty", f"SELECT question_id, CASE WHEN r >= 0.75 THEN 'easy' WHEN r >= 0.25 THEN 'medium' ELSE 'hard' END AS bucket FROM (SELECT question_id, avg(correct::INT) AS r FROM {RESULTS_SQL} GROUP BY question_id)")
 def _(spark, d):
     r = results(spark, d).groupBy("question_id").agg(F.avg(F.col("correct").cast("int")).alias("r"))

@@ -17,3 +17,12 @@ def test_append_and_gold_letters_keep_all_rows(spark, sf):
     assert sorted(r.doc_id for r in QUERIES["s_set_02_append_whole"](spark, sf).collect()) == ids
     got = {r.question_id: r.letter for r in QUERIES["s_fn_22_any_gold_letter_whole"](spark, sf).collect()}
     assert sorted(got) == sorted(f"q{i}" for i in ids) and None not in got.values()
+
+
+def test_grams_and_csv_reach_past_the_first_words(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(100))
+    text = f'{words}\n"quoted", end'
+    spark.createDataFrame([(0, text, "en", "s", len(text))], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("s_sim_02_word_grams_cased_whole", "s_sim_04_mixed_grams_whole"):
+        assert "w96 w97 w98 w99" in QUERIES[name](spark, str(tmp_path)).first().g
+    assert QUERIES["s_src_07_csv_whole"](spark, str(tmp_path)).first().text == text
