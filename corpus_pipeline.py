@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate, jaccard_join, packing, quality_rules, substring_dedup
-from marlstone.llm.cluster import cut
+from marlstone.llm.cluster import cut, fresh
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,14 +17,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least document of each group linked by shingle Jaccard similarity of 0.8 or more; rows without an id stay."""
     found = jaccard_join.jaccard_components(docs)
-    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id"))
-    return docs.join(drop, F.col("doc_id") == F.col("__id"), "left_anti")
+    gone = fresh(docs, "gone")
+    drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone))
+    return docs.join(drop, docs["doc_id"] == drop[gone], "left_anti")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 13-word windows that smaller ids hold; a document that loses all its words goes."""
-    out = substring_dedup.remove_repeats(docs).where("n_removed = 0 OR text <> ''")
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("n_removed")
+    gone = fresh(docs, "n_removed")
+    out = substring_dedup.remove_repeats(docs, count=gone).where((F.col(gone) == 0) | (F.col("text") != ""))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.drop(gone)
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
