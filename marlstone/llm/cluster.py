@@ -13,18 +13,43 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """df written to the cluster's shared checkpoint folder and read from there.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (local tests) one of our own is set.
+    The folder is the session's spark.checkpoint.dir; only a session on one machine (local tests) has another where that
+    is unset, and on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = shared or os.path.join(tempfile.gettempdir(), "checkpoints")  # one machine
+        sc.setCheckpointDir(shared)
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+BUCKET_BYTES = 64 << 20
+
+
+def buckets_for(docs: DataFrame) -> int:
+    """Partitions for what is made of docs and held whole by a task: by the size of what docs reads, as Catalyst knows it.
+
+    At least the session's number of shuffle partitions; that alone where Catalyst knows no size.
+    """
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(parts(docs.sparkSession), min(size // BUCKET_BYTES + 1, 1 << 20)) if size < 1 << 60 else parts(docs.sparkSession)
+
+
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     """Range buckets of well mixed 64-bit keys: sorted keys have sorted buckets."""
     return (((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)

@@ -109,7 +109,7 @@ class WordTokenizer:
             cut = cut[~np.isin(cut, chunk.offs)]  # the next row begins there
             start, end, data = np.sort(np.concatenate((start, cut))), np.sort(np.concatenate((end, cut))), low
         bound = np.searchsorted(start, chunk.offs)
-        hashes = span_hash(data.astype(U64) + U64(1), start, end)
+        hashes = span_hash(data, start, end)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
         old = at < len(self.keys)

@@ -1,17 +1,17 @@
 """Removal of word windows that also stand in a document with a smaller id, by FM-indexes over shards of the corpus.
 
 1. Each text is cut into maximal runs of windows that share a minimizer, the least hash of the short word grams inside a
-   window.  Equal windows have equal minimizers, so whatever repeats meets under one key; only packed hashes are
-   shuffled.  Equal runs within a batch are settled there, before the shuffle.
-2. Under a key, a run that occurs in several documents is settled at once: all but the least document lose it.  Runs
-   that differ under one key may share some of their windows; their words are fetched and sent to the key's shard.
-3. A shard holds a compressed FM-index of its runs.  The runs are streamed against it; backward search over the wavelet
-   matrix keeps each match's suffix interval, and windows whose interval has an occurrence in a smaller document are
-   reported.
-4. A key with more than ``hot_runs`` different runs (the ends of a passage that very many documents share) is settled
-   by window instead: a grouped minimum over window hashes, which is pre-aggregated and whose join can be split.
-
-Every word of every text takes part.  Words are compared as bytes; two hashes, of 96 bits or more together, stand for a run or a window.
+   window.  Equal windows have equal minimizers, so whatever repeats meets under one key; packed hashes are shuffled.
+2. Keys that occur in one document only hold nothing that repeats.  For the others the runs' words are fetched: those of
+   all but the largest document are to be indexed, those of all but the smallest are to be streamed, in the key's shard.
+3. A shard holds a compressed FM-index of the distinct runs to be indexed.  The documents' runs are streamed against it:
+   backward search over the wavelet matrix gives the matching statistics, and each interval of at least ``width`` words
+   with an occurrence in a smaller document is reported.
+4. A key with more runs than a shard holds (a passage that very many documents share) is settled by window instead: a
+   grouped minimum over digests of the windows' words, which is pre-aggregated and whose join can be split.
+
+Every word of every text takes part.  Hashes only choose where runs meet; what is reported was matched word by word as
+bytes in the index, or has the same 128-bit digest of its words under 4.
 """
 
 from __future__ import annotations
@@ -23,25 +23,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.cluster import bucket_of, cut, parts
+from marlstone.llm.cluster import bucket_of, buckets_for, cut
 from marlstone.llm.fm_index import FMIndex
-from marlstone.llm.textkernel import Chunk, U64, chunks, gram_hashes, mix, span_hash
+from marlstone.llm.textkernel import Chunk, U64, chunks, gram_hashes, mix
 
 GRAM = 5
+_KEY = U64(0x5851F42D4C957F2D)
 FLUSH = 400_000
 SHARD_WORDS = 200_000
-_PACKED = "kind int, doc long, start int, n int, route long, bucket int, payload binary"
-_FOUND = "kind int, doc long, start int, n int, route long"
-SETTLED, ASKED, HOT = 1, 2, 3
+_PACKED = "bucket int, payload binary"
+_ASKED = "hot boolean, doc long, start int, n int, role int, route long"
+_PIECES = "doc long, tag long, start int, role int, route long, words binary"
+_FOUND = "doc long, tag long, start int, n int"
+INDEXED, STREAMED = 1, 2
 
 
 def runs(chunk: Chunk, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Maximal runs of windows with one minimizer: row, first word in the row, windows, key, content hash."""
+    """Maximal runs of windows with one minimizer: row, first word in the row, windows, key."""
     words = chunk.word_hashes()
     count = len(words) - width + 1
     if count <= 0:
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(U64), z.astype(U64)
+        return z, z, z, z.astype(U64)
     row = chunk.row_of_word()
     valid = row[:count] == row[width - 1 :]
     g = gram_hashes(words, gram)
@@ -59,24 +62,7 @@ def runs(chunk: Chunk, width: int, gram: int) -> tuple[np.ndarray, ...]:
     a = np.flatnonzero(new)
     stops = np.append(np.flatnonzero(new | ~valid), count)
     b = stops[np.searchsorted(stops, a, side="right")]
-    return row[a], a - chunk.words[row[a]], b - a, mix(least[a] ^ U64(0x5851F42D4C957F2D)), span_hash(words, a, b + width - 1)
-
-
-def _found(kind, doc, start, n, route) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.broadcast_to(np.int32(kind), len(doc))), pa.array(doc, pa.int64()), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(route, pa.int64())],
-        names=["kind", "doc", "start", "n", "route"],
-    )
-
-
-def _settle(doc, start, n, key, content):
-    """Rows sorted by key, content and document; which of them stand in the least document of their content."""
-    order = np.lexsort((doc, content, key))
-    doc, start, n, key, content = doc[order], start[order], n[order], key[order], content[order]
-    head = np.ones(len(doc), bool)
-    head[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
-    least = doc[np.flatnonzero(head)][np.cumsum(head) - 1] if len(doc) else doc
-    return doc, start, n, key, content, head, doc == least
+    return row[a], a - chunk.words[row[a]], b - a, mix(least[a] ^ _KEY)
 
 
 def _cut_runs(width: int, gram: int, buckets: int):
@@ -84,88 +70,91 @@ def _cut_runs(width: int, gram: int, buckets: int):
         held, size = [], 0
 
         def flush():
-            doc, start, n, key, content = (np.concatenate(x) for x in zip(*held, strict=True))
-            doc, start, n, key, content, _, first = _settle(doc, start, n, key, content)
-            r = _found(SETTLED, doc[~first], start[~first], n[~first], np.zeros(int((~first).sum()), np.int64))
-            none = [pa.nulls(len(r), pa.int32()), pa.nulls(len(r), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*r.columns, *none], names=[*r.schema.names, "bucket", "payload"])
-            doc, start, n, key, content = (x[first] for x in (doc, start, n, key, content))
+            doc, start, n, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((doc, bucket_of(key, buckets)))
+            doc, start, n, key = doc[order], start[order], n[order], key[order]
             where = bucket_of(key, buckets)
             cuts = np.concatenate(([0], np.flatnonzero(where[1:] != where[:-1]) + 1, [len(where)])) if len(where) else np.array([0])
-            payload = []
-            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                table, at = np.unique(doc[x:y], return_inverse=True)
-                wide, far = ("<u2" if m <= 65_536 else "<u4" for m in (len(table), int(start[x:y].max()) + 1))
-                payload.append(b"".join([np.array([y - x, len(table), int(wide[-1]), int(far[-1])], "<i8").tobytes(), _six(key[x:y]), _six(content[x:y]), table.astype("<i8").tobytes(), at.astype(wide).tobytes(), start[x:y].astype(far).tobytes(), n[x:y].astype("u1").tobytes()]))
-            k = len(payload)
-            zero = pa.array(np.zeros(k, np.int32))
-            yield pa.RecordBatch.from_arrays([zero, pa.array(np.zeros(k, np.int64)), zero, zero, pa.array(np.zeros(k, np.int64)), pa.array(where[cuts[:-1]].astype(np.int32)) if k else zero, pa.array(payload, pa.binary())], names=["kind", "doc", "start", "n", "route", "bucket", "payload"])
+            payload = [_pack(doc[x:y], start[x:y], n[x:y], key[x:y]) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(where[cuts[:-1]].astype(np.int32)), pa.array(payload, pa.binary())], names=["bucket", "payload"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column(1)):
-                row, start, n, key, content = runs(chunk, width, gram)
-                held.append((ids[chunk.first + row], start, n, key, content))
+                row, start, n, key = runs(chunk, width, gram)
+                held.append((ids[chunk.first + row], start, n, key))
                 size += len(row)
                 if size >= FLUSH:
                     yield from flush()
                     held, size = [], 0
-        if held:
+        if size:
             yield from flush()
 
     return run
 
 
-def _six(x: np.ndarray) -> bytes:
-    """The six low bytes of each hash; a bucket stands for much of the rest."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _least_width(top: int) -> str:
+    return "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8"
+
+
+def _pack(doc: np.ndarray, start: np.ndarray, n: np.ndarray, key: np.ndarray) -> bytes:
+    """Runs in order of document: counts and widths; six low bytes of each key, since the bucket stands for much of the
+    rest; distinct documents as distances from the least, how many runs each has; start and windows of each run."""
+    table, count = np.unique(doc, return_counts=True)
+    gap = (table - table[0]).astype(np.uint64)
+    far, many, late = (_least_width(int(x.max())) for x in (gap, count, start))
+    six = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    head = np.array([len(doc), len(table), table[0], int(far[-1]), int(many[-1]), int(late[-1])], "<i8")
+    return b"".join([head.tobytes(), six.tobytes(), gap.astype(far).tobytes(), count.astype(many).tobytes(), start.astype(late).tobytes(), n.astype("u1").tobytes()])
 
 
 def _unpack(b: bytes) -> tuple[np.ndarray, ...]:
-    rows, k, wide, far = np.frombuffer(b, "<i8", 4).tolist()
-    at, out = 32, []
-    for kind, n in (("u1", 6 * rows), ("u1", 6 * rows), ("<i8", k), (f"<u{wide}", rows), (f"<u{far}", rows), ("u1", rows)):
+    rows, k, least, far, many, late = np.frombuffer(b, "<i8", 6).tolist()
+    at, out = 48, []
+    for kind, n in (("u1", 6 * rows), (f"<u{far}", k), (f"<u{many}", k), (f"<u{late}", rows), ("u1", rows)):
         out.append(np.frombuffer(b, kind, n, at))
         at += n * np.dtype(kind).itemsize
-    key, content, table, doc, start, n = out
-    full = np.zeros((2, rows, 8), np.uint8)
-    full[0, :, :6], full[1, :, :6] = key.reshape(-1, 6), content.reshape(-1, 6)
-    key, content = full.view("<u8").reshape(2, rows)
-    return table[doc], start.astype(np.int64), n.astype(np.int64), key, content
+    key, gap, count, start, n = out
+    full = np.zeros((rows, 8), np.uint8)
+    full[:, :6] = key.reshape(-1, 6)
+    return np.repeat(gap.astype(np.int64) + least, count), start.astype(np.int32), n, full.view("<u8").ravel()
 
 
 def _meet(hot_runs: int):
+    """One bucket's runs to those whose key occurs in several documents."""
+
     def run(batches):
-        held = []
+        held = {}
         for batch in batches:
-            kind = batch.column(0).to_numpy(zero_copy_only=False)
-            done = np.flatnonzero(kind == SETTLED)
-            if len(done):
-                yield pa.RecordBatch.from_arrays([c.take(pa.array(done)) for c in batch.columns[:5]], names=batch.schema.names[:5])
-            held.extend(_unpack(batch.column(6)[int(i)].as_py()) for i in np.flatnonzero(kind == 0))
-        if not held:
-            return
-        doc, start, n, key, content, head, first = _settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        del held
-        if not len(doc):
-            return
-        yield _found(SETTLED, doc[~first], start[~first], n[~first], np.zeros(int((~first).sum()), np.int64))
-        edge = np.ones(len(key), bool)
-        edge[1:] = key[1:] != key[:-1]
-        at = np.flatnonzero(edge)
-        group = np.cumsum(edge) - 1
-        contents = np.add.reduceat(head.astype(np.int64), at)
-        several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(np.where(first, doc, np.int64(-1) << 62), at)
-        asks = first & ((contents > 1) & several)[group]
-        hot = asks & (contents > hot_runs)[group]
-        for kind, those in ((ASKED, asks & ~hot), (HOT, hot)):
-            yield _found(kind, doc[those], start[those], n[those], key[those].view(np.int64))
+            for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.setdefault(bucket, []).append(_unpack(payload.as_py()))
+        for bucket in list(held):
+            doc, start, n, key = (np.concatenate(x) for x in zip(*held.pop(bucket), strict=True))
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            edge = np.ones(len(key), bool)
+            edge[1:] = key[1:] != key[:-1]
+            at, group = np.flatnonzero(edge), np.cumsum(edge) - 1
+            doc = doc[order]
+            low, high = np.minimum.reduceat(doc, at)[group], np.maximum.reduceat(doc, at)[group]
+            rows = np.flatnonzero(low < high)
+            hot = (np.diff(np.append(at, len(key))) > hot_runs)[group[rows]]
+            role = (doc[rows] < high[rows]) * INDEXED + (doc[rows] > low[rows]) * STREAMED
+            route = mix(key[rows] + U64(bucket)).view(np.int64)
+            pick = order[rows]
+            cols = [pa.array(hot), pa.array(doc[rows]), pa.array(start[pick]), pa.array(n[pick].astype(np.int32)), pa.array(role.astype(np.int32)), pa.array(route)]
+            yield pa.RecordBatch.from_arrays(cols, names=["hot", "doc", "start", "n", "role", "route"])
 
     return run
 
 
-def _fetch(width: int):
-    """(doc_id, text, requests) to pieces with their words, or for hot keys to windows with two hashes."""
+def _tag(text: bytes) -> int:
+    """Tells rows with one id and different texts apart."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+
+
+def _fetch(width: int, gram: int, buckets: int, hot: bool):
+    """(doc_id, text, requests) to pieces with their words, or for hot keys to windows with a digest of their words."""
 
     def run(batches):
         for batch in batches:
@@ -176,95 +165,121 @@ def _fetch(width: int):
                 part = asked.slice(chunk.first, len(chunk))
                 flat = part.flatten()
                 row = np.repeat(np.arange(len(chunk)), np.diff(part.offsets.to_numpy()))
-                kind, start, n, route = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
-                fits = start.astype(np.int64) + n + width - 1 <= chunk.counts[row]  # else another row of the same id is meant
-                row, kind, start, n, route = (x[fits] for x in (row, kind, start, n, route))
+                start, n, role, route = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+                start, n = start.astype(np.int64), n.astype(np.int64)
+                # a request may mean another row of the same id: then the text is too short, or its run has another key
+                own_row, own_start, own_n, key = runs(chunk, width, gram)
+                place = chunk.words[own_row] + own_start
                 a = chunk.words[row] + start
-                pick = kind == ASKED
+                at = np.minimum(np.searchsorted(place, a), max(0, len(place) - 1))
+                where = bucket_of(key, buckets)
+                name = mix((key & U64((1 << 48) - 1)) + where.astype(U64)).view(np.int64)
+                fits = (start + n + width - 1 <= chunk.counts[row]) & (place[at] == a) & (own_n[at] == n) & (name[at] == route) if len(place) else np.zeros(len(row), bool)
+                row, start, n, role, route, a = (x[fits] for x in (row, start, n, role, route, a))
                 raw = chunk.data.tobytes()
-                lo, hi = chunk.start[a[pick]], chunk.end[a[pick] + n[pick] + width - 2]
-                words = [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
-                k = len(words)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[chunk.first + row[pick]], pa.int64()), pa.array(start[pick], pa.int32()), pa.array(route[pick], pa.int64()), pa.nulls(k, pa.int64()), pa.array(words, pa.binary())], names=["doc", "start", "route", "check", "words"])
-                if (~pick).any():
-                    hashes = chunk.word_hashes()
-                    m = n[~pick].astype(np.int64)
-                    off = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-                    at = np.repeat(a[~pick], m) + off
-                    one, two = gram_hashes(hashes, width)[at], span_hash(hashes, at, at + width)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[chunk.first + np.repeat(row[~pick], m)], pa.int64()), pa.array((np.repeat(start[~pick], m) + off).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.nulls(len(at), pa.binary())], names=["doc", "start", "route", "check", "words"])
+                tags = np.zeros(len(chunk), np.int64)
+                for i in np.unique(row).tolist():
+                    tags[i] = _tag(raw[chunk.offs[i] : chunk.offs[i + 1]])
+                if hot:
+                    off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    row, start, role, route, a = np.repeat(row, n), np.repeat(start, n) + off, np.repeat(role, n), np.repeat(route, n), np.repeat(a, n) + off
+                    n = np.ones(len(a), np.int64)
+                words = [raw[x:y] for x, y in zip(chunk.start[a].tolist(), chunk.end[a + n + width - 2].tolist(), strict=True)]
+                if hot:
+                    words = [hashlib.blake2b(b" ".join(w.split()), digest_size=16).digest() for w in words]
+                cols = [pa.array(ids[chunk.first + row], pa.int64()), pa.array(tags[row]), pa.array(start.astype(np.int32)), pa.array(role, pa.int32()), pa.array(route, pa.int64()), pa.array(words, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc", "tag", "start", "role", "route", "words"])
 
     return run
 
 
-def shard_search(docs: np.ndarray, starts: np.ndarray, pieces: list[list[bytes]], width: int) -> tuple[np.ndarray, ...]:
-    """Runs of windows (doc, start, n) that also stand in a smaller document of this shard."""
-    index = FMIndex(pieces, docs, width)
-    at, least = index.least_owner()
-    piece = np.searchsorted(index.first, at, side="right") - 1
-    hit = least < docs[piece]
-    at, piece = at[hit], piece[hit]
-    order = np.argsort(at)
-    at, piece = at[order], piece[order]
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (piece[1:] != piece[:-1])
+def shard_search(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, roles: np.ndarray, pieces: list[bytes], width: int) -> tuple[np.ndarray, ...]:
+    """Runs of windows (doc, tag, start, n) that also stand in a smaller document of this shard.
+
+    Pieces that are equal byte for byte are indexed once, with their least document, and streamed once.
+    """
+    number: dict[bytes, int] = {}
+    same = np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int64, len(pieces))
+    texts = list(number)
+    least = np.full(len(texts), np.iinfo(np.int64).max)
+    those = (roles & INDEXED) > 0
+    np.minimum.at(least, same[those], docs[those])
+    indexed = np.unique(same[those])
+    rows = np.flatnonzero((roles & STREAMED) > 0)
+    if not len(indexed) or not len(rows):
+        return (np.zeros(0, np.int64),) * 4
+    index = FMIndex([texts[i].split() for i in indexed.tolist()], least[indexed], width)
+    streamed, back = np.unique(same[rows], return_inverse=True)
+    query, place, length, low, high = index.matching_statistics([index.encode(texts[i].split()) for i in streamed.tolist()])
+    hit = np.flatnonzero(length == width)
+    query, place, owner = query[hit], place[hit], index.least_owner(low[hit], high[hit])
+    bound = np.searchsorted(query, np.arange(len(streamed) + 1))
+    n = np.diff(bound)[back]
+    at = np.arange(n.sum()) + np.repeat(bound[back] - (np.cumsum(n) - n), n)
+    row = np.repeat(rows, n)
+    good = owner[at] < docs[row]
+    row, place = row[good], place[at[good]]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
     first = np.flatnonzero(new)
-    n = np.diff(np.append(first, len(at)))
-    p = piece[first]
-    return docs[p], starts[p] + at[first] - index.first[p], n
+    row, place, n = row[first], place[first], np.diff(np.append(first, len(row)))
+    return docs[row], tags[row], starts[row] + place, n
+
+
+def _found(doc, tag, start, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc", "tag", "start", "n"])
 
 
 def _search(width: int):
     """Pieces sorted by route; shards of whole routes, of about SHARD_WORDS words."""
 
     def run(batches):
-        docs, starts, pieces, held, last = [], [], [], 0, None
+        held, words, last = [], 0, None
 
         def shard():
-            doc, start, n = shard_search(np.array(docs, np.int64), np.array(starts, np.int64), pieces, width)
-            return _found(SETTLED, doc, start, n, np.zeros(len(doc), np.int64))
+            docs, tags, starts, roles = (np.concatenate([x[i] for x in held]) for i in range(4))
+            return _found(*shard_search(docs, tags, starts, roles, [p for x in held for p in x[4]], width))
 
         for batch in batches:
-            for doc, start, route, words in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4)), strict=True):
-                if held >= SHARD_WORDS and route != last:
+            doc, tag, start, role, route = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            pieces = batch.column(5).to_pylist()
+            edge = np.flatnonzero(np.concatenate(([True], route[1:] != route[:-1])))
+            for x, y in zip(edge.tolist(), np.append(edge[1:], len(route)).tolist(), strict=True):
+                if words >= SHARD_WORDS and route[x] != last:
                     yield shard()
-                    docs, starts, pieces, held = [], [], [], 0
-                last = route
-                docs.append(doc)
-                starts.append(start)
-                pieces.append(words.split())
-                held += len(pieces[-1])
-        if docs:
+                    held, words = [], 0
+                last = route[x]
+                held.append((doc[x:y], tag[x:y], start[x:y].astype(np.int64), role[x:y], pieces[x:y]))
+                words += (y - x) * (width + 4)
+        if held:
             yield shard()
 
     return run
 
 
-def repeated_windows(docs: DataFrame, width: int = 13, hot_runs: int = 512) -> DataFrame:
-    """Runs of windows that also start in a document with a smaller id: doc_id, start (word), n (windows).
+def repeated_windows(docs: DataFrame, width: int = 13, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Runs of windows that also start in a document with a smaller id: doc_id, tag (of the text), start (word), n (windows).
 
     docs: doc_id (long; rows without one are left out) and text.  A word w of a document is to go if
-    start <= w < start + n + width - 1 for one of its runs.  Texts with fewer words than width have no windows.
+    start <= w < start + n + width - 1 for one of its runs.  Texts with fewer words than width have no windows.  Rows
+    with equal ids are not compared with each other.
     """
-    spark = docs.sparkSession
-    gram = min(GRAM, width)
-    docs = _plain(docs)
-    packed = docs.mapInArrow(_cut_runs(width, gram, parts(spark)), _PACKED)
-    spread = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("doc", "start"), F.lit(parts(spark))).cast("int"))
-    found = packed.withColumn("bucket", spread).repartition(parts(spark), "bucket").mapInArrow(_meet(hot_runs), _FOUND)
-    found = cut(found)
-
-    def fetched(kind: int) -> DataFrame:
-        asked = found.where(F.col("kind") == kind).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("kind", "start", "n", "route")).alias("asked"))
-        return docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(width), "doc long, start int, route long, check long, words binary")
-
-    pieces = fetched(ASKED).repartition(parts(spark), "route").sortWithinPartitions("route", "doc", "start")
-    settled = found.where(F.col("kind") == SETTLED).select("doc", "start", "n").union(pieces.mapInArrow(_search(width), _FOUND).select("doc", "start", "n"))
-    if found.where(F.col("kind") == HOT).take(1):
-        hot = cut(fetched(HOT).select("route", "check", "doc", "start"))
-        least = hot.groupBy("route", "check").agg(F.min("doc").alias("least"))
-        settled = settled.union(hot.join(least, ["route", "check"]).where("doc > least").select("doc", "start", F.lit(1).alias("n")))
-    return settled.withColumnRenamed("doc", "doc_id")
+    gram, docs = min(GRAM, width), _plain(docs)
+    buckets = buckets_for(docs)
+    packed = docs.mapInArrow(_cut_runs(width, gram, buckets), _PACKED)
+    met = cut(packed.repartition(buckets, "bucket").mapInArrow(_meet(max(1, shard_words // (width + 4))), _ASKED))
+
+    def fetched(hot: bool) -> DataFrame:
+        asked = met.where(F.col("hot") == hot).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "n", "role", "route")).alias("asked"))
+        return docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(width, gram, buckets, hot), _PIECES)
+
+    pieces = fetched(False).repartition(buckets, "route").sortWithinPartitions("route")
+    found = pieces.mapInArrow(_search(width), _FOUND)
+    if met.where("hot").take(1):
+        windows = cut(fetched(True).drop("route"))
+        least = windows.groupBy("words").agg(F.min("doc").alias("least"))
+        found = found.union(windows.join(least, "words").where("doc > least").select("doc", "tag", "start", F.lit(1).alias("n")))
+    return found.withColumnRenamed("doc", "doc_id")
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -272,57 +287,59 @@ def _plain(docs: DataFrame) -> DataFrame:
 
 
 def _keep(width: int, digest: bool):
-    """(text, starts, ns, ...rest) to (kept or its digest, n_words, n_removed, ...rest)."""
+    """(text, runs, ...rest) to (kept or its digest, n_words, n_removed, ...rest)."""
 
     def run(batches):
         for batch in batches:
-            texts, starts, ns = (batch.column(i).to_pylist() for i in range(3))
+            texts, found = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             kept, total, gone = [], [], []
-            for text, s, n in zip(texts, starts, ns, strict=True):
-                words = (text or "").encode().split()
+            for text, spans in zip(texts, found, strict=True):
+                raw = (text or "").encode()
+                words = raw.split()
                 total.append(len(words))
-                if s:
-                    s, n = np.array(s, np.int64), np.array(n, np.int64)
-                    step = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(step, np.minimum(s, len(words)), 1)
-                    np.add.at(step, np.minimum(s + n + width - 1, len(words)), -1)
-                    stay = np.cumsum(step[:-1]) == 0
-                    words = [words[i] for i in np.flatnonzero(stay).tolist()]
+                if spans:
+                    tag, step = _tag(raw), np.zeros(len(words) + 1, np.int64)
+                    s, n = (np.array([r[k] for r in spans if r["tag"] == tag], np.int64) for k in ("start", "n"))
+                    np.add.at(step, s, 1)
+                    np.add.at(step, s + n + width - 1, -1)
+                    words = [words[i] for i in np.flatnonzero(np.cumsum(step[:-1]) == 0).tolist()]
                 gone.append(total[-1] - len(words))
                 if digest:
                     kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 else:
                     kept.append(b" ".join(words).decode() if gone[-1] else text)
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), *batch.columns[3:]], names=["kept", "n_words", "n_removed", *batch.schema.names[3:]])
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), *batch.columns[2:]], names=["kept", "n_words", "n_removed", *batch.schema.names[2:]])
 
     return run
 
 
-def _with_runs(docs: DataFrame, width: int, hot_runs: int) -> DataFrame:
-    per_doc = repeated_windows(docs, width, hot_runs).groupBy("doc_id").agg(F.collect_list("start").alias("__starts"), F.collect_list("n").alias("__ns"))
-    per_doc = per_doc.withColumnRenamed("doc_id", "__id")
-    return docs.join(per_doc, F.col("doc_id").cast("long") == F.col("__id"), "left")
+def _runs_of(docs: DataFrame, width: int, shard_words: int) -> DataFrame:
+    return repeated_windows(docs, width, shard_words).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "n")).alias("runs"))
 
 
-def repeat_digest(docs: DataFrame, width: int = 13, hot_runs: int = 512) -> DataFrame:
+def repeat_digest(docs: DataFrame, width: int = 13, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) for each row of docs.
 
-    Null text: no words.  Rows without an id are left out; rows with equal ids are not compared with each other; an
-    empty table gives no rows.
+    docs: doc_id, text; other columns are ignored.  Null text: no words.  Rows without an id are left out; rows with
+    equal ids are not compared with each other, and each loses what smaller ids hold; an empty table gives no rows.
     """
     # the same plan of (doc_id, text) as in repeated_windows: Spark deals the texts out once for both joins
-    out = _with_runs(_plain(docs), width, hot_runs).select("text", "__starts", "__ns", "doc_id").mapInArrow(_keep(width, True), "kept string, n_words long, n_removed long, doc_id long")
+    out = _plain(docs).join(_runs_of(docs, width, shard_words), "doc_id", "left").select("text", "runs", "doc_id")
+    out = out.mapInArrow(_keep(width, True), "kept string, n_words long, n_removed long, doc_id long")
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
-def remove_repeats(docs: DataFrame, width: int = 13, hot_runs: int = 512) -> DataFrame:
-    """docs with repeated windows removed from text, other columns as they are, and n_removed.
+def remove_repeats(docs: DataFrame, width: int = 13, shard_words: int = SHARD_WORDS, count: str | None = None) -> DataFrame:
+    """docs with repeated windows removed from text and other columns as they are, whatever their names.
 
-    A text that loses words becomes its kept words joined by one space; any other stays as it was, null included.
+    A text that loses words becomes its kept words joined by one space; any other stays as it was, null included.  Rows
+    without an id stay as they are.  count: the name of a further column, the number of words removed; docs has none such.
     """
-    rest = [c for c in docs.columns if c not in ("text", "n_removed")]
-    body = F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__rest")
-    joined = _with_runs(docs, width, hot_runs).select(F.col("text").cast("string").alias("text"), "__starts", "__ns", body)
-    kind = dict(joined.dtypes)["__rest"]
-    out = joined.mapInArrow(_keep(width, False), f"kept string, n_words long, n_removed long, __rest {kind}")
-    return out.select(*[F.col("kept").alias("text") if c == "text" else F.col("n_removed") if c == "n_removed" else F.col(f"__rest.`{c}`") for c in [*(c for c in docs.columns if c != "n_removed"), "n_removed"]])
+    if count in docs.columns:
+        raise ValueError(f"docs has a column {count} already")
+    body = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("body"))
+    runs_of = _runs_of(docs, width, shard_words).withColumnRenamed("doc_id", "id")
+    joined = body.join(runs_of, "id", "left").select("text", "runs", "body")
+    out = joined.mapInArrow(_keep(width, False), f"kept string, n_words long, n_removed long, body {dict(joined.dtypes)['body']}")
+    more = [F.col("n_removed").alias(count)] if count else []
+    return out.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"body.`{c}`") for c in docs.columns], *more)

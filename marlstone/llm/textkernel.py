@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +17,11 @@ import pyarrow.compute as pc
 
 CHUNK = 1 << 20
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
+_ODD = U64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_tables: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,24 +34,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse modulo 2**64."""
-    if len(_tables.get("p", ())) < n:
-        size = max(n, CHUNK + 1)
-        for name, base in (("p", _BASE), ("i", pow(_BASE, -1, 1 << 64))):
-            t = np.full(size, base, U64)
-            t[0] = 1
-            _tables[name] = np.cumprod(t, dtype=U64)
-    return _tables["p"][:n], _tables["i"][:n]
+LANES = 8
 
 
-def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of values[start:end] for each pair, in constant time each, equal for equal runs."""
-    n = len(values)
-    p, inv = powers(n + 1)
-    acc = np.zeros(n + 1, U64)
-    np.cumsum(p[:n] * values, out=acc[1:])
-    return mix((acc[end] - acc[start]) * inv[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the bytes data[start:end] for each pair.
+
+    Spans of up to 64 bytes are folded eight bytes at a time, each step a bijection of the state, so different spans of
+    at most eight bytes never collide for one length; longer spans take eight bytes of BLAKE2b.  Nothing is linear in the
+    bytes, so no arrangement of plain letters cancels out.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+    size = end - start
+    acc = mix(size.astype(U64) + U64(0xD6E8FEB86659FD93))
+    some = np.arange(len(size)) if (size > 0).all() else np.flatnonzero(size)
+    for k in range(LANES):
+        if not len(some):
+            break
+        left = size[some] - 8 * k
+        lane = lanes[start[some] + 8 * k]
+        short = left < 8
+        lane = np.where(short, lane & ((U64(1) << (np.minimum(left, 7) * 8).astype(U64)) - U64(1)), lane)
+        acc[some] = mix((acc[some] ^ lane) * _ODD + U64(k + 1))
+        some = some[left > 8]
+    if len(some):
+        raw = data.tobytes()
+        long = [hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]
+        acc[some] = np.frombuffer(b"".join(long), "<u8")
+    return acc
 
 
 class Chunk:
@@ -89,7 +101,7 @@ class Chunk:
 
     def word_hashes(self, lower: bool = False) -> np.ndarray:
         d = _LOWER[self.data] if lower else self.data
-        return span_hash(d.astype(U64) + U64(1), self.start, self.end)
+        return span_hash(d, self.start, self.end)
 
     def text(self, i: int) -> bytes:
         return self.data[self.offs[i] : self.offs[i + 1]].tobytes()
@@ -100,7 +112,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     count = max(0, len(words) - n + 1)
     acc = np.full(count, n, U64)
     for j in range(n):
-        acc = acc * U64(_BASE) + words[j : j + count]
+        acc = acc * _ODD + words[j : j + count]
         acc ^= acc >> U64(29)
     return mix(acc)
 
@@ -133,7 +145,6 @@ def chunks(column: pa.Array | pa.ChunkedArray, size: int = CHUNK) -> Iterator[Ch
 
 def release() -> None:
     """Gives freed memory back to the system, since a worker process may idle for long beside others that need it."""
-    _tables.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:

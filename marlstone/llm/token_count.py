@@ -71,7 +71,7 @@ def _count(path: str, limit: int):
         for batch in batches:
             for chunk in chunks(batch.column(0)):
                 row, a, b = pre_tokens(chunk)
-                keys, first, back = np.unique(span_hash(chunk.data.astype(U64) + U64(1), a, b), return_index=True, return_inverse=True)
+                keys, first, back = np.unique(span_hash(chunk.data, a, b), return_index=True, return_inverse=True)
                 if len(known) > KNOWN:
                     known.clear()
                 got = [known.get(k, -1) for k in keys.tolist()]

@@ -73,8 +73,11 @@ def contained(rows, items, percent=80):
     return out
 
 
-#: Texts that every operator has to take: empty, blank, null, short, other scripts, repeats, special strings, very long.
-EDGES = ["", None, " ", " \t\n\x0b\f\r ", "one", "a b c d", "a b c d", "A B c D", "日本語 テスト", "é ́x y\u0085z", "<|endoftext|> <s> </s>", "x" * 5000, "again " * 3000, "\x00 \x1c", "a▁ ▁b"]
+#: Texts that every operator has to take: empty, blank, null, short, other scripts, repeats, special strings, very long,
+#: and two words over which polynomial hashes modulo a power of two agree.
+_THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+_OTHER = _THUE.translate(str.maketrans("ab", "ba"))
+EDGES = [_THUE, _OTHER, f"{_THUE} " + " ".join(f"k{i}" for i in range(20)), f"{_OTHER} " + " ".join(f"k{i}" for i in range(20)), "", None, " ", " \t\n\x0b\f\r ", "one", "a b c d", "a b c d", "A B c D", "日本語 テスト", "é ́x y\u0085z", "<|endoftext|> <s> </s>", "x" * 5000, "again " * 3000, "\x00 \x1c", "a▁ ▁b"]
 
 
 def mutate(text, rng, n):

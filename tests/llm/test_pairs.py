@@ -2,12 +2,14 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import EDGES, components, contained, corpus, kept_words, shingles, words
 
 from marlstone.llm import decontaminate, jaccard_join, substring_dedup
 from marlstone.llm.cluster import components as spark_components
 from marlstone.llm.fm_index import FMIndex, WaveletMatrix
+from marlstone.llm.textkernel import chunks, span_hash
 
 SCHEMA = "doc_id long, text string"
 
@@ -42,7 +44,7 @@ def test_empty_and_clashing_columns(spark):
     assert decontaminate.contained_items(empty, spark.createDataFrame([], "item_id long, text string")).count() == 0
     odd = spark.createDataFrame([(1, "a b", 2, "k"), (2, "a b", 3, "k")], "doc_id long, text string, component_id long, n_removed string")
     assert {tuple(r) for r in jaccard_join.jaccard_components(odd).collect()} == {(1, 1, 1), (2, 1, 1)}
-    assert substring_dedup.remove_repeats(odd).columns == ["doc_id", "text", "component_id", "n_removed"]
+    assert substring_dedup.remove_repeats(odd).columns == odd.columns
 
 
 @pytest.mark.parametrize("block_rows", [4096, 16])
@@ -107,43 +109,83 @@ def test_spark_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100, 102: 100}
 
 
-@pytest.mark.parametrize("hot_runs", [512, 2])
-def test_repeats_match_brute_force(spark, rows, hot_runs):
+@pytest.mark.parametrize("shard_words", [200_000, 1000, 40])
+def test_repeats_match_brute_force(spark, rows, shard_words):
+    """The least shard sends most keys to the windows' path."""
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.repeat_digest(df, hot_runs=hot_runs).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.repeat_digest(df, shard_words=shard_words).collect()}
     want = {d: (len(words(dict(rows)[d])), len(words(dict(rows)[d])) - len(k), hashlib.sha256(" ".join(k).encode()).hexdigest()) for d, k in kept_words(rows).items()}
     assert got == want
 
 
+@pytest.mark.parametrize("shard_words", [200_000, 40])
+def test_rows_of_one_id(spark, shard_words):
+    """Rows with equal ids are not compared, and each text loses only what it shares with smaller ids."""
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(w[:30])), (2, " ".join(w[:20])), (2, " ".join(["x"] * 3 + w[5:25])), (2, " ".join(w[30:])), (2, " ".join(w[30:])), (3, " ".join(w[40:]))]
+    df = spark.createDataFrame([(*r, 0, "k") for r in rows], SCHEMA + ", n_removed int, id string").repartition(3)
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.repeat_digest(df, shard_words=shard_words).collect())
+    assert got == [(1, 30, 0), (2, 20, 20), (2, 23, 20), (2, 30, 0), (2, 30, 0), (3, 20, 20)]
+    kept = substring_dedup.remove_repeats(df, shard_words=shard_words, count="gone")
+    assert kept.columns == [*df.columns, "gone"] and {(r.n_removed, r.id) for r in kept.collect()} == {(0, "k")}
+    assert sorted(r.text for r in kept.where("gone > 0").collect()) == ["", "", "x x x"]
+    with pytest.raises(ValueError):
+        substring_dedup.remove_repeats(df, count="n_removed")
+
+
 def test_texts_without_repeats_stay_as_they_are(spark):
     long = " ".join(f"w{i}" for i in range(20))
     df = spark.createDataFrame([(1, f"  {long}\n"), (2, f"x\n{long} y"), (3, None), (None, long)], SCHEMA)
-    got = {r.doc_id: (r.text, r.n_removed) for r in substring_dedup.remove_repeats(df).collect()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in substring_dedup.remove_repeats(df, count="n_removed").collect()}
     assert got == {1: (f"  {long}\n", 0), 2: ("x y", 20), 3: (None, 0), None: (long, 0)}
 
 
-def test_wavelet_rank():
+def test_wavelet_rank_and_access():
     rng = np.random.default_rng(0)
     seq = rng.integers(0, 37, 500)
     w = WaveletMatrix(seq, 37)
     symbols, at = rng.integers(0, 37, 300), rng.integers(0, 501, 300)
     assert w.rank(symbols, at).tolist() == [int((seq[:i] == c).sum()) for c, i in zip(symbols, at, strict=True)]
+    symbol, seen = w.access(np.arange(500))
+    assert symbol.tolist() == seq.tolist() and seen.tolist() == [int((seq[:i] == c).sum()) for i, c in enumerate(seq)]
 
 
 @pytest.mark.parametrize("width", [1, 2, 3, 5, 8, 13])
-def test_backward_search(width):
+def test_matching_statistics(width):
+    """Lengths, intervals and least owners for sequences in and out of the index, unknown words included."""
     rng = random.Random(width)
-    pieces = [[b"%d" % rng.randrange(3) for _ in range(rng.randrange(0, 25))] for _ in range(40)]
+    sample = lambda k, v: [b"%d" % rng.randrange(v) for _ in range(k)]
+    pieces = [sample(rng.randrange(0, 25), 3) for _ in range(40)]
+    base = sample(22, 5)
+    pieces += [base[rng.randrange(5) :] for _ in range(5)]
     owners = np.array([rng.randrange(10) for _ in pieces])
     index = FMIndex(pieces, owners, width)
-    least = {}
+    queries = [sample(rng.randrange(0, 25), 4) for _ in range(30)] + pieces[::3] + [base + sample(2, 3)]
+    occ = {}
     for p, o in zip(pieces, owners.tolist(), strict=True):
-        for i in range(len(p) - width + 1):
-            k = tuple(p[i : i + width])
-            least[k] = min(o, least.get(k, o))
-    pos, got = index.least_owner()
-    want = {int(f) + i: least[tuple(p[i : i + width])] for f, p in zip(index.first, pieces, strict=True) for i in range(len(p) - width + 1)}
-    assert dict(zip(pos.tolist(), got.tolist(), strict=True)) == want
+        for k in range(1, width + 1):
+            for i in range(len(p) - k + 1):
+                occ.setdefault(tuple(p[i : i + k]), []).append(o)
+    query, place, length, low, high = index.matching_statistics([index.encode(q) for q in queries])
+    assert len(query) == sum(map(len, queries))
+    for q, i, n, a, b in zip(query.tolist(), place.tolist(), length.tolist(), low.tolist(), high.tolist(), strict=True):
+        rest = queries[q][i:]
+        assert n == next((k for k in range(min(width, len(rest)), 0, -1) if tuple(rest[:k]) in occ), 0) and (not n or b - a == len(occ[tuple(rest[:n])]))
+    full = length == width
+    want = [min(occ[tuple(queries[q][i : i + width])]) for q, i in zip(query[full].tolist(), place[full].tolist(), strict=True)]
+    assert index.least_owner(low[full], high[full]).tolist() == want and want
+
+
+def test_word_hashes_tell_plain_words_apart():
+    """The Thue-Morse word and its complement, over which polynomial hashes modulo a power of two agree, and all short spans."""
+    t = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    chunk = next(chunks(pa.array([t, t.translate(str.maketrans("ab", "ba"))])))
+    assert len(set(chunk.word_hashes().tolist())) == 2
+    data = np.frombuffer(t[:400].encode(), np.uint8)
+    spans = [(a, a + k) for k in (0, 1, 7, 8, 9, 63, 64, 65, 130) for a in range(200)]
+    got = span_hash(data, *map(np.array, zip(*spans, strict=True))).tolist()
+    names = {}
+    assert all(names.setdefault(data[a:b].tobytes(), h) == h for (a, b), h in zip(spans, got, strict=True)) and len(set(names.values())) == len(names)
 
 
 def test_contained_items_match_brute_force(spark, rows):
