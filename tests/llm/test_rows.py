@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import EDGES, words
 from pyspark.sql import functions as F
@@ -55,6 +56,32 @@ def test_token_counts(docs):
         assert got[r.doc_id] == (len((r.text or "").encode()), n, n > 900), r.doc_id
 
 
+def test_token_counts_of_many_blocks(spark, docs):
+    """Blocks of a few documents, repeated rows, null ids and clashing columns."""
+    rows = [(r.doc_id, r.text) for r in docs.limit(120).collect()]
+    want = sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in token_count.token_counts(docs).collect() if r.doc_id in dict(rows))
+    assert len(want) == 120
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows * 2] + [(None, "a b", 1, "k")], SCHEMA + ", n_tokens int, payload string").repartition(3)
+    got = [(r.doc_id, r.n_bytes, r.n_tokens) for r in token_count.token_counts(df, block=3000).collect()]
+    assert sorted(x for x in got if x[0] is not None) == sorted(want * 2) and [x[:2] for x in got if x[0] is None] == [(None, 3)]
+    assert token_count.token_counts(df.limit(0)).count() == 0
+
+
+def test_each_pre_token_is_counted_once(monkeypatch):
+    asked = []
+
+    class Model:
+        def encode(self, texts, num_threads):
+            asked.extend(texts)
+            return [[0] * len(t) for t in texts]
+
+    monkeypatch.setattr(token_count, "_load", lambda path: (Model(), 1))
+    payload = [token_count.pack(np.array([1, 2, 1], np.uint64)) + b"abba", token_count.pack(np.array([1, 0], np.uint64)) + b"a", b"kept"]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 3), pa.array([1, 2, 3]), pa.array([0, 0, -1], pa.int32()), pa.array(payload, pa.binary())], names=["bucket", "block", "part", "payload"])
+    out = [r for b in token_count._count("")([batch, batch]) for r in b.column(2).to_pylist()]
+    assert asked == ["a", "bb"] and [token_count.unpack(b)[0].tolist() for b in out[:2]] == [[1, 2, 1], [1, 1]] and out[2] == b"kept" and len(out) == 6
+
+
 @pytest.mark.parametrize("parts", [1, 5])
 def test_packing_round_trip(docs, parts):
     from tokenizers import Tokenizer
