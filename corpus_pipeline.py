@@ -16,7 +16,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The least document of each group linked by shingle Jaccard similarity of 0.8 or more; rows without an id stay."""
-    found = jaccard_join.jaccard_components(docs)
+    found = jaccard_join.jaccard_join(docs)
     gone = fresh(docs, "gone")
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone))
     return docs.join(drop, docs["doc_id"] == drop[gone], "left_anti")
