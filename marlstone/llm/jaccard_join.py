@@ -1,21 +1,23 @@
 """N-gram Jaccard join: blocked sparse products of the document by n-gram incidence matrix.
 
-Exact: every pair with ``100 * |A & B| >= threshold_pct * |A | B|`` is a link.  ``jaccard_join`` counts each document's
-links and ``jaccard_pairs`` gives them between distinct texts; ``jaccard_components`` needs no more than their components.
+Exact: every pair with ``100 * |A & B| >= threshold_pct * |A | B|`` is a link.  ``jaccard_join`` gives each document's
+component and counts its links; ``jaccard_pairs`` gives the links between distinct texts.
 
-1. Rows with equal texts are one row of the products; their least id stands for them.
-2. Candidate blocks.  Sets of sizes x <= y that reach the threshold differ in at most ``(x + y)(1 - t)/(1 + t)``
+1. Rows with equal texts are one row of the matrix; their least id stands for them.
+2. Row blocks.  The full product would meet every pair that shares any n-gram, so a filter without false negatives
+   chooses rows first.  Sets of sizes x <= y that reach the threshold differ in at most ``(x + y)(1 - t)/(1 + t)``
    elements.  A set is cut by hash range into m buckets, m larger than that bound, so a linked pair agrees on whole
    buckets; a bucket's content hash is a signature (the PartEnum scheme of Arasu, Ganti and Kaushik, 2006).  m depends
    on the size class; a set signs for its class and for the one below, since sizes of a linked pair differ by 1/t at
-   most.  A signature stands for several shingles at once, so a passage that many documents share makes few candidates.
-   Equal signatures within one batch are collapsed before the shuffle, which carries packed arrays.
-3. Components of the candidate graph are the blocks.  A distinct text is sent to one block; in it, pivot rows are
-   multiplied with the block's remaining rows, and a pair counts only if its overlap reaches the bound its sizes give.
-4. For components alone, a block of over ``block_rows`` rows is dealt over tasks with its least document as pivot in
-   each.  Rows that this pivot's group didn't take are then multiplied, block by block, with all rows of that component.
-5. For links, every pair of a block's rows whose sizes allow it is tested; a block of over ``block_rows`` rows is dealt
-   into groups, and each pair of groups, and each group with itself, is a cell of its own.
+   most.  Pairs that agree on fewer signatures than a linked pair must are dropped.  A signature stands for several
+   shingles at once, so a passage that many documents share makes few candidates.  Equal signatures within one batch are
+   collapsed before the shuffle, which carries packed arrays.
+3. Components of what is left are blocks of rows.  One of over ``block_rows`` rows is dealt into groups, and each pair of
+   groups, and each group with itself, is a cell of its own, so that any two rows of a component meet once.
+4. A cell's product is summed over blocks of columns, from rare n-grams to frequent ones, into a matrix of overlap counts
+   so far.  After each block a pair can still gain what the shorter of its rows has left; rows of which no pair can
+   reach the bound that its sizes give leave the product.  Rare columns add their pairs, frequent ones are multiplied as
+   dense blocks.
 """
 
 from __future__ import annotations
@@ -24,15 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.cluster import bucket_of, components, cut, parts
+from marlstone.llm.cluster import bucket_of, buckets_for, components, cut, parts
 from marlstone.llm.textkernel import Chunk, U64, chunks, gram_hashes, mix, release
 
 FLUSH = 400_000
 LARGE = 32
 PAIR, SIZE, MEMBER = 1, 2, 4
+#: A column that over this share of a cell's rows has is multiplied as a part of a dense block of BLOCK_CELLS numbers.
+DENSE, BLOCK_CELLS, SLAB = 0.08, 1 << 21, 256
 SURE = 1 << 40  # the count of a pair whose sets were compared already
 _OUT = "kind int, a long, b long, c long, bucket int, ids binary, sigs binary"
 _MET = "kind int, a long, b long, c long"
@@ -217,7 +221,7 @@ def _meet(batches):
 
 def candidates(docs: DataFrame, n: int, threshold_pct: int) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) of which the components hold all linked pairs, and (doc_id, n_shingles)."""
-    buckets = parts(docs.sparkSession)
+    buckets = buckets_for(docs)
     met = docs.mapInArrow(_sign(n, threshold_pct, buckets), _OUT).repartition(buckets, "bucket").mapInArrow(_meet, _MET)
     met = cut(met)
     sizes = met.where(F.col("kind") == SIZE).groupBy(F.col("a").alias("doc_id")).agg(F.max("b").alias("n_shingles"), F.min("c").alias("need"))
@@ -229,68 +233,91 @@ def candidates(docs: DataFrame, n: int, threshold_pct: int) -> tuple[DataFrame,
     pairs = pairs.where(F.col("c") < SURE).repartition(buckets, "a").groupBy("a", "b").agg(F.sum("c").alias("c"))
     for side in ("a", "b"):
         pairs = pairs.join(need.select(F.col("doc_id").alias(side), "need"), side).where("c >= need").drop("need")
-    star = member.join(need.where("need < 1"), "doc_id", "left_semi")
-    star = star.join(star.groupBy("sig").agg(F.min("doc_id").alias("least")), "sig").where("doc_id > least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    # a large group's members lead to the least of a salted part of it, and these to the least of all
+    star = member.join(need.where("need < 1"), "doc_id", "left_semi").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    star = star.withColumn("near", F.min("doc_id").over(Window.partitionBy("sig", "salt")))
+    hub = star.where("doc_id = near").select("sig", "doc_id").distinct().withColumn("near", F.min("doc_id").over(Window.partitionBy("sig")))
+    star = star.select("doc_id", "near").union(hub.select("doc_id", "near")).where("doc_id > near").select(F.col("doc_id").alias("a"), F.col("near").alias("b"))
     return pairs.select("a", "b").union(sure).union(star.distinct()), sizes.select("doc_id", "n_shingles")
 
 
-def linked(sets: list[np.ndarray], threshold_pct: int, query: np.ndarray | None = None, label: np.ndarray | None = None) -> np.ndarray:
-    """The least index linked with each row, by products of pivot rows with the rows not reached so far.
+def _sparse(counts: np.ndarray, holders: np.ndarray, start: np.ndarray, spread: np.ndarray, n0: int) -> None:
+    """Adds the pairs of rows that share a column to counts; a column's rows are holders[start:start + spread], in order.
 
-    query: only these rows are pivots, and every pair that holds one of them is tested; label: rows that are known to
-    be linked have equal labels.
+    n0: rows below it are the first side's, and only pairs of both sides count; 0 for pairs within one side.
     """
-    k = len(sets)
-    size = np.array([len(s) for s in sets])
-    root = np.arange(k)
-    if label is not None:
-        _, first, back = np.unique(label, return_index=True, return_inverse=True)
-        root = first[back]
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = int(root[i])
-        return i
-
-    grams, cols = np.unique(np.concatenate(sets), return_inverse=True)
-    at = np.concatenate(([0], np.cumsum(size)))
-    mark = np.zeros(len(grams), np.int32)
-
-    def reach(p: int, rest: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        own = cols[at[p] : at[p + 1]]
-        mark[own] = 1
-        overlap = np.add.reduceat(mark[flat], starts)
-        mark[own] = 0
-        return 100 * overlap >= threshold_pct * (size[p] + size[rest] - overlap)
-
-    def rows(rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = size[rest]
-        starts = np.concatenate(([0], np.cumsum(n)[:-1]))
-        return cols[np.arange(n.sum()) + np.repeat(at[rest] - starts, n)], starts
-
-    rest = np.flatnonzero(size)
-    if query is not None:
-        for p in np.flatnonzero(query & (size > 0)).tolist():
-            near = rest[(100 * size[rest] >= threshold_pct * size[p]) & (100 * size[p] >= threshold_pct * size[rest]) & (rest != p)]
-            if len(near):
-                for j in near[reach(p, near, *rows(near))].tolist():
-                    x, y = find(p), find(j)
-                    root[max(x, y)] = min(x, y)
-        return np.array([find(i) for i in range(k)])
-    rest = rest.copy()
-    while len(rest):
-        queue, rest, top = [int(rest[0])], rest[1:], int(rest[0])
-        flat, starts = rows(rest)
-        while queue and len(rest):
-            p = queue.pop()
-            hit = reach(p, rest, flat, starts)
-            if hit.any():
-                root[rest[hit]] = top
-                queue.extend(rest[hit].tolist())
-                rest = rest[~hit]
-                flat, starts = rows(rest)
-    return root
+    k0, k1 = counts.shape
+    for d in np.unique(spread).tolist():
+        cols = start[spread == d]
+        x, y = np.triu_indices(d, 1)
+        step = max(1, 2_000_000 // len(x))
+        for i in range(0, len(cols), step):
+            rows = holders[cols[i : i + step, None] + np.arange(d)]
+            a, b = rows[:, x].ravel(), rows[:, y].ravel()
+            if n0:
+                across = (a < n0) & (b >= n0)
+                a, b = a[across], b[across] - n0
+            at = a * k1 + b
+            if k0 * k1 <= 4 * len(at):
+                counts += np.bincount(at, minlength=k0 * k1).reshape(k0, k1)
+            else:
+                np.add.at(counts.reshape(-1), at, 1)
+
+
+def overlap_counts(owner: np.ndarray, cols: np.ndarray, size: np.ndarray, n0: int, threshold_pct: int) -> np.ndarray:
+    """Overlaps of rows (of both sides if n0, else of pairs a < b) as a matrix; 0 or too little for pairs without a link.
+
+    owner, cols: the elements of the incidence matrix, by row; size: the rows' whole sizes, in order within a side.
+    """
+    k, t = len(size), threshold_pct
+    spread = np.bincount(cols)
+    rare = np.argsort(spread, kind="stable")  # columns from rare to frequent
+    place = np.empty_like(rare)
+    place[rare] = np.arange(len(rare))
+    order = np.argsort(place[cols] * k + owner)
+    holders, spread = owner[order], spread[rare]
+    start = np.cumsum(spread) - spread
+    counts = np.zeros((n0, k - n0) if n0 else (k, k), np.float32)
+    left = np.bincount(owner, minlength=k).astype(np.float32)
+    dense = int(np.searchsorted(spread, max(2, k * DENSE), "right"))  # from there on a dense product is cheaper
+    live = np.arange(k)
+    width = max(64, BLOCK_CELLS // max(k, 1))
+    blocks = [(0, dense), *((c, min(c + width, len(spread))) for c in range(dense, len(spread), width))]
+    for number, (c, d) in enumerate(blocks):
+        if c == d:
+            continue
+        own = holders[start[c] : start[d - 1] + spread[d - 1]]
+        left -= np.bincount(own, minlength=k)
+        if d <= dense:
+            _sparse(counts, holders, start[c:d], spread[c:d], n0)
+        else:
+            x = np.zeros((k, d - c), np.float32)
+            x[own, np.repeat(np.arange(d - c), spread[c:d])] = 1
+            if n0:
+                one, two = live[live < n0], live[live >= n0]
+                counts[np.ix_(one, two - n0)] += x[one] @ x[two].T
+            else:
+                counts[np.ix_(live, live)] += x[live] @ x[live].T
+        if number + 1 < len(blocks) and len(live):
+            live = _still_live(counts, left, size, live, n0, t)
+            if not len(live):
+                break
+    return counts
+
+
+def _still_live(counts: np.ndarray, left: np.ndarray, size: np.ndarray, live: np.ndarray, n0: int, t: int) -> np.ndarray:
+    """The rows of which some pair can still reach its bound, from the rows that could before."""
+    one, two = (live[live < n0], live[live >= n0]) if n0 else (live, live)
+    good = np.zeros(len(size), bool)
+    for i in range(0, len(one), SLAB):
+        p = one[i : i + SLAB]
+        most = counts[np.ix_(p, two - n0)] + np.minimum(left[p][:, None], left[two])
+        can = (100 + t) * most >= t * (size[p][:, None] + size[two])
+        if not n0:
+            can &= p[:, None] < two
+        good[p[can.any(1)]] = True
+        good[two[can.any(0)]] = True
+    return np.flatnonzero(good)
 
 
 def near_pairs(sets: list[np.ndarray], threshold_pct: int, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -302,78 +329,24 @@ def near_pairs(sets: list[np.ndarray], threshold_pct: int, side: np.ndarray | No
     size = np.array([len(s) for s in sets], np.int64)
     rows = np.flatnonzero(size)
     side = np.zeros(len(size), np.int64) if (one := side is None) else side.astype(np.int64)
-    rows = rows[np.lexsort((size[rows], side[rows]))]
+    rows = rows[np.argsort(side[rows], kind="stable")]
     k, size, side = len(rows), size[rows], side[rows]
-    if not k:
+    n0 = 0 if one else int((side == 0).sum())
+    if k < 2 or not one and n0 in (0, k):
         return
-    grams, cols, spread = np.unique(np.concatenate([sets[i] for i in rows.tolist()]), return_inverse=True, return_counts=True)
+    _, cols, spread = np.unique(np.concatenate([sets[i] for i in rows.tolist()]), return_inverse=True, return_counts=True)
     met = spread > 1  # what a single row has is in no overlap
     owner = np.repeat(np.arange(k), size)[met[cols]]
-    cols, spread = (np.cumsum(met) - 1)[cols[met[cols]]], spread[met]
-    del grams
-    n0 = int((side == 0).sum())
-    if one:
-        low, high, pivots = np.arange(1, k + 1), np.searchsorted(size, size * 100 // t, "right"), k
-    else:  # pivots of side 0, and the rows of side 1 whose sizes allow a link
-        low, high, pivots = n0 + np.searchsorted(size[n0:], (size[:n0] * t + 99) // 100, "left"), n0 + np.searchsorted(size[n0:], size[:n0] * 100 // t, "right"), n0
-    words = len(spread) // 64 + 1
-    by_bits = words * k <= 1 << 23 and words * int(np.maximum(high[:pivots] - low[:pivots], 0).sum()) < 4 * int((spread.astype(np.int64) ** 2).sum())
-    if by_bits:
-        bits = np.zeros(words * k, np.uint64)
-        np.add.at(bits, (cols >> 6) * k + owner, U64(1) << (cols & 63).astype(U64))
-        bits = bits.reshape(words, k)
-    else:
-        at = np.searchsorted(owner, np.arange(k + 1))
-        order = np.argsort(cols, kind="stable")
-        holders, start = owner[order], np.concatenate(([0], np.cumsum(spread)))
-    for p in range(pivots):
-        x, y = int(low[p]), int(high[p])
-        if x >= y:
-            continue
-        if by_bits:
-            overlap = np.bitwise_count(bits[:, x:y] & bits[:, p : p + 1]).sum(axis=0, dtype=np.int64)
-        else:
-            own = cols[at[p] : at[p + 1]]
-            n = spread[own]
-            found = holders[np.arange(n.sum()) + np.repeat(start[own] - np.concatenate(([0], np.cumsum(n)))[:-1], n)]
-            overlap = np.bincount(found, minlength=k)[x:y]
-        hit = np.flatnonzero(100 * overlap >= t * (size[p] + size[x:y] - overlap))
-        if len(hit):
-            yield int(rows[p]), rows[x + hit], overlap[hit]
-
-
-def _multiply(n: int, threshold_pct: int, queries: bool):
-    """Rows (text, comp, cell, doc_id, flag, label) sorted by comp and cell to edges (row, least linked row of its cell)."""
-
-    def block(rows: list[tuple]):
-        rows.sort(key=lambda r: (r[0], not r[1]))
-        rows = [r for i, r in enumerate(rows) if not i or r[0] != rows[i - 1][0]]
-        ids = [r[0] for r in rows]
-        sets = [r[3] for r in rows]
-        if queries:
-            root = linked(sets, threshold_pct, np.array([r[1] for r in rows], bool), np.array([r[2] for r in rows]))
-        else:
-            root = linked(sets, threshold_pct)
-        for i, j in enumerate(root.tolist()):
-            yield ids[i], ids[j]
-
-    def run(batches):
-        key, rows = None, []
-        for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns[1:]]
-            sets = [s for chunk in chunks(batch.column(0)) for s in shingle_sets(chunk, n)]
-            out = []
-            for comp, cell, doc, flag, label, grams in zip(*cols, sets, strict=True):
-                if (comp, cell) != key and rows:
-                    out.extend(block(rows))
-                    rows = []
-                key = (comp, cell)
-                rows.append((doc, bool(flag), label, grams))
-            yield _pairs(out)
-        if rows:
-            yield _pairs(list(block(rows)))
-
-    return run
+    cols = (np.cumsum(met) - 1)[cols[met[cols]]]
+    counts = overlap_counts(owner, cols, size, n0, t)
+    for i in range(0, len(counts), SLAB):
+        part = counts[i : i + SLAB].astype(np.int64)
+        hits = (100 + t) * part >= t * (size[i : i + SLAB][: len(part), None] + size[n0:])
+        if one:
+            hits &= np.arange(i, i + len(part))[:, None] < np.arange(k)
+        for p in np.flatnonzero(hits.any(1)).tolist():
+            hit = np.flatnonzero(hits[p])
+            yield int(rows[i + p]), rows[n0 + hit], part[p, hit]
 
 
 def _by_cell(n: int, block):
@@ -409,6 +382,7 @@ def _by_cell(n: int, block):
 
 def _near(rows: list[tuple], threshold_pct: int):
     """A cell's ids in order, their copies, and its linked pairs; label: copies of the text, negative on the second side."""
+    rows = list({r[0]: r for r in rows}.values())  # a repeated row counts once
     rows.sort(key=lambda r: r[0])
     ids, label = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
     return ids, np.abs(label), near_pairs([r[3] for r in rows], threshold_pct, label < 0 if rows[0][1] else None)
@@ -453,15 +427,6 @@ def _list(n: int, threshold_pct: int):
     return _by_cell(n, block)
 
 
-def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
-
-
-def _cell_product(cells: DataFrame, docs: DataFrame, n: int, threshold_pct: int, queries: bool) -> DataFrame:
-    """cells: doc_id, comp, cell, flag, label; a document may be in several cells."""
-    return _in_cells(cells, docs, _multiply(n, threshold_pct, queries), "a long, b long")
-
-
 def _in_cells(cells: DataFrame, docs: DataFrame, run, schema: str) -> DataFrame:
     rows = cells.join(docs, "doc_id").select("text", "comp", "cell", "doc_id", "flag", "label")
     rows = rows.repartition(parts(docs.sparkSession), "comp", "cell").sortWithinPartitions("comp", "cell")
@@ -486,23 +451,30 @@ def _all_cells(comp: DataFrame, block_rows: int) -> DataFrame:
     return rows.select(F.col("node").alias("doc_id"), F.col("component").alias("comp"), cell.alias("cell"), (F.col("g") != F.col("x")).alias("flag"), label.alias("label"))
 
 
-def _blocks(docs: DataFrame, n: int, threshold_pct: int, block_rows: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(doc_id, key), the texts' (key, doc_id, copies), (doc_id, n_shingles), and the cells of texts with candidates."""
-    keyed = docs.select("doc_id", F.md5("text").alias("key")).dropDuplicates(["doc_id"])
+def _blocks(docs: DataFrame, n: int, threshold_pct: int, block_rows: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows to take part, (doc_id, key), the texts' (key, doc_id, copies), (doc_id, n_shingles), cells of texts with candidates."""
+    keyed = cut(docs.groupBy("doc_id").agg(F.min(F.md5("text")).alias("key"), F.max(F.md5("text")).alias("last")))
+    if keyed.where("key <> last").take(1):
+        own = keyed.select(F.col("doc_id").alias("id"), "key")
+        docs = docs.join(own, (F.col("doc_id") == F.col("id")) & (F.md5("text") == F.col("key")), "left_semi")
+    keyed = keyed.drop("last")
     first = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
     edges, sizes = candidates(docs, n, threshold_pct)
     comp = components(edges).join(first.select(F.col("doc_id").alias("node"), "copies"), "node")
-    return keyed, first, sizes, _all_cells(cut(comp), block_rows)
+    return docs, keyed, first, sizes, _all_cells(cut(comp), block_rows)
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, threshold_pct: int = 80, block_rows: int = 4096) -> DataFrame:
-    """The columns of jaccard_components, text_id and n_links.
-
-    n_links (long) counts the other documents linked with a document, its exact copies included; text_id is the least
-    doc_id of an equal text, which stands for it in jaccard_pairs.  docs and special rows as in jaccard_components.
+    """Components and counts of links of documents by Jaccard similarity of n-word shingle sets.
+
+    docs: doc_id and text; other columns are ignored, rows with a null id are left out.  Returns doc_id, n_shingles
+    (long), component_id (the least doc_id reachable by links), text_id (the least doc_id of an equal text, which stands
+    for it in jaccard_pairs) and n_links (long: the other documents linked with it, exact copies included).  A-Z count as
+    lower case.  A null, empty or blank text has no shingles and is linked with nothing; an empty table gives no rows.
+    Rows with one id are one document and give one row: repeated rows count once, and of different texts the one with the
+    least MD5 is meant.
     """
-    docs = _texts(docs)
-    keyed, first, sizes, cells = _blocks(docs, n, threshold_pct, block_rows)
+    docs, keyed, first, sizes, cells = _blocks(_texts(docs), n, threshold_pct, block_rows)
     part = cut(_in_cells(cells, docs, _count(n, threshold_pct), "a long, b long, links long"))
     links = part.groupBy(F.col("a").alias("doc_id")).agg(F.sum("links").alias("links"))
     whole = components(part.select("a", "b")).select(F.col("node").alias("doc_id"), "component")
@@ -520,61 +492,5 @@ def jaccard_pairs(docs: DataFrame, n: int = 5, threshold_pct: int = 80, block_ro
 
     With text_id of jaccard_join they give all links of documents.  Their number grows with the square of a group's size.
     """
-    docs = _texts(docs)
-    return _in_cells(_blocks(docs, n, threshold_pct, block_rows)[3], docs, _list(n, threshold_pct), "a long, b long, n_shared long")
-
-
-def jaccard_components(docs: DataFrame, n: int = 5, threshold_pct: int = 80, block_rows: int = 4096) -> DataFrame:
-    """Components of documents linked by Jaccard similarity of n-word shingle sets.
-
-    docs: needs doc_id (long, unique, not null; rows with a null id are left out) and text; other columns are ignored.
-    Returns doc_id, n_shingles (long), component_id (the least doc_id reachable by links).  A-Z count as lower case.
-    A null, empty or blank text has no shingles and is linked with nothing; an empty table gives no rows; a row that
-    occurs twice with one id counts once.
-    """
-    docs = _texts(docs)
-    keyed = docs.select("doc_id", F.md5("text").alias("key"))
-    first = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id")))
-    edges, sizes = candidates(docs, n, threshold_pct)
-    comp = components(edges)
-    comp = cut(comp.join(first, F.col("node") == F.col("doc_id"), "left_semi"))  # copies of a text are one row
-    cells, wide = _cells(comp, block_rows)
-    if wide:
-        docs = cut(docs.join(comp, F.col("doc_id") == F.col("node"), "left_semi"))
-    edges = cut(_cell_product(cells, docs, n, threshold_pct, False))
-    if wide:
-        edges = _wide_blocks(edges, cells, docs, n, threshold_pct, block_rows)
-    label = edges.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("component_id"))
-    known = first.join(sizes, "doc_id").join(label, "doc_id", "left")
-    known = known.select("key", "n_shingles", F.coalesce("component_id", "doc_id").alias("c"))
-    out = keyed.dropDuplicates(["doc_id"]).join(known, "key")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("c")).alias("component_id"))
-
-
-def _cells(comp: DataFrame, block_rows: int) -> tuple[DataFrame, bool]:
-    """One cell for each row; blocks of more rows than block_rows have several, each with the least row as pivot."""
-    comp = comp.select("node", F.col("component"))
-    wide = comp.groupBy("component").count().where(F.col("count") > block_rows).select(F.col("component").alias("c"), F.ceil(F.col("count") / block_rows).cast("int").alias("k"))
-    wide = cut(wide)
-    any_wide = bool(wide.take(1))
-    cells = comp.join(wide, F.col("component") == F.col("c"), "left").select(F.col("node").alias("doc_id"), F.col("component").alias("comp"), F.coalesce("k", F.lit(1)).alias("k"))
-    home = F.pmod(F.xxhash64("doc_id"), F.col("k")).cast("int")
-    every = F.when(F.col("doc_id") == F.col("comp"), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(F.array(home))
-    return cells.select("doc_id", "comp", F.explode(every).alias("cell"), "k", F.lit(False).alias("flag"), F.lit(0).cast("long").alias("label")), any_wide
-
-
-def _wide_blocks(edges: DataFrame, cells: DataFrame, docs: DataFrame, n: int, threshold_pct: int, block_rows: int) -> DataFrame:
-    """Edges between rows that the first products of a divided block have not seen together."""
-    label = edges.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("label"))
-    mine = cut(cells.where("k > 1").dropDuplicates(["doc_id"]).select("doc_id", "comp", "k").join(label, "doc_id"))
-    left = mine.where("label <> comp")  # not in the pivot's group
-    n_left = left.groupBy("comp").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("kq"))
-    q = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("kq")).cast("int")
-    r = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("k")).cast("int")
-    both = mine.join(n_left, "comp")
-    rows = both.select("doc_id", "comp", F.explode(F.transform(F.sequence(F.lit(0), F.col("kq") - 1), lambda x: x * F.col("k") + r)).alias("cell"), F.lit(False).alias("flag"), "label")
-    asks = both.where("label <> comp").select("doc_id", "comp", F.explode(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda x: q * F.col("k") + x)).alias("cell"), F.lit(True).alias("flag"), "label")
-    more = _cell_product(rows.union(asks), docs, n, threshold_pct, True)
-    whole = cut(edges.union(more))
-    done = components(whole)
-    return done.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    docs, _, _, _, cells = _blocks(_texts(docs), n, threshold_pct, block_rows)
+    return _in_cells(cells, docs, _list(n, threshold_pct), "a long, b long, n_shared long")

@@ -20,30 +20,23 @@ def rows():
     return corpus(rng) + [(10_000 + i, t) for i, t in enumerate(EDGES)]
 
 
-@pytest.mark.parametrize("block_rows", [4096, 16])
-def test_components_match_brute_force(spark, rows, block_rows):
-    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(df, block_rows=block_rows).collect()}
-    assert got == components(rows)
-
-
 def test_near_copies_beyond_a_group_of_signatures(spark):
     """More near copies than a group may have members, so the large-group path decides."""
     rng = random.Random(1)
     base = " ".join(f"w{rng.randrange(5000)}" for _ in range(80))
     rows = [(i, base.replace(base.split()[rng.randrange(80)], f"x{i}", 1)) for i in range(150)]
     rows += [(1000 + i, " ".join(f"u{rng.randrange(5000)}" for _ in range(80))) for i in range(20)]
-    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == components(rows)
 
 
 def test_empty_and_clashing_columns(spark):
     empty = spark.createDataFrame([], SCHEMA)
-    assert jaccard_join.jaccard_components(empty).count() == 0
+    assert jaccard_join.jaccard_join(empty).count() == 0
     assert substring_dedup.repeat_digest(empty).count() == 0
     assert decontaminate.contained_items(empty, spark.createDataFrame([], "item_id long, text string")).count() == 0
     odd = spark.createDataFrame([(1, "a b", 2, "k"), (2, "a b", 3, "k")], "doc_id long, text string, component_id long, n_removed string")
-    assert {tuple(r) for r in jaccard_join.jaccard_components(odd).collect()} == {(1, 1, 1), (2, 1, 1)}
+    assert {tuple(r) for r in jaccard_join.jaccard_join(odd).collect()} == {(1, 1, 1, 1, 1), (2, 1, 1, 1, 1)}
     assert substring_dedup.remove_repeats(odd).columns == odd.columns
 
 
@@ -67,8 +60,21 @@ def test_links_match_brute_force(spark, rows, block_rows):
     assert sorted(pairs) == sorted((a, b, o) for (a, b), o in near.items() if {a, b} <= set(first.values()))
 
 
+def test_repeated_ids(spark):
+    """A repeated row counts once; of two texts of one id the one with the least MD5 is the document."""
+    a, b = "one two three four five six", "seven eight nine ten eleven"
+    least = min((a, b), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    rows = [(1, a), (1, b), (2, a), (2, a), (3, b), (4, a)]
+    got = {tuple(r) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    at, bt = (1, 3) if least == a else (2, 1)
+    assert got == {(1, len(shingles(least)), 1, 1, 2 if least == a else 1), (2, 2, at, at, 2 if least == a else 1), (3, 1, bt, bt, 1 - (least == a)), (4, 2, at, at, 2 if least == a else 1)}
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 64])
 @pytest.mark.parametrize("vocab", [150, 100_000])
-def test_near_pairs_by_bits_and_by_holders(vocab):
+def test_near_pairs(vocab, cells, monkeypatch):
+    """Sparse and dense columns, in one block and in many."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_CELLS", cells)
     rng = np.random.default_rng(vocab)
     base = rng.integers(0, vocab, 60)
     sets = [np.unique(np.where(rng.random(60) < 0.05, rng.integers(0, vocab, 60), base if i % 3 else rng.integers(0, vocab, 60))).astype(np.uint64) for i in range(90)] + [np.zeros(0, np.uint64)]
@@ -84,7 +90,7 @@ def test_threshold_is_inclusive(spark, sizes):
     """A subset of 4 in 5 shingles is linked, one less is not."""
     a, b = ([f"t{i}" for i in range(k + 4)] for k in sizes)
     rows = [(1, " ".join(a)), (2, " ".join(b))]
-    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == components(rows)
 
 
