@@ -55,7 +55,20 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
-SALTS = 16
+def dealt(rows: DataFrame, sizes: DataFrame, key: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equi-join on key and salt, in which the rows of a frequent key are dealt over several salts.
+
+    sizes: one row for each key, with n_rows, how many of rows have it (about).  A key gets as many salts as its share of
+    all rows needs, for four parts of the session's shuffle partitions; its row of sizes is repeated for each.  Of keys
+    with more than one salt there are no more than four times the partitions, and only these are broadcast.
+    """
+    some = 4 * parts(rows.sparkSession)
+    total = sizes.agg(F.greatest(F.sum("n_rows"), F.lit(1))).scalar()
+    sizes = sizes.withColumn("salts", F.ceil(F.col("n_rows") * some / total).cast("int"))
+    hot = F.broadcast(sizes.where("salts > 1").select(F.col(key).alias("hot_key"), F.col("salts").alias("hot_salts")))
+    rows = rows.join(hot, F.col(key) == F.col("hot_key"), "left").withColumn("salt", F.pmod(F.xxhash64(*by), F.coalesce("hot_salts", F.lit(1))).cast("int"))
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.greatest("salts", F.lit(1)) - 1)))
+    return rows.drop("hot_key", "hot_salts"), sizes.drop("salts", "n_rows")
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -63,20 +76,20 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps (Kiveris et al., 2014), each a grouped minimum and a join; the edge list
     never leaves the executors.  A node of very many edges is the least of its neighbourhood sooner or later; its edges
-    then stay as they are, so only nodes that move and have edges to follow are on the join's other side, and that is replicated over SALTS keys
-    among which the edges of one node are dealt.  Nodes without an edge are absent; an empty input gives an empty output.
+    then stay as they are, so only nodes that move and have edges to follow are on the join's other side; the edges of a
+    node with a large share of all are dealt over several keys.  Nodes without an edge are absent; an empty input gives an empty output.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     e = cut(e)
     for _ in range(limit):
         both = e.select("a", "b", F.lit(0).alias("down")).union(e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1)))
-        nodes = both.groupBy("a").agg(F.min("b").alias("m"), F.max("down").alias("down"), F.count_if(F.col("down") == 0).alias("up")).persist()
+        nodes = both.groupBy("a").agg(F.min("b").alias("m"), F.max("down").alias("down"), F.count_if(F.col("down") == 0).alias("up"), F.count_if(F.col("down") == 1).alias("n_rows")).persist()
         if not nodes.where("up > 1 OR up > 0 AND down = 1").take(1):  # each node but the roots has one edge, to its root
             nodes.unpersist()
             break
-        moves = nodes.where("down = 1 AND m < a").select(F.col("a").alias("b"), "m")
-        moves = moves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        large = e.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(moves, ["b", "salt"], "left")
+        moves = nodes.where("down = 1 AND m < a").select(F.col("a").alias("b"), "m", "n_rows")
+        own, moves = dealt(e, moves, "b", ["a"])
+        large = own.join(moves, ["b", "salt"], "left")
         large = large.select("a", F.coalesce("m", "b").alias("b")).repartition(parts(e.sparkSession), "a")  # for both that follow
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")

@@ -3,8 +3,10 @@
 Features are counts of hashed byte trigrams of the text with A-Z lowered, divided by their number, over whole texts.  A
 linear machine's value is then the mean of its weights over the trigrams, so scoring needs no feature vectors.
 
-The machines are fitted on at most about ``per_language`` rows of each language; the sample is by a hash of the id, and
-only its fixed-size vectors reach the driver.
+The machines are fitted on at most ``per_language`` rows of each language, those with the least hash of their ids and
+texts, and on ``SAMPLE_ROWS`` rows in all; only their fixed-size vectors reach the driver (16 kB each, 320 MB at most).
+There is one machine for each pair of families and of languages within a family, so no more than ``MAX_LANGUAGES`` are
+taken: a corpus that names more is refused, not cut.
 """
 
 from __future__ import annotations
@@ -13,13 +15,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.quality_classifier import held_out
 from marlstone.llm.textkernel import _LOWER, chunks
 
 DIM = 4096
+SAMPLE_ROWS, MAX_LANGUAGES = 20_000, 40
 UNKNOWN = "und"
 #: Families of closely related languages; any other language is a family of its own.
 FAMILIES = {
@@ -156,16 +159,14 @@ def _predict(tree):
 
 
 def fit(docs: DataFrame, per_language: int = 400, families: dict[str, str] = FAMILIES) -> Tree:
-    """docs: doc_id, text, lang.  Rows held out, without a language or without text take no part.
-
-    Expects no more languages than a driver can list; each gives about per_language vectors of DIM floats.
-    """
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0)).select("doc_id", "text", "lang")
-    counts = docs.where(~held_out() & F.col("lang").isNotNull()).groupBy("lang").count().collect()  # one row a language
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r[0], min(1_000_000, per_language * 1_000_000 // r[1] + 1)).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < share).select("text", "lang")
+    """docs: doc_id, text, lang.  Rows held out, without a language or without text take no part."""
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0)).select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    names = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if names > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: one machine for each pair of them would not be bounded")
+    # tasks rank their own rows first and pass on per_language of each language at most
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    sample = rows.withColumn("rank", rank).where(F.col("rank") <= min(per_language, SAMPLE_ROWS // max(1, names))).select("text", "lang")
     got = sample.mapInArrow(_vectors, "lang string, v binary").collect()
     got.sort(key=lambda r: (r[0], bytes(r[1])))  # the fit doesn't depend on the order of partitions
     x = np.frombuffer(b"".join(bytes(r[1]) for r in got), "<f4").reshape(-1, DIM)

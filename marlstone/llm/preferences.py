@@ -59,13 +59,17 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, train_roles: tupl
 
 
 def swapped_answers(conv: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs made of one table of conversations (conv_id, turn, role, text): each conversation with an answer is chosen;
-    rejected is the same with the last answer's text taken from the conversation whose id follows (none: empty)."""
+    """Pairs made of one table of conversations (conv_id, turn, role, text): each conversation is chosen; rejected is the
+    same with the last answer's text taken from the conversation whose id follows (none: empty).
+
+    A conversation without an answer is its own rejected side, so both completions are empty.  Of several answers in the
+    last turn that has one, each text is replaced, and the greatest (null first) is the one that is passed on.
+    """
     last = conv.where("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"), F.max_by("text", F.struct("turn", "text")).alias("answer"))
     other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.coalesce("answer", F.lit("")).alias("other"))
-    rows = conv.join(last.select("conv_id", "last"), "conv_id")
-    swap = rows.join(other, "conv_id", "left").withColumn("text", F.when((F.col("role") == "assistant") & (F.col("turn") == F.col("last")), F.coalesce("other", F.lit(""))).otherwise(F.col("text")))
-    return tuple(x.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text") for x in (rows, swap))
+    rows = conv.join(last.select("conv_id", "last").join(other, "conv_id", "left"), "conv_id", "left")
+    swap = rows.withColumn("text", F.when((F.col("role") == "assistant") & (F.col("turn") == F.col("last")), F.coalesce("other", F.lit(""))).otherwise(F.col("text")))
+    return tuple(x.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text") for x in (conv, swap))
 
 
 def spans_as_text(spans: str) -> Column:

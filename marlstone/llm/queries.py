@@ -36,11 +36,17 @@ _RHO = "SELECT CASE WHEN sum(CASE WHEN prior * (1 - prior) > 0 THEN 1 END) IS NU
 _STRENGTH = "(SELECT 1 / least(greatest(rho, 0.001), 1 / 3) - 1 FROM ({}))"
 
 
+_WIDE = ", ".join(f"'{x}'" for x in url_filter.TWO_LABEL_SUFFIXES)
+
+
 @register(
     f"""WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest, coalesce(html, '') AS html FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path,
   CAST(100 * len(regexp_extract_all(html, '[#*$%]')) > length(html) AS INT) AS bad FROM u),
-h AS (SELECT host, array_to_string(string_split(host, '.')[-1:], '.') AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain, count(bad) AS n, sum(bad) AS k FROM p GROUP BY host),
+h0 AS (SELECT host, regexp_replace(host, ':[0-9]*$', '') AS name, count(bad) AS n, sum(bad) AS k FROM p GROUP BY host),
+h1 AS (SELECT *, regexp_full_match(name, '[0-9]+(\\.[0-9]+){{3}}') AS number, array_to_string(string_split(name, '.')[-2:], '.') IN ({_WIDE}) AS wide FROM h0),
+h AS (SELECT host, n, k, CASE WHEN number THEN name WHEN wide THEN array_to_string(string_split(name, '.')[-2:], '.') ELSE array_to_string(string_split(name, '.')[-1:], '.') END AS suffix,
+  CASE WHEN number THEN name WHEN wide THEN array_to_string(string_split(name, '.')[-3:], '.') ELSE array_to_string(string_split(name, '.')[-2:], '.') END AS domain FROM h1),
 t AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT sum(k) / sum(n) FROM h) AS prior FROM h GROUP BY suffix),
 t2 AS (SELECT suffix, (prior * s + k) / (s + n) AS prior FROM (SELECT *, {_STRENGTH.format(_RHO.format("t"))} AS s FROM t)),
 d AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k, any_value(prior) AS prior FROM h JOIN t2 USING (suffix) GROUP BY suffix, domain),
@@ -96,7 +102,7 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH last AS (SELECT conv_id, max(turn) AS last, arg_max(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
 c AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i,
   CASE WHEN role = 'assistant' AND turn = l.last THEN coalesce(o.answer, '') ELSE text END AS other
-  FROM conversations JOIN last l USING (conv_id) LEFT JOIN (SELECT conv_id - 1 AS conv_id, answer FROM last) o USING (conv_id)),
+  FROM conversations LEFT JOIN last l USING (conv_id) LEFT JOIN (SELECT conv_id - 1 AS conv_id, answer FROM last) o USING (conv_id)),
 n AS (SELECT conv_id, coalesce(min(CASE WHEN text IS DISTINCT FROM other THEN i END) - 1, max(i)) AS n_common FROM c GROUP BY conv_id),
 r AS (SELECT *, '<|' || role || '|>' || chr(10) AS head, i <= n_common AS shared FROM c JOIN n USING (conv_id)),
 s AS (SELECT *, length(head) + coalesce(sum(length(head) + length(text) + 1) OVER w, 0) AS a, length(head) + coalesce(sum(length(head) + length(other) + 1) OVER w, 0) AS b

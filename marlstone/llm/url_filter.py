@@ -4,8 +4,8 @@ Labelled page outcomes (bad or not) are counted per host, and shrunk through bet
 suffix, registered domain, host.  Each level's prior strength comes from the spread of its groups by the method of
 moments.  A host is blocked if the lower bound of its posterior bad rate is over ``cut``.
 
-Only counts per host are shuffled, summed before that.  Verdicts go back to pages by a join in which a host's pages are
-dealt over ``SALTS`` keys, so a host with a third of all pages does not meet in one task.
+Only counts per host are shuffled, summed before that.  Verdicts go back to pages by a join in which the pages of a host
+with a large share of all are dealt over as many keys as that share needs.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.cluster import cut as cut_lineage
+from marlstone.llm.cluster import dealt
 
-SALTS = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Public suffixes of two labels; any other host's suffix is its last label.
+#: A list of all that a crawl may meet is a parameter of the caller's; these are frequent ones.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "com.br", "com.cn", "co.in", "co.za", "com.mx", "com.tr")
 
 
@@ -56,9 +57,11 @@ def best_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Colu
 
 
 def suffix_and_domain(host: Column) -> tuple[Column, Column]:
-    two, three = F.substring_index(host, ".", -2), F.substring_index(host, ".", -3)
-    wide = two.isin(*TWO_LABEL_SUFFIXES)
-    return F.when(wide, two).otherwise(F.substring_index(host, ".", -1)), F.when(wide, three).otherwise(two)
+    """Public suffix and registered domain of a host, whose port is left out; an IPv4 address is its own suffix and domain."""
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    two, three = F.substring_index(name, ".", -2), F.substring_index(name, ".", -3)
+    wide, number = two.isin(*TWO_LABEL_SUFFIXES), name.rlike(r"^[0-9]+(\.[0-9]+){3}$")
+    return F.when(number, name).when(wide, two).otherwise(F.substring_index(name, ".", -1)), F.when(number, name).when(wide, three).otherwise(two)
 
 
 def page_outcome(html: str = "html") -> Column:
@@ -106,15 +109,14 @@ def judge_urls(pages: DataFrame, outcome: Column | None = None, rules: tuple[Rul
     """page_id, host, path, rule, verdict for each row of pages, repeated rows included.
 
     pages: page_id, url, and what outcome reads (1 bad, 0 good, null not labelled; by default the html).  A null url or
-    one without ``://`` has an empty host, whose pages count as one host.  An empty table gives no rows.
+    one without ``://`` has an empty host, whose pages count as one host.  Other columns are ignored, whatever their names;
+    urls and pages may be of any length.  An empty table gives no rows.
     """
     outcome = page_outcome() if outcome is None else outcome
     host, path = host_and_path()
-    counts = pages.select(host.alias("host"), outcome.alias("bad")).groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    blocked = reputation(counts, z).select("host", (F.col("bound") > cut).alias("blocked"))
-    blocked = blocked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counts = pages.select(host.alias("host"), outcome.alias("bad")).groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"), F.count("*").alias("n_rows"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    rows, blocked = dealt(rows, reputation(counts, z).select("host", (F.col("bound") > cut).alias("blocked"), "n_rows"), "host", ["page_id", "path"])
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("blocked"), "block").otherwise("allow")
     return rows.join(blocked, ["host", "salt"]).select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"))
