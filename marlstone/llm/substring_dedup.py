@@ -7,8 +7,9 @@
 3. A shard holds a compressed FM-index of the distinct runs to be indexed.  The documents' runs are streamed against it:
    backward search over the wavelet matrix gives the matching statistics, and each interval of at least ``width`` words
    with an occurrence in a smaller document is reported.
-4. A key with more runs than a shard holds (a passage that very many documents share) is settled by window instead: a
-   grouped minimum over digests of the windows' words, which is pre-aggregated and whose join can be split.
+4. A key with more runs than a shard holds (a passage that very many documents share) is settled by digests of words
+   instead: a grouped minimum over whole runs, then one over the windows of the runs that differ, each pre-aggregated and
+   with a join that can be split.
 
 Every word of every text takes part.  Hashes only choose where runs meet; what is reported was matched word by word as
 bytes in the index, or has the same 128-bit digest of its words under 4.
@@ -33,7 +34,7 @@ FLUSH = 400_000
 SHARD_WORDS = 200_000
 _PACKED = "bucket int, payload binary"
 _ASKED = "hot boolean, doc long, start int, n int, role int, route long"
-_PIECES = "doc long, tag long, start int, role int, route long, words binary"
+_PIECES = "doc long, tag long, start int, n int, role int, route long, words binary"
 _FOUND = "doc long, tag long, start int, n int"
 INDEXED, STREAMED = 1, 2
 
@@ -153,8 +154,8 @@ def _tag(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
-def _fetch(width: int, gram: int, buckets: int, hot: bool):
-    """(doc_id, text, requests) to pieces with their words, or for hot keys to windows with a digest of their words."""
+def _fetch(width: int, gram: int, buckets: int, form: str):
+    """(doc_id, text, requests) to pieces with their words, with a digest of these, or to windows with a digest each."""
 
     def run(batches):
         for batch in batches:
@@ -180,15 +181,15 @@ def _fetch(width: int, gram: int, buckets: int, hot: bool):
                 tags = np.zeros(len(chunk), np.int64)
                 for i in np.unique(row).tolist():
                     tags[i] = _tag(raw[chunk.offs[i] : chunk.offs[i + 1]])
-                if hot:
+                if form == "windows":
                     off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    row, start, role, route, a = np.repeat(row, n), np.repeat(start, n) + off, np.repeat(role, n), np.repeat(route, n), np.repeat(a, n) + off
-                    n = np.ones(len(a), np.int64)
+                    row, start, n_of, role, route, a = np.repeat(row, n), np.repeat(start, n) + off, np.ones(len(off), np.int64), np.repeat(role, n), np.repeat(route, n), np.repeat(a, n) + off
+                    n = n_of
                 words = [raw[x:y] for x, y in zip(chunk.start[a].tolist(), chunk.end[a + n + width - 2].tolist(), strict=True)]
-                if hot:
+                if form != "words":
                     words = [hashlib.blake2b(b" ".join(w.split()), digest_size=16).digest() for w in words]
-                cols = [pa.array(ids[chunk.first + row], pa.int64()), pa.array(tags[row]), pa.array(start.astype(np.int32)), pa.array(role, pa.int32()), pa.array(route, pa.int64()), pa.array(words, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc", "tag", "start", "role", "route", "words"])
+                cols = [pa.array(ids[chunk.first + row], pa.int64()), pa.array(tags[row]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(role, pa.int32()), pa.array(route, pa.int64()), pa.array(words, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc", "tag", "start", "n", "role", "route", "words"])
 
     return run
 
@@ -241,8 +242,8 @@ def _search(width: int):
             return _found(*shard_search(docs, tags, starts, roles, [p for x in held for p in x[4]], width))
 
         for batch in batches:
-            doc, tag, start, role, route = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            pieces = batch.column(5).to_pylist()
+            doc, tag, start, role, route = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5))
+            pieces = batch.column(6).to_pylist()
             edge = np.flatnonzero(np.concatenate(([True], route[1:] != route[:-1])))
             for x, y in zip(edge.tolist(), np.append(edge[1:], len(route)).tolist(), strict=True):
                 if words >= SHARD_WORDS and route[x] != last:
@@ -269,16 +270,20 @@ def repeated_windows(docs: DataFrame, width: int = 13, shard_words: int = SHARD_
     packed = docs.mapInArrow(_cut_runs(width, gram, buckets), _PACKED)
     met = cut(packed.repartition(buckets, "bucket").mapInArrow(_meet(max(1, shard_words // (width + 4))), _ASKED))
 
-    def fetched(hot: bool) -> DataFrame:
-        asked = met.where(F.col("hot") == hot).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "n", "role", "route")).alias("asked"))
-        return docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(width, gram, buckets, hot), _PIECES)
+    def fetched(asked: DataFrame, form: str) -> DataFrame:
+        asked = asked.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "n", "role", "route")).alias("asked"))
+        return docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(width, gram, buckets, form), _PIECES)
 
-    pieces = fetched(False).repartition(buckets, "route").sortWithinPartitions("route")
+    def smaller(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.groupBy("words").agg(F.min("doc").alias("least")), "words")
+
+    pieces = fetched(met.where("NOT hot"), "words").repartition(buckets, "route").sortWithinPartitions("route")
     found = pieces.mapInArrow(_search(width), _FOUND)
     if met.where("hot").take(1):
-        windows = cut(fetched(True).drop("route"))
-        least = windows.groupBy("words").agg(F.min("doc").alias("least"))
-        found = found.union(windows.join(least, "words").where("doc > least").select("doc", "tag", "start", F.lit(1).alias("n")))
+        runs_ = cut(smaller(fetched(met.where("hot"), "digests")))
+        windows = cut(fetched(runs_.where("doc = least"), "windows").select("doc", "tag", "start", "n", "words"))
+        for rows in (runs_, smaller(windows)):
+            found = found.union(rows.where("doc > least").select("doc", "tag", "start", "n"))
     return found.withColumnRenamed("doc", "doc_id")
 
 
