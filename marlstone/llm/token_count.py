@@ -103,7 +103,9 @@ def _block(chunk: Chunk, ids: np.ndarray, buckets: int) -> tuple[np.ndarray, lis
     keys, first, back = np.unique(span_hash(chunk.data, a, b), return_index=True, return_inverse=True)
     pairs, often = np.unique(row * max(1, len(keys)) + back, return_counts=True)
     distinct = np.bincount(pairs // max(1, len(keys)), minlength=len(chunk))
-    frequencies = pack(ids.astype(np.int64), np.diff(chunk.offs).astype(np.uint64), distinct.astype(np.uint64), (pairs % max(1, len(keys))).astype(np.uint64), often.astype(np.uint64), np.array([len(keys)], np.uint64))
+    step = pairs % max(1, len(keys))  # a document's pre-tokens in order, as distances; low and high bytes apart, for the shuffle's compression
+    step[1:] -= np.where(np.repeat(np.arange(len(chunk)), distinct)[1:] == np.repeat(np.arange(len(chunk)), distinct)[:-1], step[:-1], 0)
+    frequencies = pack(*(x.astype(kind) for x, kind in ((ids, np.int64), (np.diff(chunk.offs), np.uint64), (distinct, np.uint64), (step & 255, np.uint64), (step >> 8, np.uint64), (often, np.uint64), (np.array([len(keys)]), np.uint64))))
     where = bucket_of(keys, buckets)
     cuts = np.concatenate(([0], np.flatnonzero(where[1:] != where[:-1]) + 1, [len(keys)])) if len(keys) else np.zeros(1, np.int64)
     lo, hi, raw, asked = a[first], b[first], chunk.data.tobytes(), []
@@ -160,12 +162,14 @@ def _sum(limit: int):
 
     def close(payload: list[bytes]) -> pa.RecordBatch:
         null = unpack(payload[0])[0]
-        ids, size, distinct, token, often, k = unpack(payload[0][len(pack(null)) :])
+        ids, size, distinct, low, high, often, k = unpack(payload[0][len(pack(null)) :])
+        distinct, token = distinct.astype(np.int64), np.cumsum(low.astype(np.int64) + (high.astype(np.int64) << 8))
+        token -= np.repeat(np.concatenate(([0], token))[np.cumsum(distinct) - distinct], distinct)
         counts = np.concatenate([unpack(b)[0].astype(np.int64) for b in payload[1:]]) if len(payload) > 1 else np.zeros(0, np.int64)
         if len(counts) != int(k[0]):
             raise RuntimeError("counts are missing: the rows of docs must come in the same order when a lost task runs again")
-        row = np.repeat(np.arange(len(ids)), distinct.astype(np.int64))
-        n = np.bincount(row, counts[token.astype(np.int64)] * often.astype(np.float64), len(ids)).astype(np.int64)
+        row = np.repeat(np.arange(len(ids)), distinct)
+        n = np.bincount(row, counts[token] * often.astype(np.float64), len(ids)).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(ids, mask=null.astype(bool)), pa.array(size.astype(np.int64)), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     def run(batches):
