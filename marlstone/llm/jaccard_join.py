@@ -33,7 +33,7 @@ from marlstone.llm.cluster import bucket_of, buckets_for, components, cut, parts
 from marlstone.llm.textkernel import Chunk, U64, chunks, gram_hashes, mix, release
 
 FLUSH = 400_000
-LARGE = 32
+LARGE = 8
 PAIR, SIZE, MEMBER = 1, 2, 4
 #: A column that over this share of a cell's rows has is multiplied as a part of a dense block of BLOCK_CELLS numbers.
 DENSE, BLOCK_CELLS, SLAB = 0.08, 1 << 21, 256
@@ -219,6 +219,29 @@ def _meet(batches):
     release()
 
 
+def _forest(batches):
+    """Rows (doc_id, sig) of a part of the documents to each document's root in it, and each signature's roots."""
+    doc, sig = [], []
+    for batch in batches:
+        doc.append(batch.column(0).to_numpy(zero_copy_only=False))
+        sig.append(batch.column(1).to_numpy(zero_copy_only=False))
+    if not doc:
+        return
+    docs, row = np.unique(np.concatenate(doc), return_inverse=True)
+    sigs, col = np.unique(np.concatenate(sig), return_inverse=True)
+    root, last = np.arange(len(docs)), None
+    while last is None or (root != last).any():
+        last, least = root, np.full(len(sigs), len(docs))
+        np.minimum.at(least, col, root[row])
+        root = root.copy()
+        np.minimum.at(root, row, least[col])
+        root = root[root]
+    pairs = np.unique(col * len(docs) + root[row])
+    out = [np.concatenate(x) for x in ((docs, np.zeros(len(pairs), np.int64)), (np.zeros(len(docs), np.int64), sigs[pairs // len(docs)]), (docs[root], docs[pairs % len(docs)]))]
+    tree = np.arange(len(docs) + len(pairs)) >= len(docs)
+    yield pa.RecordBatch.from_arrays([pa.array(out[0], mask=tree), pa.array(out[1], mask=~tree), pa.array(out[2])], names=["doc", "sig", "root"])
+
+
 def candidates(docs: DataFrame, n: int, threshold_pct: int) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) of which the components hold all linked pairs, and (doc_id, n_shingles)."""
     buckets = buckets_for(docs)
@@ -233,12 +256,12 @@ def candidates(docs: DataFrame, n: int, threshold_pct: int) -> tuple[DataFrame,
     pairs = pairs.where(F.col("c") < SURE).repartition(buckets, "a").groupBy("a", "b").agg(F.sum("c").alias("c"))
     for side in ("a", "b"):
         pairs = pairs.join(need.select(F.col("doc_id").alias(side), "need"), side).where("c >= need").drop("need")
-    # a large group's members lead to the least of a salted part of it, and these to the least of all
-    star = member.join(need.where("need < 1"), "doc_id", "left_semi").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    star = star.withColumn("near", F.min("doc_id").over(Window.partitionBy("sig", "salt")))
-    hub = star.where("doc_id = near").select("sig", "doc_id").distinct().withColumn("near", F.min("doc_id").over(Window.partitionBy("sig")))
-    star = star.select("doc_id", "near").union(hub.select("doc_id", "near")).where("doc_id > near").select(F.col("doc_id").alias("a"), F.col("near").alias("b"))
-    return pairs.select("a", "b").union(sure).union(star.distinct()), sizes.select("doc_id", "n_shingles")
+    # each part of the documents becomes a forest over what its large groups join; then the parts' trees meet by group
+    star = member.join(need.where("need < 1"), "doc_id", "left_semi").repartition(buckets, "doc_id").mapInArrow(_forest, "doc long, sig long, root long")
+    star = cut(star)
+    trees = star.where("sig is not null").withColumn("near", F.min("root").over(Window.partitionBy("sig"))).select(F.col("root").alias("doc"), F.col("near").alias("root"))
+    star = star.where("sig is null").select("doc", "root").union(trees).where("doc > root").distinct().select(F.col("doc").alias("a"), F.col("root").alias("b"))
+    return pairs.select("a", "b").union(sure).union(star), sizes.select("doc_id", "n_shingles")
 
 
 def _sparse(counts: np.ndarray, holders: np.ndarray, start: np.ndarray, spread: np.ndarray, n0: int) -> None:
