@@ -6,7 +6,7 @@ import os
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -80,6 +80,9 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     node with a large share of all are dealt over several keys.  Nodes without an edge are absent; an empty input gives an empty output.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
+    for _ in range(2):  # in a dense group all edges soon lead to a few nodes, so less is left for the joins
+        least = e.select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("m"))
+        e = least.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a > b").distinct()
     e = cut(e)
     for _ in range(limit):
         both = e.select("a", "b", F.lit(0).alias("down")).union(e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(1)))
