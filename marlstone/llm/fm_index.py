@@ -2,7 +2,7 @@
 
 What is kept of a text of n words: the Burrows-Wheeler transform in a wavelet matrix; for each match length below the
 width a bit vector of where suffixes that agree on so many words begin; their common lengths, cut at the width; the owner
-of each piece at the row where the piece begins (the sampled suffix array); and the least owner of each window that
+at the rows of every ``SAMPLE``-th word of a piece (the sampled suffix array); and the least owner of each window that
 occurs more than once.  The text, the suffix array and a table of owners by position are dropped after building.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-NONE = np.iinfo(np.int64).max
+SAMPLE = 8
 _U64 = np.uint64
 
 
@@ -151,11 +151,13 @@ class FMIndex:
         several[head[spread > 1]] = True
         self.several = BitVector(several)
         self.least = np.minimum.reduceat(by_row, head)[spread > 1] if n else np.zeros(0, np.int64)
-        self.owner = by_row[bwt == 0]
+        offset = np.arange(n) - np.repeat(first, size + 1)
+        sampled = (offset % SAMPLE == 0)[suffix] & (text[suffix] > 0)
+        self.sampled, self.owner = BitVector(sampled), by_row[sampled]
 
     @property
     def nbytes(self) -> int:
-        return self.wavelet.nbytes + self.start.nbytes + self.common.nbytes + sum(h.nbytes for h in self.heads) + self.several.nbytes + self.least.nbytes + self.owner.nbytes
+        return self.wavelet.nbytes + self.start.nbytes + self.common.nbytes + sum(h.nbytes for h in self.heads) + self.several.nbytes + self.least.nbytes + self.sampled.nbytes + self.owner.nbytes
 
     def encode(self, words: list[bytes]) -> list[int]:
         return [self.vocab.get(w, 0) for w in words]
@@ -216,16 +218,17 @@ class FMIndex:
     def least_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """The least owner of the occurrences in each suffix interval of a match of width words.
 
-        A window that occurs once is followed to the left, word by word, to where its piece begins.
+        A window that occurs once is followed to the left, word by word, to a row whose owner is kept.
         """
-        out = np.full(len(low), NONE, np.int64)
+        out = np.zeros(len(low), np.int64)
         many = high - low > 1
         out[many] = self.least[self.several.rank(low[many])]
         at = np.flatnonzero(~many)
         row = low[at]
         while len(at):
+            ends = self.sampled.get(row) > 0
+            out[at[ends]] = self.owner[self.sampled.rank(row[ends])]
+            at, row = at[~ends], row[~ends]
             symbol, seen = self.wavelet.access(row)
-            ends = symbol == 0
-            out[at[ends]] = self.owner[seen[ends]]
-            at, row = at[~ends], (self.start[symbol] + seen)[~ends].astype(np.int64)
+            row = (self.start[symbol] + seen).astype(np.int64)
         return out

@@ -3,13 +3,14 @@
 1. Each text is cut into maximal runs of windows that share a minimizer, the least hash of the short word grams inside a
    window.  Equal windows have equal minimizers, so whatever repeats meets under one key; packed hashes are shuffled.
 2. Keys that occur in one document only hold nothing that repeats.  For the others the runs' words are fetched: those of
-   all but the largest document are to be indexed, those of all but the smallest are to be streamed, in the key's shard.
-3. A shard holds a compressed FM-index of the distinct runs to be indexed.  The documents' runs are streamed against it:
-   backward search over the wavelet matrix gives the matching statistics, and each interval of at least ``width`` words
-   with an occurrence in a smaller document is reported.
-4. A key with more runs than a shard holds (a passage that very many documents share) is settled by digests of words
-   instead: a grouped minimum over whole runs, then one over the windows of the runs that differ, each pre-aggregated and
-   with a join that can be split.
+   all but the largest document are to be indexed, those of all but the smallest are to be streamed.  Keys of the same
+   smallest and largest document go to one shard, so that neighbouring runs travel as one piece; keys of many documents
+   are dealt over several.
+3. A shard holds a compressed FM-index of the distinct pieces to be indexed.  The documents' pieces are streamed against
+   it: backward search over the wavelet matrix gives the matching statistics, and each interval of at least ``width``
+   words with an occurrence in a smaller document is reported.
+4. A key with more runs than a shard holds (a passage that very many documents share) is settled by window instead: a
+   grouped minimum over digests of the windows' words, which is pre-aggregated and whose join can be split.
 
 Every word of every text takes part.  Hashes only choose where runs meet; what is reported was matched word by word as
 bytes in the index, or has the same 128-bit digest of its words under 4.
@@ -32,9 +33,11 @@ GRAM = 5
 _KEY = U64(0x5851F42D4C957F2D)
 FLUSH = 400_000
 SHARD_WORDS = 200_000
+TOGETHER = 64  # so many documents' runs of a key at most go where other keys of the same documents go
+SEGMENT = 64  # windows in a piece at most
 _PACKED = "bucket int, payload binary"
 _ASKED = "hot boolean, doc long, start int, n int, role int, route long"
-_PIECES = "doc long, tag long, start int, n int, role int, route long, words binary"
+_PIECES = "doc long, tag long, start int, role int, route long, words binary"
 _FOUND = "doc long, tag long, start int, n int"
 INDEXED, STREAMED = 1, 2
 
@@ -141,7 +144,8 @@ def _meet(hot_runs: int):
             rows = np.flatnonzero(low < high)
             hot = (np.diff(np.append(at, len(key))) > hot_runs)[group[rows]]
             role = (doc[rows] < high[rows]) * INDEXED + (doc[rows] > low[rows]) * STREAMED
-            route = mix(key[rows] + U64(bucket)).view(np.int64)
+            deal = (np.diff(np.append(at, len(key))) // TOGETHER + 1)[group[rows]].astype(U64)
+            route = mix(mix(mix(low[rows].view(U64)) + high[rows].view(U64)) + key[rows] % deal).view(np.int64)
             pick = order[rows]
             cols = [pa.array(hot), pa.array(doc[rows]), pa.array(start[pick]), pa.array(n[pick].astype(np.int32)), pa.array(role.astype(np.int32)), pa.array(route)]
             yield pa.RecordBatch.from_arrays(cols, names=["hot", "doc", "start", "n", "role", "route"])
@@ -154,8 +158,27 @@ def _tag(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
-def _fetch(width: int, gram: int, buckets: int, form: str):
-    """(doc_id, text, requests) to pieces with their words, with a digest of these, or to windows with a digest each."""
+def _segments(row: np.ndarray, start: np.ndarray, n: np.ndarray, role: np.ndarray, route: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Neighbouring runs of a row and route as one, cut into pieces of SEGMENT windows at most."""
+    order = np.lexsort((start, route, row))
+    row, start, n, role, route = (x[order] for x in (row, start, n, role, route))
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (route[1:] != route[:-1]) | (start[1:] != start[:-1] + n[:-1])
+    at = np.flatnonzero(new)
+    if not len(at):
+        return row, start, n, role, route
+    n, role = np.add.reduceat(n, at), np.bitwise_or.reduceat(role, at)
+    k = (n + SEGMENT - 1) // SEGMENT
+    off = SEGMENT * (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k))
+    row, start, role, route, n = (np.repeat(x, k) for x in (row[at], start[at], role, route[at], n))
+    return row, start + off, np.minimum(n - off, SEGMENT), role, route
+
+
+def _fetch(width: int, hot: bool):
+    """(doc_id, text, requests) to pieces with their words, or for hot keys to windows with a digest of their words.
+
+    A request may mean another row of the same id.  What is made of it is still true of this row's text and tag.
+    """
 
     def run(batches):
         for batch in batches:
@@ -168,28 +191,21 @@ def _fetch(width: int, gram: int, buckets: int, form: str):
                 row = np.repeat(np.arange(len(chunk)), np.diff(part.offsets.to_numpy()))
                 start, n, role, route = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
                 start, n = start.astype(np.int64), n.astype(np.int64)
-                # a request may mean another row of the same id: then the text is too short, or its run has another key
-                own_row, own_start, own_n, key = runs(chunk, width, gram)
-                place = chunk.words[own_row] + own_start
-                a = chunk.words[row] + start
-                at = np.minimum(np.searchsorted(place, a), max(0, len(place) - 1))
-                where = bucket_of(key, buckets)
-                name = mix((key & U64((1 << 48) - 1)) + where.astype(U64)).view(np.int64)
-                fits = (start + n + width - 1 <= chunk.counts[row]) & (place[at] == a) & (own_n[at] == n) & (name[at] == route) if len(place) else np.zeros(len(row), bool)
-                row, start, n, role, route, a = (x[fits] for x in (row, start, n, role, route, a))
+                fits = start + n + width - 1 <= chunk.counts[row]
+                row, start, n, role, route = _segments(*(x[fits] for x in (row, start, n, role, route)))
+                if hot:
+                    off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    row, start, role, route, n = np.repeat(row, n), np.repeat(start, n) + off, np.repeat(role, n), np.repeat(route, n), np.ones(len(off), np.int64)
                 raw = chunk.data.tobytes()
                 tags = np.zeros(len(chunk), np.int64)
                 for i in np.unique(row).tolist():
                     tags[i] = _tag(raw[chunk.offs[i] : chunk.offs[i + 1]])
-                if form == "windows":
-                    off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    row, start, n_of, role, route, a = np.repeat(row, n), np.repeat(start, n) + off, np.ones(len(off), np.int64), np.repeat(role, n), np.repeat(route, n), np.repeat(a, n) + off
-                    n = n_of
+                a = chunk.words[row] + start
                 words = [raw[x:y] for x, y in zip(chunk.start[a].tolist(), chunk.end[a + n + width - 2].tolist(), strict=True)]
-                if form != "words":
+                if hot:
                     words = [hashlib.blake2b(b" ".join(w.split()), digest_size=16).digest() for w in words]
-                cols = [pa.array(ids[chunk.first + row], pa.int64()), pa.array(tags[row]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(role, pa.int32()), pa.array(route, pa.int64()), pa.array(words, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc", "tag", "start", "n", "role", "route", "words"])
+                cols = [pa.array(ids[chunk.first + row], pa.int64()), pa.array(tags[row]), pa.array(start.astype(np.int32)), pa.array(role, pa.int32()), pa.array(route, pa.int64()), pa.array(words, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc", "tag", "start", "role", "route", "words"])
 
     return run
 
@@ -242,8 +258,8 @@ def _search(width: int):
             return _found(*shard_search(docs, tags, starts, roles, [p for x in held for p in x[4]], width))
 
         for batch in batches:
-            doc, tag, start, role, route = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4, 5))
-            pieces = batch.column(6).to_pylist()
+            doc, tag, start, role, route = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            pieces = batch.column(5).to_pylist()
             edge = np.flatnonzero(np.concatenate(([True], route[1:] != route[:-1])))
             for x, y in zip(edge.tolist(), np.append(edge[1:], len(route)).tolist(), strict=True):
                 if words >= SHARD_WORDS and route[x] != last:
@@ -251,7 +267,7 @@ def _search(width: int):
                     held, words = [], 0
                 last = route[x]
                 held.append((doc[x:y], tag[x:y], start[x:y].astype(np.int64), role[x:y], pieces[x:y]))
-                words += (y - x) * (width + 4)
+                words += sum(map(len, pieces[x:y])) // 6
         if held:
             yield shard()
 
@@ -270,20 +286,16 @@ def repeated_windows(docs: DataFrame, width: int = 13, shard_words: int = SHARD_
     packed = docs.mapInArrow(_cut_runs(width, gram, buckets), _PACKED)
     met = cut(packed.repartition(buckets, "bucket").mapInArrow(_meet(max(1, shard_words // (width + 4))), _ASKED))
 
-    def fetched(asked: DataFrame, form: str) -> DataFrame:
-        asked = asked.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "n", "role", "route")).alias("asked"))
-        return docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(width, gram, buckets, form), _PIECES)
-
-    def smaller(rows: DataFrame) -> DataFrame:
-        return rows.join(rows.groupBy("words").agg(F.min("doc").alias("least")), "words")
+    def fetched(hot: bool) -> DataFrame:
+        asked = met.where(F.col("hot") == hot).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "n", "role", "route")).alias("asked"))
+        return docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(width, hot), _PIECES)
 
-    pieces = fetched(met.where("NOT hot"), "words").repartition(buckets, "route").sortWithinPartitions("route")
+    pieces = fetched(False).repartition(buckets, "route").sortWithinPartitions("route")
     found = pieces.mapInArrow(_search(width), _FOUND)
     if met.where("hot").take(1):
-        runs_ = cut(smaller(fetched(met.where("hot"), "digests")))
-        windows = cut(fetched(runs_.where("doc = least"), "windows").select("doc", "tag", "start", "n", "words"))
-        for rows in (runs_, smaller(windows)):
-            found = found.union(rows.where("doc > least").select("doc", "tag", "start", "n"))
+        windows = fetched(True)
+        least = windows.groupBy("words").agg(F.min("doc").alias("least"))
+        found = found.union(windows.join(least, "words").where("doc > least").select("doc", "tag", "start", F.lit(1).alias("n")))
     return found.withColumnRenamed("doc", "doc_id")
 
 
