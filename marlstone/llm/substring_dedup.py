@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.cluster import bucket_of, buckets_for, cut
 from marlstone.llm.fm_index import FMIndex
-from marlstone.llm.textkernel import Chunk, U64, chunks, gram_hashes, mix
+from marlstone.llm.textkernel import Chunk, U64, chunks, gram_hashes, mix, release
 
 GRAM = 5
 _KEY = U64(0x5851F42D4C957F2D)
@@ -93,6 +93,8 @@ def _cut_runs(width: int, gram: int, buckets: int):
                     held, size = [], 0
         if size:
             yield from flush()
+        held.clear()
+        release()
 
     return run
 
@@ -149,6 +151,8 @@ def _meet(hot_runs: int):
             pick = order[rows]
             cols = [pa.array(hot), pa.array(doc[rows]), pa.array(start[pick]), pa.array(n[pick].astype(np.int32)), pa.array(role.astype(np.int32)), pa.array(route)]
             yield pa.RecordBatch.from_arrays(cols, names=["hot", "doc", "start", "n", "role", "route"])
+            del doc, start, n, key, order, edge, at, group, low, high, rows, hot, role, deal, route, pick, cols
+        release()
 
     return run
 
@@ -210,10 +214,17 @@ def _fetch(width: int, hot: bool):
     return run
 
 
-def shard_search(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, roles: np.ndarray, pieces: list[bytes], width: int) -> tuple[np.ndarray, ...]:
+def _by_words(numbers: np.ndarray, texts: list[bytes], words: int) -> list[np.ndarray]:
+    """The numbers of texts in order, in parts of about so many words."""
+    size = np.cumsum([len(texts[i]) // 6 + 1 for i in numbers.tolist()])
+    return np.split(numbers, np.flatnonzero(np.diff(size // words)) + 1)
+
+
+def shard_search(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, roles: np.ndarray, pieces: list[bytes], width: int, words: int = SHARD_WORDS) -> tuple[np.ndarray, ...]:
     """Runs of windows (doc, tag, start, n) that also stand in a smaller document of this shard.
 
-    Pieces that are equal byte for byte are indexed once, with their least document, and streamed once.
+    Pieces that are equal byte for byte are indexed once, with their least document, and streamed once.  A shard of more
+    words has several indexes, and each part of the stream is held against all of them.
     """
     number: dict[bytes, int] = {}
     same = np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int64, len(pieces))
@@ -225,11 +236,20 @@ def shard_search(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, roles:
     rows = np.flatnonzero((roles & STREAMED) > 0)
     if not len(indexed) or not len(rows):
         return (np.zeros(0, np.int64),) * 4
-    index = FMIndex([texts[i].split() for i in indexed.tolist()], least[indexed], width)
+    indexes = [FMIndex([texts[i].split() for i in part.tolist()], least[part], width) for part in _by_words(indexed, texts, words)]
     streamed, back = np.unique(same[rows], return_inverse=True)
-    query, place, length, low, high = index.matching_statistics([index.encode(texts[i].split()) for i in streamed.tolist()])
-    hit = np.flatnonzero(length == width)
-    query, place, owner = query[hit], place[hit], index.least_owner(low[hit], high[hit])
+    found: list[list[np.ndarray]] = []
+    for part in _by_words(streamed, texts, words):
+        queries = [texts[i].split() for i in part.tolist()]
+        owner = None
+        for index in indexes:
+            query, place, length, low, high = index.matching_statistics([index.encode(q) for q in queries])
+            owner = np.full(len(query), np.iinfo(np.int64).max) if owner is None else owner
+            hit = np.flatnonzero(length == width)
+            owner[hit] = np.minimum(owner[hit], index.least_owner(low[hit], high[hit]))
+        hit = np.flatnonzero(owner < np.iinfo(np.int64).max)
+        found.append([np.searchsorted(streamed, part[0]) + query[hit], place[hit], owner[hit]])
+    query, place, owner = (np.concatenate(x) for x in zip(*found, strict=True))
     bound = np.searchsorted(query, np.arange(len(streamed) + 1))
     n = np.diff(bound)[back]
     at = np.arange(n.sum()) + np.repeat(bound[back] - (np.cumsum(n) - n), n)
@@ -270,6 +290,8 @@ def _search(width: int):
                 words += sum(map(len, pieces[x:y])) // 6
         if held:
             yield shard()
+        del held
+        release()
 
     return run
 

@@ -124,6 +124,22 @@ def test_repeats_match_brute_force(spark, rows, shard_words):
     assert got == want
 
 
+@pytest.mark.parametrize("limit", [10**6, 30])
+def test_shard_of_several_indexes(limit):
+    rng = random.Random(4)
+    base = [b"w%d" % rng.randrange(40) for _ in range(30)]
+    texts = [[b"w%d" % rng.randrange(40) for _ in range(rng.randrange(8))] + base[rng.randrange(10) : rng.randrange(20, 30)] for _ in range(60)]
+    docs = np.array([rng.randrange(30) for _ in texts], np.int64)
+    width = 5
+    least = {}
+    for d, t in zip(docs.tolist(), texts, strict=True):
+        for i in range(len(t) - width + 1):
+            least[tuple(t[i : i + width])] = min(d, least.get(tuple(t[i : i + width]), d))
+    want = sorted((d, k, i) for k, (d, t) in enumerate(zip(docs.tolist(), texts, strict=True)) for i in range(len(t) - width + 1) if least[tuple(t[i : i + width])] < d)
+    got = substring_dedup.shard_search(docs, np.arange(60), np.zeros(60, np.int64), np.full(60, 3), [b" ".join(t) for t in texts], width, limit)
+    assert sorted((d, k, i) for d, k, a, n in zip(*(x.tolist() for x in got), strict=True) for i in range(a, a + n)) == want and want
+
+
 @pytest.mark.parametrize("shard_words", [200_000, 40])
 def test_rows_of_one_id(spark, shard_words):
     """Rows with equal ids are not compared, and each text loses only what it shares with smaller ids."""
