@@ -2,6 +2,7 @@
 
 1. Each text is cut into maximal runs of windows that share a minimizer, the least hash of the short word grams inside a
    window.  Equal windows have equal minimizers, so whatever repeats meets under one key; packed hashes are shuffled.
+   Of equal texts in one task only the first and any with a smaller id take part; a later one repeats that as a whole.
 2. Keys that occur in one document only hold nothing that repeats.  For the others the runs' words are fetched: those of
    all but the largest document are to be indexed, those of all but the smallest are to be streamed.  Keys of the same
    smallest and largest document go to one shard, so that neighbouring runs travel as one piece; keys of many documents
@@ -13,7 +14,7 @@
    grouped minimum over digests of the windows' words, which is pre-aggregated and whose join can be split.
 
 Every word of every text takes part.  Hashes only choose where runs meet; what is reported was matched word by word as
-bytes in the index, or has the same 128-bit digest of its words under 4.
+bytes in the index, or has the same 128-bit digest of its text under 1 or of its words under 4.
 """
 
 from __future__ import annotations
@@ -35,10 +36,12 @@ FLUSH = 400_000
 SHARD_WORDS = 200_000
 TOGETHER = 64  # so many documents' runs of a key at most go where other keys of the same documents go
 SEGMENT = 64  # windows in a piece at most
-_PACKED = "bucket int, payload binary"
-_ASKED = "hot boolean, doc long, start int, n int, role int, route long"
+_PACKED = "bucket int, payload binary, doc long, tag long, n int"
+_ASKED = "kind int, doc long, start int, n int, role int, route long"
+ASKED, HOT, COPY = 0, 1, 2
 _PIECES = "doc long, tag long, start int, role int, route long, words binary"
-_FOUND = "doc long, tag long, start int, n int"
+_WINDOWS = "doc long, tag long, starts array<int>, digest binary"
+_FOUND = "doc long, tag long, starts array<int>, n int"
 INDEXED, STREAMED = 1, 2
 
 
@@ -71,7 +74,7 @@ def runs(chunk: Chunk, width: int, gram: int) -> tuple[np.ndarray, ...]:
 
 def _cut_runs(width: int, gram: int, buckets: int):
     def run(batches):
-        held, size = [], 0
+        held, copies, size, seen = [], [], 0, {}
 
         def flush():
             doc, start, n, key = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -80,25 +83,46 @@ def _cut_runs(width: int, gram: int, buckets: int):
             where = bucket_of(key, buckets)
             cuts = np.concatenate(([0], np.flatnonzero(where[1:] != where[:-1]) + 1, [len(where)])) if len(where) else np.array([0])
             payload = [_pack(doc[x:y], start[x:y], n[x:y], key[x:y]) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(where[cuts[:-1]].astype(np.int32)), pa.array(payload, pa.binary())], names=["bucket", "payload"])
+            bucket = where[cuts[:-1]].tolist() + [d % buckets for d, _, _ in copies]
+            doc, tag, n = ([None] * len(payload) + [c[k] for c in copies] for k in range(3))
+            cols = [pa.array(bucket, pa.int32()), pa.array(payload + [None] * len(copies), pa.binary()), pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(n, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=["bucket", "payload", "doc", "tag", "n"])
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column(1)):
                 row, start, n, key = runs(chunk, width, gram)
-                held.append((ids[chunk.first + row], start, n, key))
-                size += len(row)
+                own, raw, new = ids[chunk.first : chunk.first + len(chunk)], chunk.data.tobytes(), np.ones(len(chunk), bool)
+                for i in np.flatnonzero(chunk.counts >= width).tolist():
+                    doc, name = int(own[i]), _digest(raw[chunk.offs[i] : chunk.offs[i + 1]])
+                    if seen.setdefault(name, doc) < doc:
+                        new[i] = False
+                        copies.append((doc, _as_tag(name), int(chunk.counts[i]) - width + 1))
+                    else:
+                        seen[name] = doc
+                those = new[row]
+                held.append((own[row[those]], start[those], n[those], key[those]))
+                size += int(those.sum()) + len(copies)
                 if size >= FLUSH:
                     yield from flush()
-                    held, size = [], 0
+                    held, copies, size = [], [], 0
         if size:
             yield from flush()
-        held.clear()
+        held, copies, seen = [], [], {}
         release()
 
     return run
 
 
+def _digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
+
+
+def _as_tag(digest: bytes) -> int:
+    """Tells rows with one id and different texts apart."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def _least_width(top: int) -> str:
     return "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8"
 
@@ -127,13 +151,18 @@ def _unpack(b: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _meet(hot_runs: int):
-    """One bucket's runs to those whose key occurs in several documents."""
+    """One bucket's runs to those whose key occurs in several documents; copies of whole texts pass through."""
 
     def run(batches):
         held = {}
         for batch in batches:
+            copy = batch.filter(batch.column(1).is_null())
+            if len(copy):
+                kind, zero = (pa.array(np.full(len(copy), x, np.int32)) for x in (COPY, 0))
+                yield pa.RecordBatch.from_arrays([kind, copy.column(2), zero, copy.column(4), zero, copy.column(3)], names=["kind", "doc", "start", "n", "role", "route"])
             for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held.setdefault(bucket, []).append(_unpack(payload.as_py()))
+                if payload.is_valid:
+                    held.setdefault(bucket, []).append(_unpack(payload.as_py()))
         for bucket in list(held):
             doc, start, n, key = (np.concatenate(x) for x in zip(*held.pop(bucket), strict=True))
             order = np.argsort(key, kind="stable")
@@ -149,19 +178,14 @@ def _meet(hot_runs: int):
             deal = (np.diff(np.append(at, len(key))) // TOGETHER + 1)[group[rows]].astype(U64)
             route = mix(mix(mix(low[rows].view(U64)) + high[rows].view(U64)) + key[rows] % deal).view(np.int64)
             pick = order[rows]
-            cols = [pa.array(hot), pa.array(doc[rows]), pa.array(start[pick]), pa.array(n[pick].astype(np.int32)), pa.array(role.astype(np.int32)), pa.array(route)]
-            yield pa.RecordBatch.from_arrays(cols, names=["hot", "doc", "start", "n", "role", "route"])
+            cols = [pa.array(np.where(hot, HOT, ASKED).astype(np.int32)), pa.array(doc[rows]), pa.array(start[pick]), pa.array(n[pick].astype(np.int32)), pa.array(role.astype(np.int32)), pa.array(route)]
+            yield pa.RecordBatch.from_arrays(cols, names=["kind", "doc", "start", "n", "role", "route"])
             del doc, start, n, key, order, edge, at, group, low, high, rows, hot, role, deal, route, pick, cols
         release()
 
     return run
 
 
-def _tag(text: bytes) -> int:
-    """Tells rows with one id and different texts apart."""
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
-
-
 def _segments(row: np.ndarray, start: np.ndarray, n: np.ndarray, role: np.ndarray, route: np.ndarray) -> tuple[np.ndarray, ...]:
     """Neighbouring runs of a row and route as one, cut into pieces of SEGMENT windows at most."""
     order = np.lexsort((start, route, row))
@@ -179,7 +203,8 @@ def _segments(row: np.ndarray, start: np.ndarray, n: np.ndarray, role: np.ndarra
 
 
 def _fetch(width: int, hot: bool):
-    """(doc_id, text, requests) to pieces with their words, or for hot keys to windows with a digest of their words.
+    """(doc_id, text, requests) to pieces with their words, or for hot keys to a row's distinct windows, by a digest of
+    their words, with all places of each.
 
     A request may mean another row of the same id.  What is made of it is still true of this row's text and tag.
     """
@@ -203,11 +228,17 @@ def _fetch(width: int, hot: bool):
                 raw = chunk.data.tobytes()
                 tags = np.zeros(len(chunk), np.int64)
                 for i in np.unique(row).tolist():
-                    tags[i] = _tag(raw[chunk.offs[i] : chunk.offs[i + 1]])
+                    tags[i] = _as_tag(_digest(raw[chunk.offs[i] : chunk.offs[i + 1]]))
                 a = chunk.words[row] + start
                 words = [raw[x:y] for x, y in zip(chunk.start[a].tolist(), chunk.end[a + n + width - 2].tolist(), strict=True)]
                 if hot:
-                    words = [hashlib.blake2b(b" ".join(w.split()), digest_size=16).digest() for w in words]
+                    places: dict[tuple[int, bytes], list[int]] = {}
+                    for i, w, x in zip(row.tolist(), words, start.tolist(), strict=True):
+                        places.setdefault((i, _digest(b" ".join(w.split()))), []).append(x)
+                    row = np.fromiter((i for i, _ in places), np.int64, len(places))
+                    cols = [pa.array(ids[chunk.first + row], pa.int64()), pa.array(tags[row]), pa.array(list(places.values()), pa.list_(pa.int32())), pa.array([d for _, d in places], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc", "tag", "starts", "digest"])
+                    continue
                 cols = [pa.array(ids[chunk.first + row], pa.int64()), pa.array(tags[row]), pa.array(start.astype(np.int32)), pa.array(role, pa.int32()), pa.array(route, pa.int64()), pa.array(words, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc", "tag", "start", "role", "route", "words"])
 
@@ -264,7 +295,7 @@ def shard_search(docs: np.ndarray, tags: np.ndarray, starts: np.ndarray, roles:
 
 
 def _found(doc, tag, start, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc", "tag", "start", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int64()), pa.ListArray.from_arrays(np.arange(len(start) + 1, dtype=np.int32), start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc", "tag", "starts", "n"])
 
 
 def _search(width: int):
@@ -297,10 +328,10 @@ def _search(width: int):
 
 
 def repeated_windows(docs: DataFrame, width: int = 13, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Runs of windows that also start in a document with a smaller id: doc_id, tag (of the text), start (word), n (windows).
+    """Runs of windows that also start in a document with a smaller id: doc_id, tag (of the text), starts (words), n (windows).
 
     docs: doc_id (long; rows without one are left out) and text.  A word w of a document is to go if
-    start <= w < start + n + width - 1 for one of its runs.  Texts with fewer words than width have no windows.  Rows
+    start <= w < start + n + width - 1 for one of its starts.  Texts with fewer words than width have no windows.  Rows
     with equal ids are not compared with each other.
     """
     gram, docs = min(GRAM, width), _plain(docs)
@@ -309,15 +340,16 @@ def repeated_windows(docs: DataFrame, width: int = 13, shard_words: int = SHARD_
     met = cut(packed.repartition(buckets, "bucket").mapInArrow(_meet(max(1, shard_words // (width + 4))), _ASKED))
 
     def fetched(hot: bool) -> DataFrame:
-        asked = met.where(F.col("hot") == hot).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "n", "role", "route")).alias("asked"))
-        return docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(width, hot), _PIECES)
+        asked = met.where(F.col("kind") == (HOT if hot else ASKED)).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list(F.struct("start", "n", "role", "route")).alias("asked"))
+        return docs.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_fetch(width, hot), _WINDOWS if hot else _PIECES)
 
     pieces = fetched(False).repartition(buckets, "route").sortWithinPartitions("route")
-    found = pieces.mapInArrow(_search(width), _FOUND)
-    if met.where("hot").take(1):
+    copies = met.where(F.col("kind") == COPY).select("doc", F.col("route").alias("tag"), F.array("start").alias("starts"), "n")
+    found = copies.union(pieces.mapInArrow(_search(width), _FOUND))
+    if met.where(F.col("kind") == HOT).take(1):
         windows = fetched(True)
-        least = windows.groupBy("words").agg(F.min("doc").alias("least"))
-        found = found.union(windows.join(least, "words").where("doc > least").select("doc", "tag", "start", F.lit(1).alias("n")))
+        least = windows.groupBy("digest").agg(F.min("doc").alias("least"))
+        found = found.union(windows.join(least, "digest").where("doc > least").select("doc", "tag", "starts", F.lit(1).alias("n")))
     return found.withColumnRenamed("doc", "doc_id")
 
 
@@ -337,8 +369,8 @@ def _keep(width: int, digest: bool):
                 words = raw.split()
                 total.append(len(words))
                 if spans:
-                    tag, step = _tag(raw), np.zeros(len(words) + 1, np.int64)
-                    s, n = (np.array([r[k] for r in spans if r["tag"] == tag], np.int64) for k in ("start", "n"))
+                    tag, step = _as_tag(_digest(raw)), np.zeros(len(words) + 1, np.int64)
+                    s, n = np.array([(x, r["n"]) for r in spans if r["tag"] == tag for x in r["starts"]], np.int64).reshape(-1, 2).T
                     np.add.at(step, s, 1)
                     np.add.at(step, s + n + width - 1, -1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(step[:-1]) == 0).tolist()]
@@ -353,7 +385,7 @@ def _keep(width: int, digest: bool):
 
 
 def _runs_of(docs: DataFrame, width: int, shard_words: int) -> DataFrame:
-    return repeated_windows(docs, width, shard_words).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "n")).alias("runs"))
+    return repeated_windows(docs, width, shard_words).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "starts", "n")).alias("runs"))
 
 
 def repeat_digest(docs: DataFrame, width: int = 13, shard_words: int = SHARD_WORDS) -> DataFrame:
