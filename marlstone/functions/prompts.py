@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 LABELS = {"en": ("Story:\n", "Question: "), "zh": ("故事：\n", "问题：")}
 SYSTEM_DIRECT = "Read the story and answer the question. Reply with one letter of {letters} as \\boxed{{X}} and nothing else."
 SYSTEM_COT = "Read the story, reason step by step, and end with one letter of {letters} as \\boxed{{X}}."
+SYSTEM_DELTA = "Read the story. After each event write who noticed it and whose belief it changes, then answer from these changes alone. End with one letter of {letters} as \\boxed{{X}}."
 SYSTEM_SFT = {"en": "Reason inside <reasoning> tags in numbered steps, then answer as \\boxed{X}.", "zh": "请在 <reasoning> 标签内分步推理，然后以 \\boxed{X} 作答。"}
 
 

@@ -12,13 +12,18 @@ def accuracy(correct: Column) -> Column:
 
 
 def accuracy_cube(rows: DataFrame) -> DataFrame:
-    """Per model and protocol: n, overall, one rate per language, and a map of rates by task."""
+    """Per model and protocol: n, overall, one rate per language, and a map of rates by task.
+
+    A null language or task is ``?`` in the maps; a null model or protocol is a group of its own.
+    """
     langs = F.map_from_entries(F.sort_array(F.collect_list(F.struct("language", "acc"))))
     tasks = F.map_from_entries(F.sort_array(F.collect_list(F.struct("task", "acc"))))
     keys = ["model", "protocol"]
     base = rows.groupBy(*keys).agg(F.count("*").alias("n"), accuracy(F.col("correct")).alias("overall"))
-    by = lambda c, m: rows.groupBy(*keys, c).agg(accuracy(F.col("correct")).alias("acc")).groupBy(*keys).agg(m.alias(f"by_{c}"))
-    return base.join(by("language", langs), keys).join(by("task", tasks), keys)
+    by = lambda c, m: rows.groupBy(*keys, F.coalesce(c, F.lit("?")).alias(c)).agg(accuracy(F.col("correct")).alias("acc")).groupBy(*(F.col(k).alias(f"{k}_{c}") for k in keys)).agg(m.alias(f"by_{c}"))
+    for c, m in (("language", langs), ("task", tasks)):
+        base = base.join(by(c, m), [F.col(k).eqNullSafe(F.col(f"{k}_{c}")) for k in keys]).drop(*(f"{k}_{c}" for k in keys))
+    return base
 
 
 def frequency(rows: DataFrame, column: str, missing: str = "?") -> DataFrame:
@@ -28,11 +33,14 @@ def frequency(rows: DataFrame, column: str, missing: str = "?") -> DataFrame:
 
 
 def share_by(rows: DataFrame, group: str, column: str) -> DataFrame:
-    """Counts and shares of a column's values per group, and over all groups (null group)."""
-    n = rows.groupBy(group, column).agg(F.count("*").alias("n"))
-    every = n.groupBy(column).agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias(group), column, "n")
+    """Counts and shares of a column's values per group, and over all groups (null group, overall is true).
+
+    Rows whose group is null are a group of their own, with overall false.
+    """
+    n = rows.groupBy(group, column).agg(F.count("*").alias("n")).withColumn("overall", F.lit(False))
+    every = n.groupBy(column).agg(F.sum("n").alias("n")).select(F.lit(None).cast(n.schema[group].dataType).alias(group), column, "n", F.lit(True).alias("overall"))
     n = n.union(every)
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(group)))
+    return n.select(group, column, "n", (F.col("n") / F.sum("n").over(Window.partitionBy(group, "overall"))).alias("share"), "overall")
 
 
 def cell(rows: DataFrame, keys: list[str], pivot: str, values: list[str]) -> DataFrame:

@@ -11,10 +11,13 @@ from marlstone.operators.similarity import overlap_pairs, similar_pairs, word_gr
 
 
 def first_by_key(rows: DataFrame, key: Column, order: Column) -> DataFrame:
-    """The first row of each key; the least order is found by a pre-aggregated minimum, not by sorting a whole group."""
-    keyed = rows.withColumn("__k", key).withColumn("__o", order)
-    least = keyed.groupBy("__k").agg(F.min("__o").alias("__m"))
-    return keyed.join(least, F.col("__o") == F.col("__m"), "left_semi").drop("__k", "__o")
+    """The first row of each key (null is one); ties go to the row of least hash, equal rows are one.
+
+    The first is found by a pre-aggregated minimum of order and hash, not by sorting a whole group.
+    """
+    every = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    least = rows.groupBy(key.alias("k")).agg(F.min_by(every, F.struct(order, F.xxhash64(F.to_json(every)))).alias("row"))
+    return least.select("row.*")
 
 
 def exact(rows: DataFrame, text: Column, order: str) -> DataFrame:
@@ -54,7 +57,7 @@ def leakage(train: DataFrame, evaluation: DataFrame, percent: int = 60, inclusiv
     return out.select("key", F.coalesce("max_jaccard", F.lit(0.0)).alias("max_jaccard"), F.coalesce("max_containment", F.lit(0.0)).alias("max_containment"), F.col("first_hit").isNotNull().alias("leaked"), "first_hit")
 
 
-def greedy_keep(nodes: DataFrame, edges: DataFrame, kept: DataFrame | None = None, limit: int = 200) -> DataFrame:
+def greedy_keep(nodes: DataFrame, edges: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     """Keys that a pass in key order keeps, when it drops a row near an earlier *kept* row: (key, near).
 
     That is the lexicographically first maximal independent set.  In each round, a row without undecided earlier
@@ -65,22 +68,25 @@ def greedy_keep(nodes: DataFrame, edges: DataFrame, kept: DataFrame | None = Non
     spark = nodes.sparkSession
     state = e.select(F.explode(F.array("late", "early")).alias("key")).distinct()
     known = kept.select("key").distinct() if kept is not None else spark.createDataFrame([], "key long")
-    dropped = None
-    undecided = cut(state.join(known, "key", "left_anti"))
-    on = known
-    for _ in range(limit):
-        gone = e.join(on.withColumnRenamed("key", "early"), "early").join(undecided.withColumnRenamed("key", "late"), "late").groupBy(F.col("late").alias("key")).agg(F.min("early").alias("near"))
-        dropped = cut(gone if dropped is None else dropped.union(gone))
-        undecided = undecided.join(dropped, "key", "left_anti")
-        waits = e.join(undecided.withColumnRenamed("key", "early"), "early").select(F.col("late").alias("key"))
-        free = undecided.join(waits, "key", "left_anti")
-        on = cut(on.union(free).distinct())
-        undecided = cut(undecided.join(free, "key", "left_anti"))
+    undecided = state.join(known, "key", "left_anti")
+    # near is the least kept row of all, so edges to rows kept later in the rounds still count for dropped rows
+    on, all_on, dropped = known, known, spark.createDataFrame([], "key long")
+    e_open = e
+    while True:
+        gone = e_open.join(on.withColumnRenamed("key", "early"), "early").join(undecided.withColumnRenamed("key", "late"), "late").select(F.col("late").alias("key")).distinct()
+        dropped = cut(dropped.union(gone))
+        undecided = undecided.join(gone, "key", "left_anti")
+        # only edges between undecided rows can hold anything up
+        waits = e_open.join(undecided.withColumnRenamed("key", "early"), "early").join(undecided.withColumnRenamed("key", "late"), "late", "left_semi")
+        e_open = cut(waits.select("late", "early"))
+        on = cut(undecided.join(e_open.select(F.col("late").alias("key")), "key", "left_anti"))
+        all_on = cut(all_on.union(on))
+        undecided = cut(undecided.join(on, "key", "left_anti"))
         if not undecided.take(1):
             break
-    else:
-        raise RuntimeError("the greedy pass did not end")
-    return nodes.select("key").join(dropped.groupBy("key").agg(F.min("near").alias("near")), "key", "left")
+        e_open = e_open.union(e.join(on.withColumnRenamed("key", "early"), "early").select("late", "early"))
+    near = e.join(dropped.withColumnRenamed("key", "late"), "late", "left_semi").join(all_on.withColumnRenamed("key", "early"), "early", "left_semi").groupBy(F.col("late").alias("key")).agg(F.min("early").alias("near"))
+    return nodes.select("key").join(near, "key", "left")
 
 
 def near_duplicates(rows: DataFrame, percent: int = 70, kept_before: int | None = None) -> DataFrame:

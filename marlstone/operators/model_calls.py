@@ -2,16 +2,20 @@
 operators built on them (evaluation, judging, synthesis, translation, traces, verified distillation).
 
 Rows go through ``mapInArrow``, a partition at a time, with a bounded number of requests in flight.  A client is any
-picklable object with ``chat(messages, **parameters) -> dict`` that returns ``content``, ``prompt_tokens`` and
-``completion_tokens``.  ``StubClient`` answers from a hash of the request, so everything runs without a network and gives
-the same rows each time.  A call that fails in the end gives a row with ``error`` set; rows are never dropped silently.
+picklable object with ``chat(messages, **parameters) -> dict`` that returns ``content``, ``finish_reason``,
+``prompt_tokens`` and ``completion_tokens``, and for ``n`` above 1 also ``choices`` with a content and finish reason each.
+``ChatClient`` speaks to an endpoint; ``StubClient`` answers from a hash of the request, so everything runs without a
+network and gives the same rows each time.  A call that fails in the end gives a row with ``error`` set; rows are never dropped silently.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -23,8 +27,9 @@ from pyspark.sql import functions as F
 from marlstone.functions import answers, jsontext, prompts
 from marlstone.functions.text import PROTOCOLS
 from marlstone.operators import joins
+from marlstone.operators.lineage import cut
 
-CALLS = "key string, sample_idx int, content string, prompt_tokens int, completion_tokens int, error string"
+CALLS = "key string, sample_idx int, content string, prompt_tokens int, completion_tokens int, finish_reason string, error string"
 
 
 @dataclass(frozen=True)
@@ -46,6 +51,46 @@ class RateLimited(Exception):
     pass
 
 
+class ChatClient:
+    """Chat completions over HTTP, from a backend's endpoints in turn.
+
+    A 429 is RateLimited, so that the retry waits longer.  Answers are streamed where the backend's extra parameters or
+    the call's ask for thinking; only the visible text is kept.  The key is read from its variable at each request.
+    """
+
+    def __init__(self, spec: BackendSpec, timeout: float = 60.0):
+        self.spec, self.timeout, self.turn = spec, timeout, 0
+
+    def chat(self, messages: list[dict], **parameters) -> dict:
+        thinking = parameters.pop("thinking", False) or self.spec.extra.get("enable_thinking", False)
+        parameters.pop("sample", None)  # only tells samples of one request apart
+        body = {"model": self.spec.model, "messages": messages, **self.spec.extra, **parameters}
+        if thinking:
+            body |= {"stream": True, "enable_thinking": True, "stream_options": {"include_usage": True}}
+        url, self.turn = self.spec.url(self.turn), self.turn + 1
+        head = {"Content-Type": "application/json"}
+        if self.spec.key_env:
+            head["Authorization"] = f"Bearer {os.environ.get(self.spec.key_env, '')}"
+        request = urllib.request.Request(f"{url.rstrip('/')}/chat/completions", json.dumps(body).encode(), head)
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+                if thinking:
+                    return accumulate([line.decode().rstrip("\r\n") for line in answer])
+                return read_completion(json.load(answer))
+        except urllib.error.HTTPError as e:
+            said = e.read().decode(errors="replace")
+            if e.code == 429 or "limit_requests" in said:
+                raise RateLimited(said[:500]) from e
+            raise RuntimeError(f"HTTP {e.code}: {said[:500]}") from e
+
+
+def read_completion(body: dict) -> dict:
+    """The first choice's text, all choices, and the usage of a completion that was not streamed."""
+    choices = [{"content": c["message"].get("content") or "", "finish_reason": c.get("finish_reason")} for c in body["choices"]]
+    usage = body.get("usage") or {}
+    return choices[0] | {"choices": choices, "prompt_tokens": usage.get("prompt_tokens", 0), "completion_tokens": usage.get("completion_tokens", 0)}
+
+
 @dataclass(frozen=True)
 class StubClient:
     """Answers that depend on nothing but the request: a boxed letter, or what answer makes of the hash and messages."""
@@ -54,10 +99,14 @@ class StubClient:
     answer: Callable[[int, list, dict], str] | None = None
 
     def chat(self, messages: list[dict], **parameters) -> dict:
+        n = parameters.pop("n", 1)
+        if n > 1:  # each choice is what a request of its own for that sample would give
+            made = [self.chat(messages, **parameters | ({"sample": k} if k else {})) for k in range(n)]
+            return made[0] | {"choices": made, "completion_tokens": sum(m["completion_tokens"] for m in made)}
         text = json.dumps([messages, sorted(parameters.items())], ensure_ascii=False)
         h = int(hashlib.sha256(text.encode()).hexdigest()[:12], 16)
         content = self.answer(h, messages, parameters) if self.answer else f"Thinking. \\boxed{{{self.letters[h % len(self.letters)]}}}"
-        return {"content": content, "prompt_tokens": len(text) // 4, "completion_tokens": len(content) // 4}
+        return {"content": content, "finish_reason": "stop", "prompt_tokens": len(text) // 4, "completion_tokens": len(content) // 4}
 
 
 def with_retry(call: Callable[[], dict], tries: int = 5, base: float = 1.5, pause: float = 30.0, sleep: Callable[[float], None] = time.sleep) -> dict:
@@ -78,7 +127,7 @@ def with_retry(call: Callable[[], dict], tries: int = 5, base: float = 1.5, paus
 
 def accumulate(events: list[str]) -> dict:
     """A streamed answer's text and usage from its ``data:`` lines; the usage stands in a late event without choices."""
-    text, usage = [], {}
+    text, usage, finish = [], {}, None
     for line in events:
         body = line.removeprefix("data:").strip()
         if not line.startswith("data:") or body == "[DONE]":
@@ -87,7 +136,8 @@ def accumulate(events: list[str]) -> dict:
         usage = e.get("usage") or usage
         for choice in e.get("choices") or []:
             text.append((choice.get("delta") or {}).get("content") or "")
-    return {"content": "".join(text), "prompt_tokens": usage.get("prompt_tokens", 0), "completion_tokens": usage.get("completion_tokens", 0)}
+            finish = choice.get("finish_reason") or finish
+    return {"content": "".join(text), "finish_reason": finish, "prompt_tokens": usage.get("prompt_tokens", 0), "completion_tokens": usage.get("completion_tokens", 0)}
 
 
 def stream_text(events: DataFrame, keys: list[str], order: str, line: str = "line") -> DataFrame:
@@ -115,21 +165,26 @@ class FlakyClient:
 
 
 def _caller(client, parameters: dict, in_flight: int, tries: int, wait: float):
-    def one(row: dict) -> tuple:
-        extra = parameters | ({"sample": row["sample_idx"]} if row["sample_idx"] else {})
+    """A row for each sample; a row of n samples is one request, whose tokens are counted in its first."""
+
+    def one(row: dict) -> list[tuple]:
+        first, n = row["sample_idx"], row["n"]
+        extra = parameters | ({"sample": first} if first else {}) | ({"n": n} if n > 1 else {})
         try:
             r = with_retry(lambda: client.chat(row["messages"], **extra), tries, sleep=lambda x: time.sleep(x * wait))
-            return row["key"], row["sample_idx"], r["content"], r.get("prompt_tokens", 0), r.get("completion_tokens", 0), None
+            got = (r.get("choices") or [r])[:n]
+            out = [(row["key"], first + k, c["content"], r.get("prompt_tokens", 0) if not k else 0, r.get("completion_tokens", 0) if not k else 0, c.get("finish_reason"), None) for k, c in enumerate(got)]
+            return out + [(row["key"], first + k, None, 0, 0, None, "missing: the answer has fewer choices") for k in range(len(got), n)]
         except Exception as e:
-            return row["key"], row["sample_idx"], None, 0, 0, f"{type(e).__name__}: {e}"
+            return [(row["key"], first + k, None, 0, 0, None, f"{type(e).__name__}: {e}") for k in range(n)]
 
     def run(batches):
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
-        names = ["key", "sample_idx", "content", "prompt_tokens", "completion_tokens", "error"]
+        kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+        names = ["key", "sample_idx", "content", "prompt_tokens", "completion_tokens", "finish_reason", "error"]
         with ThreadPoolExecutor(in_flight) as pool:
             for batch in batches:
                 for i in range(0, batch.num_rows, 256):
-                    rows = list(pool.map(one, batch.slice(i, 256).to_pylist()))
+                    rows = [r for some in pool.map(one, batch.slice(i, 256).to_pylist()) for r in some]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
@@ -139,17 +194,22 @@ def parameter_hash(parameters: dict) -> str:
     return hashlib.sha256(json.dumps(parameters, sort_keys=True).encode()).hexdigest()[:12]
 
 
-def call(rows: DataFrame, client, parameters: dict | None = None, samples: int = 1, in_flight: int = 8, tries: int = 3, cache: DataFrame | None = None, wait: float = 1.0) -> DataFrame:
+def call(rows: DataFrame, client, parameters: dict | None = None, samples: int = 1, in_flight: int = 8, tries: int = 3, cache: DataFrame | None = None, wait: float = 1.0, together: bool = False) -> DataFrame:
     """rows: (key, messages).  A row per key and sample, of CALLS; wait scales the pauses between tries.
 
+    together: all samples of a key by one request for n answers; not with a cache, which may have some of them.
+
     cache: earlier rows of the same layout; what it has is taken from there, and only the rest is asked for.  Its keys
     should name model, protocol and parameter_hash, so other settings never meet old answers.
     """
-    todo = rows.select("key", "messages", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("sample_idx"))
+    if together and cache is not None:
+        raise ValueError("samples that are asked for together have no cache")
+    each = F.lit(0) if together else F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
+    todo = rows.select("key", "messages", each.alias("sample_idx"), F.lit(samples if together else 1).alias("n"))
     if cache is not None:
         done = cache.where("error IS NULL")
         todo, hit = joins.resume(todo, done, ["key", "sample_idx"]), done.join(todo.select("key", "sample_idx"), ["key", "sample_idx"], "left_semi")
-    made = todo.select("key", "sample_idx", "messages").mapInArrow(_caller(client, parameters or {}, in_flight, tries, wait), CALLS)
+    made = todo.select("key", "sample_idx", "messages", "n").mapInArrow(_caller(client, parameters or {}, in_flight, tries, wait), CALLS)
     return made if cache is None else made.unionByName(hit.select(*made.columns))
 
 
@@ -157,7 +217,7 @@ def evaluate(questions: DataFrame, client, protocol: str, model: str = "model",
     """questions: (question_id, story, question, options, gold, language, task).  Result rows with all raw responses.
 
     A single answer is read as the protocol says; several samples are voted on.  Failed calls leave ``pred`` null and are
-    counted in ``n_errors``.
+    counted in ``n_errors``.  finish_reason is the first response's; truncated tells whether any was cut by its length.
     """
     p = dict(PROTOCOLS[protocol])
     samples = p.pop("n")
@@ -166,12 +226,12 @@ def evaluate(questions: DataFrame, client, protocol: str, model: str = "model",
     key = F.concat_ws("__", F.lit(model), F.lit(protocol), F.lit(parameter_hash(p | {"n": samples})), "question_id")
     asked = questions.withColumn("key", key)
     got = call(asked.select("key", chat.alias("messages")), client, p | ({"thinking": True} if thinking else {}), samples, cache=cache)
-    per = got.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "content"))), lambda s: s["content"]).alias("raw_responses"), F.count_if(F.col("error").isNotNull()).alias("n_errors"), F.sum("completion_tokens").alias("out_len"))
+    per = got.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample_idx", "content"))), lambda s: s["content"]).alias("raw_responses"), F.count_if(F.col("error").isNotNull()).alias("n_errors"), F.sum("completion_tokens").alias("out_len"), F.min_by("finish_reason", "sample_idx").alias("finish_reason"), F.coalesce(F.bool_or(F.col("finish_reason") == "length"), F.lit(False)).alias("truncated"))
     n = F.size("options")
     read = F.when(F.lit(protocol == "direct"), answers.extract_for_options(F.get("raw_responses", F.lit(0)), n)).otherwise(answers.vote(F.transform("raw_responses", lambda t: answers.extract_cot(t, 26)), 26))
     out = asked.join(per, "key").withColumn("pred", F.when(F.instr(prompts.letter_list(n), F.coalesce(read, F.lit("?"))) > 0, read))
     keep = [c for c in questions.columns if c not in ("story", "question", "options")]
-    return out.select(*keep, "pred", F.lit(model).alias("model"), F.lit(protocol).alias("protocol"), F.coalesce(F.col("pred") == F.col("gold"), F.lit(False)).alias("correct"), "raw_responses", "n_errors", "out_len")
+    return out.select(*keep, "pred", F.lit(model).alias("model"), F.lit(protocol).alias("protocol"), F.coalesce(F.col("pred") == F.col("gold"), F.lit(False)).alias("correct"), "raw_responses", "n_errors", "out_len", "finish_reason", "truncated")
 
 
 def evaluate_presets(questions: DataFrame, clients: dict, protocols: list[str]) -> DataFrame:
@@ -184,10 +244,10 @@ def evaluate_presets(questions: DataFrame, clients: dict, protocols: list[str])
     return out
 
 
-def score_difficulty(questions: DataFrame, client, samples: int = 8, parameters: dict | None = None) -> DataFrame:
-    """question_id, n_correct, n_total, reward_mean over the samples; failed calls count as wrong."""
-    chat = prompts.chat(prompts.system_prompt(F.size("options"), prompts.SYSTEM_COT), prompts.user_prompt(F.col("story"), F.col("question"), F.col("options"), F.col("language")))
-    got = call(questions.select(F.col("question_id").alias("key"), chat.alias("messages")), client, parameters or {"temperature": 1.0}, samples)
+def score_difficulty(questions: DataFrame, client, samples: int = 8, parameters: dict | None = None, template: str = prompts.SYSTEM_COT) -> DataFrame:
+    """question_id, n_correct, n_total, reward_mean over the samples of one request; failed calls count as wrong."""
+    chat = prompts.chat(prompts.system_prompt(F.size("options"), template), prompts.user_prompt(F.col("story"), F.col("question"), F.col("options"), F.col("language")))
+    got = call(questions.select(F.col("question_id").alias("key"), chat.alias("messages")), client, parameters or {"temperature": 1.0}, samples, together=True)
     rows = got.join(questions.select(F.col("question_id").alias("key"), "gold"), "key")
     right = F.coalesce(answers.extract_cot(F.col("content"), 26) == F.col("gold"), F.lit(False))
     return rows.groupBy(F.col("key").alias("question_id")).agg(F.count_if(right).alias("n_correct"), F.count("*").alias("n_total"), F.avg(right.cast("int")).alias("reward_mean"))
@@ -255,21 +315,32 @@ def reasoning_traces(rows: DataFrame, client, key: str, user: Column, gold: str
     return asked.withColumn("outcome", F.when(F.col("outcome") == "failed", "failed").when(F.coalesce(good, F.lit(False)), "ok").otherwise("bad"))
 
 
-def distill(questions: DataFrame, client, votes: int = 1, needed: int = 1, paraphrase: bool = True, pre_verify: bool = False, paraphraser=None) -> DataFrame:
-    """Questions whose story survives a paraphrase: solved to the gold by at least ``needed`` of ``votes`` samples.
+def distill(
+    questions: DataFrame, client, votes: int = 1, needed: int = 1, paraphrase: bool | Column = True, pre_verify: bool | Column = False, paraphraser=None,
+    template: str = prompts.SYSTEM_COT, source: str | None = None,
+) -> DataFrame:
+    """Questions whose story is solved to the gold by at least ``needed`` of ``votes`` samples, paraphrased or as it is.
 
-    pre_verify: the original must be solved first.  Rows keep ``derived_from``, their question's id, so that whatever
-    comes from an evaluation set can be found again and left out by an anti join.
+    paraphrase, pre_verify: for all rows, or a condition for each; a pre-verified row must be solved in its original form
+    first.  template: the solver's system prompt.  Each model is asked once for each row and step, and the story that was
+    solved is the one returned.  Rows keep ``derived_from``, their question's id, so that whatever comes from an
+    evaluation set can be found again and left out by an anti join.  source: a tag's base, to which each row's mode is
+    added, ``_paraphrased`` or ``_original``.
     """
-    rows = questions
-    if pre_verify:
-        first = score_difficulty(rows, client, 1).where("n_correct = 1").select("question_id")
-        rows = rows.join(first, "question_id", "left_semi")
-    if paraphrase:
-        asked = transform_rows(rows, paraphraser or client, "question_id", "Paraphrase the story. Reply with the story only.", F.col("story"), lambda c: F.when(F.trim(c) != "", F.struct(c.alias("story"))))
-        rows = asked.where("outcome = 'ok'").withColumn("story", F.col("result.story")).select(*questions.columns)
-    solved = score_difficulty(rows, client, votes).where(F.col("n_correct") >= needed).select("question_id", "n_correct")
-    return rows.join(solved, "question_id").withColumn("derived_from", F.col("question_id"))
+    as_column = lambda c: F.lit(c) if isinstance(c, bool) else F.coalesce(c, F.lit(False))
+    rows = questions.withColumns({"__told": as_column(paraphrase), "__first": as_column(pre_verify)})
+    if pre_verify is not False:
+        first = score_difficulty(rows.where("__first"), client, 1, template=template).where("n_correct = 1").select("question_id")
+        rows = cut(rows.where("__first").join(first, "question_id", "left_semi").unionByName(rows.where("NOT __first")))
+    if paraphrase is not False:
+        asked = transform_rows(rows.where("__told"), paraphraser or client, "question_id", "Paraphrase the story. Reply with the story only.", F.col("story"), lambda c: F.when(F.trim(c) != "", F.struct(c.alias("story"))))
+        told = asked.where("outcome = 'ok'").withColumn("story", F.col("result.story")).select(*rows.columns)
+        rows = cut(told.unionByName(rows.where("NOT __told")))
+    solved = score_difficulty(rows, client, votes, template=template).where(F.col("n_correct") >= needed).select("question_id", "n_correct")
+    out = rows.join(solved, "question_id").withColumn("derived_from", F.col("question_id"))
+    if source is not None:
+        out = out.withColumn("source", F.concat(F.lit(f"{source}_"), F.when(F.col("__told"), "paraphrased").otherwise("original")))
+    return out.drop("__told", "__first")
 
 
 def smoke_check(specs: list[BackendSpec], make: Callable[[BackendSpec], object]) -> list[tuple[str, bool]]:

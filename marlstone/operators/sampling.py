@@ -5,9 +5,12 @@ The order of rows is that of ``md5(seed|key)``: the same on every run, engine an
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.lineage import cut
 from marlstone.schemas import LETTERS
 
 
@@ -21,6 +24,11 @@ def uniform(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(draw(seed, *parts), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def below(n: int, seed: int, *parts: Column) -> Column:
+    """A whole number from 0 to n - 1 of fifteen hex digits of the hash; 0 if n is 0."""
+    return F.pmod(F.conv(F.substring(draw(seed, *parts), 1, 15), 16, 10).cast("long"), F.lit(max(1, n)).cast("long"))
+
+
 def sample(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """min(n, all) rows: the first in hash order, found per partition before they are merged."""
     return rows.orderBy(draw(seed, F.col(key)), key).limit(n)
@@ -68,26 +76,45 @@ def quotas(sizes: dict, n: int) -> dict:
 
 
 def proportional(rows: DataFrame, stratum: str, n: int, key: str, seed: int = 42) -> DataFrame:
-    """A stratified sample of n rows; only the strata's counts reach the driver."""
-    sizes = {r[0]: r[1] for r in rows.groupBy(stratum).count().collect()}
+    """A stratified sample of n rows; a null stratum is one, too.  Only the strata's counts reach the driver.
+
+    The rank is first cut at the largest quota, so each task passes on that many rows of a stratum at most.
+    """
+    sizes = {(r[0] is None, r[0]): r[1] for r in rows.groupBy(stratum).count().collect()}
     if not sizes:
         return rows
-    q = rows.sparkSession.createDataFrame(list(quotas(sizes, n).items()), f"{stratum} string, __q int")
+    quota = quotas(sizes, n)
+    fits = reduce(lambda a, b: a | b, (F.col(stratum).eqNullSafe(F.lit(s)) & (F.col("__r") <= q) for (_, s), q in quota.items()))
     w = Window.partitionBy(stratum).orderBy(draw(seed, F.col(key)), F.col(key))
-    return rows.withColumn("__r", F.row_number().over(w)).join(q, stratum).where("__r <= __q").drop("__r", "__q")
+    return rows.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= max(quota.values())).where(fits).drop("__r")
 
 
-def references(prompts: DataFrame, pool: DataFrame, k: int, key: str, ref_key: str, seed: int = 42, slots: int = 1024) -> DataFrame:
-    """k references per prompt, reused across prompts: each draws slots, and a slot holds one row of the pool.
+def numbered(rows: DataFrame, order: list[Column]) -> tuple[DataFrame, int]:
+    """rows with at, their position from 0 in the given order, and how many there are.
 
-    A slot's row is the least in hash order among those that fall into it, so the join is on the slot.  A prompt's draws
-    can meet an empty slot when the pool is small; those go on to the pool's row of least hash.
+    Rows are range-partitioned and sorted; positions are a partition's offset plus the rank in it, so no task holds all.
+    """
+    ranged = rows.withColumn("__o", F.struct(*order)).repartitionByRange(F.col("__o")).sortWithinPartitions("__o").withColumn("__id", F.monotonically_increasing_id())
+    ranged = cut(ranged).withColumn("__p", F.shiftright("__id", 33))
+    before, total = [], 0
+    for p, k in sorted((r[0], r[1]) for r in ranged.groupBy("__p").count().collect()):  # one row a partition
+        before.append((p, total))
+        total += k
+    offset = F.broadcast(rows.sparkSession.createDataFrame(before, "__p long, __first long"))
+    at = F.col("__first") + F.col("__id") - F.shiftleft("__p", 33)
+    return ranged.join(offset, "__p").withColumn("at", at).drop("__o", "__id", "__p", "__first"), total
+
+
+def references(prompts: DataFrame, pool: DataFrame, k: int, key: str, ref_key: str, seed: int = 42) -> DataFrame:
+    """k references per prompt, drawn with replacement from the whole pool, each row as likely as any other.
+
+    The pool's rows are numbered in hash order, a draw is a number below their count, and the join is on the number.  An
+    empty pool gives null references.
     """
-    slot = F.pmod(F.xxhash64(F.lit(seed), F.col(ref_key)), F.lit(slots)).cast("int")
-    held = pool.groupBy(slot.alias("slot")).agg(F.min_by(ref_key, draw(seed, F.col(ref_key))).alias("ref"))
-    spare = pool.agg(F.min_by(ref_key, draw(seed, F.col(ref_key)))).scalar()
-    asks = prompts.select(key, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i")).withColumn("slot", F.pmod(F.xxhash64(F.lit(seed + 1), F.col(key), F.col("i")), F.lit(slots)).cast("int"))
-    return asks.join(held, "slot", "left").select(key, "i", F.coalesce(F.col("ref"), spare).alias("ref"))
+    numbers, n = numbered(pool.select(F.col(ref_key).alias("ref")), [draw(seed, F.col(ref_key)), F.col(ref_key)])
+    asks = prompts.select(key, F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("i"))
+    asks = asks.withColumn("at", below(n, seed + 1, F.col(key), F.col("i")))
+    return asks.join(numbers, "at", "left").select(key, "i", "ref")
 
 
 def permutation(n: Column, seed: int, *parts: Column) -> Column:
@@ -128,18 +155,22 @@ def with_distractors(rows: DataFrame, answer: str, wrong: Column, key: str, seed
     return permute_options(out, key, seed)
 
 
-def pool_distractors(rows: DataFrame, answer: str, key: str, k: int = 3, seed: int = 42, tries: int = 16, slots: int = 4096) -> DataFrame:
-    """k wrong answers per row from all answers: distinct, and none the row's own; made-up ones where the pool is too small.
+def pool_distractors(rows: DataFrame, answer: str, key: str, k: int = 3, seed: int = 42) -> DataFrame:
+    """k wrong answers per row from all answers: distinct, and none the row's own; made-up ones only where there are fewer
+    others than k.
 
-    Answers are dealt into slots by hash; a row draws a fixed number of slots, so nothing is paired with the whole pool.
+    The distinct answers are numbered in hash order; a row takes those that follow a drawn place, around the end and past
+    its own answer, so each is as likely as any other and nothing is paired with the whole pool.
     """
     pool = rows.select(F.col(answer).alias("ref")).where("ref IS NOT NULL AND trim(ref) <> ''").distinct()
-    drawn = references(rows, pool, tries, key, "ref", seed, slots)
-    mine = rows.select(key, F.col(answer).alias("__a"))
-    picked = drawn.join(mine, key).where("ref <> __a").groupBy(key).agg(F.array_sort(F.collect_set(F.struct("i", "ref"))).alias("r"))
-    texts = F.slice(F.array_distinct(F.transform("r", lambda s: s["ref"])), 1, k)
+    numbers, n = numbered(pool, [draw(seed, F.col("ref")), F.col("ref")])
+    place = below(n, seed + 1, F.col(key))
+    asks = rows.select(key, F.col(answer).alias("__a"), place.alias("__p"), F.explode(F.sequence(F.lit(0), F.lit(min(k, max(0, n - 1))))).alias("i"))
+    asks = asks.withColumn("at", F.pmod(F.col("__p") + F.col("i"), F.lit(max(1, n)).cast("long")))
+    drawn = asks.join(numbers, "at").where(~F.col("ref").eqNullSafe(F.col("__a"))).groupBy(key).agg(F.array_sort(F.collect_set(F.struct("i", "ref"))).alias("r"))
+    texts = F.slice(F.transform("r", lambda s: s["ref"]), 1, k)
     fill = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.concat(F.lit("None of these ("), i, F.lit(")")))
-    return rows.join(picked.select(key, texts.alias("wrong")), key, "left").withColumn("wrong", F.slice(F.concat(F.coalesce("wrong", F.array().cast("array<string>")), fill), 1, k))
+    return rows.join(drawn.select(key, texts.alias("wrong")), key, "left").withColumn("wrong", F.slice(F.concat(F.coalesce("wrong", F.array().cast("array<string>")), fill), 1, k))
 
 
 #: Words that a mined noun phrase never begins with, and what stands in where a story has too few.

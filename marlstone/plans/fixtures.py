@@ -19,23 +19,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-#: Four-option questions made of the first words of the documents.
-MCQ_SQL = r"""(SELECT doc_id, 'q' || doc_id AS question_id, source, lang AS language, 'task' || (doc_id % 5) AS task, left(t, 80) AS story,
+#: Four-option questions with whole documents as stories and their first words as options.
+MCQ_SQL = r"""(SELECT doc_id, 'q' || doc_id AS question_id, source, lang AS language, 'task' || (doc_id % 5) AS task, t AS story,
  'Which word comes ' || (doc_id % 3) || '?' AS question, coalesce(w[1], '') AS opt_a, coalesce(w[2], '') AS opt_b, coalesce(w[3], '') AS opt_c, coalesce(w[4], '') AS opt_d,
  chr(CAST(65 + doc_id % 4 AS INT)) AS gold FROM (SELECT *, string_split(regexp_replace(coalesce(text, ''), '[ \n\r\t]+', ' ', 'g'), ' ') AS w, coalesce(text, '') AS t FROM documents))"""
 
 
-#: The same with whole documents as stories.
-MCQ_WHOLE_SQL = MCQ_SQL.replace("left(t, 80) AS story", "t AS story")
-
-
-def mcq(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def mcq(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.coalesce("text", F.lit(""))
     w = F.split(F.regexp_replace(t, r"[ \n\r\t]+", " "), " ")
     d = documents(spark, sf_dir).select("doc_id", "source", F.col("lang").alias("language"), t.alias("t"), w.alias("w"))
     opts = [F.coalesce(F.get("w", F.lit(i)), F.lit("")).alias(f"opt_{c}") for i, c in enumerate("abcd")]
     return d.select(
-        "doc_id", F.concat(F.lit("q"), "doc_id").alias("question_id"), "source", "language", F.concat(F.lit("task"), F.col("doc_id") % 5).alias("task"), (F.col("t") if whole else F.left("t", F.lit(80))).alias("story"),
+        "doc_id", F.concat(F.lit("q"), "doc_id").alias("question_id"), "source", "language", F.concat(F.lit("task"), F.col("doc_id") % 5).alias("task"), F.col("t").alias("story"),
         F.concat(F.lit("Which word comes "), F.col("doc_id") % 3, F.lit("?")).alias("question"), *opts, F.char(F.col("doc_id") % 4 + 65).alias("gold"),
     )
 
@@ -61,13 +57,13 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Model responses: boxed twice, a bare letter, a word with capitals, null, or plain text.
 RESPONSES_SQL = r"""(SELECT doc_id, n_chars, source, lang, chr(CAST(65 + doc_id % 4 AS INT)) AS gold, CASE doc_id % 5 WHEN 0 THEN 'Some reasoning. \boxed{' || chr(CAST(65 + doc_id % 4 AS INT)) || '} then \boxed{' || chr(CAST(65 + (doc_id + 1) % 4 AS INT)) || '}'
- WHEN 1 THEN 'The answer is ' || chr(CAST(65 + doc_id % 4 AS INT)) WHEN 2 THEN 'Because nothing fits' WHEN 3 THEN NULL ELSE left(text, 300) END AS response FROM documents)"""
+ WHEN 1 THEN 'The answer is ' || chr(CAST(65 + doc_id % 4 AS INT)) WHEN 2 THEN 'Because nothing fits' WHEN 3 THEN NULL ELSE text END AS response FROM documents)"""
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = F.char(F.col("doc_id") % 4 + 65), F.char((F.col("doc_id") + 1) % 4 + 65)
     k = F.col("doc_id") % 5
-    r = F.when(k == 0, F.concat(F.lit("Some reasoning. \\boxed{"), a, F.lit("} then \\boxed{"), b, F.lit("}"))).when(k == 1, F.concat(F.lit("The answer is "), a)).when(k == 2, "Because nothing fits").when(k == 3, F.lit(None)).otherwise(F.left("text", F.lit(300)))
+    r = F.when(k == 0, F.concat(F.lit("Some reasoning. \\boxed{"), a, F.lit("} then \\boxed{"), b, F.lit("}"))).when(k == 1, F.concat(F.lit("The answer is "), a)).when(k == 2, "Because nothing fits").when(k == 3, F.lit(None)).otherwise(F.col("text"))
     return documents(spark, sf_dir).select("doc_id", "n_chars", "source", "lang", a.alias("gold"), r.alias("response"))
 
 

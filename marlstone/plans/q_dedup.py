@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.operators import dedup, similarity as sim
-from marlstone.plans.fixtures import MCQ_SQL, MCQ_WHOLE_SQL, documents, mcq, table
+from marlstone.plans.fixtures import MCQ_SQL, documents, mcq, table
 from marlstone.plans.registry import query
 
 _W = r"list_filter(string_split_regex({}, '\s+'), lambda x: x <> '')"
@@ -56,37 +56,25 @@ def _(spark, d):
     return documents(spark, d).select("doc_id", g.alias("g")).select("doc_id", F.size("g").cast("long").alias("n"), F.get("g", F.lit(0)).alias("first"))
 
 
-@query("s_sim_02_word_grams_cased", f"SELECT question_id, CASE WHEN len(w) < 4 AND q <> '' THEN [q] ELSE {_grams('w')} END AS g FROM (SELECT question_id, q, {_W.format('q')} AS w FROM (SELECT question_id, CASE WHEN doc_id % 2 = 0 THEN opt_a ELSE story END AS q FROM {MCQ_SQL}))")
-def _(spark, d):
-    rows = mcq(spark, d).select("question_id", F.when(F.col("doc_id") % 2 == 0, F.col("opt_a")).otherwise(F.col("story")).alias("q"))
-    return rows.select("question_id", F.array_sort(sim.word_grams(F.col("q"), lower=False, short="whole")).alias("g"))
-
-
 @query("s_sim_03_word_grams_lower", f"SELECT doc_id, len(g) AS n FROM {_SETS}")
 def _(spark, d):
     return _docs(spark, d).select(F.col("key").alias("doc_id"), F.size("grams").cast("long").alias("n"))
 
 
-_WHOLE = f"(SELECT doc_id, question_id, story AS q FROM {MCQ_WHOLE_SQL})"
+_WHOLE = f"(SELECT doc_id, question_id, story AS q FROM {MCQ_SQL})"
 
 
-@query("s_sim_02_word_grams_cased_whole", f"SELECT question_id, CASE WHEN len(w) < 4 AND q <> '' THEN [q] ELSE {_grams('w')} END AS g FROM (SELECT question_id, q, {_W.format('q')} AS w FROM {_WHOLE})")
+@query("s_sim_02_word_grams_cased", f"SELECT question_id, CASE WHEN len(w) < 4 AND q <> '' THEN [q] ELSE {_grams('w')} END AS g FROM (SELECT question_id, q, {_W.format('q')} AS w FROM {_WHOLE})")
 def _(spark, d):
-    return mcq(spark, d, whole=True).select("question_id", F.array_sort(sim.word_grams(F.col("story"), lower=False, short="whole")).alias("g"))
+    return mcq(spark, d).select("question_id", F.array_sort(sim.word_grams(F.col("story"), lower=False, short="whole")).alias("g"))
 
 
 _CH = "list_sort(list_distinct(list_transform(range(1, greatest(1, length({t}) - {k} + 1) + 1), lambda i: substr({t}, i, {k}))))"
 
 
-@query("s_sim_04_mixed_grams", f"SELECT question_id, CASE WHEN len(w) >= 4 THEN {_grams('w')} WHEN length(q) >= 4 THEN {_CH.format(t='q', k=4)} ELSE list_sort(list_distinct(list_filter(string_split(q, ''), lambda c: c <> ''))) END AS g FROM (SELECT question_id, q, {_W.format('q')} AS w FROM (SELECT question_id, lower(CASE WHEN doc_id % 2 = 0 THEN opt_a ELSE story END) AS q FROM {MCQ_SQL}))")
-def _(spark, d):
-    rows = mcq(spark, d).select("question_id", F.when(F.col("doc_id") % 2 == 0, F.col("opt_a")).otherwise(F.col("story")).alias("q"))
-    return rows.select("question_id", F.array_sort(sim.mixed_grams(F.col("q"))).alias("g"))
-
-
-@query("s_sim_04_mixed_grams_whole", f"SELECT question_id, CASE WHEN len(w) >= 4 THEN {_grams('w')} WHEN length(q) >= 4 THEN {_CH.format(t='q', k=4)} ELSE list_sort(list_distinct(list_filter(string_split(q, ''), lambda c: c <> ''))) END AS g FROM (SELECT question_id, q, {_W.format('q')} AS w FROM (SELECT question_id, lower(q) AS q FROM {_WHOLE}))")
+@query("s_sim_04_mixed_grams", f"SELECT question_id, CASE WHEN len(w) >= 4 THEN {_grams('w')} WHEN length(q) >= 4 THEN {_CH.format(t='q', k=4)} ELSE list_sort(list_distinct(list_filter(string_split(q, ''), lambda c: c <> ''))) END AS g FROM (SELECT question_id, q, {_W.format('q')} AS w FROM (SELECT question_id, lower(q) AS q FROM {_WHOLE}))")
 def _(spark, d):
-    return mcq(spark, d, whole=True).select("question_id", F.array_sort(sim.mixed_grams(F.col("story"))).alias("g"))
+    return mcq(spark, d).select("question_id", F.array_sort(sim.mixed_grams(F.col("story"))).alias("g"))
 
 
 @query("s_sim_05_char_shingles", f"SELECT item_id, len(g) AS n, g[1] AS first FROM (SELECT item_id, {_CH.format(t='t', k=5)} AS g FROM (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM benchmark))")
@@ -106,24 +94,24 @@ def _(spark, d):
 @query("s_sim_07_minhash")
 def _(spark, d):
     """No oracle: seeded hashes of this engine; a test holds the estimate against the exact similarity."""
-    return table(spark, d, "benchmark").select("item_id", sim.minhash(sim.adaptive_grams(F.col("text"))).alias("signature"))
+    return documents(spark, d).select("doc_id", sim.minhash(sim.adaptive_grams(F.col("text"))).alias("signature"))
 
 
 def _signed(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("key"), sim.minhash(sim.char_shingles(F.col("text"))).alias("signature"))
+    """All documents as index, the labelled ones as queries."""
+    index = documents(spark, d).select(F.col("doc_id").alias("key"), sim.minhash(sim.adaptive_grams(F.col("text"))).alias("signature"))
+    return index, index.join(table(spark, d, "labels").select(F.col("doc_id").alias("key")), "key", "left_semi")
 
 
 @query("s_sim_08_lsh_candidates")
 def _(spark, d):
-    s = _signed(spark, d)
-    return sim.lsh_candidates(s, s, 0.5)
+    return sim.lsh_candidates(*_signed(spark, d), 0.5)
 
 
 @query("s_sim_09_estimated_jaccard")
 def _(spark, d):
     """The first hit of each query with its estimated similarity, without an exact check."""
-    s = _signed(spark, d)
-    c = sim.lsh_candidates(s, s, 0.5)
+    c = sim.lsh_candidates(*_signed(spark, d), 0.5)
     return c.groupBy("query").agg(F.min(F.struct("hit", "estimate")).alias("b")).select("query", "b.*")
 
 
@@ -169,17 +157,6 @@ def _(spark, d):
 
 @query(
     "s_ddp_07_two_key_dedup",
-    """WITH x AS (SELECT doc_id, doc_id % 700 AS k, text FROM documents WHERE doc_id % 2 = 1), b AS (SELECT doc_id % 700 AS k, text FROM documents WHERE doc_id % 4 = 0),
-f AS (SELECT * FROM x WHERE k NOT IN (SELECT k FROM b) QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1)
-SELECT doc_id FROM f WHERE text NOT IN (SELECT text FROM b) QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""",
-)
-def _(spark, d):
-    rows = documents(spark, d).withColumn("k", F.col("doc_id") % 700)
-    return dedup.two_key(rows.where("doc_id % 4 = 0"), rows.where("doc_id % 2 = 1"), "k", F.col("text"), "doc_id").select("doc_id")
-
-
-@query(
-    "s_ddp_07_two_key_dedup_whole",
     """WITH d AS (SELECT doc_id, source || ':' || n_chars AS k, text, doc_id IN (SELECT doc_id FROM labels) AS old FROM documents), b AS (SELECT k, text FROM d WHERE old),
 f AS (SELECT * FROM d WHERE NOT old AND k NOT IN (SELECT k FROM b) QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1)
 SELECT doc_id FROM f WHERE text NOT IN (SELECT text FROM b) QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""",
@@ -233,9 +210,9 @@ def _(spark, d):
     return pipelines.fold_in(rows.where("key < 500"), rows.where("key >= 500"), items, F.col("text"))["rows"].select(F.col("key").alias("doc_id"))
 
 
-@query("s_ddp_11_rollback", "SELECT doc_id FROM documents WHERE doc_id < 100 UNION ALL SELECT doc_id FROM documents WHERE doc_id >= 150")
+@query("s_ddp_11_rollback", "SELECT doc_id FROM documents")
 def _(spark, d):
-    """The second version is given up: its rows are merged anew into the first."""
+    """The second version is given up: the other rows are merged anew into the first, of labelled documents."""
     import uuid
 
     from marlstone.operators.lineage import cut
@@ -243,10 +220,11 @@ def _(spark, d):
 
     cut(spark.range(1))
     root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/versions-{uuid.uuid4().hex}"
-    rows = documents(spark, d).select("doc_id")
-    first = sinks.versioned(rows.where("doc_id < 100"), root, "1")
-    sinks.versioned(rows.where("doc_id < 150"), root, "2")
-    return spark.read.parquet(first).unionByName(rows.where("doc_id >= 150"))
+    rows, labels = documents(spark, d).select("doc_id", "lang"), table(spark, d, "labels").select("doc_id")
+    old, new = rows.join(labels, "doc_id", "left_semi").select("doc_id"), rows.join(labels, "doc_id", "left_anti")
+    first = sinks.versioned(old, root, "1")
+    sinks.versioned(old.union(new.where("lang = 'en'").select("doc_id")), root, "2")
+    return spark.read.parquet(first).unionByName(new.select("doc_id"))
 
 
 @query("s_join_17_substring_join", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 80))")

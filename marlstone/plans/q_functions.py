@@ -174,17 +174,10 @@ def _(spark, d):
     return options(mcq(spark, d)).select("question_id", answers.label_letter(F.col("opt_d"), F.col("options")).alias("letter"))
 
 
-@query("s_fn_22_any_gold_letter", f"SELECT question_id, chr(CAST(65 + CASE WHEN doc_id % 3 = 0 THEN doc_id % 4 WHEN doc_id % 3 = 1 THEN doc_id % 4 ELSE 2 END AS INT)) AS letter FROM {_Q} WHERE doc_id % 3 < 2")
-def _(spark, d):
-    """An index in one third of rows, a letter in another."""
-    gold = F.when(F.col("doc_id") % 3 == 0, (F.col("doc_id") % 4).cast("string")).otherwise(F.lower("gold"))
-    return options(mcq(spark, d)).where("doc_id % 3 < 2").select("question_id", answers.any_gold_letter(gold, F.col("options")).alias("letter"))
-
-
 _NAMED = "CASE WHEN regexp_full_match(trim(opt_c), '[+]?0*[0-3]') THEN chr(CAST(65 + CAST(right(trim(opt_c), 1) AS INT) AS INT)) WHEN regexp_full_match(trim(opt_c), '[A-Da-d]') THEN upper(trim(opt_c)) ELSE CASE lower(trim(opt_c)) WHEN lower(trim(opt_a)) THEN 'A' WHEN lower(trim(opt_b)) THEN 'B' ELSE 'C' END END"
 
 
-@query("s_fn_22_any_gold_letter_whole", f"SELECT question_id, CASE WHEN doc_id % 3 < 2 THEN chr(CAST(65 + doc_id % 4 AS INT)) ELSE {_NAMED} END AS letter FROM {_Q}")
+@query("s_fn_22_any_gold_letter", f"SELECT question_id, CASE WHEN doc_id % 3 < 2 THEN chr(CAST(65 + doc_id % 4 AS INT)) ELSE {_NAMED} END AS letter FROM {_Q}")
 def _(spark, d):
     """Every question: an index in one third of rows, a letter in another, an option's text in the last."""
     k = F.col("doc_id") % 3

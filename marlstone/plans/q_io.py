@@ -67,13 +67,7 @@ def _(spark, d):
     return out
 
 
-@query("s_src_07_csv", "SELECT doc_id, lang, left(text, 40) AS head FROM documents")
-def _(spark, d):
-    documents(spark, d).select("doc_id", "lang", F.left("text", F.lit(40)).alias("head")).write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(path := _place(spark))
-    return readers.csv(spark, path, "doc_id bigint, lang string, head string")
-
-
-@query("s_src_07_csv_whole", "SELECT doc_id, lang, text FROM documents")
+@query("s_src_07_csv", "SELECT doc_id, lang, text FROM documents")
 def _(spark, d):
     documents(spark, d).select("doc_id", "lang", "text").write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(path := _place(spark))
     return readers.csv(spark, path, "doc_id bigint, lang string, text string")
@@ -259,7 +253,7 @@ def _(spark, d):
     return monitors.drained(spark, monitors.append_new(s, ["user_id"], "ts", "3650 days"), f"keys_{uuid.uuid4().hex}", "append").select("user_id")
 
 
-@query("s_str_06_event_type_totals", "SELECT event_type, count(*) AS n, max(value) AS top FROM events GROUP BY event_type")
+@query("event_type_totals", "SELECT event_type, count(*) AS n, max(value) AS top FROM events GROUP BY event_type")
 def _(spark, d):
     table(spark, d, "events").select("event_type", "value").write.parquet(path := _place(spark))
     s = spark.readStream.schema("event_type string, value double").parquet(path)

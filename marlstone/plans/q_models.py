@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marlstone.functions import prompts
 from marlstone.operators import model_calls as mc
 from marlstone.operators import similarity as sim
 from marlstone.plans import pipelines as pip
 from marlstone.plans.fixtures import MCQ_SQL, RESULTS_SQL, documents, mcq, options, results, table
+from marlstone.plans.q_sampling import _PERM
 from marlstone.plans.registry import query
 
 
@@ -40,6 +42,10 @@ def _trace(h, messages, parameters):
     return "<reasoning>Step 1\nStep 2\nStep 3</reasoning><answer>\\boxed{B}</answer>"
 
 
+def _retell(h, messages, parameters):
+    return "retold: " + messages[-1]["content"]
+
+
 B = mc.StubClient(answer=_letter)
 
 
@@ -70,7 +76,7 @@ def _(spark, d):
 def _(spark, d):
     rows = _q(spark, d)
     asked = rows.select(F.col("question_id").alias("key"), F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("content"))).alias("messages"))
-    cache = rows.where("doc_id % 2 = 0").select(F.col("question_id").alias("key"), F.lit(0).alias("sample_idx"), F.lit("old").alias("content"), F.lit(1).alias("prompt_tokens"), F.lit(1).alias("completion_tokens"), F.lit(None).cast("string").alias("error"))
+    cache = rows.where("doc_id % 2 = 0").select(F.col("question_id").alias("key"), F.lit(0).alias("sample_idx"), F.lit("old").alias("content"), F.lit(1).alias("prompt_tokens"), F.lit(1).alias("completion_tokens"), F.lit("stop").alias("finish_reason"), F.lit(None).cast("string").alias("error"))
     return mc.call(asked, B, cache=cache).select("key", "content")
 
 
@@ -200,12 +206,11 @@ def _(spark, d):
     return mc.distill(_q(spark, d), B, votes=4, needed=3, pre_verify=True, paraphraser=mc.StubClient(answer=_echo_story)).select("question_id", "n_correct")
 
 
-@query("s_llm_24_distill_conditional", f"SELECT question_id FROM {MCQ_SQL} WHERE gold = 'B'")
+@query("s_llm_24_distill_conditional", f"SELECT question_id, CASE WHEN task IN ('task0', 'task1') THEN 'made_paraphrased' ELSE 'made_original' END AS source, CASE WHEN task IN ('task0', 'task1') THEN 'retold: ' || story ELSE story END AS story FROM {MCQ_SQL} WHERE gold = 'B'")
 def _(spark, d):
-    """Without a paraphrase the story stays as it is."""
-    q = _q(spark, d)
-    out = mc.distill(q, B, paraphrase=False, pre_verify=True)
-    return out.join(q.select("question_id", F.col("story").alias("s")), "question_id").where("story = s").select("question_id")
+    """Stories of two tasks are retold; those of the others stay as they are."""
+    out = mc.distill(_q(spark, d), B, paraphrase=F.col("task").isin("task0", "task1"), pre_verify=F.col("task") != "task2", paraphraser=mc.StubClient(answer=_retell), template=prompts.SYSTEM_DELTA, source="made")
+    return out.select("question_id", "source", "story")
 
 
 @query("s_llm_25_distill_errors", f"SELECT question_id FROM {MCQ_SQL} WHERE gold = 'B' AND doc_id IN (SELECT doc_id FROM {RESULTS_SQL} WHERE model = 'm0' AND NOT correct GROUP BY doc_id HAVING count(*) >= 2)")
@@ -230,12 +235,12 @@ def _(spark, d):
 # pipelines
 
 
-@query("s_pip_01_build_evaluation", f"SELECT count(*) AS n, 50::BIGINT AS sampled FROM {MCQ_SQL} WHERE trim(opt_a) <> '' AND trim(question) <> ''")
+@query("s_pip_01_build_evaluation", f"SELECT question_id || '_en' AS question_id, row_number() OVER (ORDER BY md5('42|' || question_id || '_en'), question_id || '_en') <= 50 AS sampled FROM {MCQ_SQL} WHERE trim(opt_a) <> '' AND trim(question) <> ''")
 def _(spark, d):
     q = mcq(spark, d)
     raw = q.select("question_id", "gold", *(F.col(c).alias(f"{c}_en") for c in ("question", "opt_a")), *(F.lit(None).cast("string").alias(f"{c}_zh") for c in ("question", "opt_a")))
     rows, sample = pip.build_evaluation(raw, ("question", "opt_a"), ("question", "opt_a"), 50)
-    return rows.agg(F.count("*").alias("n")).select("n", sample.agg(F.count("*")).scalar().alias("sampled"))
+    return rows.select("question_id").join(sample.select("question_id", F.lit(True).alias("s")), "question_id", "left").select("question_id", F.coalesce("s", F.lit(False)).alias("sampled"))
 
 
 def _train(spark, d):
@@ -252,17 +257,18 @@ def _(spark, d):
     return pip.merge(_train(spark, d), _bench(spark, d), F.col("text"))["totals"]
 
 
-@query("s_pip_03_cleanup", "SELECT count(*) AS n FROM documents WHERE source NOT IN ('src1', 'src2')")
+@query("s_pip_03_cleanup", "SELECT CAST(doc_id AS VARCHAR) AS key, source FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT 'item' || item_id, 'items' FROM benchmark")
 def _(spark, d):
-    t = _train(spark, d)
-    return pip.cleanup(t, ("src1", "src2"), t.limit(0), "key")["rows"].agg(F.count("*").alias("n"))
+    """The items are the other source."""
+    extra = _bench(spark, d).select(F.concat(F.lit("item"), "key").alias("key"), F.lit("items").alias("source"), "text")
+    return pip.cleanup(_train(spark, d).withColumn("key", F.col("key").cast("string")), ("src1", "src2"), extra, "key")["rows"].select("key", "source")
 
 
-@query("s_pip_04_build_stage", "SELECT count(DISTINCT text) AS total, 0::BIGINT AS leakage_dropped FROM documents")
+@query("s_pip_04_build_stage", "SELECT arg_min(doc_id, (lang <> 'en', doc_id)) AS key FROM documents GROUP BY text")
 def _(spark, d):
     t = _train(spark, d)
     ev = _bench(spark, d).select("key", sim.word_grams(F.col("text")).alias("grams"))
-    return pip.build_stage([t.where("task = 'en'"), t.where("task <> 'en'")], ev, F.col("text"), F.col("text"))["report"]
+    return pip.build_stage([t.where("task = 'en'"), t.where("task <> 'en'")], ev, F.col("text"), F.col("text"))["rows"].select("key")
 
 
 @query("s_pip_05_curriculum", "SELECT CASE WHEN l.doc_id IS NULL THEN 'no label' WHEN d.doc_id % 20 = 19 THEN 'mastered' ELSE 'kept' END AS reason, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
@@ -273,16 +279,20 @@ def _(spark, d):
     return pip.curriculum(t, lab, acc, "doc_id")["drops"]
 
 
-@query("s_pip_06_rebalance", f"SELECT count(*) AS n, count(*) AS tagged FROM {MCQ_SQL}")
+@query("s_pip_06_rebalance", f"SELECT question_id, list_transform(p, lambda i: o[i + 1]) AS options, chr(CAST(64 + list_position(p, ascii(gold) - 65) AS INT)) AS gold, 'mcq' AS tag FROM (SELECT question_id, gold, [opt_a, opt_b, opt_c, opt_d] AS o, {_PERM} AS p FROM {MCQ_SQL})")
 def _(spark, d):
-    return pip.rebalance(_q(spark, d).withColumn("source", F.col("task")).withColumn("tag", F.lit("old")), "question_id", "mcq")["rows"].agg(F.count("*").alias("n"), F.count_if(F.col("tag") == "mcq").alias("tagged"))
+    return pip.rebalance(_q(spark, d).withColumn("source", F.col("task")).withColumn("tag", F.lit("old")), "question_id", "mcq")["rows"].select("question_id", "options", "gold", "tag")
 
 
-@query("s_pip_07_audit_train", "SELECT min(length(text)) AS min, max(length(text)) AS max, avg(length(text)) AS mean FROM documents")
+@query("s_pip_07_audit_train", """SELECT 'length' AS part, NULL AS value, CAST(min(length(text)) AS DOUBLE) AS a, CAST(max(length(text)) AS DOUBLE) AS b, avg(length(text)) AS c FROM documents
+UNION ALL SELECT 'source', coalesce(source, '?'), CAST(count(*) AS DOUBLE), count(*) / (SELECT count(*) FROM documents), NULL FROM documents GROUP BY 2
+UNION ALL SELECT 'duplicates', NULL, CAST(sum(c) AS DOUBLE), CAST(sum(c - 1) AS DOUBLE), sum(c - 1) / sum(c) FROM (SELECT count(*) AS c FROM documents GROUP BY text)""")
 def _(spark, d):
     rows = documents(spark, d).withColumn("gold", F.col("lang"))
-    r = pip.audit_train(rows, "text")["lengths"]
-    return r.select(F.col("min").cast("bigint").alias("min"), F.col("max").cast("bigint").alias("max"), "mean")
+    r = pip.audit_train(rows, "text")
+    number = lambda name, c: F.col(c).cast("double").alias(name) if c else F.lit(None).cast("double").alias(name)
+    part = lambda name, df, value, *cs: df.select(F.lit(name).alias("part"), (F.col(value) if value else F.lit(None).cast("string")).alias("value"), *(number(x, c) for x, c in zip("abc", cs, strict=True)))
+    return part("length", r["lengths"], None, "min", "max", "mean").union(part("source", r["sources"], "value", "n", "share", None)).union(part("duplicates", r["duplicates"], None, "n", "extra", "rate"))
 
 
 @query("s_pip_08_evaluate_and_report", f"SELECT protocol, count(*) AS n, avg((gold = 'B')::INT) AS overall FROM {MCQ_SQL}, (SELECT unnest(['direct', 'cot']) AS protocol) GROUP BY protocol")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import aggregates as agg, filters, joins
+from marlstone.operators import aggregates as agg, filters, joins, sampling
 from marlstone.plans.fixtures import METRICS_SQL, RESPONSES_SQL, RESULTS_SQL, documents, metrics, responses, results, table
 from marlstone.plans.registry import query
 
@@ -47,9 +47,12 @@ def _(spark, d):
     return joins.joined_all(meta, {m: _rows(spark, d, m) for m in ("m0", "m1", "m2")})
 
 
-@query("s_join_05_ordinal_join", "SELECT d.doc_id, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+@query("s_join_05_ordinal_join", "SELECT d.doc_id, l.doc_id AS label_id, quality FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS place FROM documents) d JOIN (SELECT *, row_number() OVER (ORDER BY doc_id) AS place FROM labels) l USING (place)")
 def _(spark, d):
-    return documents(spark, d).select(F.col("doc_id").alias("ord"), "doc_id").join(table(spark, d, "labels").select(F.col("doc_id").alias("ord"), "quality"), "ord").select("doc_id", "quality")
+    """Rows meet by their positions in two tables, whatever their ids."""
+    rows, _n = sampling.numbered(documents(spark, d).select("doc_id"), [F.col("doc_id")])
+    labels, _n = sampling.numbered(table(spark, d, "labels").select(F.col("doc_id").alias("label_id"), "quality"), [F.col("label_id")])
+    return rows.join(labels, "at").select("doc_id", "label_id", "quality")
 
 
 @query(
@@ -126,13 +129,7 @@ def _(spark, d):
     return joins.union_ordered([r.where("lang = 'en'"), r.where("lang = 'fr'")]).select("doc_id", "source_ord")
 
 
-@query("s_set_02_append", "SELECT doc_id FROM documents WHERE doc_id < 100 UNION ALL SELECT doc_id FROM documents WHERE doc_id % 10 = 0")
-def _(spark, d):
-    r = documents(spark, d).select("doc_id")
-    return r.where("doc_id < 100").unionByName(r.where("doc_id % 10 = 0"))
-
-
-@query("s_set_02_append_whole", "SELECT doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id FROM documents WHERE lang IS DISTINCT FROM 'en'")
+@query("s_set_02_append", "SELECT doc_id FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id FROM documents WHERE lang IS DISTINCT FROM 'en'")
 def _(spark, d):
     r = documents(spark, d).select("doc_id", "lang")
     return r.where("lang = 'en'").unionByName(r.where("NOT lang <=> 'en'")).select("doc_id")
@@ -145,10 +142,10 @@ def _(spark, d):
     return joins.update(v(r.where("model = 'm0'")), v(r.where("model = 'm1' AND task < 'src5'")), ["task"], "v")
 
 
-@query("s_set_04_key_difference", "SELECT DISTINCT source AS name FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'es' AND doc_id < 100) AND source <> 'src1'")
+@query("s_set_04_key_difference", "SELECT DISTINCT source AS name FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE lang = 'es' AND n_chars > 3000) AND source <> 'src1'")
 def _(spark, d):
-    r = documents(spark, d).select(F.col("source").alias("name"), "lang", "doc_id")
-    return joins.key_difference(r.where("lang = 'es' AND doc_id < 100"), r, ("src1",))
+    r = documents(spark, d).select(F.col("source").alias("name"), "lang", "n_chars")
+    return joins.key_difference(r.where("lang = 'es' AND n_chars > 3000"), r, ("src1",))
 
 
 @query(
@@ -166,7 +163,7 @@ def _(spark, d):
     return agg.frequency(results(spark, d), "pred")
 
 
-@query("s_agg_03_share_by_source", f"WITH c AS (SELECT task, gold, count(*) AS n FROM {_S} GROUP BY GROUPING SETS ((task, gold), (gold))) SELECT task, gold, n, n / sum(n) OVER (PARTITION BY task) AS share FROM c")
+@query("s_agg_03_share_by_source", f"WITH c AS (SELECT task, gold, count(*) AS n, grouping(task) = 1 AS overall FROM {_S} GROUP BY GROUPING SETS ((task, gold), (gold))) SELECT task, gold, n, n / sum(n) OVER (PARTITION BY task, overall) AS share, overall FROM c")
 def _(spark, d):
     return agg.share_by(results(spark, d), "task", "gold")
 
@@ -271,7 +268,7 @@ def _(spark, d):
 @query("s_agg_17_letter_distribution", f"SELECT model, coalesce(pred, 'invalid') AS letter, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY model) AS share FROM {_S} GROUP BY 1, 2")
 def _(spark, d):
     rows = results(spark, d).withColumn("letter", F.coalesce("pred", F.lit("invalid")))
-    return agg.share_by(rows, "model", "letter").where("model IS NOT NULL")
+    return agg.share_by(rows, "model", "letter").where("NOT overall").drop("overall")
 
 
 @query("s_agg_18_language_gap", f"SELECT a.language, avg(a.correct::INT) AS ours, avg(b.correct::INT) AS ref, (avg(b.correct::INT) - avg(a.correct::INT)) * 100 AS gap_pp FROM {_cell('m0')} a JOIN {_cell('m1')} b USING (question_id) GROUP BY a.language")

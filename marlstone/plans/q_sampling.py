@@ -59,7 +59,14 @@ def _(spark, d):
     return smp.per_stratum(wrong, "task", 3, "question_id", seed=7).select("question_id", "task")
 
 
-@query("s_smp_09_references")
+_HEX = "CAST('0x' || left(md5({}), 15) AS BIGINT)"  # what sampling.below takes
+
+
+@query(
+    "s_smp_09_references",
+    f"""WITH pool AS (SELECT doc_id AS ref, row_number() OVER (ORDER BY {_h('doc_id')}, doc_id) - 1 AS place FROM documents WHERE lang = 'fr'), n AS (SELECT greatest(1, count(*)) AS n FROM pool),
+asks AS (SELECT doc_id, CAST(i AS INT) AS i, {_HEX.format("'43|' || doc_id || '|' || i")} % n AS place FROM documents, range(0, 4) t(i), n) SELECT doc_id, i, ref FROM asks LEFT JOIN pool USING (place)""",
+)
 def _(spark, d):
     docs = documents(spark, d)
     return smp.references(docs, docs.where("lang = 'fr'").select(F.col("doc_id").alias("ref")), 4, "doc_id", "ref")
@@ -95,7 +102,13 @@ def _(spark, d):
     return smp.permute_options(rows, "question_id").select("question_id", "options", "gold")
 
 
-@query("s_smp_14_pool_distractors")
+@query(
+    "s_smp_14_pool_distractors",
+    f"""WITH q AS (SELECT question_id, opt_b AS answer FROM {MCQ_SQL}), pool AS (SELECT ref, row_number() OVER (ORDER BY md5('42|' || ref), ref) - 1 AS place FROM (SELECT DISTINCT answer AS ref FROM q WHERE trim(answer) <> '')), n AS (SELECT greatest(1, count(*)) AS n FROM pool),
+asks AS (SELECT question_id, answer, i, ({_HEX.format("'43|' || question_id")} + i) % n AS place FROM q, n, range(0, 4) t(i) WHERE i <= least(3, n - 1)),
+d AS (SELECT question_id, list(ref ORDER BY i) AS r FROM asks JOIN pool USING (place) WHERE ref <> answer GROUP BY question_id)
+SELECT question_id, answer, list_concat(coalesce(r, []), ['None of these (1)', 'None of these (2)', 'None of these (3)'])[1:3] AS wrong FROM q LEFT JOIN d USING (question_id)""",
+)
 def _(spark, d):
     return smp.pool_distractors(mcq(spark, d).select("question_id", F.col("opt_b").alias("answer")), "answer", "question_id")
 
@@ -105,11 +118,6 @@ def _(spark, d):
     return mcq(spark, d).select("question_id", smp.mined_distractors(F.col("story"), F.col("opt_a")).alias("wrong"))
 
 
-@query("s_smp_15_mined_distractors_whole")
-def _(spark, d):
-    return mcq(spark, d, whole=True).select("question_id", smp.mined_distractors(F.col("story"), F.col("opt_a")).alias("wrong"))
-
-
 @query("s_smp_16_difficulty", f"SELECT question_id, CASE WHEN r >= 0.75 THEN 'easy' WHEN r >= 0.25 THEN 'medium' ELSE 'hard' END AS bucket FROM (SELECT question_id, avg(correct::INT) AS r FROM {RESULTS_SQL} GROUP BY question_id)")
 def _(spark, d):
     r = results(spark, d).groupBy("question_id").agg(F.avg(F.col("correct").cast("int")).alias("r"))

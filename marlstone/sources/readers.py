@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.operators.lineage import cut
+
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One object a line; blank lines are skipped, a bad line is an error."""
@@ -72,9 +75,19 @@ def results(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of one file with their number from 0."""
-    rdd = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(rdd, "line bigint, value string")
+    """Lines of one file with their number from 0.
+
+    A task reads one block of the file from its start on, so a line's number is its rank in the block plus the lines of
+    all blocks before; ids that rise within a task give the rank, and nothing is sorted in one place.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("id"))
+    lines = cut(lines)
+    moved, total = [], 0
+    for r in sorted(lines.groupBy("block").agg(F.count("*").alias("n"), F.min("id").alias("first")).collect()):  # one row a block
+        moved.append((r.block, total - r["first"]))
+        total += r.n
+    by_block = F.broadcast(spark.createDataFrame(moved, "block long, moved long"))
+    return lines.join(by_block, "block").select((F.col("id") + F.col("moved")).alias("line"), "value")
 
 
 def zipped(spark: SparkSession, rows_path: str, labels_path: str, schema: str) -> DataFrame:
@@ -127,13 +140,23 @@ def hub_export(spark: SparkSession, root: str, name: str, config: str = "default
 
 
 def staged(spark: SparkSession, url: str, folder: str, fetch: Callable[[str], bytes]) -> str:
-    """Path of a file in a shared folder; fetched and written there once if it isn't there yet."""
+    """Path of a file in a shared folder; fetched and written there once if it isn't there yet.
+
+    It is written under a name of its own and renamed, so a fetch or write that fails leaves nothing that a later call
+    would take for the file.
+    """
     path = f"{folder}/{url.rsplit('/', 1)[-1]}"
     if not exists(spark, path):
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, False)
+        body = fetch(url)
+        made, final = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (f"{path}.{uuid.uuid4().hex}.part", path))
+        fs = made.getFileSystem(spark._jsc.hadoopConfiguration())
+        out = fs.create(made, False)
         try:
-            out.write(bytearray(fetch(url)))
+            out.write(bytearray(body))
         finally:
             out.close()
+        if not fs.rename(made, final):
+            fs.delete(made, False)
+            if not exists(spark, path):  # else another call was first
+                raise OSError(f"could not write {path}")
     return path

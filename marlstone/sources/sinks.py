@@ -44,13 +44,18 @@ def markdown(df: DataFrame, digits: int = 4) -> str:
     return "\n".join([*lines, *("| " + " | ".join(cell(r[c]) for c in df.columns) + " |" for r in rows)])
 
 
-def data_card(df: DataFrame, title: str, columns: tuple[str, ...]) -> str:
-    """Markdown with the number of rows and a frequency table for each column."""
+def data_card(df: DataFrame, title: str, columns: tuple[str, ...], top: int = 50) -> str:
+    """Markdown with the number of rows and a frequency table for each column; values beyond the top most frequent ones
+    are counted together in a last line."""
     from marlstone.operators.aggregates import frequency
 
     parts = [f"# {title}", f"Rows: {df.count()}"]
     for c in columns:
-        parts += [f"## {c}", markdown(frequency(df, c).orderBy(F.desc("n"), "value").limit(50))]
+        every = frequency(df, c)
+        head = every.orderBy(F.desc("n"), "value").limit(top)
+        rest = every.join(head.select("value"), "value", "left_anti").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("share").alias("share")).where("k > 0")
+        other = rest.select(F.concat(F.lit("other ("), F.col("k").cast("string"), F.lit(" values)")).alias("value"), "n", "share")
+        parts += [f"## {c}", markdown(head.unionByName(other).orderBy(F.col("value").startswith("other ("), F.desc("n"), "value"))]
     return "\n\n".join(parts)
 
 

@@ -1,4 +1,8 @@
 import itertools
+import json
+import threading
+import uuid
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -6,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marlstone.operators import aggregates, dedup, model_calls, sampling, similarity
+from marlstone.sources import readers, sinks
 
 
 def test_jaccard_of_known_texts(spark):
@@ -123,7 +128,7 @@ def test_retry():
 
 def test_streamed_answer():
     lines = ['data: {"choices": [{"delta": {"content": "a"}}]}', "", 'data: {"choices": [{"delta": {"content": "b"}}]}', 'data: {"choices": [], "usage": {"prompt_tokens": 3, "completion_tokens": 2}}', "data: [DONE]"]
-    assert model_calls.accumulate(lines) == {"content": "ab", "prompt_tokens": 3, "completion_tokens": 2}
+    assert model_calls.accumulate(lines) == {"content": "ab", "finish_reason": None, "prompt_tokens": 3, "completion_tokens": 2}
 
 
 def _fail(h, messages, parameters):
@@ -148,3 +153,150 @@ def test_all_pairs_of_grams(spark):
     grams = [{tuple(t.split()[i : i + 2]) for i in range(4)} for t in texts]
     want = {(i, j): len(grams[i] & grams[j]) / len(grams[i] | grams[j]) for i, j in itertools.combinations(range(4), 2)}
     assert got == pytest.approx({k: v for k, v in want.items() if v > 0.5})
+
+
+@pytest.fixture
+def endpoint():
+    """A local server of chat completions: it refuses the first request for a text that holds "busy"."""
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            text = body["messages"][-1]["content"]
+            first = not any(b["messages"][-1]["content"] == text for b, _, _ in seen)
+            seen.append((body, self.path, self.headers.get("Authorization")))
+            status = 429 if "busy" in text and first else 500 if "broken" in text else 200
+            if body.get("stream"):
+                parts = [{"choices": [{"delta": {"reasoning_content": "hidden"}}]}, {"choices": [{"delta": {"content": text}, "finish_reason": "stop"}]}, {"choices": [], "usage": {"prompt_tokens": 4, "completion_tokens": 2}}]
+                out = "".join(f"data: {json.dumps(p)}\n\n" for p in parts) + "data: [DONE]\n\n"
+            else:
+                choice = lambda k: {"message": {"content": f"{text} {k}"}, "finish_reason": "length" if "long" in text else "stop"}
+                out = json.dumps({"choices": [choice(k) for k in range(body.get("n", 1))], "usage": {"prompt_tokens": 4, "completion_tokens": 3}})
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(out.encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}", seen
+    server.shutdown()
+
+
+def test_chat_client(endpoint, monkeypatch):
+    url, seen = endpoint
+    monkeypatch.setenv("TEST_KEY", "k1")
+    client = model_calls.ChatClient(model_calls.BackendSpec("x", "m", (f"{url}/a", f"{url}/b"), "TEST_KEY"))
+    ask = lambda t, **p: client.chat([{"role": "user", "content": t}], **p)
+    got = ask("hi", n=2, temperature=0.5)
+    assert got["content"] == "hi 0" and [c["content"] for c in got["choices"]] == ["hi 0", "hi 1"] and (got["finish_reason"], got["completion_tokens"]) == ("stop", 3)
+    assert seen[0][0]["model"] == "m" and seen[0][0]["temperature"] == 0.5 and seen[0][2] == "Bearer k1"
+    assert ask("more", thinking=True) == {"content": "more", "finish_reason": "stop", "prompt_tokens": 4, "completion_tokens": 2}
+    assert [path for _, path, _ in seen] == ["/a/chat/completions", "/b/chat/completions"]
+    waits = []
+    assert model_calls.with_retry(lambda: ask("busy"), 2, sleep=waits.append)["content"] == "busy 0" and waits == [30.0]
+    with pytest.raises(RuntimeError, match="HTTP 500"):
+        ask("broken")
+
+
+def test_evaluation_tells_truncated_answers(spark, endpoint):
+    client = model_calls.ChatClient(model_calls.BackendSpec("x", "m", (endpoint[0],)))
+    rows = [("q1", "", "long", ["a", "b"], "A", "en", "t"), ("q2", "", "short", ["a", "b"], "A", "en", "t")]
+    df = spark.createDataFrame(rows, "question_id string, story string, question string, options array<string>, gold string, language string, task string")
+    got = {r.question_id: (r.finish_reason, r.truncated) for r in model_calls.evaluate(df, client, "direct").collect()}
+    assert got == {"q1": ("length", True), "q2": ("stop", False)}
+    scored = model_calls.score_difficulty(df, client, 8).collect()
+    assert {r.n_total for r in scored} == {8} and sum(b.get("n") == 8 for b, _, _ in endpoint[1]) == 2
+
+
+def test_distill_returns_the_story_that_was_solved(spark, endpoint, tmp_path):
+    """A paraphraser that never answers the same twice is asked once for each row."""
+    df = spark.createDataFrame([(f"q{i}", f"s{i}", "?", ["a", "b"], "A", "en", f"t{i % 2}") for i in range(6)], "question_id string, story string, question string, options array<string>, gold string, language string, task string")
+    log = str(tmp_path / "log")
+
+    def tell(h, messages, parameters):
+        with open(log, "a") as f:
+            f.write("x\n")
+        return f"{messages[-1]['content']} {uuid.uuid4()}"
+
+    def solve(h, messages, parameters):
+        with open(log + ".solved", "a") as f:
+            f.write(messages[-1]["content"] + "\n")
+        return "\\boxed{A}"
+
+    out = model_calls.distill(df, model_calls.StubClient(answer=solve), votes=2, needed=2, paraphrase=F.col("task") == "t0", paraphraser=model_calls.StubClient(answer=tell), source="made").collect()
+    assert len(out) == 6 and len(open(log).readlines()) == 3
+    solved = open(log + ".solved").read()
+    assert all(r.story in solved for r in out) and {(r.task, r.source) for r in out} == {("t0", "made_paraphrased"), ("t1", "made_original")}
+
+
+def test_first_of_each_key(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 2), (None, 3), (None, 4)], "k string, o long")
+    got = sorted((str(r.k), r.o) for r in dedup.first_by_key(df, F.col("k"), F.col("o")).collect())
+    assert got == [("None", 3), ("a", 1), ("b", 2)]
+
+
+def test_long_chain_of_near_copies(spark):
+    nodes = spark.range(30).select(F.col("id").alias("key"))
+    edges = spark.range(29).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
+    got = {r.key: r.near for r in dedup.greedy_keep(nodes, edges).collect()}
+    assert got == {i: None if i % 2 == 0 else i - 1 for i in range(30)}
+
+
+def test_null_groups_have_cells_of_their_own(spark):
+    rows = [("m", "p", None, "t", True), ("m", "p", "en", None, False), (None, "p", "en", "t", True)]
+    df = spark.createDataFrame(rows, "model string, protocol string, language string, task string, correct boolean")
+    got = {r.model: (r.n, r.by_language, r.by_task) for r in aggregates.accuracy_cube(df).collect()}
+    assert got == {"m": (2, {"?": 1.0, "en": 0.0}, {"?": 0.0, "t": 1.0}), None: (1, {"en": 1.0}, {"t": 1.0})}
+    shares = {(r.language, r.task, r.overall): r.share for r in aggregates.share_by(df, "language", "task").collect()}
+    assert shares[None, "t", False] == 1.0 and shares[None, "t", True] == pytest.approx(2 / 3) and shares["en", "t", False] == 0.5
+
+
+def test_null_stratum(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2] if i % 5 else None) for i in range(100)], "id long, s string")
+    got = sampling.proportional(df, "s", 20, "id").groupBy("s").count().collect()
+    assert {r.s: r["count"] for r in got} == {"a": 8, "b": 8, None: 4}
+
+
+def test_references_reach_the_whole_pool(spark):
+    prompts = spark.range(2000).select(F.col("id").alias("key"))
+    few = sampling.references(prompts, spark.range(20).select(F.col("id").alias("ref")), 2, "key", "ref").groupBy("ref").count().collect()
+    assert len(few) == 20 and all(120 < r["count"] < 290 for r in few)
+    many = sampling.references(prompts, spark.range(5000).select(F.col("id").alias("ref")), 2, "key", "ref")
+    assert many.count() == 4000 and many.select("ref").distinct().count() > 2500
+
+
+def test_pool_distractors_take_what_the_pool_has(spark):
+    df = spark.range(400).select("id", F.concat(F.lit("a"), F.col("id") % 40).alias("answer"))
+    for r in sampling.pool_distractors(df, "answer", "id").collect():
+        assert len(set(r.wrong)) == 3 and r.answer not in r.wrong and not any(w.startswith("None") for w in r.wrong)
+    two = spark.createDataFrame([(1, "x"), (2, "y"), (3, None)], "id long, answer string")
+    assert {r.id: r.wrong[0] for r in sampling.pool_distractors(two, "answer", "id").collect() if r.id < 3} == {1: "y", 2: "x"}
+
+
+def test_a_failed_fetch_leaves_no_file(spark, tmp_path):
+    def fail(url):
+        raise OSError("no")
+
+    with pytest.raises(OSError):
+        readers.staged(spark, "http://x/f.txt", str(tmp_path), fail)
+    path = readers.staged(spark, "http://x/f.txt", str(tmp_path), lambda url: b"a\nb\n")
+    assert [r.value for r in spark.read.text(path).collect()] == ["a", "b"] and readers.staged(spark, "http://x/f.txt", str(tmp_path), fail) == path
+
+
+def test_numbered_lines_over_blocks(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("".join(f"line {i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        got = {r.line: r.value for r in readers.numbered_lines(spark, f"{tmp_path}/f.txt").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {i: f"line {i}" for i in range(5000)}
+
+
+def test_card_counts_what_it_does_not_list(spark):
+    card = sinks.data_card(spark.range(10), "t", ("id",), top=3)
+    assert "other (7 values) | 7" in card
