@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import text_hash
 from marlstone.operators.lineage import cut
-from marlstone.operators.similarity import overlap_pairs, similar_pairs, word_grams
+from marlstone.operators.similarity import gram_ids, overlap_pairs, rare_prefixes, sized, verified, word_grams
 
 
 def first_by_key(rows: DataFrame, key: Column, order: Column) -> DataFrame:
@@ -90,23 +90,37 @@ def greedy_keep(nodes: DataFrame, edges: DataFrame, kept: DataFrame | None = Non
 
 
 def near_duplicates(rows: DataFrame, percent: int = 70, kept_before: int | None = None) -> DataFrame:
-    """rows: (key, grams) in key order.  (key, near): near is null for rows that stay.
+    """rows: (key, grams) in key order.  (key, near): near is null for rows that stay, else a kept row that it is near to.
 
-    Rows with equal sets can only stay first; the others are decided by the greedy pass.  Keys below kept_before are an
-    existing corpus and stay in any case.
+    The result is that of a pass in key order that drops a row near an earlier kept one.  Rows with equal sets can only
+    stay first.  The others are decided in rounds: of the undecided rows that share a rare gram, the least is a leader if
+    that holds for all its rare grams; no undecided row could drop it, so it is kept, and what is near to it goes.  A row
+    is compared with leaders only, so near copies of one text make a pair each and not one with each other.  Keys below
+    kept_before are an existing corpus and stay in any case; new rows are compared with those that share a rare gram.
     """
-    fixed = F.lit(False) if kept_before is None else F.col("key") < kept_before
-    keyed = rows.withColumn("h", F.md5(F.array_join(F.array_sort("grams"), "\u0001")))
+    keyed = cut(rows.select("key", gram_ids("grams").alias("ids")).withColumn("h", F.md5(F.array_join(F.array_sort("ids").cast("array<string>"), ","))))
+    old = F.lit(False) if kept_before is None else F.col("key") < kept_before
     first = cut(keyed.groupBy("h").agg(F.min("key").alias("first")))
-    one = keyed.join(first, (F.col("key") == F.col("first")), "left_semi").select("key", "grams")
-    pairs = similar_pairs(one.where(F.size("grams") > 0), percent)
+    one = cut(keyed.join(first.drop("h"), F.col("key") == F.col("first"), "left_semi").where(F.size("ids") > 0).select("key", "ids"))
+    open_ = cut(rare_prefixes(one, percent))
+    gone = rows.sparkSession.createDataFrame([], "key long, near long")
     if kept_before is not None:
-        pairs = pairs.where(F.greatest("a", "b") >= kept_before)
-    before = one.where(fixed).select("key") if kept_before is not None else None
-    decided = greedy_keep(one, pairs, before)
-    copies = keyed.join(first, "h").where((F.col("key") != F.col("first")) & (F.size("grams") > 0) & ~fixed)
-    copies = copies.join(decided.select(F.col("key").alias("first"), "near"), "first").select("key", F.coalesce("near", "first").alias("near"))
-    return rows.select("key").join(decided.where("near IS NOT NULL").union(copies), "key", "left")
+        a, b = (open_.where(old if x == "b" else ~old).select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), "g") for x in "ab")
+        near = verified(a.join(b, "g").where(sized("n_a", "n_b", percent)).select("a", "b").distinct(), one, percent)
+        gone = cut(near.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("near")))
+        open_ = cut(open_.where(~old).join(gone, "key", "left_anti"))
+    while open_.take(1):
+        least = open_.groupBy("g").agg(F.min_by(F.struct(F.col("key").alias("lead"), F.col("n").alias("n_lead")), "key").alias("l"))
+        met = cut(open_.join(least, "g").select("key", "n", "l.*").distinct())
+        behind = met.where("lead < key")
+        leaders = met.select("key").distinct().join(behind.select("key"), "key", "left_anti")
+        pairs = behind.where(sized("n", "n_lead", percent)).select(F.col("key").alias("a"), F.col("lead").alias("b")).join(leaders.withColumnRenamed("key", "b"), "b", "left_semi")
+        more = cut(verified(pairs, one, percent).groupBy(F.col("a").alias("key")).agg(F.min("b").alias("near")))
+        gone = gone.union(more)
+        open_ = cut(open_.join(leaders.union(more.select("key")), "key", "left_anti"))
+    copies = keyed.join(first, "h").where((F.col("key") != F.col("first")) & (F.size("ids") > 0) & ~old)
+    copies = copies.join(gone.withColumnRenamed("key", "first"), "first", "left").select("key", F.coalesce("near", "first").alias("near"))
+    return rows.select("key").join(gone.union(copies), "key", "left")
 
 
 def prefix_leaks(train: DataFrame, evaluation: DataFrame, n: int = 80, block: int = 500) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.operators.lineage import cut
+
 
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once for each row, also where body uses it inside of a lambda."""
@@ -90,35 +92,64 @@ def lsh_candidates(index: DataFrame, queries: DataFrame, threshold: float, key:
     return pairs.select("query", "hit", signature_similarity(F.col("a"), F.col("b")).alias("estimate"))
 
 
+#: An evaluation set of up to so many gram hashes is broadcast (16 bytes each and its rows' keys).
+SMALL_SIDE = 2_000_000
+
+
+def gram_ids(grams: str) -> Column:
+    """A set's grams as distinct 64-bit hashes."""
+    return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
+
+
 def overlap_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """left, right: (key, grams).  Pairs (a, b) that share a gram with shared, n_a, n_b, jaccard and containment of b.
 
     Gram hashes meet by an equi-join, and counts are combined before they are shuffled; right is the smaller side, as an
-    evaluation set is.  Pairs that share nothing are absent.
+    evaluation set is.  Up to SMALL_SIDE grams of it are counted and then broadcast, so left's grams are not shuffled.
+    Pairs that share nothing are absent.
     """
-    l = left.select(F.col("key").alias("a"), F.size("grams").alias("n_a"), F.explode("grams").alias("g")).select("a", "n_a", F.xxhash64("g").alias("g"))
-    r = right.select(F.col("key").alias("b"), F.size("grams").alias("n_b"), F.explode("grams").alias("g")).select("b", "n_b", F.xxhash64("g").alias("g"))
-    out = l.join(r, "g").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    l = left.select(F.col("key").alias("a"), F.size("grams").alias("n_a"), F.explode(gram_ids("grams")).alias("g"))
+    r = right.select(F.col("key").alias("b"), F.size("grams").alias("n_b"), F.explode(gram_ids("grams")).alias("g"))
+    small = r.select("g").limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
+    out = l.join(F.broadcast(r) if small else r, "g").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
     return out.withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).withColumn("containment", F.col("shared") / F.col("n_b"))
 
 
-def similar_pairs(sets: DataFrame, percent: int, inclusive: bool = False) -> DataFrame:
-    """sets: (key, grams), distinct sets.  Pairs a < b whose Jaccard similarity is over (or at) the threshold, exactly.
+def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """sets: (key, ids).  Rows (key, n, g): the rare grams by which sets over the threshold meet.
 
     Prefix filter (Chaudhuri et al., 2006; Vernica et al., 2010): grams are ordered from rare to frequent, and two
-    similar sets share one of their first ``n - ceil(t n) + 1`` grams.  So only rare grams are join keys; frequent
-    boilerplate is none unless a set has little else.  Candidates of too different sizes are dropped before their sets
-    are fetched.
+    similar sets share one of their first ``n - ceil(t n) + 1`` grams.  So frequent boilerplate is no key unless a set
+    has little else.  Grams of one set only are left out.
     """
-    grams = sets.select("key", F.size("grams").alias("n"), F.explode("grams").alias("g")).select("key", "n", F.xxhash64("g").alias("g"))
-    df = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")  # a gram of one set joins nothing
+    grams = sets.select("key", F.size("ids").alias("n"), F.explode("ids").alias("g"))
+    df = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     rare = F.expr(f"n - CAST(ceil(n * {percent} / 100.0D - 1e-9) AS INT) + 1")
     order = F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "g")))
     ranked = grams.join(df, "g", "left").groupBy("key", "n").agg(order.alias("o"))
-    prefix = ranked.select("key", "n", F.explode(F.slice("o", 1, rare)).alias("o")).where("o.df > 1").select("key", "n", "o.g")
-    a, b = (prefix.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), "g") for x in "ab")
-    pairs = a.join(b, "g").where(f"a < b AND 100 * n_a >= {percent} * n_b AND 100 * n_b >= {percent} * n_a").select("a", "b").distinct()
-    got = [sets.select(F.col("key").alias(x), F.col("grams").alias(f"g_{x}")) for x in "ab"]
+    return ranked.select("key", "n", F.explode(F.slice("o", 1, rare)).alias("o")).where("o.df > 1").select("key", "n", "o.g")
+
+
+def sized(n_a: str, n_b: str, percent: int) -> Column:
+    """Whether sets of such sizes can reach the threshold."""
+    return F.expr(f"100 * {n_a} >= {percent} * {n_b} AND 100 * {n_b} >= {percent} * {n_a}")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, inclusive: bool = False) -> DataFrame:
+    """Pairs (a, b) of which the sets (key, ids) are over (or at) the threshold, with jaccard."""
+    got = [sets.select(F.col("key").alias(x), F.col("ids").alias(f"g_{x}")) for x in "ab"]
     shared = F.size(F.array_intersect("g_a", "g_b"))
-    sized = pairs.join(got[0], "a").join(got[1], "b").select("a", "b", shared.alias("shared"), (F.size("g_a") + F.size("g_b") - shared).alias("union"))
-    return sized.where(F.expr(f"100 * shared {'>=' if inclusive else '>'} {percent} * union")).select("a", "b", (F.col("shared") / F.col("union")).alias("jaccard"))
+    both = pairs.join(got[0], "a").join(got[1], "b").select("a", "b", shared.alias("shared"), (F.size("g_a") + F.size("g_b") - shared).alias("union"))
+    return both.where(F.expr(f"100 * shared {'>=' if inclusive else '>'} {percent} * union")).select("a", "b", (F.col("shared") / F.col("union")).alias("jaccard"))
+
+
+def similar_pairs(sets: DataFrame, percent: int, inclusive: bool = False) -> DataFrame:
+    """sets: (key, grams), distinct sets.  All pairs a < b whose Jaccard similarity is over (or at) the threshold, exactly.
+
+    Their number grows with the square of a group of near copies; dedup.near_duplicates doesn't need them all.
+    """
+    sets = cut(sets.select("key", gram_ids("grams").alias("ids")))
+    prefix = rare_prefixes(sets, percent)
+    a, b = (prefix.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), "g") for x in "ab")
+    pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & sized("n_a", "n_b", percent)).select("a", "b").distinct()
+    return verified(pairs, sets, percent, inclusive)
