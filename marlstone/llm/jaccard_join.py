@@ -190,32 +190,41 @@ def count_pairs(first: np.ndarray, size: np.ndarray, docs: np.ndarray) -> tuple[
 
 
 def _meet(batches):
-    """One partition of packed signatures: counted pairs, members of large groups; other rows pass through."""
-    sigs, docs, bucket = [], [], 0
+    """Packed signatures, bucket by bucket, to counted pairs and members of large groups; other rows pass through."""
+
+    def close(sigs: list[np.ndarray], docs: list[np.ndarray]):
+        sigs, docs = np.concatenate(sigs), np.concatenate(docs)
+        order = np.argsort(sigs, kind="stable")
+        sigs, docs = sigs[order], docs[order]
+        del order
+        first, size = _groups(sigs)
+        yield _record(PAIR, *count_pairs(first, size, docs))
+        large = np.repeat(size > LARGE, size)
+        yield _record(MEMBER, docs[large], sigs[large], 0)
+
+    sigs, docs, last = [], [], None
     for batch in batches:
         kind = batch.column(0).to_numpy(zero_copy_only=False)
-        ids, packed, through = batch.column(5), batch.column(6), np.flatnonzero((kind == PAIR) | (kind == MEMBER))
+        ids, packed, bucket = batch.column(5), batch.column(6), batch.column(4).to_numpy(zero_copy_only=False)
+        through = np.flatnonzero((kind == PAIR) | (kind == MEMBER))
         if len(through):
             yield pa.RecordBatch.from_arrays([x.take(pa.array(through)) for x in batch.columns[:4]], names=["kind", "a", "b", "c"])
         for i in np.flatnonzero(kind == SIZE):
             d, (n, need) = np.frombuffer(ids[i].as_py(), np.int64), np.frombuffer(packed[i].as_py(), np.int64).reshape(2, -1)
             yield _record(SIZE, d, n, need)
         for i in np.flatnonzero(kind == 0):
+            if bucket[i] != last and sigs:
+                yield from close(sigs, docs)
+                sigs, docs = [], []
+            last = bucket[i]
             six = np.frombuffer(packed[i].as_py(), np.uint8).reshape(-1, 6)
             full = np.zeros((len(six), 8), np.uint8)
             full[:, :6] = six
-            sigs.append(_name(full.view("<u8").ravel(), np.full(len(six), batch.column(4)[i].as_py(), np.int64)))
+            sigs.append(_name(full.view("<u8").ravel(), np.full(len(six), last, np.int64)))
             docs.append(_read_ids(ids[i].as_py()))
-    if not sigs:
-        return
-    sigs, docs = np.concatenate(sigs), np.concatenate(docs)
-    order = np.argsort(sigs, kind="stable")
-    sigs, docs = sigs[order], docs[order]
-    first, size = _groups(sigs)
-    yield _record(PAIR, *count_pairs(first, size, docs))
-    large = np.repeat(size > LARGE, size)
-    yield _record(MEMBER, docs[large], sigs[large], 0)
-    del sigs, docs, order, large, first, size
+    if sigs:
+        yield from close(sigs, docs)
+    del sigs, docs
     release()
 
 
@@ -245,7 +254,7 @@ def _forest(batches):
 def candidates(docs: DataFrame, n: int, threshold_pct: int) -> tuple[DataFrame, DataFrame]:
     """Edges (a, b) of which the components hold all linked pairs, and (doc_id, n_shingles)."""
     buckets = buckets_for(docs)
-    met = docs.mapInArrow(_sign(n, threshold_pct, buckets), _OUT).repartition(buckets, "bucket").mapInArrow(_meet, _MET)
+    met = docs.mapInArrow(_sign(n, threshold_pct, buckets), _OUT).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _MET)
     met = cut(met)
     sizes = met.where(F.col("kind") == SIZE).groupBy(F.col("a").alias("doc_id")).agg(F.max("b").alias("n_shingles"), F.min("c").alias("need"))
     member = met.where(F.col("kind") == MEMBER).select(F.col("a").alias("doc_id"), F.col("b").alias("sig"))
