@@ -2,7 +2,7 @@
 
 1. Each text is cut into maximal runs of windows that share a minimizer, the least hash of the short word grams inside a
    window.  Equal windows have equal minimizers, so whatever repeats meets under one key; packed hashes are shuffled.
-   Of equal texts in one task only the first and any with a smaller id take part; a later one repeats that as a whole.
+   Of very many equal texts in one task some take part, and any with a smaller id; a later one repeats these as a whole.
 2. Keys that occur in one document only hold nothing that repeats.  For the others the runs' words are fetched: those of
    all but the largest document are to be indexed, those of all but the smallest are to be streamed.  Keys of the same
    smallest and largest document go to one shard, so that neighbouring runs travel as one piece; keys of many documents
@@ -43,6 +43,7 @@ _PIECES = "doc long, tag long, start int, role int, route long, words binary"
 _WINDOWS = "doc long, tag long, starts array<int>, digest binary"
 _FOUND = "doc long, tag long, starts array<int>, n int"
 INDEXED, STREAMED = 1, 2
+COPIES = 8  # of one text in a task that take part in the search in any case
 
 
 def runs(chunk: Chunk, width: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -95,11 +96,11 @@ def _cut_runs(width: int, gram: int, buckets: int):
                 own, raw, new = ids[chunk.first : chunk.first + len(chunk)], chunk.data.tobytes(), np.ones(len(chunk), bool)
                 for i in np.flatnonzero(chunk.counts >= width).tolist():
                     doc, name = int(own[i]), _digest(raw[chunk.offs[i] : chunk.offs[i + 1]])
-                    if seen.setdefault(name, doc) < doc:
+                    least, often = seen.get(name, (doc, 0))
+                    seen[name] = min(least, doc), often + 1
+                    if often >= COPIES and least < doc:
                         new[i] = False
                         copies.append((doc, _as_tag(name), int(chunk.counts[i]) - width + 1))
-                    else:
-                        seen[name] = doc
                 those = new[row]
                 held.append((own[row[those]], start[those], n[those], key[those]))
                 size += int(those.sum()) + len(copies)
