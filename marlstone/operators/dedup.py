@@ -123,24 +123,34 @@ def near_duplicates(rows: DataFrame, percent: int = 70, kept_before: int | None
     return rows.select("key").join(gone.union(copies), "key", "left")
 
 
-def prefix_leaks(train: DataFrame, evaluation: DataFrame, n: int = 80, block: int = 500) -> DataFrame:
+#: Lengths of the character windows that short prefixes are searched by.
+ANCHORS = (1, 2, 4, 8, 16, 32, 64)
+
+
+def prefix_leaks(train: DataFrame, evaluation: DataFrame, n: int = 80) -> DataFrame:
     """train (key, text), evaluation (key, text): evaluation keys whose first n characters stand in a training text.
 
     Counted, not dropped.  Words inside the prefix are whole words of any text that holds it, so three of them are an
     anchor that word 3-grams of the training texts join by hash; only such pairs are compared.  Prefixes with fewer words
-    are searched in each text in blocks.  Empty ones match nothing.
+    are anchored by their first 1, 2, 4, ... characters, whichever is the longest that they have, which the windows of
+    that many characters of the training texts join.  Only lengths that occur are windowed.  Empty prefixes match nothing.
     """
     e = evaluation.select(F.col("key").alias("item"), F.left("text", F.lit(n)).alias("prefix")).where(F.length("prefix") > 0)
     tokens = F.split("prefix", r"\s+")
     e = e.withColumn("inner", F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))))
     long = e.where(F.size("inner") >= 3).select("item", "prefix", F.xxhash64(F.array_join(F.slice("inner", 1, 3), " ")).alias("h"))
-    anchors = train.select("key", F.explode(word_grams(F.col("text"), 3, lower=False)).alias("g")).select("key", F.xxhash64("g").alias("h"))
-    hits = anchors.join(long.select("h").distinct(), "h", "left_semi").join(long, "h").join(train, "key").where(F.expr("contains(text, prefix)")).select("item", "key")
-    short = sorted({r[0] for r in e.where(F.size("inner") < 3).select("prefix").distinct().toLocalIterator()})
-    for i in range(0, len(short), block):
-        found = F.filter(F.array(*map(F.lit, short[i : i + block])), lambda p: F.contains(F.col("text"), p))
-        hits = hits.union(train.select("key", F.explode(found).alias("prefix")).join(e.where(F.size("inner") < 3), "prefix").select("item", "key"))
-    return hits.distinct()
+    width = F.greatest(*(F.when(F.length("prefix") >= a, F.lit(a)) for a in ANCHORS))
+    short = e.where(F.size("inner") < 3).select("item", "prefix", F.xxhash64(F.left("prefix", width)).alias("h"), width.alias("width"))
+
+    def hits(anchors: DataFrame, items: DataFrame) -> DataFrame:
+        near = anchors.join(items.select("h").distinct(), "h", "left_semi").distinct()
+        return near.join(items, "h").join(train, "key").where(F.expr("contains(text, prefix)")).select("item", "key")
+
+    out = hits(train.select("key", F.explode(word_grams(F.col("text"), 3, lower=False)).alias("g")).select("key", F.xxhash64("g").alias("h")), long)
+    for (a,) in short.select("width").distinct().collect():  # as many rows as ANCHORS at most
+        at = train.where(F.length("text") >= a).select("key", "text", F.explode(F.sequence(F.lit(1), F.length("text") - a + 1)).alias("i"))
+        out = out.union(hits(at.select("key", F.xxhash64(F.substring("text", F.col("i"), F.lit(a))).alias("h")), short.where(F.col("width") == a)))
+    return out.distinct()
 
 
 def duplicate_rate(rows: DataFrame, text: Column) -> DataFrame:

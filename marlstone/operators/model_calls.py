@@ -287,14 +287,43 @@ def diagnose(rows: DataFrame, client, key: str, text: Column, categories: tuple[
     return transform_rows(rows, client, key, f"Name the error's category, one of {', '.join(categories)}, as JSON with category.", text, read)
 
 
-def synthesize(plan: DataFrame, client, key: str, prompt: Column, examples: Column | None = None, options: int = 4) -> DataFrame:
-    """Questions from a generation plan (with gold, where the plan sets one); examples are put before the prompt."""
+@dataclass(frozen=True)
+class CategorySpec:
+    """What a kind of question is generated from: its task, the letters that may be gold, and a template per language in
+    which {gold} stands for the letter that the plan asks for."""
+
+    name: str
+    task: str
+    templates: tuple[tuple[str, str], ...]
+    letters: str = "ABCD"
+
+
+def spec_plan(spark, specs: list[CategorySpec], n: int) -> DataFrame:
+    """n rows over all pairs of spec and language, evenly, with the spec's own letters in turn and its prompt filled in."""
+    cells = [(s.name, s.task, s.letters, language, text) for s in specs for language, text in s.templates]
+    rows = spark.createDataFrame(cells, "kind string, task string, letters string, language string, template string")
+    each = F.explode(F.sequence(F.lit(0), F.lit(n // len(cells) - 1)) if n >= len(cells) else F.array().cast("array<int>"))
+    rows = rows.withColumn("i", each).withColumn("gold", F.substring("letters", F.col("i") % F.length("letters") + 1, F.lit(1)))
+    return rows.select("kind", "task", "language", "i", "gold", F.replace("template", F.lit("{gold}"), F.col("gold")).alias("prompt"))
+
+
+#: Said before every specification, so that nothing of a published evaluation set is written down from memory.
+ORIGINAL = "Invent people, places and events of your own. Reuse no item of any published test. Write a question with options as JSON."
+
+
+def synthesize(plan: DataFrame, client, key: str, prompt: Column, examples: Column | None = None, options: int = 4, system: str = "Write a question with options as JSON.", gate: Column | None = None) -> DataFrame:
+    """Questions from a generation plan (with gold, where the plan sets one); examples are put before the prompt.
+
+    A question is bad if it has another gold than planned, or if gate (over result) is not true.
+    """
     user = prompt if examples is None else F.concat(examples, F.lit("\n\n"), prompt)
     read = jsontext.mcq_object if options == 4 else lambda c: jsontext.option_list_object(c, options)
-    out = transform_rows(plan, client, key, "Write a question with options as JSON.", user, read)
+    out = transform_rows(plan, client, key, system, user, read)
     if "gold" in plan.columns:
         missed = F.col("result.gold") != F.col("gold")
         out = out.withColumn("outcome", F.when(F.coalesce(missed, F.lit(False)), "bad").otherwise(F.col("outcome")))
+    if gate is not None:
+        out = out.withColumn("outcome", F.when((F.col("outcome") == "ok") & ~F.coalesce(gate, F.lit(False)), "bad").otherwise(F.col("outcome")))
     return out
 
 

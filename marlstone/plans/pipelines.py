@@ -20,9 +20,20 @@ def build_evaluation(raw: DataFrame, fields: tuple[str, ...], needed: tuple[str,
     return rows, smp.sample(rows, n, "question_id", seed)
 
 
-def merge(train: DataFrame, evaluation: DataFrame, text: Column, leak_percent: int = 60, near_percent: int = 70) -> dict[str, DataFrame]:
-    """train: (key, source, ...) in key order; evaluation: (key, ...).  Clean rows without near-duplicates, as chat rows
-    where they are questions, the per-source report and the totals."""
+def recheck(chat: DataFrame, evaluation: DataFrame, text: Column, percent: int = 60, language: str = "zh") -> DataFrame:
+    """Translated chat rows (key, messages, ...) with their similarity to the evaluation rows of their language, and
+    whether they leak."""
+    ev = evaluation.where(F.col("language") == language).select("key", sim.adaptive_grams(text).alias("grams"))
+    user = prompts.first_of_role(F.col("messages"), "user")
+    leaks = dedup.leakage(chat.select("key", sim.adaptive_grams(user).alias("grams")), ev, percent, inclusive=False)
+    return chat.join(leaks.select("key", "max_jaccard", "leaked"), "key")
+
+
+def merge(train: DataFrame, evaluation: DataFrame, text: Column, leak_percent: int = 60, near_percent: int = 70, translated: DataFrame | None = None, n: int = 4000, seed: int = 42) -> dict[str, DataFrame]:
+    """train: (key, source, ...) in key order; evaluation: (key, ...).  Clean rows without near-duplicates, the
+    per-source report and the totals; where they are questions also chat rows and a sample of n of these.  Translated
+    chat rows join the others unless they leak.
+    """
     rows = train.withColumn("grams", sim.adaptive_grams(text))
     ev = evaluation.select("key", sim.adaptive_grams(text).alias("grams"))
     leaks = cut(dedup.leakage(rows.select("key", "grams"), ev, leak_percent, inclusive=False))
@@ -32,7 +43,23 @@ def merge(train: DataFrame, evaluation: DataFrame, text: Column, leak_percent: i
     report = dedup.distribution(leaks.join(train.select("key", "source"), "key"), "source", "max_jaccard")
     totals = leaks.agg(F.count("*").alias("input"), F.count_if("leaked").alias("leaked"))
     totals = totals.select("*", near.agg(F.count("near")).scalar().alias("near_duplicates"), near.agg(F.count("*") - F.count("near")).scalar().alias("kept"))
-    return {"kept": kept, "report": report, "totals": totals}
+    out = {"kept": kept, "report": report, "totals": totals}
+    if "question" in train.columns:
+        chat = prj.to_chat(kept)
+        if translated is not None:
+            chat = chat.unionByName(recheck(translated, evaluation, text, leak_percent).where("NOT leaked").select(*chat.columns), allowMissingColumns=True)
+        out |= {"chat": chat, "subset": smp.sample(chat, n, "question_id", seed)}
+    return out
+
+
+def merge_card(merged: dict[str, DataFrame], title: str = "Data card") -> str:
+    """Markdown of what a merge kept per source, what it dropped, and how similar the sources are to the evaluation."""
+    from marlstone.sources.sinks import markdown
+
+    sources = agg.frequency(merged["kept"], "source").orderBy("value")
+    report = merged["report"].select("source", "n", "mean", "p95", "max").orderBy("source")
+    parts = [f"# {title}", "## Sources kept", markdown(sources), "## Dropped", markdown(merged["totals"]), "## Similarity to the evaluation", markdown(report, 3)]
+    return "\n\n".join(parts)
 
 
 def fold_in(base: DataFrame, new: DataFrame, evaluation: DataFrame, text: Column, leak_percent: int = 60, near_percent: int = 70) -> dict[str, DataFrame]:

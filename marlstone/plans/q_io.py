@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from marlstone.operators.lineage import cut  # noqa: F401  (sets the checkpoint folder where it is unset)
@@ -120,17 +121,21 @@ def _(spark, d):
     return readers.log_series(spark.read.text(path))
 
 
-@query("s_src_14_log_matches", "SELECT count(*) AS n, sum(event_id)::BIGINT AS total FROM events")
+@query("s_src_14_log_matches", "SELECT event_id FROM events")
 def _(spark, d):
     table(spark, d, "events").select(F.concat(F.lit("step: "), "event_id", F.lit(" |"))).write.text(path := _place(spark))
-    m = readers.log_matches(spark, path, r"step: (.*?) \|")
-    return m.agg(F.count("*").alias("n"), F.sum(F.col("match").cast("bigint")).alias("total"))
+    return readers.log_matches(spark, path, r"step: (.*?) \|").select(F.col("match").cast("bigint").alias("event_id"))
 
 
-@query("s_src_15_newest_file")
+@query("s_src_15_newest_file", "SELECT r_name AS value FROM region")
 def _(spark, d):
-    documents(spark, d).select("lang").write.text(path := _place(spark))
-    return readers.newest(spark, f"{path}/part-*").select(F.col("path").isNotNull().alias("found"))
+    """Lines of the newer of two files; the other one's time is set back."""
+    root = _place(spark)
+    for name, table_name, column in (("old", "nation", "n_name"), ("new", "region", "r_name")):
+        table(spark, d, table_name).select(column).coalesce(1).write.text(f"{root}/{name}")
+    old = spark._jvm.org.apache.hadoop.fs.Path(readers.newest(spark, f"{root}/old/part-*").first().path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).setTimes(old, 1_000_000, -1)
+    return spark.read.text(readers.newest(spark, f"{root}/*/part-*").first().path)
 
 
 @query("s_src_16_scalars", f"SELECT run, step, value FROM {METRICS_SQL} WHERE tag = 'click'")
@@ -178,22 +183,27 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
-@query("s_snk_05_markdown_report", "SELECT count(DISTINCT lang) + 2 AS lines FROM documents")
+def _lines(spark, text):
+    return spark.createDataFrame(list(enumerate(text.splitlines(), 1)), "i bigint, line string")
+
+
+@query("s_snk_05_markdown_report", """SELECT row_number() OVER (ORDER BY o, lang NULLS FIRST) AS i, line FROM (SELECT 0 AS o, NULL AS lang, '| lang | mean |' AS line UNION ALL SELECT 1, NULL, '|---|---|'
+ UNION ALL SELECT 2, lang, '| ' || coalesce(lang, '—') || ' | ' || printf('%.4f', avg(n_chars)) || ' |' FROM documents GROUP BY lang)""")
 def _(spark, d):
-    t = sinks.markdown(documents(spark, d).groupBy("lang").agg(F.avg("n_chars").alias("mean")).orderBy("lang"))
-    return spark.createDataFrame([(len(t.splitlines()),)], "lines bigint")
+    return _lines(spark, sinks.markdown(documents(spark, d).groupBy("lang").agg(F.avg("n_chars").alias("mean")).orderBy("lang")))
 
 
-@query("s_snk_06_audit_report", "SELECT count(*) AS total, count(*) FILTER (lang = 'en') AS en FROM documents")
+@query("s_snk_06_audit_report", "SELECT (SELECT count(*) FROM documents) AS total, coalesce(lang, '?') AS lang, count(*) AS n FROM documents GROUP BY 2")
 def _(spark, d):
-    return sinks.audit(documents(spark, d), "lang").select("total", F.try_element_at("dist", F.lit("en")).alias("en"))
+    return sinks.audit(documents(spark, d), "lang").select("total", F.explode("dist").alias("lang", "n"))
 
 
-@query("s_snk_07_data_card", "SELECT TRUE AS titled, TRUE AS counted")
+@query("s_snk_07_data_card", """WITH n AS (SELECT coalesce(lang, '?') AS v, count(*) AS n FROM documents GROUP BY 1), t AS (SELECT CAST(sum(n) AS BIGINT) AS n FROM n),
+l AS (SELECT 0 AS o, '' AS v, unnest(['# Corpus', '', 'Rows: ' || n, '', '## lang', '', '| value | n | share |', '|---|---|---|']) AS line, unnest(range(0, 8)) AS k FROM t
+ UNION ALL SELECT 1, n.v, '| ' || n.v || ' | ' || n.n || ' | ' || printf('%.4f', n.n / t.n) || ' |', -n.n FROM n, t)
+SELECT row_number() OVER (ORDER BY o, k, v) AS i, line FROM l""")
 def _(spark, d):
-    rows = documents(spark, d)
-    t = sinks.data_card(rows, "Corpus", ("lang",))
-    return spark.createDataFrame([(t.startswith("# Corpus"), f"Rows: {rows.count()}" in t)], "titled boolean, counted boolean")
+    return _lines(spark, sinks.data_card(documents(spark, d), "Corpus", ("lang",)))
 
 
 @query("s_snk_08_tidy_series", f"SELECT tag, run, step, value FROM {METRICS_SQL} ORDER BY tag, run, step")
@@ -207,11 +217,19 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
-@query("s_snk_10_manifest", "SELECT 'gone' AS name, 'missing' AS state")
+@query("s_snk_10_manifest", """WITH f AS (SELECT string_agg(n_name || chr(10), '' ORDER BY n_nationkey) AS t FROM nation)
+SELECT strlen(t) AS length, sha256(t) AS sha256, state FROM f, (SELECT unnest(['missing', 'changed', 'extra', 'same']) AS state)""")
 def _(spark, d):
-    table(spark, d, "region").select(F.col("r_name")).coalesce(1).write.text(path := _place(spark))
+    """A file's size and digest, and what is said of it when the expected manifest has another name, another digest,
+    nothing, or the same."""
+    table(spark, d, "nation").orderBy("n_nationkey").select("n_name").coalesce(1).write.text(path := _place(spark))
     found = sinks.manifest(spark, f"{path}/part-*")
-    return sinks.verify(found, found.select("name", "sha256").union(spark.createDataFrame([("gone", "0")], "name string, sha256 string")))
+    same = found.select("name", "sha256")
+    wants = {"missing": same.union(spark.createDataFrame([("gone", "0")], "name string, sha256 string")), "changed": same.withColumn("sha256", F.lit("0")), "extra": same.limit(0)}
+    states = [sinks.verify(found, w).select("state") for w in wants.values()]
+    states.append(spark.createDataFrame([("same",)], "state string").where(sinks.verify(found, same).agg(F.count("*") == 0).scalar()))
+    out = states[0].union(states[1]).union(states[2]).union(states[3])
+    return out.select(found.select("length").scalar().alias("length"), found.select("sha256").scalar().alias("sha256"), "state")
 
 
 def _stream(spark, d):
@@ -232,9 +250,12 @@ def _(spark, d):
     return monitors.drained(spark, monitors.running_best(_stream(spark, d)), f"best_{uuid.uuid4().hex}")
 
 
-@query("s_str_03_progress_counters", "SELECT event_id, value FROM events")
+@query("s_str_03_progress_counters", "SELECT count(*) AS n, count(*) FILTER (value IS NULL) AS nulls FROM events")
 def _(spark, d):
-    return monitors.progress(table(spark, d, "events").select("event_id", "value"), f"p_{uuid.uuid4().hex}")
+    """The counters that came in while the rows were written."""
+    seen = Observation()
+    monitors.progress(table(spark, d, "events").select("event_id", "value"), seen).write.parquet(_place(spark))
+    return spark.createDataFrame([(seen.get["rows"], seen.get["nulls"])], "n bigint, nulls bigint")
 
 
 @query("s_str_04_streamed_answers", "SELECT doc_id, source || lang AS content, 7 AS completion_tokens FROM documents")

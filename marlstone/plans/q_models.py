@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from marlstone.functions import prompts
@@ -9,6 +11,7 @@ from marlstone.operators import model_calls as mc
 from marlstone.operators import similarity as sim
 from marlstone.plans import pipelines as pip
 from marlstone.plans.fixtures import MCQ_SQL, RESULTS_SQL, documents, mcq, options, results, table
+from marlstone.plans.q_dedup import _TOK, _grams
 from marlstone.plans.q_sampling import _PERM
 from marlstone.plans.registry import query
 
@@ -34,8 +37,16 @@ def _mcq(h, messages, parameters):
     return '{"story": "s", "question": "q", "options": {"A": "1", "B": "2", "C": "3", "D": "4"}, "answer": "A"}'
 
 
-def _list(h, messages, parameters):
-    return '{"story": "s", "question": "q", "options": ["1", "2", "3"], "gold": 2}'
+def _mcq_of_prompt(h, messages, parameters):
+    """A question whose story is the prompt and whose answer is the prompt's last letter."""
+    text = messages[-1]["content"]
+    return json.dumps({"story": text, "question": "q", "options": {"A": "1", "B": "2", "C": "3", "D": "4"}, "answer": text[-1]})
+
+
+def _list_of_prompt(h, messages, parameters):
+    """Three options and a gold that follows from the prompt's last digit."""
+    text = messages[-1]["content"]
+    return json.dumps({"story": text, "question": "q", "options": ["1", "2", "3"], "gold": int(text[-1]) % 3})
 
 
 def _trace(h, messages, parameters):
@@ -151,10 +162,15 @@ def _plan(spark):
     return generation_plan(spark, ["a", "b"], ["en", "zh"], 80).withColumn("id", F.concat_ws("-", "kind", "language", "i"))
 
 
-@query("s_llm_15_synthesize", "SELECT 80::BIGINT AS n, 80::BIGINT AS ok")
+#: The rows of _plan.
+_PLAN = "(SELECT kind || '-' || language || '-' || i AS id, kind, language, i, substr('ABCD', CAST(i % 4 + 1 AS INT), 1) AS gold FROM (SELECT unnest(['a', 'b']) AS kind), (SELECT unnest(['en', 'zh']) AS language), range(0, 20) t(i))"
+
+
+@query("s_llm_15_synthesize", f"SELECT id, 'ok' AS outcome, kind || ' ' || gold AS story, gold FROM {_PLAN}")
 def _(spark, d):
-    r = mc.synthesize(_plan(spark).drop("gold"), mc.StubClient(answer=_mcq), "id", F.col("kind"))
-    return r.agg(F.count("*").alias("n"), F.count_if(F.col("outcome") == "ok").alias("ok"))
+    """The stub answers with the letter that the prompt asks for."""
+    r = mc.synthesize(_plan(spark), mc.StubClient(answer=_mcq_of_prompt), "id", F.concat_ws(" ", "kind", "gold"))
+    return r.select("id", "outcome", "result.story", "result.gold")
 
 
 @query("s_llm_16_synthesize_target", "SELECT gold, CASE WHEN gold = 'A' THEN 'ok' ELSE 'bad' END AS outcome, 20::BIGINT AS n FROM (SELECT unnest(['A', 'B', 'C', 'D']) AS gold)")
@@ -163,27 +179,38 @@ def _(spark, d):
     return mc.synthesize(_plan(spark), mc.StubClient(answer=_mcq), "id", F.col("kind")).groupBy("gold", "outcome").agg(F.count("*").alias("n"))
 
 
-@query("s_llm_17_synthesize_gated", "SELECT 20::BIGINT AS n")
+@query(
+    "s_llm_17_synthesize_gated",
+    """SELECT kind || '-' || language || '-' || i AS id, task, CASE WHEN language = 'en' AND letters = 'AB' THEN 'bad' ELSE 'ok' END AS outcome,
+ CASE language WHEN 'en' THEN 'Tell of a visit. Stay calm. Gold is ' ELSE 'zh ' END || substr(letters, CAST(i % length(letters) + 1 AS INT), 1) AS story
+ FROM (SELECT unnest(['wish', 'slip']) AS kind, unnest(['desire', 'tact']) AS task, unnest(['ABCD', 'AB']) AS letters), (SELECT unnest(['en', 'zh']) AS language), range(0, 20) t(i)""",
+)
 def _(spark, d):
+    """Two specifications with letters and templates of their own; of the second, stories of several sentences are bad."""
     from marlstone.functions.text import sentence_count
 
-    r = mc.synthesize(_plan(spark), mc.StubClient(answer=_mcq), "id", F.col("kind")).where("outcome = 'ok'")
-    return r.where(sentence_count(F.col("result.story")) <= 9).agg(F.count("*").alias("n"))
+    texts = (("en", "Tell of a visit. Stay calm. Gold is {gold}"), ("zh", "zh {gold}"))
+    plan = mc.spec_plan(spark, [mc.CategorySpec("wish", "desire", texts), mc.CategorySpec("slip", "tact", texts, "AB")], 80).withColumn("id", F.concat_ws("-", "kind", "language", "i"))
+    short = F.col("kind").eqNullSafe("wish") | (sentence_count(F.col("result.story")) <= 1)
+    return mc.synthesize(plan, mc.StubClient(answer=_mcq_of_prompt), "id", F.col("prompt"), system=mc.ORIGINAL, gate=short).select("id", "task", "outcome", "result.story")
 
 
-@query("s_llm_18_synthesize_with_references", "SELECT 80::BIGINT AS n")
+@query("s_llm_18_synthesize_with_references", f"SELECT id, 5::BIGINT AS paragraphs, kind AS last FROM {_PLAN}")
 def _(spark, d):
     from marlstone.operators.sampling import references
 
     plan = _plan(spark).drop("gold")
     refs = references(plan, _q(spark, d).select(F.col("question").alias("ref")), 4, "id", "ref").groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("ref")), "\n").alias("refs"))
-    return mc.synthesize(plan.join(refs, "id"), mc.StubClient(answer=_mcq), "id", F.col("kind"), F.col("refs")).where("outcome = 'ok'").agg(F.count("*").alias("n"))
+    echo = lambda h, m, p: json.dumps({"story": m[-1]["content"], "question": "q", "options": {"A": "1", "B": "2", "C": "3", "D": "4"}, "answer": "A"})
+    r = mc.synthesize(plan.join(refs, "id"), mc.StubClient(answer=echo), "id", F.col("kind"), F.col("refs")).where("outcome = 'ok'")
+    part = F.filter(F.split("result.story", "\n"), lambda x: x != "")
+    return r.select("id", F.size(part).cast("long").alias("paragraphs"), F.element_at(part, -1).alias("last"))
 
 
-@query("s_llm_19_synthesize_options", "SELECT 'C' AS gold, 80::BIGINT AS n")
+@query("s_llm_19_synthesize_options", f"SELECT id, substr('ABC', CAST(i % 10 % 3 + 1 AS INT), 1) AS gold FROM {_PLAN}")
 def _(spark, d):
-    r = mc.synthesize(_plan(spark).drop("gold"), mc.StubClient(answer=_list), "id", F.col("kind"), options=3)
-    return r.groupBy(F.col("result.gold").alias("gold")).agg(F.count("*").alias("n"))
+    r = mc.synthesize(_plan(spark).drop("gold"), mc.StubClient(answer=_list_of_prompt), "id", F.concat_ws(" ", "kind", "i"), options=3)
+    return r.select("id", "result.gold")
 
 
 @query("s_llm_20_translate", f"SELECT question_id, CASE WHEN gold = 'A' THEN 'ok' ELSE 'bad' END AS outcome FROM {MCQ_SQL}")
@@ -251,10 +278,39 @@ def _bench(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("key"), "text")
 
 
-@query("s_pip_02_merge")
+_ADAPTIVE = f"CASE WHEN len(w) < 3 THEN {_grams('w', '1')} WHEN len(w) < 5 THEN {_grams('w', '3')} ELSE {_grams('w', '4')} END"
+
+
+@query(
+    "s_pip_02_merge",
+    f"""WITH RECURSIVE dg AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM (SELECT doc_id, {_ADAPTIVE} AS g FROM (SELECT doc_id, {_TOK} AS w FROM documents))),
+ig AS (SELECT item_id, len(g) AS n, unnest(g) AS x FROM (SELECT item_id, {_ADAPTIVE} AS g FROM (SELECT item_id, {_TOK} AS w FROM benchmark))),
+leak AS (SELECT DISTINCT doc_id FROM (SELECT doc_id FROM dg JOIN ig USING (x) GROUP BY doc_id, item_id HAVING 100 * count(*) > 30 * (any_value(dg.n) + any_value(ig.n) - count(*)))),
+x AS (SELECT * FROM dg WHERE doc_id NOT IN (SELECT doc_id FROM leak)),
+e AS (SELECT a.doc_id AS late, b.doc_id AS early FROM x a JOIN x b ON a.x = b.x AND a.doc_id > b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) > 70 * (any_value(a.n) + any_value(b.n) - count(*))),
+o AS (SELECT late, list(early) AS near, row_number() OVER (ORDER BY late) AS i FROM e GROUP BY late),
+go(i, dropped) AS (SELECT 0, []::BIGINT[] UNION ALL SELECT o.i, CASE WHEN len(list_filter(o.near, lambda y: NOT list_contains(go.dropped, y))) > 0 THEN list_append(go.dropped, o.late) ELSE go.dropped END FROM go JOIN o ON o.i = go.i + 1)
+SELECT doc_id AS key, source, coalesce(text, '') AS story, chr(CAST(65 + doc_id % 4 AS INT)) AS gold FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM leak) AND NOT list_contains(coalesce((SELECT dropped FROM go ORDER BY i DESC LIMIT 1), []), doc_id)""",
+)
+def _(spark, d):
+    """Chat rows of what is kept at a leakage threshold of 0.3, with the story that each prompt holds."""
+    rows = mcq(spark, d).withColumn("key", F.col("doc_id"))
+    chat = pip.merge(rows, _bench(spark, d).withColumnRenamed("text", "story"), F.col("story"), leak_percent=30)["chat"]
+    user = prompts.first_of_role(F.col("messages"), "user")
+    meant = chat.join(rows.select("question_id", "doc_id", "story"), "question_id").where(F.contains(user, F.col("story")))
+    return meant.select(F.col("doc_id").alias("key"), "source", "story", F.col("ground_truth").alias("gold"))
+
+
+@query("s_pip_02_merge_translated", "SELECT doc_id AS key, FALSE AS dropped FROM documents WHERE lang <> 'es' UNION ALL SELECT item_id, TRUE FROM benchmark")
 def _(spark, d):
-    """Totals; the parts have oracles of their own in s_ddp_*."""
-    return pip.merge(_train(spark, d), _bench(spark, d), F.col("text"))["totals"]
+    """Translations: rows of the evaluation set itself leak and go; the training rows stay as they are."""
+    rows = mcq(spark, d).withColumn("key", F.col("doc_id")).where("language <> 'es'")
+    chat = lambda t: prompts.chat(F.lit("s"), t)
+    items = _bench(spark, d).withColumn("language", F.lit("zh")).withColumnRenamed("text", "story")
+    moved = items.select("key", F.lit("translated").alias("source"), chat(F.col("story")).alias("messages"))
+    out = pip.recheck(moved, items, F.col("story"))
+    return rows.select("key", F.lit(False).alias("dropped")).union(out.where("leaked").select("key", F.lit(True)))
 
 
 @query("s_pip_03_cleanup", "SELECT CAST(doc_id AS VARCHAR) AS key, source FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT 'item' || item_id, 'items' FROM benchmark")

@@ -4,28 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marlstone.operators import windows
 
 
-def stop_reasons(series: DataFrame, kl: str = "kl", entropy: str = "entropy", score: str = "score") -> DataFrame:
-    """Runs that should stop, with the first reason: three high kl values, three low entropies, three scores under the best."""
-    last = windows.last_values(series, 3).join(series.groupBy("run", "tag").agg(F.max("value").alias("best")), ["run", "tag"])
+def reasons(state: DataFrame, kl: str = "kl", entropy: str = "entropy", score: str = "score") -> DataFrame:
+    """state (run, tag, last, best): runs that should stop, with the first reason: three high kl values, three low
+    entropies, three scores under the best."""
     why = F.when((F.col("tag") == kl) & windows.all_above(3, 0.5), "kl").when((F.col("tag") == entropy) & windows.all_below(3, 0.1), "entropy").when((F.col("tag") == score) & windows.all_below(3, F.col("best") - 0.03), "score")
-    return last.select("run", why.alias("reason")).where("reason IS NOT NULL").groupBy("run").agg(F.min("reason").alias("reason"))
+    return state.select("run", why.alias("reason")).where("reason IS NOT NULL").groupBy("run").agg(F.min("reason").alias("reason"))
 
 
-def watch(stream: DataFrame, history: str, act: Callable[[list], None], checkpoint: str) -> StreamingQuery:
-    """For each batch of metrics: adds it to the history table, applies the rules, and hands the runs to act.
+def stop_reasons(series: DataFrame) -> DataFrame:
+    """The same of whole series (run, step, tag, value)."""
+    return reasons(windows.last_values(series, 3).join(series.groupBy("run", "tag").agg(F.max("value").alias("best")), ["run", "tag"]))
 
-    What happens then is act's business; nothing is killed here.  A batch that is replayed overwrites its own part.
+
+def merged(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Last three values with their steps and the best value of each series, from such rows and further values."""
+    rows = new.select("run", "tag", "step", "value", F.col("value").alias("best"))
+    if old is not None:
+        rows = rows.unionByName(old.select("run", "tag", "best", F.inline("last")))
+    top = rows.withColumn("r", F.row_number().over(Window.partitionBy("run", "tag").orderBy(F.desc("step")))).where("r <= 3")
+    last = top.groupBy("run", "tag").agg(F.collect_list(F.struct("step", "value")).alias("last"))
+    return last.join(rows.groupBy("run", "tag").agg(F.max("best").alias("best")), ["run", "tag"])
+
+
+def watch(stream: DataFrame, states: str, act: Callable[[list], None], checkpoint: str) -> StreamingQuery:
+    """For each batch of metrics: brings the series' states up to date, applies the rules, and hands the runs to act.
+
+    What happens then is act's business; nothing is killed here.  A state has one row per series, so a batch costs what
+    it brings and not what came before.  Each batch writes a state of its own from that of the batch before and deletes
+    the one before that; a batch that is replayed finds what it found at first.
     """
     def batch(df: DataFrame, number: int) -> None:
-        df.write.mode("overwrite").parquet(f"{history}/batch={number}")
-        act([tuple(r) for r in stop_reasons(df.sparkSession.read.parquet(history).select("run", "step", "tag", "value")).collect()])
+        spark = df.sparkSession
+        old = spark.read.parquet(f"{states}/{number - 1}") if number else None
+        merged(old, df).write.mode("overwrite").parquet(f"{states}/{number}")
+        state = spark.read.parquet(f"{states}/{number}").withColumn("last", F.col("last.value"))
+        act([tuple(r) for r in reasons(state).collect()])
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{states}/{number - 2}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -37,8 +59,8 @@ def running_best(stream: DataFrame, tag: str | None = None) -> DataFrame:
     return rows.groupBy("run", "tag").agg(best).select("run", "tag", (-F.col("b.neg")).alias("value"), "b.step")
 
 
-def progress(rows: DataFrame, name: str) -> DataFrame:
-    """Rows with counters that a query listener receives while they are processed."""
+def progress(rows: DataFrame, name: str | Observation) -> DataFrame:
+    """Rows with counters that a query listener (by name) or an observation receives while they are processed."""
     return rows.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value").isNull()).alias("nulls"))
 
 

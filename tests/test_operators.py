@@ -300,3 +300,51 @@ def test_numbered_lines_over_blocks(spark, tmp_path):
 def test_card_counts_what_it_does_not_list(spark):
     card = sinks.data_card(spark.range(10), "t", ("id",), top=3)
     assert "other (7 values) | 7" in card
+
+
+def test_prefixes_of_few_words(spark):
+    texts = [(1, "abcdefgh ijkl"), (2, "one two three four five six"), (3, ""), (4, None), (5, "x" * 200), (6, "日本語のテスト"), (7, "two three")]
+    items = [(1, "cdefgh i"), (2, "two three"), (3, ""), (4, None), (5, "x" * 79), (6, "本語"), (7, "one two three four five six seven"), (8, "e"), (9, "x" * 300), (10, "one two three four five six")]
+    train, ev = (spark.createDataFrame(x, "key long, text string") for x in (texts, items))
+    want = {(i, k) for i, p in items for k, t in texts if p and t and p[:80] in t}
+    assert {tuple(r) for r in dedup.prefix_leaks(train, ev).collect()} == want and (9, 5) in want
+
+
+def test_watch_keeps_what_the_rules_need(spark, tmp_path):
+    """Batch by batch, and with the last one replayed, the rules see what they would see in the whole series."""
+    from marlstone.streaming import monitors
+
+    values = {("a", "kl"): [0.1, 0.9, 0.8, 0.7, 0.2], ("b", "score"): [0.9, 0.1, 0.2, 0.3, 0.95], ("c", "entropy"): [0.01, 0.5, 0.02, 0.03, 0.04]}
+    state, series, seen = None, [], []
+    for i in range(5):
+        batch = [(run, tag, i, v[i]) for (run, tag), v in values.items()]
+        series += batch
+        rows = spark.createDataFrame(batch, "run string, tag string, step long, value double")
+        state = monitors.merged(state, rows).cache()
+        whole = spark.createDataFrame(series, rows.schema)
+        got = {tuple(r) for r in monitors.reasons(state.withColumn("last", F.col("last.value"))).collect()}
+        assert got == {tuple(r) for r in monitors.stop_reasons(whole).collect()}
+        seen.append(got)
+        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    assert seen == [set(), set(), set(), {("a", "kl"), ("b", "score")}, {("c", "entropy")}]
+    acts = []
+    stream = spark.readStream.schema("run string, tag string, step long, value double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    monitors.watch(stream, f"{tmp_path}/states", acts.append, f"{tmp_path}/log").awaitTermination()
+    assert len(acts) == 5 and set(acts[-1]) == seen[-1]
+    assert sorted(p.name for p in (tmp_path / "states").iterdir() if p.is_dir()) == ["3", "4"]
+
+
+def test_merge_gives_chat_rows_and_a_card(spark):
+    from marlstone.functions import prompts
+    from marlstone.plans import pipelines
+
+    story = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(i, f"q{i}", s, "src", "en", "t", "Who?", "1", "2", "3", "4", "A") for i, s in enumerate([story("a", 30), story("a", 29), story("b", 30), story("c", 30)])]
+    train = spark.createDataFrame(rows, "key long, question_id string, story string, source string, language string, task string, question string, opt_a string, opt_b string, opt_c string, opt_d string, gold string")
+    ev = spark.createDataFrame([(1, story("b", 30), "en"), (2, story("z", 30), "zh")], "key long, story string, language string")
+    moved = spark.createDataFrame([(1, "z1", story("z", 30)), (2, "z2", story("y", 30))], "key long, question_id string, text string")
+    made = moved.select("key", "question_id", prompts.chat(F.lit("s"), F.col("text")).alias("messages"), *(F.lit("x").alias(c) for c in ("ground_truth", "tag", "source", "language", "task")))
+    out = pipelines.merge(train, ev, F.col("story"), translated=made)
+    assert sorted(r.question_id for r in out["chat"].collect()) == ["q0", "q3", "z2"]
+    card = pipelines.merge_card(out)
+    assert "| src | 2 | 1.0000 |" in card and "| 4 | 1 | 1 | 2 |" in card
