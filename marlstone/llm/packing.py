@@ -79,10 +79,13 @@ class WordTokenizer:
             out[i] = np.array(e.ids, np.uint32)
         return out
 
+    def _flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after the other, and each word's number of ids."""
+        got = self._encode(words)
+        return np.concatenate(got), np.fromiter(map(len, got), np.int64, len(got))
+
     def _add(self, keys: np.ndarray, words: list[bytes]) -> np.ndarray:
-        got = self._encode([w.decode() for w in words])
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.concatenate(got)
+        flat, sizes = self._flat([w.decode() for w in words])
         have = len(self.keys)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
@@ -109,6 +112,11 @@ class WordTokenizer:
             cut = cut[~np.isin(cut, chunk.offs)]  # the next row begins there
             start, end, data = np.sort(np.concatenate((start, cut))), np.sort(np.concatenate((end, cut))), low
         bound = np.searchsorted(start, chunk.offs)
+        ids, ends, hashes = self.look_up(data, start, end)
+        return ids, ends[bound], hashes, bound
+
+    def look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of the parts data[start:end] one after the other, where each part's ids begin (and the last ones end), and the parts' hashes."""
         hashes = span_hash(data, start, end)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, keys)
@@ -119,11 +127,11 @@ class WordTokenizer:
         if not old.all():
             raw, spans = data.tobytes(), first[~old]
             number[~old] = self._add(keys[~old], [raw[a:b] for a, b in zip(start[spans].tolist(), end[spans].tolist(), strict=True)])
-        word = number[back]
-        n = self.n[word]
+        part = number[back]
+        n = self.n[part]
         ends = np.concatenate(([0], np.cumsum(n)))
-        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.start[word] - ends[:-1], n)]
-        return ids, ends[bound], hashes, bound
+        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.start[part] - ends[:-1], n)]
+        return ids, ends, hashes
 
 
 class Part:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import decontaminate, jaccard_join, language_id, packing, preferences, quality_classifier, quality_rules, substring_dedup, token_count, url_filter
+from marlstone.llm import bin_packing, decontaminate, filter_audit, jaccard_join, language_id, packing, preferences, quality_classifier, quality_rules, substring_dedup, token_count, url_filter, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -158,3 +158,45 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
+
+
+@register()
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.pack_best(_table(spark, sf_dir, "documents"))
+
+
+@register(
+    f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+m AS (SELECT doc_id, part, CAST(len(w) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT) + 4 * CAST(100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) AS INT)
+  + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE) AS INT) AS mask FROM d),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), FALSE) AS good, coalesce(bool_or(toxic = 1), FALSE) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), o AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT o, step, 1 << (instr('ABCDE', substr(o, step, 1)) - 1) AS bit, list_sum(list_transform(range(1, step), lambda i: 1 << (instr('ABCDE', substr(o, i, 1)) - 1))) AS earlier FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, o AS filter_order, CAST(step AS INT) AS step, any_value(bit) AS bit, coalesce(sum(n) FILTER (mask & (coalesce(earlier, 0) | bit) = 0), 0) AS kept,
+  coalesce(sum(n) FILTER (mask & bit > 0 AND mask & coalesce(earlier, 0) = 0), 0) AS removed, coalesce(sum(n) FILTER (mask & bit > 0 AND mask & coalesce(earlier, 0) > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+  coalesce(sum(good) FILTER (mask & bit > 0 AND mask & coalesce(earlier, 0) = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & coalesce(earlier, 0) = 0), 0) AS toxic_lost FROM c, s GROUP BY part, o, step)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r"""
+)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+_NEAREST = "SELECT r, part, min((d, entry)) AS best FROM (SELECT r, p.part, entry, list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN {} b ON b.part = p.part) GROUP BY r, part"
+#: A round: assignments a{n} to the codebook b{n - 1}, and the codebook b{n}.
+_ROUND = """a{n} AS (""" + _NEAREST.format("b{m}") + """),
+f{n} AS (SELECT part, entry, list(CAST(floor(total / k) AS BIGINT) ORDER BY i) AS c FROM (SELECT part, best[2] AS entry, i, sum(q[i]) AS total, count(*) AS k FROM a{n} JOIN p USING (r, part), (SELECT unnest(range(1, 1 + (SELECT any_value(len(q)) FROM p))) AS i) GROUP BY ALL) GROUP BY part, entry),
+b{n} AS (SELECT b.part, b.entry, coalesce(f.c, b.c) AS c FROM b{m} b LEFT JOIN f{n} f ON f.part = b.part AND f.entry = b.entry)"""
+
+
+@register(
+    f"""WITH k AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT r, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS q FROM k, (SELECT unnest(range(0, 16)) AS part)),
+b0 AS (SELECT part, r - 1 AS entry, q AS c FROM p WHERE r <= 64),
+{_ROUND.format(n=1, m=0)}, {_ROUND.format(n=2, m=1)}, a3 AS ({_NEAREST.format("b2")}),
+o AS (SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a3 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256 FROM o JOIN k USING (r)"""
+)
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
