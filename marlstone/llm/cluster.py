@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 
@@ -34,6 +35,35 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_row_ids(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a further column, and its name: a number for each pair of doc_id and text.
+
+    It is the id itself where that has one text.  Where an id has several, the text of least MD5 keeps it and each other
+    text gets a number beyond all ids; so do texts without an id, one number for all their rows, beyond these.  Where the
+    ids leave no room there, numbers are hashes that are no id.  Null text is empty.
+    """
+    name, key, old, of, new = (fresh(docs, x) for x in ("row_id", "text_key", "old_id", "of_key", "new_id"))
+    rows = docs.withColumns({name: F.col("doc_id").cast("long"), key: F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    ids = rows.select(F.col(name).alias("id"), F.col(key).alias("key"))
+    several = cut(ids.groupBy("id").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most OR id IS NULL"))
+    if not several.take(1):
+        return rows.drop(key), name
+    more = ids.distinct().join(several.withColumnRenamed("id", "own"), F.col("id").eqNullSafe(F.col("own"))).where("id IS NULL OR key <> least").select("id", "key")
+    top = max(0, ids.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
+    if top < 1 << 61:
+        number = F.monotonically_increasing_id() + F.when(F.col("id").isNull(), 1 << 60).otherwise(0)
+        more = cut(more.withColumn("new", top + 1 + number))
+    else:
+        for salt in itertools.count():
+            tried = cut(more.withColumn("new", F.xxhash64(F.lit(salt), "id", "key")))
+            if not tried.groupBy("new").count().where("count > 1").take(1) and not tried.join(ids.select(F.col("id").alias("new")), "new", "left_semi").take(1):
+                more = tried
+                break
+    more = more.select(F.col("id").alias(old), F.col("key").alias(of), F.col("new").alias(new))
+    rows = rows.join(more, F.col(old).eqNullSafe(F.col(name)) & (F.col(of) == F.col(key)), "left")
+    return rows.withColumn(name, F.coalesce(new, name)).drop(key, old, of, new), name
+
+
 def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.cluster import fresh
+from marlstone.llm.cluster import fresh, with_row_ids
 from marlstone.llm.textkernel import _LOWER, U64, chunks, gram_hashes
 
 BLOCK_BYTES = 16 << 20
@@ -196,7 +196,13 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold_pct
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold_pct: int = 80) -> DataFrame:
-    """The rows of docs that contain no item, with their columns; rows without an id stay."""
-    name = fresh(docs, "bad")
-    bad = contained_items(docs, items, n, threshold_pct).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad[name], "left_anti")
+    """The rows of docs that contain no item, with their columns, whatever their names.
+
+    A row is judged by its own text: of an id with several texts only those go that contain an item, and rows without an
+    id are judged too.  Rows that repeat stay or go together; null and empty texts stay; no items, or none with a word,
+    remove nothing.
+    """
+    rows, row = with_row_ids(docs)
+    name = fresh(rows, "bad")
+    bad = contained_items(rows.select(F.col(row).alias("doc_id"), "text"), items, n, threshold_pct).select(F.col("doc_id").alias(name)).distinct()
+    return rows.join(bad, F.col(row) == F.col(name), "left_anti").drop(row)

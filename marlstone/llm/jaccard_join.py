@@ -12,10 +12,11 @@ component and counts its links; ``jaccard_pairs`` gives the links between distin
    most.  Pairs that agree on fewer signatures than a linked pair must are dropped.  A signature stands for several
    shingles at once, so a passage that many documents share makes few candidates.  Equal signatures within one batch are
    collapsed before the shuffle, which carries packed arrays.
-3. Components of what is left are blocks of rows.  One of over ``block_rows`` rows is dealt into groups, and each pair of
-   groups, and each group with itself, is a cell of its own, so that any two rows of a component meet once.
-4. A cell's product is summed over blocks of columns, from rare n-grams to frequent ones, into a matrix of overlap counts
-   so far.  After each block a pair can still gain what the shorter of its rows has left; rows of which no pair can
+3. Components of what is left are blocks of rows.  One of over ``block_rows`` rows or ``cell_shingles`` shingles is dealt
+   into groups, and each pair of groups, and each group with itself, is a cell of its own, so that any two rows of a
+   component meet once.
+4. A cell's product is summed over blocks of columns into a matrix of overlap counts so far: ranges of hashes one after the
+   other, and in a range from rare n-grams to frequent ones.  After each block a pair can still gain what the shorter of its rows has left; rows of which no pair can
    reach the bound that its sizes give leave the product.  Rare columns add their pairs, frequent ones are multiplied as
    dense blocks.
 """
@@ -37,6 +38,8 @@ LARGE = 8
 PAIR, SIZE, MEMBER = 1, 2, 4
 #: A column that over this share of a cell's rows has is multiplied as a part of a dense block of BLOCK_CELLS numbers.
 DENSE, BLOCK_CELLS, SLAB = 0.08, 1 << 21, 256
+#: Elements of a cell that are multiplied at a time, and shingles of all texts of a cell (8 bytes each), about.
+RANGE, CELL_SHINGLES = 1 << 21, 1 << 24
 SURE = 1 << 40  # the count of a pair whose sets were compared already
 _OUT = "kind int, a long, b long, c long, bucket int, ids binary, sigs binary"
 _MET = "kind int, a long, b long, c long"
@@ -296,12 +299,35 @@ def _sparse(counts: np.ndarray, holders: np.ndarray, start: np.ndarray, spread:
                 np.add.at(counts.reshape(-1), at, 1)
 
 
-def overlap_counts(owner: np.ndarray, cols: np.ndarray, size: np.ndarray, n0: int, threshold_pct: int) -> np.ndarray:
+def overlap_counts(parts: Iterator[tuple[np.ndarray, np.ndarray]], size: np.ndarray, n0: int, threshold_pct: int) -> np.ndarray:
     """Overlaps of rows (of both sides if n0, else of pairs a < b) as a matrix; 0 or too little for pairs without a link.
 
-    owner, cols: the elements of the incidence matrix, by row; size: the rows' whole sizes, in order within a side.
+    parts: ranges of columns as (row, column) of each element of the incidence matrix; size: the rows' whole sizes.
     """
     k, t = len(size), threshold_pct
+    counts = np.zeros((n0, k - n0) if n0 else (k, k), np.float32)
+    left = size.astype(np.float32)
+    live = np.arange(k)
+    for owner, cols in parts:
+        left -= np.bincount(owner, minlength=k)
+        on = np.zeros(k, bool)
+        on[live] = True
+        cols, owner = cols[on[owner]], owner[on[owner]]
+        _, cols, spread = np.unique(cols, return_inverse=True, return_counts=True)
+        met = spread > 1  # what a single row has is in no overlap
+        owner, cols = owner[met[cols]], (np.cumsum(met) - 1)[cols[met[cols]]]
+        left += np.bincount(owner, minlength=k)
+        live = _add_columns(counts, left, live, owner, cols, size, n0, t)
+        if not len(live):
+            break
+    return counts
+
+
+def _add_columns(counts: np.ndarray, left: np.ndarray, live: np.ndarray, owner: np.ndarray, cols: np.ndarray, size: np.ndarray, n0: int, t: int) -> np.ndarray:
+    """Adds blocks of columns to counts, from rare to frequent ones, and takes them from left; the rows that stay live."""
+    if not len(cols):
+        return live
+    k = len(size)
     spread = np.bincount(cols)
     rare = np.argsort(spread, kind="stable")  # columns from rare to frequent
     place = np.empty_like(rare)
@@ -309,13 +335,10 @@ def overlap_counts(owner: np.ndarray, cols: np.ndarray, size: np.ndarray, n0: in
     order = np.argsort(place[cols] * k + owner)
     holders, spread = owner[order], spread[rare]
     start = np.cumsum(spread) - spread
-    counts = np.zeros((n0, k - n0) if n0 else (k, k), np.float32)
-    left = np.bincount(owner, minlength=k).astype(np.float32)
     dense = int(np.searchsorted(spread, max(2, k * DENSE), "right"))  # from there on a dense product is cheaper
-    live = np.arange(k)
     width = max(64, BLOCK_CELLS // max(k, 1))
     blocks = [(0, dense), *((c, min(c + width, len(spread))) for c in range(dense, len(spread), width))]
-    for number, (c, d) in enumerate(blocks):
+    for c, d in blocks:
         if c == d:
             continue
         own = holders[start[c] : start[d - 1] + spread[d - 1]]
@@ -330,11 +353,10 @@ def overlap_counts(owner: np.ndarray, cols: np.ndarray, size: np.ndarray, n0: in
                 counts[np.ix_(one, two - n0)] += x[one] @ x[two].T
             else:
                 counts[np.ix_(live, live)] += x[live] @ x[live].T
-        if number + 1 < len(blocks) and len(live):
-            live = _still_live(counts, left, size, live, n0, t)
-            if not len(live):
-                break
-    return counts
+        live = _still_live(counts, left, size, live, n0, t)
+        if not len(live):
+            break
+    return live
 
 
 def _still_live(counts: np.ndarray, left: np.ndarray, size: np.ndarray, live: np.ndarray, n0: int, t: int) -> np.ndarray:
@@ -352,6 +374,16 @@ def _still_live(counts: np.ndarray, left: np.ndarray, size: np.ndarray, live: np
     return np.flatnonzero(good)
 
 
+def _ranges(sets: list[np.ndarray], total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The elements of sorted sets by ranges of hashes, about RANGE at a time: (row, element) of each."""
+    n = total // RANGE + 1
+    cuts = [np.searchsorted(s, np.array([(i << 64) // n for i in range(1, n)], U64)) for s in sets] if n > 1 else [np.zeros(0, np.int64)] * len(sets)
+    bounds = np.concatenate((np.zeros((len(sets), 1), np.int64), np.array(cuts, np.int64).reshape(len(sets), n - 1), np.array([[len(s)] for s in sets], np.int64)), axis=1)
+    for i in range(n):
+        a, b = bounds[:, i].tolist(), bounds[:, i + 1].tolist()
+        yield np.repeat(np.arange(len(sets)), bounds[:, i + 1] - bounds[:, i]), np.concatenate([s[x:y] for s, x, y in zip(sets, a, b, strict=True)])
+
+
 def near_pairs(sets: list[np.ndarray], threshold_pct: int, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """All linked pairs, each once: a row, the rows linked with it that were not its pivots, and the overlaps.
 
@@ -366,11 +398,7 @@ def near_pairs(sets: list[np.ndarray], threshold_pct: int, side: np.ndarray | No
     n0 = 0 if one else int((side == 0).sum())
     if k < 2 or not one and n0 in (0, k):
         return
-    _, cols, spread = np.unique(np.concatenate([sets[i] for i in rows.tolist()]), return_inverse=True, return_counts=True)
-    met = spread > 1  # what a single row has is in no overlap
-    owner = np.repeat(np.arange(k), size)[met[cols]]
-    cols = (np.cumsum(met) - 1)[cols[met[cols]]]
-    counts = overlap_counts(owner, cols, size, n0, t)
+    counts = overlap_counts(_ranges([sets[i] for i in rows.tolist()], int(size.sum())), size, n0, t)
     for i in range(0, len(counts), SLAB):
         part = counts[i : i + SLAB].astype(np.int64)
         hits = (100 + t) * part >= t * (size[i : i + SLAB][: len(part), None] + size[n0:])
@@ -469,13 +497,14 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
 
 
-def _all_cells(comp: DataFrame, block_rows: int) -> DataFrame:
-    """comp: node, component, copies.  Cells in which any two rows of a component meet exactly once.
+def _all_cells(comp: DataFrame, block_rows: int, cell_shingles: int) -> DataFrame:
+    """comp: node, component, copies, n_shingles.  Cells in which any two rows of a component meet exactly once.
 
-    A component of over block_rows rows is dealt into groups of about half as many; a cell holds two groups, or one.
+    A component of over block_rows rows or cell_shingles shingles is dealt into groups of about half as many; a cell holds
+    two groups, or one.
     """
-    wide = comp.groupBy("component").count().where(F.col("count") > block_rows)
-    wide = wide.select(F.col("component").alias("c"), F.ceil(F.col("count") * 2 / block_rows).cast("int").alias("k"))
+    wide = comp.groupBy("component").agg((2 * F.greatest(F.count("*") / block_rows, F.sum("n_shingles") / cell_shingles)).alias("halves"))
+    wide = wide.where("halves > 2").select(F.col("component").alias("c"), F.ceil("halves").cast("int").alias("k"))
     rows = comp.join(wide, F.col("component") == F.col("c"), "left").withColumn("k", F.coalesce("k", F.lit(1)))
     rows = rows.withColumn("g", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     cell = F.least("g", "x") * F.col("k") + F.greatest("g", "x")
@@ -483,7 +512,7 @@ def _all_cells(comp: DataFrame, block_rows: int) -> DataFrame:
     return rows.select(F.col("node").alias("doc_id"), F.col("component").alias("comp"), cell.alias("cell"), (F.col("g") != F.col("x")).alias("flag"), label.alias("label"))
 
 
-def _blocks(docs: DataFrame, n: int, threshold_pct: int, block_rows: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+def _blocks(docs: DataFrame, n: int, threshold_pct: int, block_rows: int, cell_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Rows to take part, (doc_id, key), the texts' (key, doc_id, copies), (doc_id, n_shingles), cells of texts with candidates."""
     keyed = cut(docs.groupBy("doc_id").agg(F.min(F.md5("text")).alias("key"), F.max(F.md5("text")).alias("last")))
     if keyed.where("key <> last").take(1):
@@ -492,11 +521,11 @@ def _blocks(docs: DataFrame, n: int, threshold_pct: int, block_rows: int) -> tup
     keyed = keyed.drop("last")
     first = cut(keyed.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
     edges, sizes = candidates(docs, n, threshold_pct)
-    comp = components(edges).join(first.select(F.col("doc_id").alias("node"), "copies"), "node")
-    return docs, keyed, first, sizes, _all_cells(cut(comp), block_rows)
+    comp = components(edges).join(first.select(F.col("doc_id").alias("node"), "copies"), "node").join(sizes.withColumnRenamed("doc_id", "node"), "node")
+    return docs, keyed, first, sizes, _all_cells(cut(comp), block_rows, cell_shingles)
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, threshold_pct: int = 80, block_rows: int = 4096) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, threshold_pct: int = 80, block_rows: int = 4096, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """Components and counts of links of documents by Jaccard similarity of n-word shingle sets.
 
     docs: doc_id and text; other columns are ignored, rows with a null id are left out.  Returns doc_id, n_shingles
@@ -506,7 +535,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold_pct: int = 80, block_row
     Rows with one id are one document and give one row: repeated rows count once, and of different texts the one with the
     least MD5 is meant.
     """
-    docs, keyed, first, sizes, cells = _blocks(_texts(docs), n, threshold_pct, block_rows)
+    docs, keyed, first, sizes, cells = _blocks(_texts(docs), n, threshold_pct, block_rows, cell_shingles)
     part = cut(_in_cells(cells, docs, _count(n, threshold_pct), "a long, b long, links long"))
     links = part.groupBy(F.col("a").alias("doc_id")).agg(F.sum("links").alias("links"))
     whole = components(part.select("a", "b")).select(F.col("node").alias("doc_id"), "component")
@@ -519,10 +548,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold_pct: int = 80, block_row
     return keyed.join(known, "key").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"), "text_id", "n_links")
 
 
-def jaccard_pairs(docs: DataFrame, n: int = 5, threshold_pct: int = 80, block_rows: int = 4096) -> DataFrame:
+def jaccard_pairs(docs: DataFrame, n: int = 5, threshold_pct: int = 80, block_rows: int = 4096, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
     """Every link between two different texts: a < b (each text's least doc_id) and n_shared shingles.
 
     With text_id of jaccard_join they give all links of documents.  Their number grows with the square of a group's size.
     """
-    docs, _, _, _, cells = _blocks(_texts(docs), n, threshold_pct, block_rows)
+    docs, _, _, _, cells = _blocks(_texts(docs), n, threshold_pct, block_rows, cell_shingles)
     return _in_cells(cells, docs, _list(n, threshold_pct), "a long, b long, n_shared long")
