@@ -6,24 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontaminate, jaccard_join, packing, quality_rules, substring_dedup
-from marlstone.llm.cluster import cut, fresh
+from marlstone.llm.cluster import cut, fresh, with_row_ids
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """Documents that pass the quality rules; each row is judged by its own text, and null or empty texts go."""
     return quality_rules.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The least document of each group linked by shingle Jaccard similarity of 0.8 or more; rows without an id stay."""
-    found = jaccard_join.jaccard_join(docs)
-    gone = fresh(docs, "gone")
+    """One document of each group linked by shingle Jaccard similarity of 0.8 or more: the least of its ids.
+
+    A text is a document: of an id with several texts each is judged by itself, and so are texts without an id, which go
+    before any with one.  Rows that repeat an id and its text stay or go together.  Null, empty and blank texts are
+    linked with nothing and stay; an empty table gives no rows.
+    """
+    rows, row = with_row_ids(docs)
+    found, gone = jaccard_join.jaccard_join(rows.select(F.col(row).alias("doc_id"), "text")), fresh(rows, "gone")
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone))
-    return docs.join(drop, docs["doc_id"] == drop[gone], "left_anti")
+    return rows.join(drop, F.col(row) == F.col(gone), "left_anti").drop(row)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the 13-word windows that smaller ids hold; a document that loses all its words goes."""
+    """Texts without the 13-word windows that smaller ids hold; a document that loses all its words goes.
+
+    Rows of one id are not compared with each other, rows without an id with none; null and empty texts stay as they are.
+    """
     gone = fresh(docs, "n_removed")
     out = substring_dedup.remove_repeats(docs, count=gone).where((F.col(gone) == 0) | (F.col("text") != ""))
     if "n_chars" in docs.columns:
@@ -33,12 +41,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item, judged row by row; no items remove nothing."""
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens, of every row; a null or empty text is its end id."""
     return packing.pack_documents(docs)
 
 
