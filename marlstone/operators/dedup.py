@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import text_hash
+from marlstone.operators.best_match import best_matches
+from marlstone.operators.greedy import settle
 from marlstone.operators.lineage import cut
-from marlstone.operators.similarity import gram_ids, overlap_pairs, rare_prefixes, sized, verified, word_grams
+from marlstone.operators.similarity import gram_ids, rare_prefixes, sized, verified
 
 
 def first_by_key(rows: DataFrame, key: Column, order: Column) -> DataFrame:
@@ -48,55 +53,26 @@ def leakage(train: DataFrame, evaluation: DataFrame, percent: int = 60, inclusiv
     """train, evaluation: (key, grams).  Per training key: max_jaccard, max_containment, leaked, first_hit.
 
     first_hit is the least evaluation key at which the threshold is met; keys of several sets sort by set, then row.
-    Rows that share nothing have 0.
+    Rows that share nothing have 0.  See best_match: training rows are searched where they are.
     """
-    pairs = overlap_pairs(train, evaluation)
-    over = F.expr(f"100 * shared {'>=' if inclusive else '>'} {percent} * (n_a + n_b - shared)")
-    best = pairs.groupBy(F.col("a").alias("key")).agg(F.max("jaccard").alias("max_jaccard"), F.max("containment").alias("max_containment"), F.min(F.when(over, F.col("b"))).alias("first_hit"))
-    out = train.select("key").join(best, "key", "left")
-    return out.select("key", F.coalesce("max_jaccard", F.lit(0.0)).alias("max_jaccard"), F.coalesce("max_containment", F.lit(0.0)).alias("max_containment"), F.col("first_hit").isNotNull().alias("leaked"), "first_hit")
-
+    best = best_matches(*(df.select("key", gram_ids("grams").alias("ids")) for df in (train, evaluation)), percent, inclusive)
+    return best.select("key", "max_jaccard", "max_containment", F.col("first_hit").isNotNull().alias("leaked"), "first_hit")
 
-def greedy_keep(nodes: DataFrame, edges: DataFrame, kept: DataFrame | None = None) -> DataFrame:
-    """Keys that a pass in key order keeps, when it drops a row near an earlier *kept* row: (key, near).
 
-    That is the lexicographically first maximal independent set.  In each round, a row without undecided earlier
-    neighbours and without kept ones is kept, and the neighbours of kept rows are dropped (near: the least such).
-    Rows of ``kept`` are kept from the start.  Rows without an edge never enter the rounds.
-    """
-    e = cut(edges.select(F.greatest("a", "b").alias("late"), F.least("a", "b").alias("early")).distinct())
-    spark = nodes.sparkSession
-    state = e.select(F.explode(F.array("late", "early")).alias("key")).distinct()
-    known = kept.select("key").distinct() if kept is not None else spark.createDataFrame([], "key long")
-    undecided = state.join(known, "key", "left_anti")
-    # near is the least kept row of all, so edges to rows kept later in the rounds still count for dropped rows
-    on, all_on, dropped = known, known, spark.createDataFrame([], "key long")
-    e_open = e
-    while True:
-        gone = e_open.join(on.withColumnRenamed("key", "early"), "early").join(undecided.withColumnRenamed("key", "late"), "late").select(F.col("late").alias("key")).distinct()
-        dropped = cut(dropped.union(gone))
-        undecided = undecided.join(gone, "key", "left_anti")
-        # only edges between undecided rows can hold anything up
-        waits = e_open.join(undecided.withColumnRenamed("key", "early"), "early").join(undecided.withColumnRenamed("key", "late"), "late", "left_semi")
-        e_open = cut(waits.select("late", "early"))
-        on = cut(undecided.join(e_open.select(F.col("late").alias("key")), "key", "left_anti"))
-        all_on = cut(all_on.union(on))
-        undecided = cut(undecided.join(on, "key", "left_anti"))
-        if not undecided.take(1):
-            break
-        e_open = e_open.union(e.join(on.withColumnRenamed("key", "early"), "early").select("late", "early"))
-    near = e.join(dropped.withColumnRenamed("key", "late"), "late", "left_semi").join(all_on.withColumnRenamed("key", "early"), "early", "left_semi").groupBy(F.col("late").alias("key")).agg(F.min("early").alias("near"))
-    return nodes.select("key").join(near, "key", "left")
+#: How many times more rows of a gram are compared with the rest of it in each round.
+GROWTH = 8
 
 
 def near_duplicates(rows: DataFrame, percent: int = 70, kept_before: int | None = None) -> DataFrame:
     """rows: (key, grams) in key order.  (key, near): near is null for rows that stay, else a kept row that it is near to.
 
     The result is that of a pass in key order that drops a row near an earlier kept one.  Rows with equal sets can only
-    stay first.  The others are decided in rounds: of the undecided rows that share a rare gram, the least is a leader if
-    that holds for all its rare grams; no undecided row could drop it, so it is kept, and what is near to it goes.  A row
-    is compared with leaders only, so near copies of one text make a pair each and not one with each other.  Keys below
-    kept_before are an existing corpus and stay in any case; new rows are compared with those that share a rare gram.
+    stay first.  The others are decided in rounds over the rare grams by which near rows meet.  A round compares the first
+    rows of each gram, one at first and ``GROWTH`` times as many in the next, with the rest of it; rows that are among the
+    first of all their grams have all their earlier neighbours then, and greedy.settle decides what hangs together.  So
+    near copies of one text make a pair each and not one with each other, and the number of rounds grows with the
+    logarithm of the longest list of rows that share a gram and are not near.  Keys below kept_before are an existing
+    corpus and stay in any case; new rows are compared with those that share a rare gram.
     """
     keyed = cut(rows.select("key", gram_ids("grams").alias("ids")).withColumn("h", F.md5(F.array_join(F.array_sort("ids").cast("array<string>"), ","))))
     old = F.lit(False) if kept_before is None else F.col("key") < kept_before
@@ -109,48 +85,66 @@ def near_duplicates(rows: DataFrame, percent: int = 70, kept_before: int | None
         near = verified(a.join(b, "g").where(sized("n_a", "n_b", percent)).select("a", "b").distinct(), one, percent)
         gone = cut(near.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("near")))
         open_ = cut(open_.where(~old).join(gone, "key", "left_anti"))
+    ahead = 1
     while open_.take(1):
-        least = open_.groupBy("g").agg(F.min_by(F.struct(F.col("key").alias("lead"), F.col("n").alias("n_lead")), "key").alias("l"))
-        met = cut(open_.join(least, "g").select("key", "n", "l.*").distinct())
-        behind = met.where("lead < key")
-        leaders = met.select("key").distinct().join(behind.select("key"), "key", "left_anti")
-        pairs = behind.where(sized("n", "n_lead", percent)).select(F.col("key").alias("a"), F.col("lead").alias("b")).join(leaders.withColumnRenamed("key", "b"), "b", "left_semi")
-        more = cut(verified(pairs, one, percent).groupBy(F.col("a").alias("key")).agg(F.min("b").alias("near")))
+        place = F.row_number().over(Window.partitionBy("g").orderBy("key"))
+        heads = cut(open_.withColumn("place", place).where(F.col("place") <= ahead))  # tasks pass on as many of a gram at most
+        firsts = heads.groupBy("key").agg(F.count("*").alias("n_first"))
+        nodes = cut(open_.groupBy("key").agg(F.count("*").alias("n_grams")).join(firsts, "key", "left").select("key", (F.col("n_grams") == F.coalesce("n_first", F.lit(0))).alias("complete")))
+        early = heads.select(F.col("key").alias("b"), F.col("n").alias("n_b"), "g")
+        pairs = open_.select(F.col("key").alias("a"), F.col("n").alias("n_a"), "g").join(early, "g").where((F.col("a") > F.col("b")) & sized("n_a", "n_b", percent)).select("a", "b").distinct()
+        edges = cut(verified(pairs, one, percent).select(F.col("a").alias("late"), F.col("b").alias("early")))
+        settled = cut(settle(nodes, edges))
+        stays = settled.where("stays").select(F.col("key").alias("early"))
+        more = cut(edges.join(stays, "early", "left_semi").groupBy(F.col("late").alias("key")).agg(F.min("early").alias("near")))
         gone = gone.union(more)
-        open_ = cut(open_.join(leaders.union(more.select("key")), "key", "left_anti"))
+        open_ = cut(open_.join(settled.select("key"), "key", "left_anti"))
+        ahead *= GROWTH
     copies = keyed.join(first, "h").where((F.col("key") != F.col("first")) & (F.size("ids") > 0) & ~old)
     copies = copies.join(gone.withColumnRenamed("key", "first"), "first", "left").select("key", F.coalesce("near", "first").alias("near"))
     return rows.select("key").join(gone.union(copies), "key", "left")
 
 
-#: Lengths of the character windows that short prefixes are searched by.
-ANCHORS = (1, 2, 4, 8, 16, 32, 64)
+#: Characters of the prefixes in one automaton, about 40 bytes each; more prefixes are searched by several.
+AUTOMATON_CHARS = 2_000_000
+
+
+def _prefix_hits(prefixes):
+    """(key, text) to (key, prefix) for each prefix that stands in the text."""
+
+    def run(batches):
+        import ahocorasick
+
+        search = ahocorasick.Automaton()
+        for i, p in enumerate(prefixes.value):
+            search.add_word(p, i)
+        search.make_automaton()
+        for batch in batches:
+            found = [sorted({i for _, i in search.iter(t)}) if t else [] for t in batch.column(1).to_pylist()]
+            row = pa.array([r for r, hits in enumerate(found) for _ in hits], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array([prefixes.value[i] for hits in found for i in hits], pa.string())], names=["key", "prefix"])
+
+    return run
 
 
 def prefix_leaks(train: DataFrame, evaluation: DataFrame, n: int = 80) -> DataFrame:
     """train (key, text), evaluation (key, text): evaluation keys whose first n characters stand in a training text.
 
-    Counted, not dropped.  Words inside the prefix are whole words of any text that holds it, so three of them are an
-    anchor that word 3-grams of the training texts join by hash; only such pairs are compared.  Prefixes with fewer words
-    are anchored by their first 1, 2, 4, ... characters, whichever is the longest that they have, which the windows of
-    that many characters of the training texts join.  Only lengths that occur are windowed.  Empty prefixes match nothing.
+    Counted, not dropped.  An Aho-Corasick automaton of all prefixes runs once over each training text where it is read;
+    only hits are shuffled.  Prefixes of more than AUTOMATON_CHARS characters make several automata, and as many runs.
+    Empty prefixes match nothing.
     """
     e = evaluation.select(F.col("key").alias("item"), F.left("text", F.lit(n)).alias("prefix")).where(F.length("prefix") > 0)
-    tokens = F.split("prefix", r"\s+")
-    e = e.withColumn("inner", F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0))))
-    long = e.where(F.size("inner") >= 3).select("item", "prefix", F.xxhash64(F.array_join(F.slice("inner", 1, 3), " ")).alias("h"))
-    width = F.greatest(*(F.when(F.length("prefix") >= a, F.lit(a)) for a in ANCHORS))
-    short = e.where(F.size("inner") < 3).select("item", "prefix", F.xxhash64(F.left("prefix", width)).alias("h"), width.alias("width"))
-
-    def hits(anchors: DataFrame, items: DataFrame) -> DataFrame:
-        near = anchors.join(items.select("h").distinct(), "h", "left_semi").distinct()
-        return near.join(items, "h").join(train, "key").where(F.expr("contains(text, prefix)")).select("item", "key")
-
-    out = hits(train.select("key", F.explode(word_grams(F.col("text"), 3, lower=False)).alias("g")).select("key", F.xxhash64("g").alias("h")), long)
-    for (a,) in short.select("width").distinct().collect():  # as many rows as ANCHORS at most
-        at = train.where(F.length("text") >= a).select("key", "text", F.explode(F.sequence(F.lit(1), F.length("text") - a + 1)).alias("i"))
-        out = out.union(hits(at.select("key", F.xxhash64(F.substring("text", F.col("i"), F.lit(a))).alias("h")), short.where(F.col("width") == a)))
-    return out.distinct()
+    distinct = cut(e.select("prefix").distinct())
+    blocks = distinct.agg(F.coalesce(F.sum(F.length("prefix")), F.lit(0))).first()[0] // AUTOMATON_CHARS + 1
+    kind, hits = train.schema["key"].dataType.simpleString(), []
+    for b in range(blocks):
+        some = [r[0] for r in distinct.where(F.pmod(F.xxhash64("prefix"), F.lit(blocks)) == b).collect()]  # AUTOMATON_CHARS of them, about
+        if some:
+            hits.append(train.select("key", "text").mapInArrow(_prefix_hits(train.sparkSession.sparkContext.broadcast(some)), f"key {kind}, prefix string"))
+    if not hits:
+        return train.sparkSession.createDataFrame([], f"item {e.schema['item'].dataType.simpleString()}, key {kind}")
+    return reduce(DataFrame.union, hits).join(e, "prefix").select("item", "key").distinct()
 
 
 def duplicate_rate(rows: DataFrame, text: Column) -> DataFrame:

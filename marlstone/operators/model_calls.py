@@ -4,7 +4,7 @@ operators built on them (evaluation, judging, synthesis, translation, traces, ve
 Rows go through ``mapInArrow``, a partition at a time, with a bounded number of requests in flight.  A client is any
 picklable object with ``chat(messages, **parameters) -> dict`` that returns ``content``, ``finish_reason``,
 ``prompt_tokens`` and ``completion_tokens``, and for ``n`` above 1 also ``choices`` with a content and finish reason each.
-``ChatClient`` speaks to an endpoint; ``StubClient`` answers from a hash of the request, so everything runs without a
+``ChatClient`` speaks to an endpoint; ``responses.StoredClient`` keeps what another client answers; ``StubClient`` answers from a hash of the request, so everything runs without a
 network and gives the same rows each time.  A call that fails in the end gives a row with ``error`` set; rows are never dropped silently.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import answers, jsontext, prompts
 from marlstone.functions.text import PROTOCOLS
-from marlstone.operators import joins
+from marlstone.operators import joins, responses
 from marlstone.operators.lineage import cut
 
 CALLS = "key string, sample_idx int, content string, prompt_tokens int, completion_tokens int, finish_reason string, error string"
@@ -164,8 +164,8 @@ class FlakyClient:
         return self.inner.chat(messages, **parameters)
 
 
-def _caller(client, parameters: dict, in_flight: int, tries: int, wait: float):
-    """A row for each sample; a row of n samples is one request, whose tokens are counted in its first."""
+def _asker(client, parameters: dict, tries: int, wait: float) -> Callable[[dict], list[tuple]]:
+    """A request's rows of CALLS, one for each of its n samples; its tokens are counted in the first."""
 
     def one(row: dict) -> list[tuple]:
         first, n = row["sample_idx"], row["n"]
@@ -178,14 +178,28 @@ def _caller(client, parameters: dict, in_flight: int, tries: int, wait: float):
         except Exception as e:
             return [(row["key"], first + k, None, 0, 0, None, f"{type(e).__name__}: {e}") for k in range(n)]
 
+    return one
+
+
+def _caller(ask: Callable[[dict], list[tuple]], in_flight: int):
+    """Rows of CALLS in the order in which answers come, in batches of about 256."""
+
     def run(batches):
         kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
         names = ["key", "sample_idx", "content", "prompt_tokens", "completion_tokens", "finish_reason", "error"]
         with ThreadPoolExecutor(in_flight) as pool:
-            for batch in batches:
-                for i in range(0, batch.num_rows, 256):
-                    rows = [r for some in pool.map(one, batch.slice(i, 256).to_pylist()) for r in some]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            held: list[tuple] = []
+
+            def batch() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+
+            for rows in responses.as_they_come(pool, ask, (r for b in batches for r in b.to_pylist()), in_flight):
+                held += rows
+                if len(held) >= 256:
+                    yield batch()
+                    held = []
+            if held:
+                yield batch()
 
     return run
 
@@ -201,15 +215,23 @@ def call(rows: DataFrame, client, parameters: dict | None = None, samples: int =
 
     cache: earlier rows of the same layout; what it has is taken from there, and only the rest is asked for.  Its keys
     should name model, protocol and parameter_hash, so other settings never meet old answers.
+
+    A responses.StoredClient is asked at once, for what its table lacks; every operator of this module that is given one
+    reads its answers from the table, however often its result is used.
     """
     if together and cache is not None:
         raise ValueError("samples that are asked for together have no cache")
     each = F.lit(0) if together else F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))
     todo = rows.select("key", "messages", each.alias("sample_idx"), F.lit(samples if together else 1).alias("n"))
+    if isinstance(client, responses.StoredClient):
+        if cache is not None:
+            raise ValueError("a stored client has its own answers; give no cache")
+        settings = parameter_hash((parameters or {}) | ({"n": samples} if together else {}))
+        return responses.through(todo, client, settings, _asker(client, parameters or {}, tries, wait), in_flight).select(*[c.split()[0] for c in CALLS.split(", ")])
     if cache is not None:
         done = cache.where("error IS NULL")
         todo, hit = joins.resume(todo, done, ["key", "sample_idx"]), done.join(todo.select("key", "sample_idx"), ["key", "sample_idx"], "left_semi")
-    made = todo.select("key", "sample_idx", "messages", "n").mapInArrow(_caller(client, parameters or {}, in_flight, tries, wait), CALLS)
+    made = todo.select("key", "sample_idx", "messages", "n").mapInArrow(_caller(_asker(client, parameters or {}, tries, wait), in_flight), CALLS)
     return made if cache is None else made.unionByName(hit.select(*made.columns))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,9 +67,47 @@ def jaccard(a: Column, b: Column, both_empty: float = 0.0) -> Column:
     return F.when(union == 0, F.lit(both_empty)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def minhash(grams: Column, k: int = 128) -> Column:
-    """k least seeded hashes of a set; null for the empty set."""
-    return let(grams, lambda s: F.when(F.size(s) > 0, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.array_min(F.transform(s, lambda g: F.xxhash64(g, i))))))
+def one_permutation(rows: list[np.ndarray], k: int) -> np.ndarray:
+    """Signatures of sets of 64-bit hashes, from one pass over their elements; a row of zeros for the empty set.
+
+    A hash falls into one of k bins and the least of a bin is its slot (Li, Owen and Zhang, 2012).  An empty bin takes the
+    slot of a full one that a sequence of hashes of the bin alone picks, the same for every set (Shrivastava, 2017), so
+    slots of two sets still agree with the probability of their Jaccard similarity.
+    """
+    size = np.array([len(r) for r in rows], np.int64)
+    h = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64).view(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    none = np.iinfo(np.uint64).max
+    own = np.full((len(rows), k), none, np.uint64)
+    np.minimum.at(own, (np.repeat(np.arange(len(rows)), size), ((h >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)), h & np.uint64(none >> 1))
+    out, full = own.copy(), own != none
+    row, slot = np.nonzero(~full & (size > 0)[:, None])
+    turn = 0
+    while len(row):
+        turn += 1
+        pick = (slot.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC4CEB9FE1A85EC53) + np.uint64(turn) * np.uint64(0xFF51AFD7ED558CCD)
+        pick = (pick ^ (pick >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        pick = ((pick >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
+        found = full[row, pick]
+        out[row[found], slot[found]] = own[row[found], pick[found]]
+        row, slot = row[~found], slot[~found]
+    out[size == 0] = 0
+    return out.astype(np.int64)
+
+
+def minhash(rows: DataFrame, k: int = 128) -> DataFrame:
+    """rows: (key, grams).  (key, signature) with k slots; null for the empty set.  Grams are hashed once, not for each slot."""
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(1)
+            flat, bound = ids.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+            made = one_permutation([flat[a:b] for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)], k)
+            made = pa.FixedSizeListArray.from_arrays(pa.array(made.ravel()), k).cast(pa.list_(pa.int64()))
+            full = pa.array(np.where(np.diff(bound) > 0, np.arange(len(made)), -1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), made.take(pc.if_else(pc.less(full, 0), pa.scalar(None, pa.int64()), full))], names=["key", "signature"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.select("key", gram_ids("grams")).mapInArrow(run, f"key {kind}, signature array<bigint>")
 
 
 def signature_similarity(a: Column, b: Column) -> Column:
@@ -79,42 +120,30 @@ def lsh_bands(threshold: float, k: int = 128) -> tuple[int, int]:
     return min(((k // r, r) for r in range(1, k + 1)), key=lambda x: abs((1 / x[0]) ** (1 / x[1]) - threshold))
 
 
-def lsh_candidates(index: DataFrame, queries: DataFrame, threshold: float, key: str = "key", signature: str = "signature", k: int = 128) -> DataFrame:
-    """Pairs (query, hit) of different keys that agree on a whole band, with the estimated similarity."""
+def bands(signature: str, threshold: float, k: int = 128) -> Column:
+    """One hash for each band, of its number and its slots."""
     b, r = lsh_bands(threshold, k)
+    return F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.xxhash64(i, F.slice(F.col(signature), i * r + 1, r)))
 
+
+def lsh_candidates(index: DataFrame, queries: DataFrame, threshold: float, key: str = "key", signature: str = "signature", k: int = 128) -> DataFrame:
+    """Pairs (query, hit) of different keys that agree on a whole band, with the estimated similarity.
+
+    Both sides are shuffled; where one is asked more than once, see lsh_index.
+    """
     def banded(df: DataFrame, name: str) -> DataFrame:
-        bands = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.struct(i.alias("i"), F.xxhash64(F.array_join(F.slice(F.col(signature), i * r + 1, r).cast("array<string>"), ",")).alias("h")))
-        return df.where(F.col(signature).isNotNull()).select(F.col(key).alias(name), F.explode(bands).alias("band"))
+        return df.where(F.col(signature).isNotNull()).select(F.col(key).alias(name), F.explode(bands(signature, threshold, k)).alias("band"))
 
     pairs = banded(queries, "query").join(banded(index, "hit"), "band").where(F.col("query") != F.col("hit")).select("query", "hit").distinct()
     pairs = pairs.join(queries.select(F.col(key).alias("query"), F.col(signature).alias("a")), "query").join(index.select(F.col(key).alias("hit"), F.col(signature).alias("b")), "hit")
     return pairs.select("query", "hit", signature_similarity(F.col("a"), F.col("b")).alias("estimate"))
 
 
-#: An evaluation set of up to so many gram hashes is broadcast (16 bytes each and its rows' keys).
-SMALL_SIDE = 2_000_000
-
-
 def gram_ids(grams: str) -> Column:
     """A set's grams as distinct 64-bit hashes."""
     return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """left, right: (key, grams).  Pairs (a, b) that share a gram with shared, n_a, n_b, jaccard and containment of b.
-
-    Gram hashes meet by an equi-join, and counts are combined before they are shuffled; right is the smaller side, as an
-    evaluation set is.  Up to SMALL_SIDE grams of it are counted and then broadcast, so left's grams are not shuffled.
-    Pairs that share nothing are absent.
-    """
-    l = left.select(F.col("key").alias("a"), F.size("grams").alias("n_a"), F.explode(gram_ids("grams")).alias("g"))
-    r = right.select(F.col("key").alias("b"), F.size("grams").alias("n_b"), F.explode(gram_ids("grams")).alias("g"))
-    small = r.select("g").limit(SMALL_SIDE + 1).count() <= SMALL_SIDE
-    out = l.join(F.broadcast(r) if small else r, "g").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    return out.withColumn("jaccard", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).withColumn("containment", F.col("shared") / F.col("n_b"))
-
-
 def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """sets: (key, ids).  Rows (key, n, g): the rare grams by which sets over the threshold meet.
 
@@ -141,15 +170,3 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, inclusive: bool =
     shared = F.size(F.array_intersect("g_a", "g_b"))
     both = pairs.join(got[0], "a").join(got[1], "b").select("a", "b", shared.alias("shared"), (F.size("g_a") + F.size("g_b") - shared).alias("union"))
     return both.where(F.expr(f"100 * shared {'>=' if inclusive else '>'} {percent} * union")).select("a", "b", (F.col("shared") / F.col("union")).alias("jaccard"))
-
-
-def similar_pairs(sets: DataFrame, percent: int, inclusive: bool = False) -> DataFrame:
-    """sets: (key, grams), distinct sets.  All pairs a < b whose Jaccard similarity is over (or at) the threshold, exactly.
-
-    Their number grows with the square of a group of near copies; dedup.near_duplicates doesn't need them all.
-    """
-    sets = cut(sets.select("key", gram_ids("grams").alias("ids")))
-    prefix = rare_prefixes(sets, percent)
-    a, b = (prefix.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), "g") for x in "ab")
-    pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & sized("n_a", "n_b", percent)).select("a", "b").distinct()
-    return verified(pairs, sets, percent, inclusive)
