@@ -27,6 +27,11 @@ class RewardParameters:
         kinds = {f.name: type(getattr(self, f.name)) for f in fields(self)}
         return replace(self, **{k: kinds[k](v) for k, v in given.items() if k in kinds})
 
+    def override_by(self, given: Column) -> Column:
+        """The same for a map of strings in each row: a struct of the parameters."""
+        kinds = {bool: "boolean", int: "int", float: "double", str: "string"}
+        return F.struct(*(F.coalesce(F.try_element_at(given, F.lit(f.name)).cast(kinds[type(v)]), F.lit(v)).alias(f.name) for f in fields(self) for v in [getattr(self, f.name)]))
+
 
 def sigmoid(x: Column) -> Column:
     """Stable without branches: exp overflows to infinity, whose reciprocal is 0."""

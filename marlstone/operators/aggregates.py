@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.lineage import cut
+
 
 def accuracy(correct: Column) -> Column:
     """Share of correct rows; 0 for an empty slice."""
@@ -91,18 +95,36 @@ def near_reference(means: DataFrame, reference: str, eps: float = 0.02) -> DataF
     return means.select("model", "mean", distance.alias("distance"), (distance <= eps).alias("near"))
 
 
-def nearest_rank(rows: DataFrame, keys: list[str], value: str, percents: list[int], rule: str = "min") -> DataFrame:
+#: Bins into which the range of a wanted rank is divided in each pass.
+BINS = 4096
+
+
+def nearest_rank(rows: DataFrame, keys: list[str], value: str, percents: list[int], rule: str = "min", bins: int = BINS) -> DataFrame:
     """Percentiles that are members of the sorted values, at rank (from 0) int(q/100 n), int(q/100 (n-1)), or the first of
-    these but at most n - 1.
+    these but at most n - 1.  Exact; nulls have no rank, NaN is the largest value.
 
-    Values are counted before they are ranked, so a group is as large as its distinct values; exact, no approximation.
+    A group is never sorted.  In each pass the range in which a rank must lie is divided into bins; the bin that the rank
+    falls into gives the next range, from its least to its largest value, until these are one.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    ranked = counts.withColumn("__hi", F.sum("__c").over(w)).withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys)))
-    at = {"min": "least(__n - 1, CAST(floor({q} * __n / 100) AS BIGINT))", "n": "least(__n - 1, CAST(floor({q} * __n / 100) AS BIGINT))", "n-1": "CAST(floor({q} * (__n - 1) / 100) AS BIGINT)"}[rule]
-    found = [F.min(F.when(F.expr(f"__hi > {at.format(q=q)}"), F.col(value))).alias(f"p{q}") for q in percents]
-    return ranked.groupBy(*keys).agg(*found)
+    at = {"min": "least(n - 1, CAST(floor({q} * n / 100) AS BIGINT))", "n": "least(n - 1, CAST(floor({q} * n / 100) AS BIGINT))", "n-1": "CAST(floor({q} * (n - 1) / 100) AS BIGINT)"}[rule]
+    ks = [f"__k{i}" for i in range(len(keys))]
+    v = F.col(value)
+    counts = cut(rows.where(v.isNotNull()).groupBy(*[F.col(k).alias(x) for k, x in zip(keys, ks, strict=True)], v.alias("v")).agg(F.count("*").alias("c")))
+    whole = counts.groupBy(*ks).agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    state = whole.select(*ks, "lo", "hi", F.inline(F.array(*(F.struct(F.lit(q).alias("q"), F.expr(at.format(q=q)).alias("at")) for q in percents))))
+    state = cut(state)
+    place = F.nanvl((F.col("v").cast("double") / 2 - F.col("lo").cast("double") / 2) / (F.col("hi").cast("double") / 2 - F.col("lo").cast("double") / 2), F.lit(0.5))
+    bin_ = F.when(F.col("v") == F.col("lo"), 0).when(F.col("v") == F.col("hi"), bins).otherwise(F.greatest(F.lit(1), F.least(F.lit(bins - 1), F.floor(place * bins).cast("int"))))
+    while state.where("lo < hi").take(1):
+        open_ = state.where("lo < hi").select(*[F.col(k).alias(f"s{k}") for k in ks], "lo", "hi", "q", "at")
+        same = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"s{k}")) for k in ks), F.lit(True))
+        met = counts.join(open_, same & (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        binned = met.groupBy(*ks, "q", "at", bin_.alias("bin")).agg(F.sum("c").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+        upto = F.sum("c").over(Window.partitionBy(*ks, "q").orderBy("bin"))  # over bins
+        there = binned.withColumn("upto", upto).where("upto > at AND upto - c <= at")
+        state = cut(state.where("NOT lo < hi").unionByName(there.select(*ks, F.col("low").alias("lo"), F.col("high").alias("hi"), "q", (F.col("at") - F.col("upto") + F.col("c")).alias("at"))))
+    found = [F.min(F.when(F.col("q") == q, F.col("lo"))).alias(f"p{q}") for q in percents]
+    return state.groupBy(*[F.col(x).alias(k) for k, x in zip(keys, ks, strict=True)]).agg(*found)
 
 
 def histogram(rows: DataFrame, value: str, edges: list[float]) -> DataFrame:

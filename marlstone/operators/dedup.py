@@ -18,11 +18,20 @@ from marlstone.operators.similarity import gram_ids, rare_prefixes, sized, verif
 def first_by_key(rows: DataFrame, key: Column, order: Column) -> DataFrame:
     """The first row of each key (null is one); ties go to the row of least hash, equal rows are one.
 
-    The first is found by a pre-aggregated minimum of order and hash, not by sorting a whole group.
+    The first is found by pre-aggregated minima of order and hash.  Whole rows are shuffled once, to meet their hash in a
+    table of the winners, and never sorted; only winners that repeat are told apart after that.
     """
-    every = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    least = rows.groupBy(key.alias("k")).agg(F.min_by(every, F.struct(order, F.xxhash64(F.to_json(every)))).alias("row"))
-    return least.select("row.*")
+    k, o, h, k2, o2, h2, n = (f"__{x}_{len(rows.columns)}" for x in ("key", "order", "hash", "own_key", "least", "own_hash", "n"))
+    marked = rows.withColumns({k: key, o: order, h: F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])))})
+    same = marked.groupBy(k, o, h).agg(F.count("*").alias(n))
+    least = same.groupBy(k).agg(F.min(F.struct(o, h, n)).alias("w"))
+    own = least.select(F.col(k).alias(k2), F.col(f"w.{o}").alias(o2), F.col(f"w.{h}").alias(h2), F.col(f"w.{n}").alias(n))
+
+    def met(winners: DataFrame) -> DataFrame:
+        return marked.join(winners.hint("shuffle_hash"), F.col(k).eqNullSafe(F.col(k2)) & F.col(o).eqNullSafe(F.col(o2)) & (F.col(h) == F.col(h2)), "left_semi")
+
+    once, again = met(own.where(F.col(n) == 1)), met(own.where(F.col(n) > 1)).dropDuplicates([k])
+    return once.union(again).drop(k, o, h)
 
 
 def exact(rows: DataFrame, text: Column, order: str) -> DataFrame:

@@ -46,6 +46,10 @@ class BackendSpec:
         """Endpoints in turn."""
         return self.urls[i % len(self.urls)]
 
+    def url_of(self, i: Column) -> Column:
+        """The same for a row's number."""
+        return F.get(F.array(*map(F.lit, self.urls)), F.pmod(i, F.lit(len(self.urls))).cast("int"))
+
 
 class RateLimited(Exception):
     pass

@@ -68,7 +68,7 @@ def fold_in(base: DataFrame, new: DataFrame, evaluation: DataFrame, text: Column
     Keys of new follow all of base's.  The log names each dropped row and the row that it is near to.
     """
     grams = sim.word_grams(text, lower=False, short="whole")
-    first = new.agg(F.min("key")).first()[0]
+    first = new.agg(F.coalesce(F.min("key"), F.lit(2**63 - 1))).first()[0]  # without new rows all are the base's
     leaks = cut(dedup.leakage(new.select("key", grams.alias("grams")), evaluation.select("key", grams.alias("grams")), leak_percent, inclusive=False))
     clean = new.join(leaks.where("NOT leaked"), "key", "left_semi")
     sets = base.select("key", grams.alias("grams")).union(clean.select("key", grams.alias("grams")))

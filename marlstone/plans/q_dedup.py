@@ -85,12 +85,12 @@ def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", g.alias("g")).select("item_id", F.size("g").cast("long").alias("n"), F.get("g", F.lit(0)).alias("first"))
 
 
-@query("s_sim_06_jaccard", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS j FROM (SELECT doc_id, range(0, doc_id % 5) AS a, range(1, 1 + doc_id % 5) AS b FROM documents)")
+@query("s_sim_06_jaccard", f"SELECT doc_id, CASE WHEN len(w) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS j FROM (SELECT doc_id, w, list_distinct(w[1:len(w) // 2]) AS a, list_distinct(w[len(w) // 2 + 1:]) AS b FROM (SELECT doc_id, {_LOW} AS w FROM documents))")
 def _(spark, d):
-    n = F.col("doc_id") % 5
-    a = F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
-    b = F.when(n > 0, F.sequence(F.lit(1).cast("long"), n)).otherwise(F.array().cast("array<bigint>"))
-    return documents(spark, d).select("doc_id", sim.jaccard(a, b, both_empty=1.0).alias("j"))
+    """The words of a text's first half and of its second half."""
+    w, half = F.col("w"), F.floor(F.size("w") / 2).cast("int")
+    sets = documents(spark, d).select("doc_id", sim.words(F.lower("text")).alias("w")).select("doc_id", F.array_distinct(F.slice(w, F.lit(1), half)).alias("a"), F.array_distinct(F.slice(w, half + 1, F.size("w"))).alias("b"))
+    return sets.select("doc_id", sim.jaccard(F.col("a"), F.col("b"), both_empty=1.0).alias("j"))
 
 
 def _adaptive(spark, d):
@@ -235,8 +235,6 @@ def _(spark, d):
     from marlstone.plans import pipelines
 
     rows = documents(spark, d).select(F.col("doc_id").alias("key"), "text")
-    if not rows.where("key >= 500").take(1):
-        return rows.select(F.col("key").alias("doc_id"))
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("key"), "text")
     return pipelines.fold_in(rows.where("key < 500"), rows.where("key >= 500"), items, F.col("text"))["rows"].select(F.col("key").alias("doc_id"))
 

@@ -272,10 +272,12 @@ def _(spark, d):
     return documents(spark, d).select("doc_id", reward.effective_l_max(source, task, reward.RewardParameters(l_max_short=64.0, l_max_long=2048.0)).alias("l_max"))
 
 
-@query("s_fn_34_override_merge", "SELECT 'l_max' AS name, CAST(512 AS DOUBLE) AS value UNION ALL SELECT 'k', 50")
+@query("s_fn_34_override_merge", f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN CAST(n_chars AS DOUBLE) ELSE {reward.RewardParameters().l_max}::DOUBLE END AS l_max, CASE WHEN doc_id % 2 = 0 THEN n_chars / 4 ELSE {reward.RewardParameters().k}::DOUBLE END AS k FROM documents")
 def _(spark, d):
-    p = reward.RewardParameters().override({"l_max": "512", "nothing": 3})
-    return spark.createDataFrame([("l_max", p.l_max), ("k", p.k)], "name string, value double")
+    """Each row overrides some of the parameters by strings, and one that there is not."""
+    given = F.create_map(F.when(F.col("doc_id") % 3 == 0, "l_max").otherwise("nothing"), F.col("n_chars").cast("string"), F.when(F.col("doc_id") % 2 == 0, "k").otherwise("none"), (F.col("n_chars") / 4).cast("string"))
+    p = reward.RewardParameters().override_by(given)
+    return documents(spark, d).select("doc_id", p["l_max"].alias("l_max"), p["k"].alias("k"))
 
 
 @query("s_fn_35_non_pad_count", "SELECT vec_id, CAST(len(list_filter([vec_id % 3, vec_id % 2, 0, 5], lambda x: x <> 0)) AS INT) AS n FROM embeddings")
@@ -302,6 +304,21 @@ def _(spark, d):
     return e.join(b, "vec_id").select("vec_id", text.interpolate(F.col("embedding"), F.col("b"), 0.25).alias("v"))
 
 
+@query("s_fn_38_weight_shards", "SELECT 'v' || a.vec_id AS name, list_transform(list_zip(a.embedding, b.embedding), lambda z: 0.75 * CAST(z[1] AS DOUBLE) + 0.25 * CAST(z[2] AS DOUBLE)) AS v FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def _(spark, d):
+    """Vectors as tensors of a shard for each label; those of the next ids are blended in, by name, from files of their own."""
+    from marlstone.plans.q_io import _place
+    from marlstone.sources import tensors
+
+    e = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("w"))
+    both = e.join(nxt, "vec_id")
+    folders = [_place(spark), _place(spark)]
+    for path, v in zip(folders, ("v", "w"), strict=True):
+        tensors.write_tensors(tensors.from_arrays(both.select(F.concat(F.lit("labels-"), F.coalesce("label", F.lit(-1)), F.lit(".safetensors")).alias("shard"), F.concat(F.lit("v"), "vec_id").alias("name"), F.col(v).alias("v"))), path)
+    return tensors.to_arrays(tensors.blend(*(tensors.read_tensors(spark, p) for p in folders), 0.25)).select("name", "v")
+
+
 @query("s_fn_39_text_hash", "SELECT doc_id, left(sha256(text), 16) AS h FROM documents")
 def _(spark, d):
     return documents(spark, d).select("doc_id", text.text_hash(F.col("text")).alias("h"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marlstone.operators.lineage import cut  # noqa: F401  (sets the checkpoint folder where it is unset)
 from marlstone.plans.fixtures import METRICS_SQL, documents, metrics, table
 from marlstone.plans.registry import query
-from marlstone.sources import readers, sinks
+from marlstone.sources import event_files, readers, sinks
 from marlstone.streaming import monitors
 
 
@@ -49,21 +49,23 @@ def _(spark, d):
     return readers.or_empty(spark, _place(spark), _DOC)
 
 
-@query("s_src_05_json_array", "SELECT item_id FROM benchmark")
+@query("s_src_05_json_array", "SELECT doc_id, lang, text FROM documents")
 def _(spark, d):
-    one = table(spark, d, "benchmark").agg(F.to_json(F.collect_list(F.struct("item_id"))).alias("t"))
-    one.write.option("lineSep", "\n").text(path := _place(spark))
-    return readers.json_array(spark, path, "item_id bigint")
+    sinks.json_arrays(documents(spark, d).select("doc_id", "lang", "text"), path := _place(spark))
+    return readers.json_array(spark, path, "doc_id bigint, lang string, text string")
 
 
-@query("s_src_06_polymorphic_results", "SELECT item_id, p AS protocol FROM benchmark, (SELECT unnest([NULL, 'a', 'b']) AS p)")
+@query("s_src_06_polymorphic_results", "SELECT doc_id, p AS protocol FROM documents, (SELECT unnest([NULL, 'a', 'b']) AS p)")
 def _(spark, d):
-    rows = table(spark, d, "benchmark").agg(F.collect_list(F.struct("item_id")).alias("r"))
-    forms = (F.to_json("r"), F.to_json(F.struct(F.struct(F.col("r").alias("records")).alias("a"))), F.to_json(F.struct(F.struct(F.col("r").alias("b")).alias("results"))))
-    out = None
-    for f in forms:
-        rows.select(f.alias("t")).write.text(path := _place(spark))
-        one = readers.results(spark, path, "item_id bigint")
+    """The three forms of result files; the nested ones hold what one partition of the written arrays holds."""
+    rows, out = documents(spark, d).select("doc_id"), None
+    for before, after in (("", ""), ('{"a": {"n": 1, "records": ', "}}"), ('{"other": [], "results": {"b": ', "}}")):
+        sinks.json_arrays(rows, path := _place(spark))
+        if before:  # around the array of each file, line by line
+            lines = spark.read.text(path).withColumn("file", F.input_file_name())
+            kept = F.when(F.col("value") == "[", before + "[").when(F.col("value") == "]", "]" + after).otherwise(F.col("value"))
+            lines.select(kept).write.text(path := _place(spark))
+        one = readers.results(spark, path, "doc_id bigint")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -85,11 +87,12 @@ def _(spark, d):
     return readers.hub_export(spark, root, "org/set", split="test")
 
 
-@query("s_src_11_staged_file", "SELECT 'hello' AS value, 1 AS fetched")
+@query("s_src_11_staged_file", "SELECT DISTINCT source AS value, 1 AS fetched FROM documents")
 def _(spark, d):
-    """Asked for twice, fetched once."""
+    """A list of the corpus' sources is asked for twice, and fetched once."""
     calls, folder = [], _place(spark)
-    fetch = lambda url: calls.append(url) or b"hello\n"
+    body = "".join(f"{r[0]}\n" for r in documents(spark, d).select("source").distinct().collect()).encode()
+    fetch = lambda url: calls.append(url) or body
     for _ in range(2):
         path = readers.staged(spark, "http://host/a.txt", folder, fetch)
     return spark.read.text(path).withColumn("fetched", F.lit(len(calls)))
@@ -140,15 +143,24 @@ def _(spark, d):
 
 @query("s_src_16_scalars", f"SELECT run, step, value FROM {METRICS_SQL} WHERE tag = 'click'")
 def _(spark, d):
-    return readers.scalars(metrics(spark, d), "click")
+    """The log is written as event files, one for each run and task, and one tag is read back."""
+    event_files.write_events(metrics(spark, d), path := _place(spark))
+    return event_files.read_events(spark, path, "click").select("run", "step", "value")
 
 
-@query("s_src_17_config_difference", "SELECT unnest(['a.c', 'd']) AS name")
+@query("s_src_17_config_difference", "SELECT DISTINCT lang || '.' || source AS name FROM documents WHERE source <> 'src1' EXCEPT SELECT lang || '.' || source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def _(spark, d):
+    """A configuration for the labelled documents' languages and sources is declared, one for all documents' is used."""
     from marlstone.operators.joins import key_difference
 
-    declared = readers.config_names(spark, "a:\n  b: 1  # x\ne: 2\n")
-    return key_difference(declared, readers.config_names(spark, "a:\n  b: 1\n  c: 2\nd: 3\nf: 1\n"), ("f",))
+    def config(docs) -> str:
+        by = docs.groupBy("lang").agg(F.collect_set("source").alias("s")).orderBy("lang").collect()
+        return "".join(f"{r.lang}:  # language\n" + "".join(f"  {x}: 1\n" for x in r.s) for r in by)
+
+    docs = documents(spark, d)
+    declared = readers.config_names(spark, config(docs.join(table(spark, d, "labels"), "doc_id", "left_semi")))
+    used = readers.config_names(spark, config(docs))
+    return key_difference(declared, used, tuple(f"{r.lang}.src1" for r in docs.select("lang").distinct().collect()))
 
 
 @query("s_snk_01_jsonl", "SELECT doc_id, lang FROM documents")
@@ -240,9 +252,9 @@ def _stream(spark, d):
 @query("s_str_01_stop_rules", f"SELECT run, 'kl' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY run, tag ORDER BY step DESC) AS r FROM {METRICS_SQL} WHERE tag = 'click') WHERE r <= 3 GROUP BY run HAVING count(*) = 3 AND min(value) > 0.5")
 def _(spark, d):
     got: list = []
-    q = monitors.watch(_stream(spark, d).withColumn("tag", F.when(F.col("tag") == "click", "kl").otherwise(F.col("tag"))), _place(spark), got.append, _place(spark))
+    q = monitors.watch(_stream(spark, d).withColumn("tag", F.when(F.col("tag") == "click", "kl").otherwise(F.col("tag"))), got.extend, _place(spark))
     q.awaitTermination()
-    return spark.createDataFrame(got[-1] if got else [], "run string, reason string")
+    return spark.createDataFrame(got, "run string, reason string")
 
 
 @query("s_str_02_running_best", f"SELECT run, tag, step, value FROM {METRICS_SQL} QUALIFY row_number() OVER (PARTITION BY run, tag ORDER BY value DESC, step) = 1")
@@ -269,9 +281,10 @@ def _(spark, d):
 
 @query("s_str_05_resume_by_key", "SELECT DISTINCT user_id FROM events")
 def _(spark, d):
+    """Every key once, however late it comes again."""
     table(spark, d, "events").select("user_id", "ts").write.parquet(path := _place(spark))
     s = spark.readStream.schema("user_id bigint, ts timestamp").parquet(path)
-    return monitors.drained(spark, monitors.append_new(s, ["user_id"], "ts", "3650 days"), f"keys_{uuid.uuid4().hex}", "append").select("user_id")
+    return monitors.drained(spark, monitors.append_new(s, ["user_id"]), f"keys_{uuid.uuid4().hex}", "append").select("user_id")
 
 
 @query("event_type_totals", "SELECT event_type, count(*) AS n, max(value) AS top FROM events GROUP BY event_type")

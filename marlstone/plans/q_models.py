@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from marlstone.operators import similarity as sim
 from marlstone.plans import pipelines as pip
 from marlstone.plans.fixtures import MCQ_SQL, RESULTS_SQL, documents, mcq, options, results, table
 from marlstone.plans.q_dedup import _TOK, _grams
-from marlstone.plans.q_sampling import _PERM
+from marlstone.plans.q_sampling import _PERM, _h, _u
 from marlstone.plans.registry import query
 
 
@@ -30,11 +31,16 @@ def _echo_story(h, messages, parameters):
 
 
 def _verdict(h, messages, parameters):
-    return '```json\n{"is_tom": true, "unique_gold": true, "distractors_plausible": true, "overall_good": true, "reason": "r"}\n```'
+    """Good where the text has an even number of characters; without a verdict where that is a multiple of 7."""
+    n = len(messages[-1]["content"])
+    return "no idea" if n % 7 == 0 else f'```json\n{{"is_tom": true, "unique_gold": true, "distractors_plausible": true, "overall_good": {"false" if n % 2 else "true"}, "reason": "r"}}\n```'
 
 
 def _audit(h, messages, parameters):
-    return '{"label_assessment": "correct", "label_confidence": "high", "issue_category": "none", "category": "location", "your_answer": "A"}'
+    """An audit that depends on the length of the text."""
+    n = len(messages[-1]["content"])
+    pick = lambda *x: x[n % len(x)]
+    return json.dumps({"label_assessment": pick("correct", "incorrect", "ambiguous"), "label_confidence": pick("high", "low"), "issue_category": "none", "category": pick("location", "emotion", "weather"), "your_answer": pick(*"ABCD")})
 
 
 def _mcq(h, messages, parameters):
@@ -81,10 +87,10 @@ def _(spark, d):
     return mc.call(rows, mc.FlakyClient(B), tries=3, wait=0.0).select("key", "content", "error")
 
 
-@query("s_llm_03_endpoint_pool", "SELECT i::INT AS i, 'http://' || ['a', 'b', 'c'][i % 3 + 1] AS url FROM range(0, 9) t(i)")
+@query("s_llm_03_endpoint_pool", "SELECT doc_id, 'http://' || ['a', 'b', 'c'][doc_id % 3 + 1] AS url FROM documents")
 def _(spark, d):
     s = mc.BackendSpec("x", "m", ("http://a", "http://b", "http://c"))
-    return spark.createDataFrame([(i, s.url(i)) for i in range(9)], "i int, url string")
+    return documents(spark, d).select("doc_id", s.url_of(F.col("doc_id")).alias("url"))
 
 
 @query("s_llm_04_response_cache", f"SELECT question_id AS key, CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE '\\boxed{{B}}' END AS content FROM {MCQ_SQL}")
@@ -138,67 +144,67 @@ def _(spark, d):
     return mc.score_difficulty(_q(spark, d), B, 4).select("question_id", "n_correct", "n_total")
 
 
-@query("s_llm_10_judge", f"SELECT question_id, 'ok' AS outcome, TRUE AS good FROM {MCQ_SQL}")
+@query("s_llm_10_judge", f"SELECT question_id, CASE WHEN length(story) % 7 = 0 THEN 'bad' ELSE 'ok' END AS outcome, CASE WHEN length(story) % 7 > 0 THEN length(story) % 2 = 0 END AS good FROM {MCQ_SQL}")
 def _(spark, d):
     return mc.judge(_q(spark, d), mc.StubClient(answer=_verdict), "question_id", F.col("story")).select("question_id", "outcome", F.col("result.overall_good").alias("good"))
 
 
-@query("s_llm_11_audit_labels", f"SELECT question_id, 'correct' AS assessment FROM {MCQ_SQL}")
+@query("s_llm_11_audit_labels", f"SELECT question_id, ['correct', 'incorrect', 'ambiguous'][length(story) % 3 + 1] AS assessment FROM {MCQ_SQL}")
 def _(spark, d):
     return mc.audit_labels(_q(spark, d), mc.StubClient(answer=_audit), "question_id", F.col("story")).select("question_id", F.col("result.label_assessment").alias("assessment"))
 
 
-@query("s_llm_12_audit_train", f"SELECT question_id, 'A' AS answer FROM {MCQ_SQL}")
+@query("s_llm_12_audit_train", f"SELECT question_id, substr('ABCD', CAST(length(story) % 4 + 1 AS INT), 1) AS answer FROM {MCQ_SQL}")
 def _(spark, d):
     return mc.audit_labels(_q(spark, d), mc.StubClient(answer=_audit), "question_id", F.col("story"), ("your_answer", "label_confidence")).select("question_id", F.col("result.your_answer").alias("answer"))
 
 
-@query("s_llm_13_audit_traces", f"SELECT question_id, 'high' AS confidence FROM {MCQ_SQL}")
+@query("s_llm_13_audit_traces", f"SELECT question_id, ['high', 'low'][length(story) % 2 + 1] AS confidence FROM {MCQ_SQL}")
 def _(spark, d):
     return mc.audit_labels(_q(spark, d), mc.StubClient(answer=_audit), "question_id", F.col("story"), ("label_confidence",)).select("question_id", F.col("result.label_confidence").alias("confidence"))
 
 
-@query("s_llm_14_diagnose", f"SELECT 'location' AS category, count(*) AS n FROM {MCQ_SQL}")
+@query("s_llm_14_diagnose", f"SELECT ['location', 'emotion', NULL][length(story) % 3 + 1] AS category, count(*) AS n FROM {MCQ_SQL} GROUP BY ALL")
 def _(spark, d):
     r = mc.diagnose(_q(spark, d), mc.StubClient(answer=_audit), "question_id", F.col("story"), ("location", "emotion"))
     return r.groupBy(F.col("result.category").alias("category")).agg(F.count("*").alias("n"))
 
 
-def _plan(spark):
-    from marlstone.operators.sampling import generation_plan
-
-    return generation_plan(spark, ["a", "b"], ["en", "zh"], 80).withColumn("id", F.concat_ws("-", "kind", "language", "i"))
+def _plan(spark, d):
+    """A question is planned for each document, of its source's kind and its language."""
+    gold = F.substring(F.lit("ABCD"), (F.col("doc_id") % 4 + 1).cast("int"), F.lit(1))
+    return documents(spark, d).select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("kind"), F.col("lang").alias("language"), F.col("doc_id").alias("i"), gold.alias("gold"))
 
 
 #: The rows of _plan.
-_PLAN = "(SELECT kind || '-' || language || '-' || i AS id, kind, language, i, substr('ABCD', CAST(i % 4 + 1 AS INT), 1) AS gold FROM (SELECT unnest(['a', 'b']) AS kind), (SELECT unnest(['en', 'zh']) AS language), range(0, 20) t(i))"
+_PLAN = "(SELECT CAST(doc_id AS VARCHAR) AS id, source AS kind, lang AS language, doc_id AS i, substr('ABCD', CAST(doc_id % 4 + 1 AS INT), 1) AS gold FROM documents)"
 
 
 @query("s_llm_15_synthesize", f"SELECT id, 'ok' AS outcome, kind || ' ' || gold AS story, gold FROM {_PLAN}")
 def _(spark, d):
     """The stub answers with the letter that the prompt asks for."""
-    r = mc.synthesize(_plan(spark), mc.StubClient(answer=_mcq_of_prompt), "id", F.concat_ws(" ", "kind", "gold"))
+    r = mc.synthesize(_plan(spark, d), mc.StubClient(answer=_mcq_of_prompt), "id", F.concat_ws(" ", "kind", "gold"))
     return r.select("id", "outcome", "result.story", "result.gold")
 
 
-@query("s_llm_16_synthesize_target", "SELECT gold, CASE WHEN gold = 'A' THEN 'ok' ELSE 'bad' END AS outcome, 20::BIGINT AS n FROM (SELECT unnest(['A', 'B', 'C', 'D']) AS gold)")
+@query("s_llm_16_synthesize_target", f"SELECT gold, CASE WHEN gold = 'A' THEN 'ok' ELSE 'bad' END AS outcome, count(*) AS n FROM {_PLAN} GROUP BY gold")
 def _(spark, d):
     """The stub's answer is always A, so rows planned for another letter are bad."""
-    return mc.synthesize(_plan(spark), mc.StubClient(answer=_mcq), "id", F.col("kind")).groupBy("gold", "outcome").agg(F.count("*").alias("n"))
+    return mc.synthesize(_plan(spark, d), mc.StubClient(answer=_mcq), "id", F.col("kind")).groupBy("gold", "outcome").agg(F.count("*").alias("n"))
 
 
 @query(
     "s_llm_17_synthesize_gated",
     """SELECT kind || '-' || language || '-' || i AS id, task, CASE WHEN language = 'en' AND letters = 'AB' THEN 'bad' ELSE 'ok' END AS outcome,
  CASE language WHEN 'en' THEN 'Tell of a visit. Stay calm. Gold is ' ELSE 'zh ' END || substr(letters, CAST(i % length(letters) + 1 AS INT), 1) AS story
- FROM (SELECT unnest(['wish', 'slip']) AS kind, unnest(['desire', 'tact']) AS task, unnest(['ABCD', 'AB']) AS letters), (SELECT unnest(['en', 'zh']) AS language), range(0, 20) t(i)""",
+ FROM (SELECT unnest(['wish', 'slip']) AS kind, unnest(['desire', 'tact']) AS task, unnest(['ABCD', 'AB']) AS letters), (SELECT unnest(['en', 'zh']) AS language), range(0, (SELECT count(*) // 4 FROM documents)) t(i)""",
 )
 def _(spark, d):
     """Two specifications with letters and templates of their own; of the second, stories of several sentences are bad."""
     from marlstone.functions.text import sentence_count
 
     texts = (("en", "Tell of a visit. Stay calm. Gold is {gold}"), ("zh", "zh {gold}"))
-    plan = mc.spec_plan(spark, [mc.CategorySpec("wish", "desire", texts), mc.CategorySpec("slip", "tact", texts, "AB")], 80).withColumn("id", F.concat_ws("-", "kind", "language", "i"))
+    plan = mc.spec_plan(spark, [mc.CategorySpec("wish", "desire", texts), mc.CategorySpec("slip", "tact", texts, "AB")], documents(spark, d).count()).withColumn("id", F.concat_ws("-", "kind", "language", "i"))
     short = F.col("kind").eqNullSafe("wish") | (sentence_count(F.col("result.story")) <= 1)
     return mc.synthesize(plan, mc.StubClient(answer=_mcq_of_prompt), "id", F.col("prompt"), system=mc.ORIGINAL, gate=short).select("id", "task", "outcome", "result.story")
 
@@ -207,7 +213,7 @@ def _(spark, d):
 def _(spark, d):
     from marlstone.operators.sampling import references
 
-    plan = _plan(spark).drop("gold")
+    plan = _plan(spark, d).drop("gold")
     refs = references(plan, _q(spark, d).select(F.col("question").alias("ref")), 4, "id", "ref").groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("ref")), "\n").alias("refs"))
     echo = lambda h, m, p: json.dumps({"story": m[-1]["content"], "question": "q", "options": {"A": "1", "B": "2", "C": "3", "D": "4"}, "answer": "A"})
     r = mc.synthesize(plan.join(refs, "id"), mc.StubClient(answer=echo), "id", F.col("kind"), F.col("refs")).where("outcome = 'ok'")
@@ -217,7 +223,7 @@ def _(spark, d):
 
 @query("s_llm_19_synthesize_options", f"SELECT id, substr('ABC', CAST(i % 10 % 3 + 1 AS INT), 1) AS gold FROM {_PLAN}")
 def _(spark, d):
-    r = mc.synthesize(_plan(spark).drop("gold"), mc.StubClient(answer=_list_of_prompt), "id", F.concat_ws(" ", "kind", "i"), options=3)
+    r = mc.synthesize(_plan(spark, d).drop("gold"), mc.StubClient(answer=_list_of_prompt), "id", F.concat_ws(" ", "kind", "i"), options=3)
     return r.select("id", "result.gold")
 
 
@@ -256,10 +262,12 @@ def _(spark, d):
     return mc.distill(hard, B, paraphraser=mc.StubClient(answer=_echo_story)).select("question_id")
 
 
-@query("s_llm_26_smoke_check", "SELECT 'x' AS name, TRUE AS ok UNION ALL SELECT 'y', FALSE")
+@query("s_llm_26_smoke_check", "SELECT DISTINCT lang AS name, lang <> 'es' AS ok FROM documents")
 def _(spark, d):
-    make = lambda s: mc.StubClient() if s.name == "x" else None
-    return spark.createDataFrame(mc.smoke_check([mc.BackendSpec("x", "m"), mc.BackendSpec("y", "m")], make), "name string, ok boolean")
+    """A backend for each language of the corpus, one of which does not answer."""
+    make = lambda s: mc.StubClient() if s.name != "es" else None
+    specs = [mc.BackendSpec(r.lang, "m") for r in documents(spark, d).select("lang").distinct().collect()]
+    return spark.createDataFrame(mc.smoke_check(specs, make), "name string, ok boolean")
 
 
 @query("s_llm_27_reproduce", "SELECT 'q' || (10 * i) AS question_id, s AS setting, 'B' AS pred FROM range(0, 5) t(i), (SELECT unnest(['a', 'b']) AS s)")
@@ -310,15 +318,19 @@ def _(spark, d):
     return meant.select(F.col("doc_id").alias("key"), "source", "story", F.col("ground_truth").alias("gold"))
 
 
-@query("s_pip_02_merge_translated", "SELECT doc_id AS key, FALSE AS dropped FROM documents WHERE lang <> 'es' UNION ALL SELECT item_id, TRUE FROM benchmark")
+@query(
+    "s_pip_02_merge_translated",
+    f"""WITH dg AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM (SELECT doc_id, {_ADAPTIVE} AS g FROM (SELECT doc_id, {_TOK} AS w FROM documents WHERE lang = 'es'))),
+ig AS (SELECT item_id, len(g) AS n, unnest(g) AS x FROM (SELECT item_id, {_ADAPTIVE} AS g FROM (SELECT item_id, {_TOK} AS w FROM benchmark)))
+SELECT doc_id AS key FROM documents WHERE lang = 'es' AND doc_id NOT IN (SELECT doc_id FROM dg JOIN ig USING (x) GROUP BY doc_id, item_id HAVING 100 * count(*) > 10 * (any_value(dg.n) + any_value(ig.n) - count(*)))""",
+)
 def _(spark, d):
-    """Translations: rows of the evaluation set itself leak and go; the training rows stay as they are."""
-    rows = mcq(spark, d).withColumn("key", F.col("doc_id")).where("language <> 'es'")
-    chat = lambda t: prompts.chat(F.lit("s"), t)
+    """Documents of one language come as translations into a merge; those similar to the evaluation set leak and go."""
+    rows = mcq(spark, d).withColumn("key", F.col("doc_id"))
     items = _bench(spark, d).withColumn("language", F.lit("zh")).withColumnRenamed("text", "story")
-    moved = items.select("key", F.lit("translated").alias("source"), chat(F.col("story")).alias("messages"))
-    out = pip.recheck(moved, items, F.col("story"))
-    return rows.select("key", F.lit(False).alias("dropped")).union(out.where("leaked").select("key", F.lit(True)))
+    moved = rows.where("language = 'es'").select("key", F.concat(F.lit("t"), "key").alias("question_id"), prompts.chat(F.lit("s"), F.col("story")).alias("messages"), *(F.lit("x").alias(c) for c in ("ground_truth", "tag", "source", "language", "task")))
+    chat = pip.merge(rows.where("language = 'de'").limit(0), items, F.col("story"), leak_percent=10, translated=moved)["chat"]
+    return chat.select(F.substring("question_id", 2, 20).cast("long").alias("key"))
 
 
 @query("s_pip_03_cleanup", "SELECT CAST(doc_id AS VARCHAR) AS key, source FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT 'item' || item_id, 'items' FROM benchmark")
@@ -343,6 +355,20 @@ def _(spark, d):
     return pip.curriculum(t, lab, acc, "doc_id")["drops"]
 
 
+@query(
+    "s_pip_05_curriculum_rows",
+    f"""WITH acc AS (SELECT language AS task, avg(correct::INT) AS accuracy FROM {RESULTS_SQL} GROUP BY language),
+k AS (SELECT d.doc_id, least(2.0, greatest(0.7, 2.0 - (accuracy - 0.5) * 3.25)) AS m FROM documents d JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) LEFT JOIN acc ON acc.task = d.lang WHERE (d.doc_id % 20) / 20.0 < 0.95)
+SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(range(0, CAST(floor(m) AS INT) + CASE WHEN {_u('doc_id')} < m - floor(m) THEN 1 ELSE 0 END)) FROM k) GROUP BY doc_id""",
+)
+def _(spark, d):
+    """How often each row is in the curriculum."""
+    t = documents(spark, d).select("doc_id", F.col("lang").alias("task"))
+    lab = table(spark, d, "labels").select("doc_id", ((F.col("doc_id") % 20) / 20.0).alias("reward_mean")).distinct()
+    acc = results(spark, d).groupBy(F.col("language").alias("task")).agg(F.avg(F.col("correct").cast("int")).alias("accuracy"))
+    return pip.curriculum(t, lab, acc, "doc_id")["rows"].groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 @query("s_pip_06_rebalance", f"SELECT question_id, list_transform(p, lambda i: o[i + 1]) AS options, chr(CAST(64 + list_position(p, ascii(gold) - 65) AS INT)) AS gold, 'mcq' AS tag FROM (SELECT question_id, gold, [opt_a, opt_b, opt_c, opt_d] AS o, {_PERM} AS p FROM {MCQ_SQL})")
 def _(spark, d):
     return pip.rebalance(_q(spark, d).withColumn("source", F.col("task")).withColumn("tag", F.lit("old")), "question_id", "mcq")["rows"].select("question_id", "options", "gold", "tag")
@@ -374,6 +400,53 @@ def _(spark, d):
     return pip.experiment_report(r.where("protocol <> 'vote'"), r, ["direct", "cot", "vote"], 4)["main"]
 
 
+#: Accuracy of each cell, and each model's best protocol by benchmark.
+_CELLS = f"acc AS (SELECT model, language AS benchmark, protocol, p, avg(correct::INT) AS acc FROM {RESULTS_SQL} GROUP BY ALL), best AS (SELECT * FROM acc QUALIFY row_number() OVER (PARTITION BY model, benchmark ORDER BY acc DESC, p) = 1)"
+
+
+@query(
+    "s_pip_09_experiment_parts",
+    f"""WITH {_CELLS} SELECT 'best' AS part, model, benchmark, protocol, acc AS value FROM best UNION ALL SELECT 'mean', model, NULL, NULL, avg(acc) FROM best GROUP BY model
+UNION ALL SELECT 'complete', model, NULL, NULL, CASE WHEN count(*) = 4 THEN avg(acc) END FROM best GROUP BY model UNION ALL SELECT 'delta', model, benchmark, protocol, 0.0 FROM acc
+UNION ALL SELECT 'truncation', model, NULL, protocol, avg(truncated::INT) FROM {RESULTS_SQL} GROUP BY model, protocol
+UNION ALL SELECT 'p95', model, NULL, NULL, list_sort(list(out_len))[1 + CAST(floor(95 * (count(*) - 1) / 100) AS BIGINT)] FROM {RESULTS_SQL} GROUP BY model
+UNION ALL SELECT CASE WHEN protocol = 'vote' THEN 'fallback' ELSE 'new' END, model, language, protocol, count(*) FROM {RESULTS_SQL} GROUP BY ALL""",
+)
+def _(spark, d):
+    """All other tables of the report, one below the other."""
+    r = _bench_results(spark, d)
+    out = pip.experiment_report(r.where("protocol <> 'vote'"), r, ["direct", "cot", "vote"], 4)
+    part = lambda name, df, value, *have: df.select(name if isinstance(name, str) and name == "provenance" else F.lit(name).alias("part"), "model", *(F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in ("benchmark", "protocol")), F.col(value).cast("double").alias("value"))
+    parts = [part("best", out["best"], "acc", "benchmark", "protocol"), part("mean", out["means"], "mean"), part("complete", out["complete"], "mean"), part("delta", out["delta"], "delta_pp", "benchmark", "protocol")]
+    parts += [part("truncation", out["truncation"], "rate", "protocol"), part("p95", out["lengths"], "p95"), part("provenance", out["provenance"], "n", "benchmark", "protocol").withColumnRenamed("provenance", "part")]
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
+_M = lambda m: f"(SELECT * FROM {RESULTS_SQL} WHERE model = '{m}' AND protocol = 'cot')"
+_THREE = f"three AS (SELECT a.question_id, a.task, CASE WHEN b.correct AND c.correct THEN 'both_right' WHEN b.correct THEN 'only_a' WHEN c.correct THEN 'only_b' ELSE 'all_wrong' END AS kind FROM {_M('m0')} a JOIN {_M('m1')} b USING (question_id) JOIN {_M('m2')} c USING (question_id) WHERE NOT a.correct)"
+
+
+@query(
+    "s_pip_10_error_parts",
+    f"""WITH {_THREE}, e AS (SELECT gold, coalesce(CASE WHEN pred IN ('A', 'B', 'C', 'D') THEN pred END, 'invalid') AS p FROM {_M('m0')} WHERE NOT correct)
+SELECT 'class' AS part, task AS a, kind AS b, CAST(count(*) AS DOUBLE) AS value FROM three GROUP BY task, kind UNION ALL SELECT 'hot', question_id, NULL, NULL FROM three WHERE kind = 'both_right'
+UNION ALL SELECT 'confusion', gold, p, count(*) FROM e GROUP BY gold, p
+UNION ALL SELECT 'net', a.task, NULL, count(*) FILTER (a.correct AND NOT b.correct) - count(*) FILTER (NOT a.correct AND b.correct) FROM {_M('m0')} a JOIN {_M('m1')} b USING (question_id) GROUP BY a.task
+UNION ALL SELECT 'upside', NULL, NULL, sum(greatest(gap, 0) * n) / sum(n) FROM (SELECT a.task, count(*) AS n, avg(b.correct::INT) - avg(a.correct::INT) AS gap FROM {_M('m0')} a JOIN {_M('m1')} b USING (question_id) GROUP BY a.task)
+UNION ALL SELECT 'sample', question_id, task, NULL FROM (SELECT question_id, task FROM {_M('m0')} WHERE NOT correct QUALIFY row_number() OVER (PARTITION BY task ORDER BY {_h('question_id')}, question_id) <= 3)""",
+)
+def _(spark, d):
+    """All other tables of the analysis, one below the other."""
+    r = results(spark, d).where("protocol = 'cot'")
+    out = pip.error_analysis(*(r.where(F.col("model") == m) for m in ("m0", "m1", "m2")))
+    text = lambda c: F.col(c) if c else F.lit(None).cast("string")
+    part = lambda name, df, a, b, value: df.select(F.lit(name).alias("part"), text(a).alias("a"), text(b).alias("b"), (F.col(value).cast("double") if value else F.lit(None).cast("double")).alias("value"))
+    confusion = out["confusion"].unpivot(["gold"], ["A", "B", "C", "D", "invalid"], "pred", "n").where("n > 0")
+    parts = [part("class", out["classes"], "task", "kind", "n"), part("hot", out["hot"], "question_id", None, None), part("confusion", confusion, "gold", "pred", "n"), part("net", out["changes"], "task", None, "net")]
+    parts += [part("upside", out["upside"], None, None, "upside"), part("sample", out["samples"], "question_id", "task", None)]
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
 @query("s_pip_10_error_analysis", f"SELECT a.task, count(*) AS n, count(*) FILTER (a.correct AND b.correct) AS both_right FROM (SELECT * FROM {RESULTS_SQL} WHERE model = 'm0' AND protocol = 'cot') a JOIN (SELECT * FROM {RESULTS_SQL} WHERE model = 'm1' AND protocol = 'cot') b USING (question_id) GROUP BY GROUPING SETS ((a.task), ())")
 def _(spark, d):
     r = results(spark, d).where("protocol = 'cot'")

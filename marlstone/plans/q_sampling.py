@@ -135,9 +135,12 @@ def _(spark, d):
     return smp.replicate(rows, F.col("m"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("s_smp_19_generation_plan", "SELECT kind, language, CAST(i AS INT) AS i, substr('ABCD', CAST(i % 4 + 1 AS INT), 1) AS gold FROM (SELECT unnest(['a', 'b', 'c']) AS kind), (SELECT unnest(['en', 'zh']) AS language), range(0, 10) t(i)")
+@query("s_smp_19_generation_plan", "WITH k AS (SELECT DISTINCT source AS kind FROM documents), l AS (SELECT DISTINCT lang AS language FROM documents) SELECT kind, language, CAST(i AS INT) AS i, substr('ABCD', CAST(i % 4 + 1 AS INT), 1) AS gold FROM k, l, range(0, (SELECT count(*) FROM documents) // ((SELECT count(*) FROM k) * (SELECT count(*) FROM l))) t(i)")
 def _(spark, d):
-    return smp.generation_plan(spark, ["a", "b", "c"], ["en", "zh"], 60)
+    """As many questions as documents, for the corpus' sources and languages."""
+    docs = documents(spark, d)
+    kinds, languages = (sorted(r[0] for r in docs.select(c).distinct().collect()) for c in ("source", "lang"))
+    return smp.generation_plan(spark, kinds, languages, docs.count())
 
 
 @query("s_smp_20_take_valid", f"SELECT doc_id FROM documents WHERE n_chars > 300 ORDER BY {_h('doc_id', 5)}, doc_id LIMIT 30")

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marlstone.operators.lineage import cut
+from marlstone.sources.json_stream import JsonElements
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -23,9 +23,16 @@ def jsonl_lenient(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
+def elements(spark: SparkSession, path: str) -> DataFrame:
+    """file, path, i, value: the elements of all outermost arrays of JSON files, see json_stream."""
+    spark.dataSource.register(JsonElements)
+    return spark.read.format("json_elements").load(path)
+
+
 def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file that is one array of objects."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """Files that are one array of objects each, of any length; a file that is something else is an error."""
+    whole = F.when(F.size("path") == 0, F.from_json("value", schema, {"mode": "FAILFAST"})).otherwise(F.raise_error(F.lit("the file is no array")))
+    return elements(spark, path).select(whole.alias("r")).select("r.*")
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -63,15 +70,11 @@ def first_of(*sources: Callable[[], DataFrame | None]) -> DataFrame | None:
 def results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Result rows of a file in any of three forms: an array, ``{protocol: {"records": [...]}}``, or
     ``{"results": {protocol: [...]}}``; protocol is added where the form has it."""
-    v = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    row = T._parse_datatype_string(schema).simpleString()
-    kind = F.schema_of_variant("v")
-    flat = v.where(kind.startswith("ARRAY")).select(F.lit(None).cast("string").alias("protocol"), F.explode(F.try_variant_get("v", "$", f"array<{row}>")).alias("r"))
-    nested = v.where(kind.startswith("OBJECT")).withColumn("inner", F.try_variant_get("v", "$.results", "variant"))
-    listed = nested.where("inner IS NOT NULL").select(F.explode(F.try_variant_get("inner", "$", f"map<string, array<{row}>>")).alias("protocol", "rows"))
-    recorded = nested.where("inner IS NULL").select(F.explode(F.try_variant_get("v", "$", "map<string, variant>")).alias("protocol", "x")).select("protocol", F.try_variant_get("x", "$.records", f"array<{row}>").alias("rows"))
-    out = flat.union(listed.union(recorded).select("protocol", F.explode("rows").alias("r")))
-    return out.select("protocol", "r.*")
+    at = F.col("path")
+    one, two = F.get(at, F.lit(0)), F.get(at, F.lit(1))
+    listed, recorded = (F.size(at) == 2) & (one == "results"), (F.size(at) == 2) & (two == "records") & (one != "results")
+    rows = elements(spark, path).where((F.size(at) == 0) | listed | recorded)
+    return rows.select(F.when(listed, two).when(recorded, one).alias("protocol"), F.from_json("value", schema).alias("r")).select("protocol", "r.*")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.sources.json_stream import JsonElements
+
 #: Reports are read by people; a table of more rows is an error, not a longer report.
 REPORT_ROWS = 10_000
 
@@ -15,6 +17,14 @@ def jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").option("ignoreNullFields", False).json(path)
 
 
+def json_arrays(df: DataFrame, path: str) -> None:
+    """A file for each task, each one array of the rows as objects; a task holds one row at a time."""
+    df.sparkSession.dataSource.register(JsonElements)
+    every = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"})
+    nulls = [F.lit(None).cast(t).alias(n) for n, t in (("file", "string"), ("path", "array<string>"), ("i", "bigint"))]
+    df.select(*nulls, every.alias("value")).write.format("json_elements").mode("append").save(path)
+
+
 def versioned(df: DataFrame, root: str, version: str) -> str:
     """A new version's folder; one that exists is an error, so an input that is being read is never overwritten."""
     path = f"{root}/version={version}"

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from marlstone.operators import windows
 
@@ -23,33 +25,55 @@ def stop_reasons(series: DataFrame) -> DataFrame:
     return reasons(windows.last_values(series, 3).join(series.groupBy("run", "tag").agg(F.max("value").alias("best")), ["run", "tag"]))
 
 
-def merged(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Last three values with their steps and the best value of each series, from such rows and further values."""
-    rows = new.select("run", "tag", "step", "value", F.col("value").alias("best"))
-    if old is not None:
-        rows = rows.unionByName(old.select("run", "tag", "best", F.inline("last")))
-    top = rows.withColumn("r", F.row_number().over(Window.partitionBy("run", "tag").orderBy(F.desc("step")))).where("r <= 3")
-    last = top.groupBy("run", "tag").agg(F.collect_list(F.struct("step", "value")).alias("last"))
-    return last.join(rows.groupBy("run", "tag").agg(F.max("best").alias("best")), ["run", "tag"])
+class SeriesState(StatefulProcessor):
+    """The last three values with their steps, and the best value, of each series (run, tag); rows of a run to stop."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.series = handle.getValueState("series", "steps array<bigint>, vals array<double>, best double")
 
-def watch(stream: DataFrame, states: str, act: Callable[[list], None], checkpoint: str) -> StreamingQuery:
-    """For each batch of metrics: brings the series' states up to date, applies the rules, and hands the runs to act.
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        last, best = [], None
+        if self.series.exists():
+            steps, vals, best = self.series.get()
+            last = list(zip(steps, vals, strict=True))
+        for batch in rows:
+            new = batch[batch["value"].notna()]
+            if len(new):
+                best = max(float(new["value"].max()), best if best is not None else -math.inf)
+                some = new.nlargest(3, "step")
+                last = sorted([*last, *zip(some["step"].astype(int).tolist(), some["value"].astype(float).tolist(), strict=True)])[-3:]
+        if last:
+            self.series.update(([s for s, _ in last], [v for _, v in last], best))
+            yield pd.DataFrame({"run": [key[0]], "tag": [key[1]], "last": [[v for _, v in last]], "best": [best]})
 
-    What happens then is act's business; nothing is killed here.  A state has one row per series, so a batch costs what
-    it brings and not what came before.  Each batch writes a state of its own from that of the batch before and deletes
-    the one before that; a batch that is replayed finds what it found at first.
+    def close(self) -> None:
+        pass
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def series_states(stream: DataFrame) -> DataFrame:
+    """(run, tag, last, best) of the series that a batch brings values of, as they stand after it."""
+    return stream.groupBy("run", "tag").transformWithStateInPandas(statefulProcessor=SeriesState(), outputStructType="run string, tag string, last array<double>, best double", outputMode="Update", timeMode="None")
+
+
+def watch(stream: DataFrame, act: Callable[[list], None], checkpoint: str) -> StreamingQuery:
+    """For each batch of metrics: brings its series' states up to date, applies the rules, and hands the runs to act.
+
+    What happens then is act's business; nothing is killed here.  States are kept by series in a state store (RocksDB), so
+    a batch reads and writes those of the series that it brings, and a query that is started again goes on from there.
     """
     def batch(df: DataFrame, number: int) -> None:
-        spark = df.sparkSession
-        old = spark.read.parquet(f"{states}/{number - 1}") if number else None
-        merged(old, df).write.mode("overwrite").parquet(f"{states}/{number}")
-        state = spark.read.parquet(f"{states}/{number}").withColumn("last", F.col("last.value"))
-        act([tuple(r) for r in reasons(state).collect()])
-        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{states}/{number - 2}")
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+        act([tuple(r) for r in reasons(df).collect()])  # runs to stop
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    spark = stream.sparkSession
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return series_states(stream).writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STORE, before)
 
 
 def running_best(stream: DataFrame, tag: str | None = None) -> DataFrame:
@@ -64,8 +88,13 @@ def progress(rows: DataFrame, name: str | Observation) -> DataFrame:
     return rows.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value").isNull()).alias("nulls"))
 
 
-def append_new(stream: DataFrame, keys: list[str], event_time: str, delay: str = "1 hour") -> DataFrame:
-    """Each key once, within a bounded memory of keys: repeats that come later than the delay may pass."""
+def append_new(stream: DataFrame, keys: list[str], event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
+    """Each key once.  Without an event time a key is remembered for good, so that no repeat passes, however late.
+
+    With one, keys are forgotten after the delay, which bounds what is remembered; later repeats pass then.
+    """
+    if event_time is None:
+        return stream.dropDuplicates(keys)
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 

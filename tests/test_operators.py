@@ -325,27 +325,64 @@ def test_prefixes_of_few_words(spark):
 
 
 def test_watch_keeps_what_the_rules_need(spark, tmp_path):
-    """Batch by batch, and with the last one replayed, the rules see what they would see in the whole series."""
+    """Batch by batch, and after a restart, the rules see what they would see in the whole series."""
     from marlstone.streaming import monitors
 
     values = {("a", "kl"): [0.1, 0.9, 0.8, 0.7, 0.2], ("b", "score"): [0.9, 0.1, 0.2, 0.3, 0.95], ("c", "entropy"): [0.01, 0.5, 0.02, 0.03, 0.04]}
-    state, series, seen = None, [], []
+    series, seen, acts, schema = [], [], [], "run string, tag string, step long, value double"
+
+    def run() -> None:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        monitors.watch(stream, acts.append, f"{tmp_path}/log").awaitTermination()
+
     for i in range(5):
-        batch = [(run, tag, i, v[i]) for (run, tag), v in values.items()]
+        batch = [(run_, tag, i, v[i]) for (run_, tag), v in values.items()]
         series += batch
-        rows = spark.createDataFrame(batch, "run string, tag string, step long, value double")
-        state = monitors.merged(state, rows).cache()
-        whole = spark.createDataFrame(series, rows.schema)
-        got = {tuple(r) for r in monitors.reasons(state.withColumn("last", F.col("last.value"))).collect()}
-        assert got == {tuple(r) for r in monitors.stop_reasons(whole).collect()}
-        seen.append(got)
-        rows.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        seen.append({tuple(r) for r in monitors.stop_reasons(spark.createDataFrame(series, schema)).collect()})
+        if i in (2, 4):
+            run()
     assert seen == [set(), set(), set(), {("a", "kl"), ("b", "score")}, {("c", "entropy")}]
-    acts = []
-    stream = spark.readStream.schema("run string, tag string, step long, value double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    monitors.watch(stream, f"{tmp_path}/states", acts.append, f"{tmp_path}/log").awaitTermination()
-    assert len(acts) == 5 and set(acts[-1]) == seen[-1]
-    assert sorted(p.name for p in (tmp_path / "states").iterdir() if p.is_dir()) == ["3", "4"]
+    assert [set(a) for a in acts] == seen
+    spark.createDataFrame([("c", "entropy", 5, 0.01), ("c", "other", 5, None)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    assert acts[5:] == [[("c", "entropy")]]  # other series are not read again
+
+
+def test_repeats_of_any_age_are_dropped(spark, tmp_path):
+    from marlstone.streaming import monitors
+
+    for i, rows in enumerate(([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:01")], [(2, "2025-01-01 00:00:00")], [(1, "2026-01-01 00:00:00"), (3, "2020-01-01 00:00:00")])):
+        spark.createDataFrame(rows, "k long, t string").select("k", F.to_timestamp("t").alias("t")).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    s = spark.readStream.schema("k long, t timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = monitors.drained(spark, monitors.append_new(s, ["k"]), f"r{uuid.uuid4().hex}", "append")
+    assert sorted(r.k for r in got.collect()) == [1, 2, 3]
+
+
+def test_ranks_without_sorting_a_group(spark):
+    rng = random.Random(8)
+    odd = [float("inf"), float("-inf"), float("nan"), 1e308, -1e308, 5e-324, 0.0]
+    rows = [("a", rng.gauss(0, 1)) for _ in range(900)] + [(None, float(rng.randrange(3))) for _ in range(50)] + [("b", x) for x in odd] + [("c", None), ("d", 7.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for rule in ("min", "n-1"):
+        got = {r.g: tuple(r)[1:] for r in aggregates.nearest_rank(df, ["g"], "v", [0, 50, 95, 99], rule, bins=8).collect()}
+        want = {}
+        for g in ("a", "b", "d", None):
+            v = sorted((x for h, x in rows if h == g and x is not None), key=lambda x: (x != x, x))
+            want[g] = tuple(v[min(len(v) - 1, q * (len(v) - (rule == "n-1")) // 100)] for q in (0, 50, 95, 99))
+        assert str(sorted(got.items(), key=str)) == str(sorted(want.items(), key=str))
+    plan = aggregates.nearest_rank(df, ["g"], "v", [50])
+    assert plan.count() == 4 and aggregates.nearest_rank(df.limit(0), ["g"], "v", [50]).collect() == []
+    ints = spark.range(1000).select((F.col("id") * 10**15 - 5 * 10**17).alias("v"))
+    assert aggregates.nearest_rank(ints, [], "v", [50]).first()[0] == 0
+
+
+def test_fold_in_of_nothing(spark):
+    from marlstone.plans import pipelines
+
+    rows = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "key long, text string")
+    out = pipelines.fold_in(rows, rows.limit(0), rows, F.col("text"))
+    assert sorted(r.key for r in out["rows"].collect()) == [1, 2, 3] and out["log"].collect() == [] and out["leaked"].collect() == []
 
 
 def test_merge_gives_chat_rows_and_a_card(spark):
