@@ -5,8 +5,8 @@ linear machine's value is then the mean of its weights over the trigrams, so sco
 
 The machines are fitted on at most ``per_language`` rows of each language, those with the least hash of their ids and
 texts, and on ``SAMPLE_ROWS`` rows in all; only their fixed-size vectors reach the driver (16 kB each, 320 MB at most).
-There is one machine for each pair of families and of languages within a family, so no more than ``MAX_LANGUAGES`` are
-taken: a corpus that names more is refused, not cut.
+There is one machine for each pair of families and of languages within a family, so the machines are fitted on the rows of
+the ``languages`` labels that most rows bear (``MAX_LANGUAGES`` unless told otherwise); a noisy column of labels adds none.
 """
 
 from __future__ import annotations
@@ -158,12 +158,14 @@ def _predict(tree):
     return run
 
 
-def fit(docs: DataFrame, per_language: int = 400, families: dict[str, str] = FAMILIES) -> Tree:
-    """docs: doc_id, text, lang.  Rows held out, without a language or without text take no part."""
+def fit(docs: DataFrame, per_language: int = 400, families: dict[str, str] = FAMILIES, languages: int = MAX_LANGUAGES) -> Tree:
+    """docs: doc_id, text, lang.  Rows held out, without a language or without text take no part.
+
+    languages: of more labels, those of most rows are learned; ties go by name.
+    """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0)).select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-    names = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
-    if names > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages: one machine for each pair of them would not be bounded")
+    known = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    names, rows = len(known), rows.where(F.col("lang").isin(known))
     # tasks rank their own rows first and pass on per_language of each language at most
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     sample = rows.withColumn("rank", rank).where(F.col("rank") <= min(per_language, SAMPLE_ROWS // max(1, names))).select("text", "lang")
@@ -173,12 +175,12 @@ def fit(docs: DataFrame, per_language: int = 400, families: dict[str, str] = FAM
     return Tree([r[0] for r in got], x, families)
 
 
-def identify(docs: DataFrame, per_language: int = 400, families: dict[str, str] = FAMILIES) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 400, families: dict[str, str] = FAMILIES, languages: int = MAX_LANGUAGES) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs (doc_id, text, lang), repeated ids included.
 
     ``und`` with score 0 where the text is null or has no letter, and everywhere if there is nothing to learn from.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    tree = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language, families))
+    tree = docs.sparkSession.sparkContext.broadcast(fit(docs, per_language, families, languages))
     out = docs.select("text", "doc_id").mapInArrow(_predict(tree), "lang_pred string, score double, doc_id long")
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

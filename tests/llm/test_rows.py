@@ -197,3 +197,14 @@ def test_queries_match_their_sql(spark, sf, duck):
 
     for name, sql in queries.ORACLES.items():
         assert spark_rows(queries.QUERIES[name](spark, sf)) == duck_rows(duck, sql), name
+
+
+def test_a_noisy_label_column_ends_no_query(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    noisy = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("x"), "doc_id")).otherwise(F.col("lang")))
+    assert noisy.select("lang").distinct().count() > language_id.MAX_LANGUAGES
+    got = language_id.identify(noisy, languages=4).collect()
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    known = {r.lang for r in docs.select("lang").distinct().collect()}
+    assert {r.lang_pred for r in got} <= known | {language_id.UNKNOWN} and len(got) == len(truth)
+    assert sum(r.lang_pred == truth[r.doc_id] for r in got if r.held_out) >= 0.8 * sum(r.held_out for r in got)
