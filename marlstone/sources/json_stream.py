@@ -98,7 +98,8 @@ def elements(blocks: Iterable[str]) -> Iterator[tuple[list[str], int, str]]:
         raise ValueError("the file ends early")
 
 
-def _files(path: str):
+def open_path(path: str):
+    """The file system of a path, and the path in it, as driver and tasks open it."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(re.sub("^file:/*", "/", path))
@@ -120,7 +121,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
 
-        files, root = _files(self.root)
+        files, root = open_path(self.root)
         top = files.get_file_info(root)
         found = [top] if top.is_file else files.get_file_info(fs.FileSelector(root, recursive=True))
         return [_File(f) for f in sorted(f.path for f in found if f.is_file and not f.base_name.startswith(("_", ".")))] or [_File("")]
@@ -128,7 +129,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        files, _ = _files(self.root)
+        files, _ = open_path(self.root)
         name, held, size = partition.path.rpartition("/")[2], [], 0
 
         def batch() -> pa.RecordBatch:
@@ -161,7 +162,7 @@ class _Writer(DataSourceWriter):
         self.root = options["path"]
 
     def write(self, rows: Iterator) -> _Written:
-        files, root = _files(self.root)
+        files, root = open_path(self.root)
         files.create_dir(root, recursive=True)
         name = f"part-{uuid.uuid4().hex}.json"
         with files.open_output_stream(f"{root}/_{name}") as out:
@@ -172,12 +173,12 @@ class _Writer(DataSourceWriter):
         return _Written([(f"{root}/_{name}", f"{root}/{name}")])
 
     def commit(self, messages: list) -> None:
-        files, _ = _files(self.root)
+        files, _ = open_path(self.root)
         for hidden, name in (x for m in messages if m for x in m.files):
             files.move(hidden, name)
 
     def abort(self, messages: list) -> None:
-        files, _ = _files(self.root)
+        files, _ = open_path(self.root)
         for hidden, _name in (x for m in messages if m for x in m.files):
             files.delete_file(hidden)
 

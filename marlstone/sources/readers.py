@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import codecs
+import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.operators.lineage import cut
-from marlstone.sources.json_stream import JsonElements
+from marlstone.sources.json_stream import JsonElements, open_path
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -108,9 +111,47 @@ def log_series(lines: DataFrame, tags: list[str] | None = None, column: str = "v
     return out.where(F.col("tag").isin(*tags)) if tags else out
 
 
-def log_matches(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """Every match of a pattern with one group over the whole text of each file, in order."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.regexp_extract_all("value", F.lit(pattern), F.lit(1))).alias("i", "match"))
+def matches_of(blocks: Iterable[str], pattern: str, longest: int) -> Iterator[str]:
+    """The one group of each match in a text that comes in blocks; two windows of the longest match are held."""
+    search, held, more = re.compile(pattern), "", True
+    blocks = iter(blocks)
+    while more:
+        block = next(blocks, None)
+        more = block is not None
+        held += block or ""
+        if more and len(held) < 2 * longest:
+            continue
+        at = 0
+        for m in search.finditer(held):
+            if more and m.start() > len(held) - longest:  # it may go on in what is not read yet
+                break
+            yield m[1]
+            at = m.end()
+        held = held[max(at, len(held) - longest) :]
+
+
+def log_matches(spark: SparkSession, path: str, pattern: str, longest: int = 1 << 20) -> DataFrame:
+    """file, i, match: every match of a pattern with one group over the whole text of each file, in order.
+
+    A file is read as a stream by one task, which holds two windows of longest characters; a match may span lines but has
+    longest characters at most.  The pattern is one of Python's re.
+    """
+    def run(batches):
+        for batch in batches:
+            for uri in batch.column(0).to_pylist():
+                files, at = open_path(uri)
+                with files.open_input_stream(at) as stream:
+                    decode = codecs.getincrementaldecoder("utf-8")("replace")
+                    held = []
+                    for i, m in enumerate(matches_of((decode.decode(b) for b in iter(lambda: stream.read(1 << 20), b"")), pattern, longest)):
+                        held.append((uri, i, m))
+                        if len(held) >= 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names=["file", "i", "match"])
+                            held = []
+                    if held:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*held, strict=True)], names=["file", "i", "match"])
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, "file string, i bigint, match string")
 
 
 def newest(spark: SparkSession, glob: str) -> DataFrame:

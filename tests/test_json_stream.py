@@ -78,3 +78,18 @@ def test_round_trip_and_other_forms(spark, tmp_path):
     assert [tuple(r) for r in readers.results(spark, f"{tmp_path}/b.json", "i long").collect()] == [("p", 1)]
     with pytest.raises(Exception, match="no array"):
         readers.json_array(spark, f"{tmp_path}/b.json", "i long").collect()
+
+
+def test_matches_over_blocks_equal_those_of_the_whole_text(spark, tmp_path):
+    import re
+
+    rng = random.Random(2)
+    text = "".join(rng.choice(["step: ", "12", " |", "\n", "x" * 7, "é", "step: 5\n6 |"]) for _ in range(3000))
+    pattern = r"(?s)step: (.{0,40}?) \|"
+    want = [m[1] for m in re.finditer(pattern, text)]
+    for n in (1, 10, 64, 5000):
+        assert list(readers.matches_of(blocks(text, n), pattern, 50)) == want
+    (tmp_path / "a.log").write_text(text)
+    (tmp_path / "b.log").write_text("no match")
+    got = readers.log_matches(spark, f"{tmp_path}/*.log", pattern, 50).collect()
+    assert [r.match for r in sorted(got, key=lambda r: r.i)] == want and {r.file.rpartition("/")[2] for r in got} == {"a.log"}
