@@ -44,7 +44,7 @@ count(*) FILTER (j >= 0.6) AS leaked, count(*) FILTER (c >= 0.6) AS contained FR
 def contamination_audit(spark, d):
     """Per source: how similar its documents are to the benchmark, and how many leak by Jaccard or contain an item."""
     docs = _docs(spark, d)
-    best = dedup.leakage(docs, _items(spark, d)).join(docs.select("key", "source"), "key")
+    best = cut(dedup.leakage(docs, _items(spark, d)).join(docs.select("key", "source"), "key"))
     flags = best.groupBy("source").agg(F.count_if("leaked").alias("leaked"), F.count_if(F.col("max_containment") >= 0.6).alias("contained"))
     return dedup.distribution(best, "source", "max_jaccard").join(flags, "source")
 
@@ -290,7 +290,7 @@ def _(spark, d):
 )
 def _(spark, d):
     docs = documents(spark, d).select(F.col("doc_id").alias("key"), "lang", sim.word_grams(F.col("text")).alias("grams"))
-    best = dedup.leakage(docs, _items(spark, d)).join(docs.select("key", "lang"), "key")
+    best = cut(dedup.leakage(docs, _items(spark, d)).join(docs.select("key", "lang"), "key"))
     return dedup.distribution(best, "lang", "max_jaccard")
 
 
