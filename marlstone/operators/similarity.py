@@ -85,7 +85,7 @@ def one_permutation(rows: list[np.ndarray], k: int) -> np.ndarray:
     turn = 0
     while len(row):
         turn += 1
-        pick = (slot.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC4CEB9FE1A85EC53) + np.uint64(turn) * np.uint64(0xFF51AFD7ED558CCD)
+        pick = (slot.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC4CEB9FE1A85EC53) + np.uint64(turn * 0xFF51AFD7ED558CCD & (1 << 64) - 1)
         pick = (pick ^ (pick >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
         pick = ((pick >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64)
         found = full[row, pick]
