@@ -86,16 +86,16 @@ def cleanup(train: DataFrame, deny: tuple[str, ...], extra: DataFrame, key: str,
 def build_stage(sources: list[DataFrame], evaluation: DataFrame, text: Column, key_text: Column, percent: int = 60, seed: int = 42) -> dict[str, DataFrame]:
     """sources: (key, source, task, ...) in order of preference; the first copy of a text stays unless it leaks.
 
-    Leaks are counted per row, copies included.  key_text is the user's text, or the whole conversation where variants
+    Leaks are counted per row, copies included; leaked has their texts' first copies.  key_text is the user's text, or the whole conversation where variants
     in style are to survive.
     """
     rows = joins.union_ordered(sources).withColumn("ord", F.struct("source_ord", "key"))
     graded = rows.withColumn("__t", key_text).withColumn("key2", F.concat_ws("#", "source_ord", "key"))
     leaks = cut(dedup.leakage(graded.select(F.col("key2").alias("key"), sim.word_grams(text).alias("grams")), evaluation, percent))
-    clean = graded.join(leaks.where("NOT leaked").select(F.col("key").alias("key2")), "key2", "left_semi")
-    kept = cut(dedup.exact(clean, F.col("__t"), "ord").drop("ord", "__t", "key2"))
+    part = lambda which: dedup.exact(graded.join(leaks.where(which).select(F.col("key").alias("key2")), "key2", "left_semi"), F.col("__t"), "ord").drop("ord", "__t", "key2")
+    kept = cut(part("NOT leaked"))
     report = kept.agg(F.count("*").alias("total")).select("total", leaks.agg(F.count_if("leaked")).scalar().alias("leakage_dropped"))
-    return {"rows": smp.shuffle(kept, "key", seed), "report": report, "sources": agg.frequency(kept, "source"), "tasks": agg.frequency(kept, "task")}
+    return {"rows": smp.shuffle(kept, "key", seed), "leaked": part("leaked"), "report": report, "sources": agg.frequency(kept, "source"), "tasks": agg.frequency(kept, "task")}
 
 
 def curriculum(train: DataFrame, labels: DataFrame, task_accuracy: DataFrame, key: str, seed: int = 42, limit: float = 0.95) -> dict[str, DataFrame]:
