@@ -12,7 +12,7 @@ from marlstone.functions.text import text_hash
 from marlstone.operators.best_match import best_matches
 from marlstone.operators.greedy import settle
 from marlstone.operators.lineage import cut
-from marlstone.operators.similarity import gram_ids, rare_prefixes, sized, verified
+from marlstone.operators.similarity import rare_prefixes, sharing, sized, verified, with_ids
 
 
 def first_by_key(rows: DataFrame, key: Column, order: Column) -> DataFrame:
@@ -59,12 +59,12 @@ def two_key(base: DataFrame, new: DataFrame, key: str, text: Column, order: str)
 
 
 def leakage(train: DataFrame, evaluation: DataFrame, percent: int = 60, inclusive: bool = True) -> DataFrame:
-    """train, evaluation: (key, grams).  Per training key: max_jaccard, max_containment, leaked, first_hit.
+    """train, evaluation: (key, grams or ids).  Per training key: max_jaccard, max_containment, leaked, first_hit.
 
     first_hit is the least evaluation key at which the threshold is met; keys of several sets sort by set, then row.
     Rows that share nothing have 0.  See best_match: training rows are searched where they are.
     """
-    best = best_matches(*(df.select("key", gram_ids("grams").alias("ids")) for df in (train, evaluation)), percent, inclusive)
+    best = best_matches(with_ids(train), with_ids(evaluation), percent, inclusive)
     return best.select("key", "max_jaccard", "max_containment", F.col("first_hit").isNotNull().alias("leaked"), "first_hit")
 
 
@@ -72,10 +72,14 @@ def leakage(train: DataFrame, evaluation: DataFrame, percent: int = 60, inclusiv
 GROWTH = 8
 
 
-def near_duplicates(rows: DataFrame, percent: int = 70, kept_before: int | None = None) -> DataFrame:
+def near_duplicates(rows: DataFrame, percent: int = 70, kept_before: int | None = None, sets=with_ids, among: DataFrame | None = None) -> DataFrame:
     """rows: (key, grams) in key order.  (key, near): near is null for rows that stay, else a kept row that it is near to.
 
-    The result is that of a pass in key order that drops a row near an earlier kept one.  Rows with equal sets can only
+    sets: makes (key, ids) of rows that have something else, as texts, which are smaller to shuffle than their sets.
+    among: the keys that take part, of which a result is given; else all.
+
+    Sets that don't share as much of their elements as a near row must are found first (``sharing``), from small parts of
+    the elements, and stay; only the others' sets are shuffled whole and kept.  The result is that of a pass in key order that drops a row near an earlier kept one.  Rows with equal sets can only
     stay first.  The others are decided in rounds over the rare grams by which near rows meet.  A round compares the first
     rows of each gram, one at first and ``GROWTH`` times as many in the next, with the rest of it; rows that are among the
     first of all their grams have all their earlier neighbours then, and greedy.settle decides what hangs together.  So
@@ -83,7 +87,9 @@ def near_duplicates(rows: DataFrame, percent: int = 70, kept_before: int | None
     logarithm of the longest list of rows that share a gram and are not near.  Keys below kept_before are an existing
     corpus and stay in any case; new rows are compared with those that share a rare gram.
     """
-    keyed = cut(rows.select("key", gram_ids("grams").alias("ids")).withColumn("h", F.md5(F.array_join(F.array_sort("ids").cast("array<string>"), ","))))
+    shared = sharing(sets(rows), percent)
+    shared = cut(shared if among is None else shared.join(among.select("key"), "key", "left_semi"))
+    keyed = cut(sets(rows.join(shared, "key", "left_semi")).withColumn("h", F.md5(F.array_join(F.array_sort("ids").cast("array<string>"), ","))))
     old = F.lit(False) if kept_before is None else F.col("key") < kept_before
     first = cut(keyed.groupBy("h").agg(F.min("key").alias("first")))
     one = cut(keyed.join(first.drop("h"), F.col("key") == F.col("first"), "left_semi").where(F.size("ids") > 0).select("key", "ids"))
@@ -111,7 +117,7 @@ def near_duplicates(rows: DataFrame, percent: int = 70, kept_before: int | None
         ahead *= GROWTH
     copies = keyed.join(first, "h").where((F.col("key") != F.col("first")) & (F.size("ids") > 0) & ~old)
     copies = copies.join(gone.withColumnRenamed("key", "first"), "first", "left").select("key", F.coalesce("near", "first").alias("near"))
-    return rows.select("key").join(gone.union(copies), "key", "left")
+    return (rows if among is None else among).select("key").join(gone.union(copies), "key", "left")
 
 
 #: Characters of the prefixes in one automaton, about 40 bytes each; more prefixes are searched by several.

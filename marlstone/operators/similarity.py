@@ -5,10 +5,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.operators.lineage import cut
+from marlstone.llm.cluster import bucket_of, buckets_for
+from marlstone.llm.textkernel import U64, Chunk, chunks, gram_hashes, mix, release, span_hash
 
 
 def let(value: Column, body) -> Column:
@@ -96,7 +98,7 @@ def one_permutation(rows: list[np.ndarray], k: int) -> np.ndarray:
 
 
 def minhash(rows: DataFrame, k: int = 128) -> DataFrame:
-    """rows: (key, grams).  (key, signature) with k slots; null for the empty set.  Grams are hashed once, not for each slot."""
+    """rows: (key, grams or ids).  (key, signature) with k slots; null for the empty set.  Grams are hashed once, not for each slot."""
     def run(batches):
         for batch in batches:
             ids = batch.column(1)
@@ -107,7 +109,7 @@ def minhash(rows: DataFrame, k: int = 128) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), made.take(pc.if_else(pc.less(full, 0), pa.scalar(None, pa.int64()), full))], names=["key", "signature"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", gram_ids("grams")).mapInArrow(run, f"key {kind}, signature array<bigint>")
+    return with_ids(rows).mapInArrow(run, f"key {kind}, signature array<bigint>")
 
 
 def signature_similarity(a: Column, b: Column) -> Column:
@@ -144,6 +146,162 @@ def gram_ids(grams: str) -> Column:
     return F.array_distinct(F.transform(grams, lambda g: F.xxhash64(g)))
 
 
+def with_ids(rows: DataFrame) -> DataFrame:
+    """rows: (key, grams) or (key, ids), as (key, ids)."""
+    return rows.select("key", "ids" if "ids" in rows.columns else gram_ids("grams").alias("ids"))
+
+
+#: Text of which the white-space words are the tokens, and tokens of a gram (None: by their number, see adaptive_grams).
+TOKENS = {
+    "lower": (F.lower, 4), "cased": (lambda t: t, 4),
+    "adaptive": (lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}_]+", " "), None),
+}
+
+
+def _row_grams(chunk: Chunk, n: int | None, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of each row of a chunk: the grams row by row, and how many each row has."""
+    words, counts, first = chunk.word_hashes(), chunk.counts, chunk.words[:-1]
+    size = np.full(len(counts), n) if n else np.where(counts < 3, 1, np.where(counts < 5, 3, 4))
+    grams, owner = [], []
+    for k in np.unique(size).tolist():
+        many = np.where(size == k, np.maximum(0, counts - k + 1), 0)
+        row = np.repeat(np.arange(len(counts)), many)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + first[row]
+        grams.append(gram_hashes(words, k)[at])
+        owner.append(row)
+    if whole:  # a text with fewer words is one gram
+        short = np.flatnonzero((counts < n) & (np.diff(chunk.offs) > 0))
+        grams.append(mix(span_hash(chunk.data, chunk.offs[short], chunk.offs[short + 1]) + U64(1)))
+        owner.append(short)
+    g, r = np.concatenate(grams), np.concatenate(owner)
+    order = np.lexsort((g, r))
+    g, r = g[order], r[order]
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
+    return g[new].view(np.int64), np.bincount(r[new], minlength=len(counts))
+
+
+def gram_sets(rows: DataFrame, text: Column, kind: str = "lower", short: str = "empty") -> DataFrame:
+    """rows: (key, ...).  (key, ids) with the sets of word_grams (lower or cased) or adaptive_grams as 64-bit hashes.
+
+    The sets are those of these functions, told by hashes of tokens, without a string for each gram.
+    """
+    made, n = TOKENS[kind]
+
+    def run(batches):
+        for batch in batches:
+            parts = [_row_grams(c, n, short == "whole") for c in chunks(batch.column(1))]
+            flat, size = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)]), np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
+            ids = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["key", "ids"])
+
+    return rows.select("key", made(F.coalesce(text, F.lit("")))).mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, ids array<bigint>")
+
+
+#: Elements that a task sorts at a time, and sets that they are of; a place of that many is told by two bytes.
+HELD, LOT, NOBODY = 1_000_000, 65_000, 65_535
+_DEALT = "bucket int, lot long, place int, key long, met long, n long, owners binary, sigs binary"
+_TOLD = "lot long, place int, key long, met long, n long"
+
+
+def _bounds(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of a column of arrays, and where each row's begin."""
+    return ids.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+
+
+def _dealt(buckets: int, lot_sets: int):
+    """Rows (key, ids) to one row for each, and to packed rows of elements by lot and bucket.
+
+    Elements that are met within one lot are counted here, and one goes on that tells others but is nobody's; so an
+    element is dealt as often as there are lots at most.
+    """
+    def pack(lot: int, keys: list[int], sets: list[np.ndarray]):
+        k, size = len(keys), np.array([len(s) for s in sets])
+        g, row = np.concatenate(sets).view(U64), np.repeat(np.arange(k), size)
+        order = np.argsort(g, kind="stable")
+        g, row = g[order], row[order]
+        first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        many = np.diff(np.append(first, len(g)))
+        met = np.bincount(row[np.repeat(many > 1, many)], minlength=k)
+        own = [pa.array(np.arange(k) % buckets, pa.int32()), pa.array(np.full(k, lot)), pa.array(np.arange(k), pa.int32()), pa.array(keys, pa.int64()), pa.array(met), pa.array(size)]
+        names = [c.split()[0] for c in _DEALT.split(", ")]
+        yield pa.RecordBatch.from_arrays([*own, pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=names)
+        g, owner = g[first], np.where(many > 1, NOBODY, row[first]).astype("<u2")
+        bucket = bucket_of(g, buckets)
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        sig = (g & U64(0xFFFFFFFF)).astype("<u4")
+        packed = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (owner, sig)]
+        k = len(spans)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array(np.full(k, lot)), pa.nulls(k, pa.int32()), *(pa.nulls(k, pa.int64()) for _ in range(3)), *packed], names=names)
+
+    def run(batches):
+        lot, keys, sets, held = TaskContext.get().partitionId() << 32, [], [], 0
+        for batch in batches:
+            flat, bound = _bounds(batch.column(1))
+            for key, a, b in zip(batch.column(0).to_pylist(), bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+                if b > a:
+                    keys.append(key)
+                    sets.append(flat[a:b])
+                    held += b - a
+                if held >= HELD or len(keys) >= lot_sets:
+                    yield from pack(lot, keys, sets)
+                    lot, keys, sets, held = lot + 1, [], [], 0
+        if keys:
+            yield from pack(lot, keys, sets)
+        del keys, sets
+        release()
+
+    return run
+
+
+def _told(batches):
+    """Packed elements, bucket by bucket, to how many of a row's elements another lot has; rows of sets pass through."""
+    names = [c.split()[0] for c in _TOLD.split(", ")]
+
+    def close(lots: list[int], sigs: list[np.ndarray], owners: list[np.ndarray]):
+        s, o = np.concatenate(sigs), np.concatenate(owners).astype(np.int64)
+        o += np.repeat(np.arange(len(lots)), [len(x) for x in sigs]) << 16
+        order = np.argsort(s, kind="stable")
+        s = s[order]
+        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        many = np.diff(np.append(first, len(s)))
+        hit = o[order[np.repeat(many > 1, many)]]
+        at, met = np.unique(hit[hit & 0xFFFF != NOBODY], return_counts=True)
+        k = len(at)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(lots, np.int64)[at >> 16]), pa.array(at & 0xFFFF, pa.int32()), pa.nulls(k, pa.int64()), pa.array(met, pa.int64()), pa.array(np.zeros(k, np.int64))], names=names)
+
+    lots, sigs, owners, last = [], [], [], None
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays(batch.filter(batch.column(7).is_null()).columns[1:6], names=names)
+        packed = batch.filter(batch.column(7).is_valid())
+        for bucket, lot, own, sig in zip(packed.column(0).to_pylist(), packed.column(1).to_pylist(), packed.column(6), packed.column(7), strict=True):
+            if bucket != last and sigs:
+                yield from close(lots, sigs, owners)
+                lots, sigs, owners = [], [], []
+            last = bucket
+            lots.append(lot)
+            owners.append(np.frombuffer(own.as_py(), "<u2"))
+            sigs.append(np.frombuffer(sig.as_py(), "<u4"))
+    if sigs:
+        yield from close(lots, sigs, owners)
+    del lots, sigs, owners
+    release()
+
+
+def sharing(sets: DataFrame, percent: int) -> DataFrame:
+    """sets: (key, ids), keys whole numbers.  The keys of sets of which percent or more of the elements are in other sets too.
+
+    Every set that is similar to another one by that Jaccard similarity is among them.  An element is shuffled once, as
+    four bytes beside what its bucket tells and two for its owner; elements that are taken for equal let more sets through.
+    """
+    buckets = buckets_for(sets)
+    dealt = sets.mapInArrow(_dealt(buckets, LOT), _DEALT)
+    told = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_told, _TOLD)
+    whole = told.groupBy("lot", "place").agg(F.max("key").alias("key"), F.sum("met").alias("met"), F.sum("n").alias("n"))
+    return whole.where(f"100 * met >= {percent} * n").select("key")
+
+
 def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """sets: (key, ids).  Rows (key, n, g): the rare grams by which sets over the threshold meet.
 

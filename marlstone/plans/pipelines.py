@@ -67,13 +67,13 @@ def fold_in(base: DataFrame, new: DataFrame, evaluation: DataFrame, text: Column
 
     Keys of new follow all of base's.  The log names each dropped row and the row that it is near to.
     """
-    grams = sim.word_grams(text, lower=False, short="whole")
+    sets = lambda rows: sim.gram_sets(rows, F.col("text"), "cased", short="whole")
+    old, rows, ev = (df.select("key", text.alias("text")) for df in (base, new, evaluation))
     first = new.agg(F.coalesce(F.min("key"), F.lit(2**63 - 1))).first()[0]  # without new rows all are the base's
-    leaks = cut(dedup.leakage(new.select("key", grams.alias("grams")), evaluation.select("key", grams.alias("grams")), leak_percent, inclusive=False))
-    clean = new.join(leaks.where("NOT leaked"), "key", "left_semi")
-    sets = base.select("key", grams.alias("grams")).union(clean.select("key", grams.alias("grams")))
-    near = cut(dedup.near_duplicates(sets, near_percent, kept_before=first))
-    kept = clean.join(near.where("near IS NULL"), "key", "left_semi")
+    leaks = cut(dedup.leakage(sets(rows), sets(ev), leak_percent, inclusive=False))
+    among = old.select("key").union(leaks.where("NOT leaked").select("key"))
+    near = cut(dedup.near_duplicates(old.union(rows), near_percent, kept_before=first, sets=sets, among=among))
+    kept = new.join(near.where("near IS NULL"), "key", "left_semi")
     return {"rows": base.unionByName(kept, allowMissingColumns=True), "log": near.where("near IS NOT NULL"), "leaked": leaks.where("leaked")}
 
 

@@ -1,9 +1,14 @@
 """Queries of similarity and their parts on rows that the small tables lack."""
 
+import random
+
 import duckdb
+import pytest
 from compare import duck_rows, spark_rows
+from pyspark.sql import functions as F
 
-from marlstone.plans import registry
+from marlstone.operators import dedup, similarity
+from marlstone.plans import pipelines, registry
 
 
 def test_build_stage_gives_every_text_as_its_sql_does(spark, tmp_path):
@@ -16,3 +21,52 @@ def test_build_stage_gives_every_text_as_its_sql_does(spark, tmp_path):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     name = "s_pip_04_build_stage"
     assert spark_rows(registry.queries()[name](spark, str(tmp_path))) == duck_rows(con, registry.oracle_sql()[name])
+
+
+ODD = ["", " ", "a", "A b", "a b\tc", "a b c d", "a b c d e", "  x_y  z-1 \u00c9t\u00e9 \u0130x ", "a a a a a a", "\u4f60\u597d 12 \u00bd\u0301 w", None, "q\u00a0r s t u", "it's a, b; c\x0bd\x0ce", "x" * 100, "a b c d e" * 40]
+
+
+@pytest.mark.parametrize("kind, short", [("lower", "empty"), ("cased", "whole"), ("cased", "empty"), ("adaptive", "empty")])
+def test_gram_sets_are_the_sets_of_the_gram_functions(spark, kind, short):
+    made = similarity.adaptive_grams(F.col("text")) if kind == "adaptive" else similarity.word_grams(F.col("text"), lower=kind == "lower", short=short)
+    rows = spark.createDataFrame(list(enumerate(ODD)), "key long, text string")
+    want = {r.key: set(r.grams) for r in rows.select("key", made.alias("grams")).collect()}
+    got = {r.key: r.ids for r in similarity.gram_sets(rows, F.col("text"), kind, short).collect()}
+    assert all(len(set(v)) == len(v) for v in got.values())
+    assert {(a, b): len(want[a] & want[b]) for a in want for b in want} == {(a, b): len(set(got[a]) & set(got[b])) for a in got for b in got}
+
+
+def _sets(seed):
+    """Near copies of some sets, an element that nearly all have, small and empty sets, copies."""
+    rng, sets = random.Random(seed), []
+    for k in range(120):
+        own = [f"{k % 100}-{i}" for i in range(rng.choice((1, 2, 3, 9, 40)))] + ["all"] * (k % 10 > 0)
+        sets.append(own)
+        sets += [[f"n{rng.random()}" if rng.random() < share else x for x in own] for share in (0.05, 0.15, 0.3) if k % 4 == 0]
+    return [(i, sorted(set(s))) for i, s in enumerate([*sets, [], [], sets[0]])]
+
+
+@pytest.mark.parametrize("lot", [7, 1_000_000])
+def test_every_set_that_shares_enough_is_told(spark, monkeypatch, lot):
+    rows = _sets(lot)
+    monkeypatch.setattr(similarity, "LOT", lot)
+    of = {}
+    for k, s in rows:
+        for x in s:
+            of.setdefault(x, []).append(k)
+    sets = similarity.with_ids(spark.createDataFrame(rows, "key long, grams array<string>").repartition(3))
+    for percent in (50, 70):
+        want = {k for k, s in rows if s and 100 * sum(len(of[x]) > 1 for x in s) >= percent * len(s)}
+        assert {r.key for r in similarity.sharing(sets, percent).collect()} == want
+
+
+def test_only_rows_that_can_be_near_are_kept_and_shuffled_whole(spark, monkeypatch):
+    seen, real = [], dedup.rare_prefixes
+    monkeypatch.setattr(dedup, "rare_prefixes", lambda sets, percent: seen.append(sets.count()) or real(sets, percent))
+    texts = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(50)]
+    texts += [texts[0] + " more", texts[1], "short one"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    sets = lambda r: similarity.gram_sets(r, F.col("text"))
+    got = {r.key: r.near for r in dedup.near_duplicates(rows, 70, sets=sets).collect()}
+    assert {k: v for k, v in got.items() if v is not None} == {50: 0, 51: 1} and len(got) == 53
+    assert seen == [3]  # two pairs of which one is of equal sets
