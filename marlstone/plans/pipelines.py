@@ -34,12 +34,11 @@ def merge(train: DataFrame, evaluation: DataFrame, text: Column, leak_percent: i
     per-source report and the totals; where they are questions also chat rows and a sample of n of these.  Translated
     chat rows join the others unless they leak.
     """
-    rows = train.withColumn("grams", sim.adaptive_grams(text))
-    ev = evaluation.select("key", sim.adaptive_grams(text).alias("grams"))
-    leaks = cut(dedup.leakage(rows.select("key", "grams"), ev, leak_percent, inclusive=False))
-    clean = cut(rows.join(leaks.where("NOT leaked"), "key", "left_semi"))
-    near = cut(dedup.near_duplicates(clean.select("key", "grams"), near_percent))
-    kept = clean.join(near.where("near IS NULL"), "key", "left_semi").drop("grams")
+    sets = lambda rows: sim.gram_sets(rows, F.col("text"), "adaptive")
+    rows, ev = train.select("key", text.alias("text")), evaluation.select("key", text.alias("text"))
+    leaks = cut(dedup.leakage(sets(rows), sets(ev), leak_percent, inclusive=False))
+    near = cut(dedup.near_duplicates(rows, near_percent, sets=sets, among=leaks.where("NOT leaked")))
+    kept = train.join(near.where("near IS NULL"), "key", "left_semi")
     report = dedup.distribution(leaks.join(train.select("key", "source"), "key"), "source", "max_jaccard")
     totals = leaks.agg(F.count("*").alias("input"), F.count_if("leaked").alias("leaked"))
     totals = totals.select("*", near.agg(F.count("near")).scalar().alias("near_duplicates"), near.agg(F.count("*") - F.count("near")).scalar().alias("kept"))

@@ -70,3 +70,13 @@ def test_only_rows_that_can_be_near_are_kept_and_shuffled_whole(spark, monkeypat
     got = {r.key: r.near for r in dedup.near_duplicates(rows, 70, sets=sets).collect()}
     assert {k: v for k, v in got.items() if v is not None} == {50: 0, 51: 1} and len(got) == 53
     assert seen == [3]  # two pairs of which one is of equal sets
+
+
+def test_merge_keeps_and_counts_rows_as_a_pass_in_order_does(spark):
+    texts = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(6)]
+    texts += [texts[0] + " more", texts[1], texts[2] + " item", "", None]
+    train = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "key long, source string, text string")
+    out = pipelines.merge(train, spark.createDataFrame([(0, texts[2])], "key long, text string"), F.col("text"))
+    assert sorted(r.key for r in out["kept"].collect()) == [0, 1, 3, 4, 5, 9, 10]
+    assert out["kept"].columns == train.columns
+    assert tuple(out["totals"].first()) == (11, 2, 2, 7)
