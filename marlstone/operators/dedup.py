@@ -114,6 +114,7 @@ def near_duplicates(rows: DataFrame, percent: int = 70, kept_before: int | None
         more = cut(edges.join(stays, "early", "left_semi").groupBy(F.col("late").alias("key")).agg(F.min("early").alias("near")))
         gone = gone.union(more)
         open_ = cut(open_.join(settled.select("key"), "key", "left_anti"))
+        one = cut(one.join(open_.select("key").distinct(), "key", "left_semi"))
         ahead *= GROWTH
     copies = keyed.join(first, "h").where((F.col("key") != F.col("first")) & (F.size("ids") > 0) & ~old)
     copies = copies.join(gone.withColumnRenamed("key", "first"), "first", "left").select("key", F.coalesce("near", "first").alias("near"))

@@ -93,19 +93,27 @@ def _(spark, d):
     return sets.select("doc_id", sim.jaccard(F.col("a"), F.col("b"), both_empty=1.0).alias("j"))
 
 
-def _adaptive(spark, d):
+def _texts(spark, d):
+    return documents(spark, d).select(F.col("doc_id").alias("key"), "text")
+
+
+def _adaptive_grams(spark, d):
     return documents(spark, d).select(F.col("doc_id").alias("key"), sim.adaptive_grams(F.col("text")).alias("grams"))
 
 
+def _adaptive(rows):
+    return sim.gram_sets(rows, F.col("text"), "adaptive")
+
+
 @query("s_sim_07_minhash")
 def _(spark, d):
     """No oracle: hashes of this engine; a test holds the estimate against the exact similarity."""
-    return sim.minhash(_adaptive(spark, d)).withColumnRenamed("key", "doc_id")
+    return sim.minhash(_adaptive_grams(spark, d)).withColumnRenamed("key", "doc_id")
 
 
 def _signed(spark, d):
     """All documents as index, the labelled ones as queries."""
-    index = sim.minhash(_adaptive(spark, d))
+    index = sim.minhash(_adaptive_grams(spark, d))
     return index, index.join(table(spark, d, "labels").select(F.col("doc_id").alias("key")), "key", "left_semi")
 
 
@@ -135,7 +143,7 @@ def _(spark, d):
     kept.insert(index)
     met = cut(kept.probe(queries).select(F.col("query").alias("a"), F.col("hit").alias("b")))
     kept.drop()
-    sets = _adaptive(spark, d).select("key", sim.gram_ids("grams").alias("ids"))
+    sets = _adaptive_grams(spark, d).select("key", sim.gram_ids("grams").alias("ids"))
     return sim.verified(met, sets, 90, inclusive=True).select(F.col("a").alias("query"), F.col("b").alias("hit"))
 
 
@@ -204,6 +212,10 @@ e AS (SELECT a.doc_id AS late, b.doc_id AS early FROM x a JOIN x b ON a.w = b.w
 adj AS (SELECT late, list(early) AS near FROM e GROUP BY late), o AS (SELECT late, near, row_number() OVER (ORDER BY late) AS i FROM adj)"""
 
 
+def _lower_sets(rows):
+    return sim.gram_sets(rows, F.col("text"))
+
+
 @query(
     "s_ddp_08_greedy_near_duplicates",
     f"""WITH RECURSIVE {_EDGES}, go(i, dropped) AS (SELECT 0, []::BIGINT[] UNION ALL SELECT o.i, CASE WHEN len(list_filter(o.near, lambda y: NOT list_contains(go.dropped, y))) > 0 THEN list_append(go.dropped, o.late) ELSE go.dropped END FROM go JOIN o ON o.i = go.i + 1)
@@ -220,7 +232,7 @@ SELECT doc_id, list_contains(coalesce((SELECT dropped FROM go ORDER BY i DESC LI
 )
 def _(spark, d):
     """Ids below 500 are an existing corpus."""
-    return dedup.near_duplicates(_docs(spark, d), 70, kept_before=500).select(F.col("key").alias("doc_id"), F.col("near").isNotNull().alias("dropped"))
+    return dedup.near_duplicates(_texts(spark, d), 70, kept_before=500, sets=_lower_sets).select(F.col("key").alias("doc_id"), F.col("near").isNotNull().alias("dropped"))
 
 
 _CASED = _EDGES.replace(_SETS, f"(SELECT doc_id, list_distinct(g) AS g FROM (SELECT doc_id, CASE WHEN len(w) < 4 AND t <> '' THEN [t] ELSE {_grams('w')} END AS g FROM (SELECT doc_id, coalesce(text, '') AS t, {_W.format("coalesce(text, '')")} AS w FROM documents)))")
