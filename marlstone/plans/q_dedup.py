@@ -222,7 +222,7 @@ def _lower_sets(rows):
 SELECT doc_id, list_contains(coalesce((SELECT dropped FROM go ORDER BY i DESC LIMIT 1), []), doc_id) AS dropped FROM documents""",
 )
 def _(spark, d):
-    return dedup.near_duplicates(_docs(spark, d), 70).select(F.col("key").alias("doc_id"), F.col("near").isNotNull().alias("dropped"))
+    return dedup.near_duplicates(_texts(spark, d), 70, sets=_lower_sets).select(F.col("key").alias("doc_id"), F.col("near").isNotNull().alias("dropped"))
 
 
 @query(
