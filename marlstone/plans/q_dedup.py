@@ -113,7 +113,7 @@ def _(spark, d):
 
 def _signed(spark, d):
     """All documents as index, the labelled ones as queries."""
-    index = sim.minhash(_adaptive_grams(spark, d))
+    index = cut(sim.minhash(_adaptive_grams(spark, d)))
     return index, index.join(table(spark, d, "labels").select(F.col("doc_id").alias("key")), "key", "left_semi")
 
 

@@ -80,3 +80,8 @@ def test_merge_keeps_and_counts_rows_as_a_pass_in_order_does(spark):
     assert sorted(r.key for r in out["kept"].collect()) == [0, 1, 3, 4, 5, 9, 10]
     assert out["kept"].columns == train.columns
     assert tuple(out["totals"].first()) == (11, 2, 2, 7)
+
+
+@pytest.mark.parametrize("name", ["s_sim_08_lsh_candidates", "s_sim_09_estimated_jaccard"])
+def test_signatures_are_made_once(spark, sf, name):
+    assert "MapInArrow" not in registry.queries()[name](spark, sf)._jdf.queryExecution().toString()
