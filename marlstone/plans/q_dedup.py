@@ -130,21 +130,29 @@ near AS (SELECT q.doc_id AS query, h.doc_id AS hit, count(*) / (any_value(q.n) +
 
 @query("s_sim_08_kept_index", f"{_NEAR} SELECT query, hit FROM near WHERE jaccard >= 0.9")
 def _(spark, d):
-    """Documents go into a kept index in two parts; its hits for the labelled ones, of which those are kept whose sets are
-    similar to 0.9.  Such a pair is missed with a probability under 10^-14."""
+    """Documents go into a kept index in two parts, one for each set of grams; its hits for the sets of labelled ones, of
+    which those are kept that are similar to 0.9.  Such a pair is missed with a probability under 10^-14.  The documents of
+    both sets are joined to it in the end."""
     import uuid
 
     from marlstone.operators.lsh_index import LshIndex
     from marlstone.plans.q_io import _place
 
-    index, queries = _signed(spark, d)
+    texts = _texts(spark, d)
+    named = cut(_adaptive(texts).where(F.size("ids") > 0).select("key", F.xxhash64("ids").alias("h"), F.xxhash64(F.lit(1), "ids").alias("h2")))
+    member = cut(named.join(named.groupBy("h", "h2").agg(F.min("key").alias("one")), ["h", "h2"]).select("key", "one"))
+    asking = member.join(table(spark, d, "labels").select(F.col("doc_id").alias("key")), "key", "left_semi").withColumnRenamed("key", "query")
+    index = cut(sim.minhash(_adaptive(texts.join(member.where("key = one"), "key", "left_semi"))))
     kept = LshIndex(spark, f"lsh_{uuid.uuid4().hex}", _place(spark), buckets=8)
     kept.insert(index.where("key % 2 = 0"))
     kept.insert(index)
-    met = cut(kept.probe(queries).select(F.col("query").alias("a"), F.col("hit").alias("b")))
+    met = cut(kept.probe(index.join(asking.select(F.col("one").alias("key")), "key", "left_semi")).select(F.col("query").alias("a"), F.col("hit").alias("b")))
     kept.drop()
-    sets = _adaptive_grams(spark, d).select("key", sim.gram_ids("grams").alias("ids"))
-    return sim.verified(met, sets, 90, inclusive=True).select(F.col("a").alias("query"), F.col("b").alias("hit"))
+    needed = cut(met.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    near = sim.verified(met, cut(_adaptive(texts.join(needed, "key", "left_semi"))), 90, inclusive=True).select("a", "b")
+    near = near.union(member.where("key = one").select(F.col("one").alias("a"), F.col("one").alias("b")))
+    pairs = near.join(asking.withColumnRenamed("one", "a"), "a").join(member.select(F.col("one").alias("b"), F.col("key").alias("hit")), "b")
+    return pairs.where("query <> hit").select("query", "hit")
 
 
 @query("s_sim_09_estimated_jaccard")

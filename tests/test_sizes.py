@@ -85,3 +85,21 @@ def test_merge_keeps_and_counts_rows_as_a_pass_in_order_does(spark):
 @pytest.mark.parametrize("name", ["s_sim_08_lsh_candidates", "s_sim_09_estimated_jaccard"])
 def test_signatures_are_made_once(spark, sf, name):
     assert "MapInArrow" not in registry.queries()[name](spark, sf)._jdf.queryExecution().toString()
+
+
+def test_the_kept_index_has_each_set_once_and_gives_all_copies(spark, tmp_path, monkeypatch):
+    from marlstone.operators.lsh_index import LshIndex
+
+    seen, real = [], LshIndex.insert
+    monkeypatch.setattr(LshIndex, "insert", lambda self, rows: seen.append(rows.count()) or real(self, rows))
+    texts = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(4)]
+    texts += [texts[0].upper()] * 5 + [texts[1] + " more", texts[0] + " more", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i,) for i in (0, 4, 9, 11)], "doc_id long").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    name = "s_sim_08_kept_index"
+    got = spark_rows(registry.queries()[name](spark, str(tmp_path)))
+    assert got == duck_rows(con, registry.oracle_sql()[name]) and len(got[1]) == 13
+    assert seen[-1] == 6
