@@ -88,7 +88,7 @@ def near_duplicates(rows: DataFrame, percent: int = 70, kept_before: int | None
     corpus and stay in any case; new rows are compared with those that share a rare gram.
     """
     shared = sharing(sets(rows), percent)
-    shared = cut(shared if among is None else shared.join(among.select("key"), "key", "left_semi"))
+    shared = shared if among is None else shared.join(among.select("key"), "key", "left_semi")
     keyed = cut(sets(rows.join(shared, "key", "left_semi")).withColumn("h", F.md5(F.array_join(F.array_sort("ids").cast("array<string>"), ","))))
     old = F.lit(False) if kept_before is None else F.col("key") < kept_before
     first = cut(keyed.groupBy("h").agg(F.min("key").alias("first")))
@@ -114,7 +114,6 @@ def near_duplicates(rows: DataFrame, percent: int = 70, kept_before: int | None
         more = cut(edges.join(stays, "early", "left_semi").groupBy(F.col("late").alias("key")).agg(F.min("early").alias("near")))
         gone = gone.union(more)
         open_ = cut(open_.join(settled.select("key"), "key", "left_anti"))
-        one = cut(one.join(open_.select("key").distinct(), "key", "left_semi"))
         ahead *= GROWTH
     copies = keyed.join(first, "h").where((F.col("key") != F.col("first")) & (F.size("ids") > 0) & ~old)
     copies = copies.join(gone.withColumnRenamed("key", "first"), "first", "left").select("key", F.coalesce("near", "first").alias("near"))
